@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, secret_scan
+from inkveil.llm import decontam, secret_scan, simhash_vp
 from inkveil.llm._common import table
 
 
+def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
@@ -30,7 +34,7 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_secret_spans, op10_benchmark_overlap)}
+    return {f.__name__: f for f in (op6_simhash_neighbours, op7_secret_spans, op10_benchmark_overlap)}
 
 
 def oracle_sql() -> dict[str, str]:
