@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, secret_scan, simhash_vp
+from inkveil.llm import decontam, secret_scan, simhash_vp, token_store
 from inkveil.llm._common import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file; the package that brings them is found at run time."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,7 +45,7 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_neighbours, op7_secret_spans, op10_benchmark_overlap)}
+    return {f.__name__: f for f in (op3_token_shards, op6_simhash_neighbours, op7_secret_spans, op10_benchmark_overlap)}
 
 
 def oracle_sql() -> dict[str, str]:
