@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, secret_scan, simhash_vp, token_store
+from inkveil.llm import decontam, multiset_fp, piece_codec, secret_scan, simhash_vp, token_count, token_store
 from inkveil.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,14 @@ def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_novel")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op9_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_fp.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -45,7 +57,7 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards, op6_simhash_neighbours, op7_secret_spans, op10_benchmark_overlap)}
+    return {f.__name__: f for f in (op3_token_shards, op4_sentence_pieces, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap)}
 
 
 def oracle_sql() -> dict[str, str]:
