@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, multiset_fp, piece_codec, secret_scan, simhash_vp, token_count, token_store
+from inkveil.llm import decontam, html_extract, multiset_fp, piece_codec, secret_scan, simhash_vp, token_count, token_store, toxicity
 from inkveil.llm._common import table
 
 
@@ -18,6 +18,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "n_template_nodes")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,7 +66,7 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_shards, op4_sentence_pieces, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap)}
+    return {f.__name__: f for f in (op1_toxicity, op2_page_text, op3_token_shards, op4_sentence_pieces, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap)}
 
 
 def oracle_sql() -> dict[str, str]:
