@@ -12,7 +12,8 @@ their word ranges are merged into removal spans.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -254,51 +255,97 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     not read. Texts don't leave the task that reads them; only the benchmark's blocks
     (BLOCK_BYTES each) are sent along.
     """
-    blocks = [Phrases(b, window) for b in _blocks(benchmark, item_col, item_text_col)]
-    blocks = docs.sparkSession.sparkContext.broadcast(blocks)
+    blocks = _sent(docs, benchmark, item_col, item_text_col, window)
 
     def search(batches: Batches) -> Batches:
-        def shard(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-            hits: list[list] = [[] for _ in texts]
-            items: list[set] = [set() for _ in texts]
-            for phrases in blocks.value:
-                for k, (spans, numbers) in enumerate(search_shard(texts, phrases)):
-                    hits[k] += spans.tolist()
-                    items[k] |= {phrases.items[i] for i in numbers} - {None}
-            merged = []
-            for spans in hits:
-                out: list[list[int]] = []
-                for a, b in sorted(spans):
-                    if out and a <= out[-1][1]:
-                        out[-1][1] = max(b, out[-1][1])
-                    else:
-                        out.append([a, b])
-                merged.append(out)
-            return rows({
-                "doc_id": (pa.int64(), ids),
+        for some, texts in _shards(batches, "text"):
+            found = _search_all(texts, [b.value for b in blocks])
+            yield rows({
+                "doc_id": (pa.int64(), [i for batch in some for i in batch.column("doc_id").to_pylist()]),
                 "n_words": (pa.int64(), [len(t) for t in texts]),
-                "n_hit": (pa.int64(), [sum(b - a for a, b in s) for s in merged]),
-                "items": (pa.list_(pa.string()), [sorted(x) for x in items]),
-                "spans": (pa.list_(pa.list_(pa.int64())), merged),
+                "n_hit": (pa.int64(), [sum(b - a for a, b in spans) for spans, _ in found]),
+                "items": (pa.list_(pa.string()), [items for _, items in found]),
+                "spans": (pa.list_(pa.list_(pa.int64())), [spans for spans, _ in found]),
             })
 
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, data in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
-                t = words(data)
-                if texts and size + len(t) > SHARD_WORDS:
-                    yield shard(ids, texts)
-                    ids, texts, size = [], [], 0
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-        if texts:
-            yield shard(ids, texts)
-
     kept = id_and_text(docs, id_col, text_col)
     kept = kept.withColumn("doc_id", kept["doc_id"].cast("bigint"))
     return kept.mapInArrow(search, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>")
 
 
+def _sent(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
+    """The benchmark's phrases, one broadcast for each block of at most BLOCK_BYTES."""
+    return [docs.sparkSession.sparkContext.broadcast(Phrases(b, window)) for b in _blocks(benchmark, item_col, item_text_col)]
+
+
+def _shards(batches: Batches, text_col: str) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
+    """Runs of rows of about SHARD_WORDS words, with their texts as words."""
+    some, texts, size = [], [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 100):
+            part = batch.slice(k, 100)
+            new = [words(d) for d in utf8(part, text_col)]
+            more = sum(map(len, new))
+            if texts and size + more > SHARD_WORDS:
+                yield some, texts
+                some, texts, size = [], [], 0
+            some.append(part)
+            texts += new
+            size += more
+    if texts:
+        yield some, texts
+
+
+def _search_all(texts: list[list[bytes]], blocks: list[Phrases]) -> list[tuple[list[list[int]], list[str]]]:
+    """Merged spans and sorted item ids of each text, over all blocks of the benchmark."""
+    hits: list[list] = [[] for _ in texts]
+    items: list[set] = [set() for _ in texts]
+    for phrases in blocks:
+        for k, (spans, numbers) in enumerate(search_shard(texts, phrases)):
+            hits[k] += spans.tolist()
+            items[k] |= {phrases.items[i] for i in numbers} - {None}
+    merged = []
+    for spans in hits:
+        out: list[list[int]] = []
+        for a, b in sorted(spans):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(b, out[-1][1])
+            else:
+                out.append([a, b])
+        merged.append(out)
+    return [(spans, sorted(found)) for spans, found in zip(merged, items, strict=True)]
+
+
+def cut_words(data: bytes, spans: Sequence[Sequence[int]]) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    at = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(_WORD_BYTES))]
+    out, end = [], 0
+    for a, b in spans:
+        out.append(data[end : at[a][0]])
+        end = at[b - 1][1]
+    return b"".join([*out, data[end:]])
+
+
+def remove_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents without benchmark passages, with all input columns.
+
+    A document that holds a full window of an item goes; occurrences of shorter items are
+    cut out of the text. All other rows, null texts among them, stay as they are.
+    """
+    blocks = _sent(docs, benchmark, item_col, item_text_col, window)
+
+    def clean(batches: Batches) -> Batches:
+        for some, texts in _shards(batches, text_col):
+            found = iter(_search_all(texts, [b.value for b in blocks]))
+            for batch in some:
+                spans = [next(found)[0] for _ in range(batch.num_rows)]
+                at, data = batch.schema.get_field_index(text_col), utf8(batch, text_col)
+                cut = [cut_words(d, s).decode() if s else None if d is None else d.decode() for d, s in zip(data, spans, strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(cut, type=batch.schema.field(at).type))
+                yield batch.filter(pa.array([all(b - a < window for a, b in s) for s in spans], type=pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()

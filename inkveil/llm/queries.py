@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontam, html_extract, multiset_fp, piece_codec, secret_scan, simhash_vp, token_count, token_store, toxicity
+from inkveil.llm import chat_quotes, decontam, html_extract, multiset_fp, piece_codec, secret_scan, simhash_vp, token_count, token_store, toxicity
 from inkveil.llm._common import table
 
 
@@ -35,6 +35,10 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op5_chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,8 +70,8 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_page_text, op3_token_shards, op4_sentence_pieces, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap)}
+    return {f.__name__: f for f in (op1_toxicity, op2_page_text, op3_token_shards, op4_sentence_pieces, op5_chat_replies, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_replies": chat_quotes.ORACLE_SQL}
