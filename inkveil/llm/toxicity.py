@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm._common import Batches, id_and_text, rows, utf8
+from inkveil.llm._common import Batches, id_and_text, rows, stored, utf8
 
 #: The bound of the sample: so many labelled documents of either class, by hash of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000
@@ -128,32 +128,21 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit(documents: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, pairs: Counter | dict, weight: np.ndarray | None = None, l2: float = L2, counterfactual: float = COUNTERFACTUAL, max_features: int = MAX_FEATURES, steps: int = 400) -> Model:
-    """documents: distinct feature ids of each; sizes: their distinct words; pairs: swapped terms with counts."""
+def fit(documents: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, pairs: Counter | dict, scales: dict[int, float], weight: np.ndarray | None = None, l2: float = L2, counterfactual: float = COUNTERFACTUAL, steps: int = 400) -> Model:
+    """documents: ids of the chosen features that each holds; sizes: their distinct words; pairs: swapped
+    terms with counts; scales: the chosen features. Weights are multiplied by a feature's scale, so
+    well-attested features are cheaper than chance ones."""
     labels = np.asarray(labels, dtype=float)
     weight = np.ones(len(labels)) if weight is None else weight
     weight = weight / max(weight.sum(), 1e-9)
-    owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
-    ids, at = np.unique(flat, return_inverse=True)
-    pos = np.bincount(at, weights=labels[owner], minlength=len(ids)) if len(flat) else np.zeros(0)
-    every = np.bincount(at, minlength=len(ids)).astype(float)
-    n1, n0 = labels.sum(), len(labels) - labels.sum()
-    odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((every - pos + 0.5) / (n0 + 1))
-    value = np.abs(odds) * np.sqrt(np.where(odds > 0, pos, every - pos))
-    value[every < 3] = 0
-    kept = np.flatnonzero(value > 0)
-    kept = kept[np.argsort(-value[kept], kind="stable")][:max_features]
-    # weights are scaled by how sure a feature's odds are: well-attested features are cheaper than chance ones
-    scale = value[kept] / (value[kept] + 10)
-    column = np.full(len(ids), -1)
-    column[kept] = np.arange(len(kept))
-    use = column[at] >= 0 if len(flat) else np.zeros(0, bool)
-    r, c = owner[use], column[at[use]]
+    kept = np.array(sorted(scales), dtype=np.int64)
+    scale = np.array([scales[int(f)] for f in kept])
+    r = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    c = np.searchsorted(kept, np.concatenate(documents) if documents else np.zeros(0, np.int64))
     length = np.log1p(np.asarray(sizes, dtype=float))
     centre = length.mean() if len(length) else 0.0
     # rows of the counterfactual penalty: features that a swap takes away (+1) and brings (-1)
-    number = {int(f): k for k, f in enumerate(ids[kept])}
+    number = {int(f): k for k, f in enumerate(kept)}
     cr, cc, cv, cw = [], [], [], []
     for k, ((a, b), n) in enumerate(sorted(pairs.items())):
         fa, fb = set(stems(a)), set(stems(b))
@@ -180,7 +169,7 @@ def fit(documents: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, pair
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model({int(f): float(x) for f, x in zip(ids[kept], w[:n] * scale, strict=True)}, float(w[n] - w[n + 1] * centre), float(w[n + 1]))
+    return Model({int(f): float(x) for f, x in zip(kept, w[:n] * scale, strict=True)}, float(w[n] - w[n + 1] * centre), float(w[n + 1]))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -192,36 +181,49 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on up to SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents that aren't held out.
 
     Labels other than 0 and 1, and labels without a document, are ignored; of repeated
-    labels of a document the greater counts; of documents with the same words one is
-    learned from. Without labels of both classes every score is the base rate.
+    labels of a document the greater counts; of equal texts with one label one is learned
+    from. Without labels of both classes every score is the base rate.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     bounds = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(n) for k, n in bounds.items()]
-    sample = F.broadcast(parts[0].unionByName(parts[1]))  # a bounded number of ids
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # a bounded number of ids
+    sample = stored(id_and_text(docs, id_col, text_col).join(chosen, "doc_id").select("text", "toxic").distinct(), "toxicity-sample")
+    sampled = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = sampled.get(1, 0), sampled.get(0, 0)
+
+    def held(batches: Batches) -> Batches:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 50):
+                part = batch.slice(k, 50)
+                yield rows({"toxic": (pa.int32(), part.column("toxic")), "ids": (pa.list_(pa.int64()), [features(d)[0] for d in utf8(part)])})
+
+    counts = sample.mapInArrow(held, "toxic int, ids array<bigint>").select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where("n >= 3")
+    clean = F.col("n") - F.col("pos")
+    odds = F.log((F.col("pos") + 0.5) / F.lit(n1 + 1.0)) - F.log((clean + 0.5) / F.lit(n0 + 1.0))
+    value = F.abs(odds) * F.sqrt(F.when(odds > 0, F.col("pos")).otherwise(clean))
+    best = counts.select("id", value.alias("value")).orderBy(F.desc("value"), "id").limit(MAX_FEATURES).collect()
+    scales = {r["id"]: r["value"] / (r["value"] + 10) for r in best}
     terms = swap_table(identity_terms)
 
     def extract(batches: Batches) -> Batches:
         for batch in batches:
             ids, sizes, pairs = [], [], []
             for data in utf8(batch):
-                held, distinct = features(data)
-                ids.append(np.sort(np.array(held, dtype=np.int64)).tobytes())
+                every, distinct = features(data)
+                ids.append(np.array(sorted(f for f in every if f in scales), dtype=np.int64).tobytes())
                 sizes.append(distinct)
                 pairs.append(b" ".join(a + b"/" + b for a, b in swaps(data, terms).elements()))
             yield rows({"toxic": (pa.int32(), batch.column("toxic")), "ids": (pa.binary(), ids), "size": (pa.int64(), sizes), "pairs": (pa.binary(), pairs)})
 
-    kept = id_and_text(docs, id_col, text_col)
-    kept = kept.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    found = kept.join(sample, "doc_id").select("text", "toxic").mapInArrow(extract, "toxic int, ids binary, size bigint, pairs binary").distinct().collect()
-    found.sort(key=lambda r: (bytes(r["ids"]), r["toxic"]))
+    found = sample.mapInArrow(extract, "toxic int, ids binary, size bigint, pairs binary").collect()
+    found.sort(key=lambda r: (bytes(r["ids"]), r["size"], r["toxic"]))
     pairs: Counter = Counter(tuple(p.split(b"/")) for r in found for p in bytes(r["pairs"]).split())
     y = np.array([r["toxic"] for r in found], dtype=float)
-    sampled = {1: max(1.0, y.sum()), 0: max(1.0, len(y) - y.sum())}
     weight = np.array([totals[r["toxic"]] / sampled[r["toxic"]] for r in found])  # back to the classes' shares
-    return fit([np.frombuffer(r["ids"], dtype=np.int64) for r in found], np.array([r["size"] for r in found]), y, pairs, weight if len(found) else None, counterfactual=counterfactual)
+    return fit([np.frombuffer(r["ids"], dtype=np.int64) for r in found], np.array([r["size"] for r in found]), y, pairs, scales, weight if len(found) else None, counterfactual=counterfactual)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -237,7 +239,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield rows({"doc_id": (pa.int64(), batch.column("doc_id")), "score": (pa.float64(), [sent.value.score(d) for d in utf8(batch)])})
 
     kept = id_and_text(docs, id_col, text_col)
-    scored = kept.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "doc_id bigint, score double")
+    scored = kept.mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
