@@ -110,7 +110,7 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     alive = np.ones(n, dtype=bool)  # no separator so far within the key
     for d in range(packed_to):
         symbol = np.zeros(n, dtype=np.int64)
-        symbol[: n - d] = text[d:]
+        symbol[: max(0, n - d)] = text[d:]
         symbol[~alive] = 0
         alive &= symbol != 0
         key = (key << bits) | symbol
@@ -269,7 +269,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             })
 
     kept = id_and_text(docs, id_col, text_col)
-    kept = kept.withColumn("doc_id", kept["doc_id"].cast("bigint"))
     return kept.mapInArrow(search, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>")
 
 
