@@ -83,6 +83,16 @@ SELECT CAST(1 + p_partkey % 150 AS BIGINT) AS image_id, CAST(p_partkey % 700 - 2
 FROM part
 """
 
+INK_RUNS = """
+SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS image_id, CAST(floor(p_partkey / 50) % 4 AS INT) AS area_id, CAST(100 + (p_partkey * 7) % 60 AS INT) AS y,
+       CAST(50 + (p_partkey * 13) % 150 AS INT) AS x1, CAST(54 + (p_partkey * 13) % 150 + p_size % 9 AS INT) AS x2 FROM part
+"""
+
+STROKES = """
+SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS image_id, CAST(floor(p_partkey / 50) % 4 AS INT) AS area_id, CAST(50 + (p_partkey * 13) % 150 AS INT) AS x,
+       CAST(100 + (p_partkey * 7) % 60 AS INT) AS y, CAST(10 + p_size AS INT) AS w, CAST(5 + p_size % 20 AS INT) AS h, CAST(20 + p_partkey % 500 AS INT) AS size FROM part
+"""
+
 STAGE_METRICS = """
 SELECT l_orderkey AS image_id, CAST(l_linenumber AS DOUBLE) AS orientation_ms, l_quantity AS ocr_ms, l_discount AS rotation_retry_ms,
        l_extendedprice AS detect_ms, l_tax AS mask_ms FROM lineitem

@@ -205,6 +205,23 @@ SELECT image_id, line_index, round(CASE WHEN w > 0 AND h > 0 THEN CAST(w * h AS
 SELECT meta.image_id, coalesce(lines_json, '[]') AS lines_json, 'p' AS prompt, 'image/png' AS media_type, to_base64(encode(repeat(CAST(meta.image_id AS VARCHAR), 40))) AS payload FROM meta LEFT JOIN j USING (image_id)""",
     "f13_written_formats": f"WITH {LINES}, {values([(c, p, 0) for c, p in FORMATS])}, {RULE_POLY}, {RULE_REGIONS} SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index FROM rule_regions",
     "f13_documents": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), v AS (SELECT doc_id, 'phone' AS category, unnest(regexp_extract_all(t, '(?:^|[^0-9])(1[3-9][0-9]{9}|0[0-9]{2,3}-[0-9]{7,8})(?:[^0-9]|$)', 1)) AS value FROM l UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(t, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,})', 1)) FROM l) SELECT doc_id AS image_id, category, count(*) AS n, count(DISTINCT value) AS n_values FROM v GROUP BY ALL",
+    "x6_signature_regions": f"""WITH runs AS ({X.INK_RUNS}), strokes AS ({X.STROKES}),
+prof(profile, min_part, of_image, max_aspect, min_strokes, fill_lo, fill_hi, strict, min_w, min_h, max_part, max_width, max_bottom) AS (VALUES
+ ('near_doctor', CAST(0.005 AS DOUBLE), false, 10.0, 2, CAST(0.01 AS DOUBLE), CAST(0.5 AS DOUBLE), false, 15, 8, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)),
+ ('bottom_context', 0.0005, true, 12.0, 1, 0.02, 0.45, false, 20, 10, 0.7, NULL, NULL), ('bottom_strict', 0.0005, true, 12.0, 4, 0.03, 0.35, false, 30, 15, 0.3, 0.4, 0.95), ('verify', 0.003, false, 12.0, 2, 0.01, 0.45, true, 0, 0, NULL, NULL, NULL)),
+areas AS (SELECT DISTINCT image_id, area_id, 40 AS ax1, 90 AS ay1, 260 AS ax2, 200 AS ay2, 600 AS width, 800 AS height, ['near_doctor', 'bottom_context', 'bottom_strict', 'verify'][area_id + 1] AS profile FROM strokes),
+judged AS (SELECT * FROM areas JOIN prof USING (profile)),
+kept AS (SELECT s.* FROM strokes s JOIN judged j USING (image_id, area_id) WHERE size >= CASE WHEN of_image THEN width * height ELSE (ax2 - ax1) * (ay2 - ay1) END * min_part
+  AND greatest(w, h) / CAST(greatest(least(w, h), 1) AS DOUBLE) <= max_aspect AND NOT (of_image AND w > (ax2 - ax1) * CAST(0.7 AS DOUBLE) AND (y - ay1 < 3 OR y + h > ay2 - 3))),
+merged AS (SELECT image_id, area_id, count(*) AS n, min(x) AS mx1, min(y) AS my1, max(x + w) AS mx2, max(y + h) AS my2 FROM kept GROUP BY ALL),
+boxed AS (SELECT *, profile = 'verify' AS v, CASE WHEN profile = 'verify' THEN ax1 ELSE mx1 END AS bx1, CASE WHEN profile = 'verify' THEN ay1 ELSE my1 END AS by1, CASE WHEN profile = 'verify' THEN ax2 ELSE mx2 END AS bx2, CASE WHEN profile = 'verify' THEN ay2 ELSE my2 END AS by2
+  FROM merged JOIN judged USING (image_id, area_id) WHERE n >= min_strokes),
+inked AS (SELECT image_id, area_id, sum(greatest(0, least(r.x2, bx2) - greatest(r.x1, bx1))) AS ink FROM runs r JOIN boxed USING (image_id, area_id) WHERE r.y BETWEEN by1 AND by2 - 1 GROUP BY ALL),
+filled AS (SELECT *, bx2 - bx1 AS bw, by2 - by1 AS bh, coalesce(ink, 0) / (CAST(bx2 - bx1 AS DOUBLE) * (by2 - by1)) AS fill FROM boxed LEFT JOIN inked USING (image_id, area_id)),
+passed AS (SELECT *, CASE WHEN v THEN 0 ELSE greatest(CAST(trunc(bh * CAST(0.3 AS DOUBLE)) AS INT), 5) END AS pad FROM filled WHERE CASE WHEN strict THEN fill > fill_lo AND fill < fill_hi ELSE fill BETWEEN fill_lo AND fill_hi END AND bw >= min_w AND bh >= min_h
+  AND (max_part IS NULL OR bw * bh <= (ax2 - ax1) * (ay2 - ay1) * max_part) AND (max_width IS NULL OR bw <= (ax2 - ax1) * max_width) AND (max_bottom IS NULL OR by2 <= height * max_bottom)),
+q AS (SELECT image_id, area_id, fill, greatest(0, bx1 - pad) AS a, greatest(0, by1 - pad) AS b, least(width, bx2 + pad) AS c, least(height, by2 + pad) AS d FROM passed)
+SELECT image_id, CAST(area_id AS BIGINT) AS seq, concat_ws(',', a, b, c, b, c, d, a, d) AS polygon, round(fill, 9) AS fill FROM q""",
     "x7_bottom_areas": f"WITH {LINES}, {META}, b AS (SELECT image_id, max(y2) AS last_y FROM lines GROUP BY image_id) SELECT b.image_id, CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT) AS ax1, last_y AS ay1, width - CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT) AS ax2, height AS ay2 FROM b JOIN meta USING (image_id) WHERE height - last_y >= height * CAST(0.08 AS DOUBLE)",
     "r1_stream_detect": f"WITH {LINES}, {values([*RULES, *[(c, p, 0) for c, p in FORMATS]])}, {RULE_POLY}, {RULE_REGIONS} SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index FROM rule_regions",
     "r2_request_outcomes": f"WITH r AS ({X.REQUEST_LOG}) SELECT endpoint, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') + INTERVAL '10 minutes' AS window_end, count(*) FILTER (status <> 'error') AS n_ok, count(*) FILTER (status = 'error') AS n_error, round(avg(elapsed_ms), 6) AS avg_ms FROM r GROUP BY ALL",

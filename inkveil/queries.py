@@ -338,8 +338,7 @@ def f13_documents(spark, sf_dir):
 
 @query
 def x6_signature_regions(spark, sf_dir):
-    runs = X.derived(spark, sf_dir, "SELECT CAST(p_partkey % 40 AS BIGINT) AS image_id, CAST(p_partkey % 4 AS INT) AS area_id, CAST(100 + (p_partkey * 7) % 60 AS INT) AS y, CAST(50 + (p_partkey * 13) % 150 AS INT) AS x1, CAST(50 + (p_partkey * 13) % 150 + 1 + p_size % 9 AS INT) AS x2 FROM part")
-    strokes = X.derived(spark, sf_dir, "SELECT CAST(p_partkey % 40 AS BIGINT) AS image_id, CAST(p_partkey % 4 AS INT) AS area_id, CAST(50 + (p_partkey * 13) % 150 AS INT) AS x, CAST(100 + (p_partkey * 7) % 60 AS INT) AS y, CAST(10 + p_size AS INT) AS w, CAST(5 + p_size % 20 AS INT) AS h, CAST(20 + p_partkey % 500 AS INT) AS size FROM part")
+    runs, strokes = X.derived(spark, sf_dir, X.INK_RUNS), X.derived(spark, sf_dir, X.STROKES)
     areas = strokes.select("image_id", "area_id").distinct().select("*", F.lit(40).alias("ax1"), F.lit(90).alias("ay1"), F.lit(260).alias("ax2"), F.lit(200).alias("ay2"), F.lit(600).alias("width"), F.lit(800).alias("height"), F.element_at(F.array(*map(F.lit, ("near_doctor", "bottom_context", "bottom_strict", "verify"))), F.col("area_id") + 1).alias("profile"))
     found = signatures.signature_regions(strokes, runs, areas)
     return found.select("image_id", "seq", flat(F.col("polygon")).alias("polygon"), F.round("fill", 9).alias("fill"))
