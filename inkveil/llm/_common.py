@@ -26,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the whole text (null: empty) under fixed names, so that no
     other column of the input can clash with what an operator adds."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = id_col == "doc_id" and dict(docs.dtypes)[id_col] == "bigint"  # then no alias, which would keep Spark from sharing exchanges
+    return docs.select("doc_id" if plain else F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def shared_dir(spark: SparkSession) -> str:

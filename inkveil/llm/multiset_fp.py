@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm._common import id_and_text, materialize, partitions, stored
+from inkveil.llm._common import id_and_text, materialize, partitions
 
 SEEDS = 4  # seeded 64-bit hashes of a paragraph: eight 32-bit identity lanes
 LONGS = 20  # longs that hold the 60 likeness lanes, three in each
@@ -115,29 +115,26 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows give a row each. An empty table gives an empty table. Other columns are not read.
     """
     kept = id_and_text(docs, id_col, text_col)
-    kept = kept.withColumn("doc_id", kept["doc_id"].cast("bigint"))
-    # pass 1, no shuffle of texts: each text's own fingerprint
-    own = stored(kept.select("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("n"), fingerprint(kept["text"]).alias("fp")).distinct(), "fingerprints")
-    named = own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash").alias("hash"), F.max(F.expr("n div 2")).alias("most"))
-    order = next_ids(named.select("doc_id"))
-    # for each id: the next id, whose text counts there, and how much of its own text the id before it needs
-    links = materialize(
-        named.join(order, "doc_id")
-        .join(named.select(F.col("doc_id").alias("next_id"), F.col("hash").alias("next_hash")), "next_id")
-        .select("doc_id", "next_id", "next_hash", "hash", "most")
+    placed = kept.where("doc_id IS NOT NULL")
+    ids = materialize(placed.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("hash"), F.max(F.expr("length(text) div 2")).alias("most")))
+    # for each id: the id before it, how much of this text that one needs, and whose text counts here
+    follows = next_ids(ids.select("doc_id")).join(ids, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), F.col("most").alias("wanted"))
+    links = materialize(follows.join(ids.select("doc_id", "hash"), "doc_id"))
+    # texts are dealt by doc_id once (both uses of `placed` share the exchange); heads go on to the document before
+    heads = (
+        placed.join(links, "doc_id")
+        # written so that it isn't a join key: both joins are then dealt by doc_id alone
+        .where(F.xxhash64("text").bitwiseXOR(F.col("hash")) == 0)
+        .select(F.col("before_id").alias("doc_id"), F.expr("substring(text, 1, int(wanted))").alias("head"), fingerprint(F.col("text")).alias("next_fp"))
+        .groupBy("doc_id")
+        .agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp"))
     )
-    before = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), F.col("most").alias("wanted"))
-    # pass 2: texts are dealt by doc_id once; heads go to the document before
-    linked = kept.join(links.drop("most").join(before, "doc_id"), "doc_id", "left")
-    heads = linked.where(F.xxhash64("text") == F.col("hash")).select(F.col("before_id").alias("doc_id"), F.expr("substring(text, 1, int(wanted))").alias("head")).groupBy("doc_id").agg(F.first("head").alias("head"))
-    half = F.expr("length(text) div 2")
-    edited = F.concat(F.expr("substring(text, 1, int(length(text) - length(text) div 2))"), F.substring(F.coalesce(F.col("head"), F.lit("")), F.lit(1), half.cast("int")))
-    pass2 = linked.join(heads, "doc_id", "left").select("doc_id", F.xxhash64("text").alias("hash"), "next_id", "next_hash", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"))
-    new = pass2.select("doc_id", "hash", "next_id", "next_hash", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
-    mine = own.select(F.col("doc_id").alias("id"), F.col("hash").alias("own_hash"), "fp")
-    theirs = own.select(F.col("doc_id").alias("id2"), F.col("hash").alias("hash2"), F.col("fp").alias("next_fp"))
-    joined = new.join(mine, new["doc_id"].eqNullSafe(mine["id"]) & (new["hash"] == mine["own_hash"])).join(theirs, (F.col("next_id") == F.col("id2")) & (F.col("next_hash") == F.col("hash2")), "left")
-    return joined.select(
+    alone = kept.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast(heads.schema["next_fp"].dataType).alias("next_fp"))
+    both = placed.join(heads, "doc_id", "left").unionByName(alone)
+    edited = F.concat(F.expr("substring(text, 1, int(length(text) - length(text) div 2))"), F.expr("substring(coalesce(head, ''), 1, int(length(text) div 2))"))
+    done = both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_fp")
+    done = done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("edited_fp"), "next_fp")
+    return done.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
