@@ -141,7 +141,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             })
 
     kept = id_and_text(docs, id_col, text_col)
-    kept = kept.withColumn("doc_id", kept["doc_id"].cast("bigint"))
     return kept.mapInArrow(scan, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_novel bigint, base string, spans string")
 
 

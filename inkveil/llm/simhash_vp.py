@@ -79,7 +79,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     kept = id_and_text(docs, id_col, text_col)
-    return kept.withColumn("doc_id", kept["doc_id"].cast("bigint")).mapInArrow(make, "doc_id bigint, fp bigint")
+    return kept.mapInArrow(make, "doc_id bigint, fp bigint")
 
 
 def _apart(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
