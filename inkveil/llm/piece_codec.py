@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from inkveil.llm._common import Batches, id_and_text, utf8
 
 MARK = "▁"
-CACHE_WORDS = 500_000  # words whose ids a worker remembers
-CACHE_PAIRS = 1_000_000  # pairs of pieces whose compatibility a worker remembers
+CACHE_WORDS = 120_000  # words of a generation; a worker remembers the ids of two
+CACHE_PAIRS = 200_000  # pairs of pieces of a generation whose compatibility is remembered
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -61,7 +61,9 @@ class Codec:
             raise ValueError("a piece of this model crosses words")
         self.words = re.compile(" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n").findall
         self._known: dict[str, bytes] = {}
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._older: dict[str, bytes] = {}
+        self._fits: dict[int, bool] = {}
+        self._older_fits: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces after all merges, highest score first, leftmost of equal ones."""
@@ -78,12 +80,15 @@ class Codec:
         return parts
 
     def _compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
+        key = self.piece[left] << 32 | self.piece[right]  # a number holds no text alive
         fits = self._fits.get(key)
         if fits is None:
+            fits = self._older_fits.get(key)
+            if fits is None:
+                fits = self.merged(left + right) == [left, right]
             if len(self._fits) > CACHE_PAIRS:
-                self._fits.clear()
-            fits = self._fits[key] = self.merged(left + right) == [left, right]
+                self._older_fits, self._fits = self._fits, {}
+            self._fits[key] = fits
         return fits
 
     def segment(self, words: Iterable[str]) -> dict[str, list[str]]:
@@ -141,10 +146,12 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [self.words(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        known = self._known
-        if len(known) > CACHE_WORDS:
-            known.clear()
+        if len(self._known) > CACHE_WORDS:
+            self._older, self._known = self._known, {}
+        known, old = self._known, self._older
         missing = {w for c in cut for w in c if w not in known}
+        known.update((w, old[w]) for w in missing if w in old)
+        missing.difference_update(old)
         marked = {w.replace(" ", MARK): w for w in missing}
         for m, pieces in self.segment(marked).items():
             known[marked[m]] = self._ids(pieces)
@@ -221,4 +228,4 @@ def round_trips(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "d
                 )
 
     kept = id_and_text(docs, id_col, text_col)
-    return kept.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(both, "doc_id bigint, n_pieces bigint, piece_ids array<int>, ids_crc32 bigint, round_trip boolean")
+    return kept.mapInArrow(both, "doc_id bigint, n_pieces bigint, piece_ids array<int>, ids_crc32 bigint, round_trip boolean")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from inkveil.llm._common import Batches, id_and_text, utf8
 
 MARK = "▁"
-CACHE_WORDS = 1_000_000  # words whose count a worker remembers
+CACHE_WORDS = 300_000  # words whose count a worker remembers
 
 _AUTOMATA: dict[str, LongestMatch] = {}
 
@@ -121,4 +121,4 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, type=pa.int64()) for x in (n_words, n_tokens, n_unknown))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     kept = id_and_text(docs, id_col, text_col)
-    return kept.withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(count, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return kept.mapInArrow(count, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")

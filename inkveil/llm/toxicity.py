@@ -31,7 +31,7 @@ MAX_FEATURES = 10_000  # features that the model keeps
 PREFIXES = range(3, 9)  # lengths of word beginnings
 THRESHOLD = 0.7
 L2, COUNTERFACTUAL = 1e-4, 1.0  # weights of the two penalties
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 #: Terms that may be swapped for each other; a parameter, by kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -109,6 +109,10 @@ class Model:
     _known: dict[bytes, tuple[int, ...]] = field(default_factory=dict, repr=False)
     _stems: set[int] = field(default_factory=set, repr=False)
 
+    def forget(self) -> None:
+        """Give back the memory of remembered words; a worker goes on to other work."""
+        self._known.clear()
+
     def score(self, data: bytes) -> float:
         known, weights = self._known, self.weights
         if not self._stems:
@@ -250,5 +254,6 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def keep(batches: Batches) -> Batches:
         for batch in batches:
             yield batch.filter(pa.array([sent.value.score(d or b"") < threshold for d in utf8(batch, text_col)], type=pa.bool_()))
+        sent.value.forget()
 
     return docs.mapInArrow(keep, docs.schema)
