@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from inkveil.llm._common import Batches, id_and_text, utf8
 
 MARK = "▁"
-CACHE_WORDS = 120_000  # words of a generation; a worker remembers the ids of two
+CACHE_WORDS = 200_000  # words of a generation; a worker remembers the ids of two
 CACHE_PAIRS = 200_000  # pairs of pieces of a generation whose compatibility is remembered
 
 _CODECS: dict[tuple[str, str], Codec] = {}
