@@ -19,6 +19,7 @@ index; ids u32[n ids].
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -31,11 +32,12 @@ from inkveil.llm._common import Batches, fresh_path, id_and_text, partitions, ro
 
 MAGIC = b"IVTS1\0\0\0"
 END_ID = 0  # appended to each document
-SHARD_IDS = 4_000_000  # ids after which a shard is closed; a longer document is a shard of its own
+SHARD_IDS = 1_000_000  # ids after which a shard is closed; a longer document is a shard of its own
 GAMMA = 1.5  # bits of a level for each key
 NULL_KEY = -(2**63)  # the key of a null doc_id
 
-CACHE_WORDS = 500_000  # words whose ids a worker remembers
+CACHE_WORDS = 300_000  # words of a generation; a worker remembers the ids of two
+MARKS = ".,;:!?%$&#*|"  # what may be split off a word's end
 
 _ENCODERS: dict[str, WordwiseEncoder] = {}
 
@@ -50,14 +52,41 @@ class WordwiseEncoder:
     """
 
     def __init__(self, path: str):
+        # a task has one core; the library's own threads would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._marks: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._after_space: dict[str, bytes] = {}  # word -> ids after a space; with a leading line break: as it stands
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of new words; marks at a word's end are pre-tokens of their own, and so are looked up apart."""
+        known, old, marks = self._after_space, self._older, self._marks
+        for w in new:
+            if w in old:
+                known[w] = old[w]
+        new = [w for w in new if w not in known]
+        ends = {}
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem and stem[-1].isalnum():
+                ends[w] = stem
+        whole = {ends.get(w, w) for w in new}.difference(known)
+        known.update((w, old[w]) for w in whole if w in old)
+        whole = list(whole.difference(old))
+        for k in range(0, len(whole), 2000):
+            some = whole[k : k + 2000]
+            known.update(zip(some, self._encode([w if w[0] == "\n" else " " + w for w in some]), strict=True))
+        missing = list({w[len(stem) :] for w, stem in ends.items()}.difference(marks))
+        marks.update(zip(missing, self._encode(missing), strict=True))
+        for w, stem in ends.items():
+            known[w] = known[stem] + marks[w[len(stem) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -72,10 +101,11 @@ class WordwiseEncoder:
             cut[k] = text.replace("\n", " \n").split(" ")
             missing.update(cut[k])
         known = self._after_space
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list(missing.difference(known))
-        known.update(zip(new, self._encode([w if w[0] == "\n" else " " + w for w in new]), strict=True))
+        if len(known) > CACHE_WORDS:  # words in use move on to the new generation, the rest is forgotten with the next one
+            self._older, self._after_space = known, {}
+            known = self._after_space
+            self._marks.clear()
+        self._learn(list(missing.difference(known)))
         first = self._encode([c[0] for c in cut.values()])
         for (k, c), head in zip(cut.items(), first, strict=True):
             out[k] = head + b"".join(map(known.__getitem__, c[1:]))
@@ -235,7 +265,6 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
             yield closed()
 
     kept = id_and_text(docs, id_col, text_col)
-    kept = kept.withColumn("doc_id", kept["doc_id"].cast("bigint"))
     ordered = kept.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(encode, "part int, number int, earlier bigint, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, shard binary").write.parquet(path)
 
