@@ -36,7 +36,7 @@ SHARD_IDS = 1_000_000  # ids after which a shard is closed; a longer document is
 GAMMA = 1.5  # bits of a level for each key
 NULL_KEY = -(2**63)  # the key of a null doc_id
 
-CACHE_WORDS = 300_000  # words of a generation; a worker remembers the ids of two
+CACHE_WORDS = 400_000  # words of a generation; a worker remembers the ids of two
 MARKS = ".,;:!?%$&#*|"  # what may be split off a word's end
 
 _ENCODERS: dict[str, WordwiseEncoder] = {}
