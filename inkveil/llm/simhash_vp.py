@@ -8,6 +8,11 @@ radius touches (triangle inequality). Inside a shard a second tree prunes branch
 by the same bounds and compares what is left exactly. A shard returns the edges of
 its components' stars only; stars are merged over all shards by alternating
 large-star and small-star steps.
+
+keep_one() drops copies down to a similarity of 0.8 of five-word runs. Their
+fingerprints differ in up to about 20 of 64 bits, where balls around them touch every
+shard and the search compares all pairs; candidates come from bands of least hashes
+instead, and each is checked by its exact similarity.
 """
 
 from __future__ import annotations
@@ -34,6 +39,12 @@ MAX_SHARDS = 4096  # leaves of the top tree, which is sent to all tasks
 LEAF = 64  # points that are compared directly
 PAIRS_AT_ONCE = 2_000_000
 
+#: Near copies that keep_one() drops: a wider rule than the fingerprints' links.
+COPY_SHINGLE = 5  # words
+COPY_SIMILARITY = 0.8  # Jaccard similarity of the sets of runs from which two texts are copies
+BANDS, BAND_ROWS = 24, 4  # pairs at similarity 0.8 share no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6
+_ORDERS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
 
 def shingle_hashes(data: bytes, width: int = SHINGLE) -> np.ndarray:
     """XXH64 of every run of `width` words, lower-cased in ASCII; fewer words: of all of them."""
@@ -259,12 +270,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(linked, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def copy_set(data: bytes) -> np.ndarray:
+    """The distinct hashes of a text's runs of COPY_SHINGLE words, ascending."""
+    return np.unique(shingle_hashes(data, COPY_SHINGLE))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of least hashes; two sets share one with probability similarity ** BAND_ROWS."""
+    least = np.full(len(_ORDERS), 2**64 - 1, dtype=np.uint64)
+    for k in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[k : k + 4096, None] * _ORDERS).min(axis=0))
+    rows_of_bands = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows_of_bands)], dtype=np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending sets; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) of digests whose sets have the similarity of copies, u > v."""
+
+    def check(batches: Batches) -> Batches:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            near = pa.array([similarity(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")) >= COPY_SIMILARITY for a, b in zip(x, y, strict=True)], type=pa.bool_())
+            yield batch.select(["u", "v"]).filter(near)
+
+    first, second = (sets.select(F.col("digest").alias(k), F.col("hashes").alias(c)) for k, c in (("u", "x"), ("v", "y")))
+    return materialize(pairs.join(first, "u").join(second, "v").select("u", "v", "x", "y").mapInArrow(check, "u bigint, v bigint"))
+
+
+def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(digest, rep, root) for every distinct set of runs: root is shared by the sets that exact links connect.
+
+    rep is the smallest doc_id of the set. Sets link if their Jaccard similarity is at
+    least COPY_SIMILARITY. Candidates share a band's key; first each set is compared with
+    the least digest of its buckets, which joins large groups in linear work, then all
+    pairs of a bucket that are still in different components are compared. A link is
+    missed only if the pair shares none of the bands: 3 in a million at similarity 0.8.
+    """
+
+    def sign(batches: Batches) -> Batches:
+        for batch in batches:
+            found = [copy_set(d) for d in utf8(batch)]
+            keys = np.concatenate([band_keys(x) for x in found]) if found else np.zeros(0, np.uint64)
+            digests = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], dtype=np.uint64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, type=pa.int32()), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests.view(np.int64)), bands], names=["doc_id", "digest", "bands"])
+
+    def whole_sets(batches: Batches) -> Batches:
+        for batch in batches:
+            found = [copy_set(d).tobytes() for d in utf8(batch)]
+            digests = np.array([xxhash.xxh64_intdigest(x) for x in found], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(found, type=pa.binary())], names=["digest", "hashes"])
+
+    kept = id_and_text(docs, id_col, text_col)
+    found = stored(kept.mapInArrow(sign, "doc_id bigint, digest bigint, bands array<bigint>"), "signatures")
+    points = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    members = found.select("digest", F.explode("bands").alias("bucket")).distinct()
+    leaders = members.groupBy("bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last")
+    shared = materialize(members.join(leaders.select("bucket", "leader"), "bucket"))
+    to_leader = materialize(shared.where("digest <> leader").select(F.col("digest").alias("u"), F.col("leader").alias("v")).distinct())
+    if to_leader.isEmpty():
+        return points.select("digest", "rep", F.col("digest").alias("root"))
+
+    # one row that holds each candidate set; rows without an id are all looked through
+    candidates = shared.select("digest").distinct()
+    ids = points.join(candidates, "digest", "left_semi").select("rep").distinct()
+    texts = kept.join(ids, kept["doc_id"].eqNullSafe(ids["rep"]), "left_semi").mapInArrow(whole_sets, "digest bigint, hashes binary")
+    sets = stored(texts.join(candidates, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+
+    links = _verified(to_leader, sets)
+    labelled = shared.select("bucket", "digest", F.col("digest").alias("root"))
+    if not links.isEmpty():
+        roots = materialize(_star_steps(links))
+        labelled = shared.select("bucket", "digest").join(roots, F.col("digest") == F.col("u"), "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root"))
+    labelled = materialize(labelled)
+    parts = labelled.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("parts"))
+    mixed = materialize(labelled.join(parts.where("parts > 1").select("bucket", "top"), "bucket"))
+    one = mixed.where("root <> top").select("bucket", F.col("digest").alias("a"), F.col("root").alias("ra"))
+    other = mixed.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb"))
+    across = one.join(other, "bucket").where("ra <> rb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    more = _verified(across.join(to_leader, ["u", "v"], "left_anti"), sets)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+    if links.isEmpty():
+        return points.select("digest", "rep", F.col("digest").alias("root"))
+    roots = materialize(_star_steps(links))
+    return points.join(roots, points["digest"] == roots["u"], "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (the smallest doc_id), with all input columns.
+    """One document of each component of near copies (the smallest doc_id), with all input columns.
 
-    Rows that share the kept id stay once for each distinct text.
+    Near copies by copy_components(), not by near_duplicates(). Rows that share the
+    kept id stay once for each distinct text.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi")
-    return kept.dropDuplicates([id_col, text_col])
+    keep = copy_components(docs, id_col, text_col).groupBy("root").agg(F.min("rep").alias("__keep"))
+    parts = lambda c: (F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias("__id"), F.col(c).isNull().alias("__none"))
+    kept = docs.select("*", *parts(id_col)).join(keep.select(*parts("__keep")).distinct(), ["__id", "__none"], "left_semi")
+    # the join's keys again, so that texts are shuffled once
+    return kept.dropDuplicates(["__id", "__none", text_col]).select(*docs.columns)

@@ -88,6 +88,31 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 4, 5]
 
 
+def test_keep_one_drops_copies_from_similarity_0_8(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    runs = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    texts = []
+    for size, edits in [(n, e) for n in (60, 150, 600) for e in (1, n // 200 + 1, n // 100 + 1, n // 60 + 1, n // 45 + 1, n // 40 + 1, n // 25 + 1)]:
+        base = [word() for _ in range(size)]
+        copy = list(base)
+        for k in rng.sample(range(size), edits):
+            copy[k] = word()
+        texts += [" ".join(base), " ".join(copy)]
+    base = [word() for _ in range(300)]  # a group whose members link in a chain only
+    for k in range(12):
+        texts.append(" ".join([*base[8 * k :], *(word() for _ in range(8 * k))]))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(runs(texts[i]) & runs(texts[j])) >= 0.8 * len(runs(texts[i]) | runs(texts[j]))]
+    assert len(near) > 15
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    df = documents(spark, texts).repartition(3)
+    got = sorted(r.doc_id for r in simhash_vp.keep_one(df).collect())
+    assert got == sorted(set(root)) and len(got) < len({r.component_id for r in simhash_vp.near_duplicates(df).collect()})
+
+
 def test_token_shards_and_lookup(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
