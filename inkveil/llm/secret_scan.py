@@ -1,7 +1,8 @@
 """Secret scanning: exact patterns plus dictionary-primed zstandard novelty.
 
 Three patterns give the base spans. Beyond them, every long unbroken string that
-follows a sensitive word is a candidate; its novelty is the number of compressed
+follows a sensitive word is a candidate, and so is the value of a KEY=VALUE string
+with such a word in its key; a candidate's novelty is the number of compressed
 bytes it adds to its surroundings, with a compressor primed by a dictionary of
 common code identifiers. Words, paths and repeated identifiers are matched in the
 surroundings or the dictionary and add few bytes; key material adds about as many
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import zstandard
@@ -87,21 +88,37 @@ class SecretScanner:
         return len(self._compress(around + candidate.encode())) - len(self._compress(around))
 
     def novel(self, data: bytes, text: str, taken: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of incompressible strings in a sensitive context, outside the taken spans."""
+        """Spans of incompressible strings in a sensitive context that no taken span covers whole."""
         if b"x" * MIN_NOVEL not in data.translate(_LONG_RUN):
             return []
         found = []
         for m in CANDIDATE.finditer(text):
-            a, b, s = m.start(), m.end(), m[0]
-            if not _SENSITIVE.search(text[max(0, a - CONTEXT) : a].lower()):
-                continue
-            # key material mixes letters of both cases or digits; plain words don't
-            if sum(bool(re.search(k, s)) for k in ("[a-z]", "[A-Z]", "[0-9]")) < 2 or any(x < b and a < y for x, _, y in taken):
-                continue
-            if self.marginal_bytes(text[max(0, a - SURROUND) : a], s, text[b : b + SURROUND]) >= self._novelty * len(s):
-                found.append((a, 3, b))
+            b = m.end()
+            for start in self._starts(text, m.start(), b):
+                s = text[start:b]
+                if len(s) < MIN_NOVEL or any(x <= start and b <= y for x, _, y in taken):
+                    break  # and so are the values within it
+                # key material mixes letters of both cases or digits; plain words don't
+                if sum(bool(re.search(k, s)) for k in ("[a-z]", "[A-Z]", "[0-9]")) < 2:
+                    continue
+                if self.marginal_bytes(text[max(0, start - SURROUND) : start], s, text[b : b + SURROUND]) >= self._novelty * len(s):
+                    found.append((start, 3, b))
+                    break
         return found
 
+    @staticmethod
+    def _starts(text: str, a: int, b: int) -> Iterator[int]:
+        """Where a candidate, or a value after a key within it, starts that has a sensitive word before."""
+        before = bool(_SENSITIVE.search(text[max(0, a - CONTEXT) : a].lower()))
+        if before:
+            yield a
+        key, first = a, True
+        while (at := text.find("=", key, b)) >= 0:
+            # the first key may also be the end of a phrase that starts before the candidate
+            if first and before or _SENSITIVE.search(text[max(0, a - CONTEXT) if first else key : at].lower()):
+                yield at + 1
+            key, first = at + 1, False
+
     def spans(self, data: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         text = data.decode()
         base = self.base(data, text)

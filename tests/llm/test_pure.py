@@ -38,6 +38,22 @@ def test_base_spans_against_plain_patterns():
         assert scanner.base(text.encode(), text) == slow_base(text)
 
 
+def test_novelty_of_values_and_of_partly_covered_keys():
+    scanner = secret_scan.SecretScanner()
+    value = "Zx81kQm0PvL7tRw2Hn9e"
+    for key in ("pwd", "https://a.example/x?signature", "AUTH_KEY", "session", "client_id", "passphrase", "v=2/session"):
+        text = f"see {key}={value} for it"
+        assert (text.index(value), 3, text.index(value) + len(value)) in scanner.spans(text.encode())[1], key
+    for text in ("see session=about/the/first/page for it", f"see colour={value} for it", "pwd=zzzzzzzzzzzzzzzzzzzzzzzz1"):
+        assert scanner.spans(text.encode()) == ([], []), text
+    # a base span within a longer key
+    key = "Qk7-Zx81kQm0PvL-04dbebab91ab85687d33eeaa-tRw2Hn9eYpD3"
+    base, spans = scanner.spans(f"bearer {key} end".encode())
+    assert [x[1] for x in base] == [2] and (7, 3, 7 + len(key)) in spans
+    # what a base span covers is not reported again
+    assert [x[1] for x in scanner.spans(f"token={value}".encode())[1]] == [0]
+
+
 def test_novelty_reports_key_material_only():
     scanner = secret_scan.SecretScanner()
     raw = random.Random(1)
