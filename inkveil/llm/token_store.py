@@ -22,17 +22,19 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm._common import Batches, fresh_path, id_and_text, partitions, rows, utf8
+from inkveil.llm._common import Batches, fresh_path, id_and_text, materialize, partitions, rows, utf8
 
 MAGIC = b"IVTS1\0\0\0"
 END_ID = 0  # appended to each document
 SHARD_IDS = 1_000_000  # ids after which a shard is closed; a longer document is a shard of its own
+KEYS_AT_ONCE = 4_000_000  # keys that meet their shards in one pass; each task then holds 8 bytes for each
 GAMMA = 1.5  # bits of a level for each key
 NULL_KEY = -(2**63)  # the key of a null doc_id
 
@@ -300,6 +302,71 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
+def fetch_tokens(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """The rows of read_shards() for the wanted keys, each found by its shard's perfect hash.
+
+    A null key finds the documents without an id; of repeated stored ids all are
+    returned, as they follow the one found; repeated keys count once, and keys that no
+    shard holds give no row. Only one row of bounds for each shard comes to the driver.
+    Keys go to the shards in passes over groups of shards, so that shards aren't
+    shuffled and what is broadcast at once doesn't grow with the table.
+    """
+    shards = spark.read.parquet(path)
+    bounds = shards.select("part", "number", "first_key", "last_key", "n_docs", "n_ids").orderBy("part", "number").collect()
+    by_key = sorted(bounds, key=lambda r: (r["last_key"], r["part"], r["number"]))
+    part, number = (np.array([r[c] for r in by_key], dtype=np.int32) for c in ("part", "number"))
+    first, last = (np.array([r[c] for r in by_key], dtype=np.int64) for c in ("first_key", "last_key"))
+
+    def route(batches: Batches) -> Batches:
+        for batch in batches:
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            # an id that is repeated over the end of a shard is in each of a run of shards
+            low, high = np.searchsorted(last, key), np.searchsorted(first, key, side="right")
+            n = np.maximum(high - low, 0)
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            yield rows({"part": (pa.int32(), part[at]), "number": (pa.int32(), number[at]), "key": (pa.int64(), np.repeat(key, n))})
+
+    def read(batches: Batches) -> Batches:
+        for batch in batches:
+            for data, begin, want in zip(batch.column("shard"), batch.column("begin").to_pylist(), batch.column("keys"), strict=True):
+                shard, want = Shard.parse(data.as_buffer()), want.values.to_numpy(zero_copy_only=False)
+                k = np.sort(shard.find(want))
+                k = k[k >= 0]
+                run = np.searchsorted(shard.keys, shard.keys[k], side="right") - k
+                k = np.repeat(k - np.concatenate([[0], np.cumsum(run)[:-1]]), run) + np.arange(run.sum()) if len(k) else k
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.where(shard.keys[k] == NULL_KEY, 0, shard.keys[k]), mask=shard.keys[k] == NULL_KEY),
+                        pa.array(shard.offsets[k].astype(np.int64) + begin),
+                        pa.array((shard.offsets[k + 1] - shard.offsets[k]).astype(np.int64)),
+                        pa.array([zlib.crc32(shard.document(x)) for x in k.tolist()], type=pa.int64()),
+                    ],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                )
+
+    wanted = keys.select(F.coalesce(F.col(key_col).cast("bigint"), F.lit(NULL_KEY)).alias("key"))
+    routed = materialize(wanted.mapInArrow(route, "part int, number int, key bigint").groupBy("part", "number").agg(F.collect_set("key").alias("keys")))
+    starts, at = [], 0
+    for r in bounds:
+        if not starts or starts[-1][0] != r["part"]:
+            starts.append((r["part"], at))
+        at += r["n_ids"]
+    begins = F.broadcast(spark.createDataFrame(starts, "part int, part_start bigint"))  # a row for each part
+    passes, load = [], KEYS_AT_ONCE
+    for r in bounds:
+        if load + r["n_docs"] > KEYS_AT_ONCE:
+            passes.append([(r["part"], r["number"])] * 2)
+            load = 0
+        passes[-1][1] = (r["part"], r["number"])
+        load += r["n_docs"]
+    found = []
+    for low, high in passes or [[(0, 0), (0, 0)]]:
+        here = ((F.col("part") > low[0]) | (F.col("part") == low[0]) & (F.col("number") >= low[1])) & ((F.col("part") < high[0]) | (F.col("part") == high[0]) & (F.col("number") <= high[1]))
+        met = shards.where(here).join(F.broadcast(routed.where(here)), ["part", "number"]).join(begins, "part")
+        found.append(met.select("shard", "keys", (F.col("part_start") + F.col("earlier")).alias("begin")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """(doc_id, ids) of the wanted keys; keys that no shard holds give no row.
 
@@ -331,7 +398,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_
 
 
 def stored_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """write_shards() to a fresh folder of the shared storage, then read_shards() from it."""
+    """write_shards() to a fresh folder of the shared storage, then fetch_tokens() of every doc_id from it."""
     path = fresh_path(docs.sparkSession, "token-shards")
     write_shards(docs, vocabulary, path)
-    return read_shards(docs.sparkSession, path)
+    return fetch_tokens(docs.sparkSession, path, docs)

@@ -133,6 +133,30 @@ def test_token_shards_and_lookup(spark, odd, none, tmp_path):
     assert token_store.stored_tokens(none, path).count() == 0
 
 
+def test_stored_tokens_come_through_the_index(spark, odd, none, tmp_path, monkeypatch):
+    path, order = queries.vocabulary("byte_bpe_50k.json"), ["start", "doc_id"]
+    monkeypatch.setattr(token_store, "SHARD_IDS", 6)  # repeated ids then lie in several shards
+    token_store.write_shards(odd, path, str(tmp_path / "s"))
+    want = token_store.read_shards(spark, str(tmp_path / "s")).orderBy(*order).collect()
+    assert len(want) == 7 and token_store.fetch_tokens(spark, str(tmp_path / "s"), odd).orderBy(*order).collect() == want
+    some = spark.createDataFrame([(1,), (1,), (None,), (77,)], "doc_id bigint")
+    assert token_store.fetch_tokens(spark, str(tmp_path / "s"), some).orderBy(*order).collect() == [r for r in want if r.doc_id in (1, None)]
+    monkeypatch.setattr(token_store, "KEYS_AT_ONCE", 2)
+    assert token_store.fetch_tokens(spark, str(tmp_path / "s"), odd).orderBy(*order).collect() == want
+    # the query doesn't walk the shards, and a broken index shows in its rows
+    monkeypatch.setattr(token_store, "read_shards", None)
+    assert token_store.stored_tokens(odd, path).orderBy(*order).collect() == want and token_store.stored_tokens(none, path).count() == 0
+    rows = []
+    for r in spark.read.parquet(str(tmp_path / "s")).collect():
+        n, distinct = np.frombuffer(r.shard, "<u8", 2, 8).tolist()
+        at = 40 + 8 * n + 8 * (n + 1) + 4 * distinct
+        broken = bytearray(r.shard)
+        broken[at : at + 4 * distinct] = bytes(x ^ 255 for x in broken[at : at + 4 * distinct])
+        rows.append((*r[:-1], broken))
+    spark.createDataFrame(rows, spark.read.parquet(str(tmp_path / "s")).schema).write.parquet(str(tmp_path / "b"))
+    assert token_store.fetch_tokens(spark, str(tmp_path / "b"), odd).count() == 0
+
+
 def test_pieces_and_counts_of_odd_rows(spark, odd, none):
     model = queries.vocabulary("piece_bpe_32k.model")
     got = piece_codec.encode_pieces(odd, model)
