@@ -5,19 +5,23 @@ mark), which no piece crosses. The distinct words of a batch are sorted, which v
 their trie depth-first: a word keeps the forward state of the prefix it shares with the
 word before it, and only the rest is computed.
 
-The forward state at a position is the best segmentation of the prefix that ends there.
-For unigram models that is the highest sum of piece scores. For BPE models it is the one
-that the merges give: the last piece of a prefix is the one that is compatible with
-the last piece of what is before it (two pieces are compatible if merging their joint
-characters gives just these two), so the state is again a backward pointer for each
-position and the ids equal the library's. Characters without a piece become byte pieces.
+The forward state at a position is the best segmentation of the prefix that ends there;
+an automaton over the pieces gives those that end at each position, and its state is
+part of what words share. For unigram models the best is the highest sum of piece scores.
+A BPE model has merge ranks instead of scores that add up, so there is no forward score:
+the best segmentation is the one that the merges give. Its last piece is the longest one that is
+compatible with the last piece of what is before it (two pieces are compatible if
+merging their joint characters gives just these two), so the state is again a backward
+pointer for each position and the ids equal the library's. Characters without a piece
+become byte pieces.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from inkveil.llm._common import Batches, id_and_text, utf8
 
 MARK = "▁"
 CACHE_WORDS = 200_000  # words of a generation; a worker remembers the ids of two
+MARKS = ".,;:!?%)"  # what may be split off a word's end
+LONG_WORD = 64  # characters over which a word isn't remembered
 CACHE_PAIRS = 200_000  # pairs of pieces of a generation whose compatibility is remembered
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -37,6 +43,10 @@ class Codec:
     """kind: "bpe" or "unigram", as the model was trained; the model must not change characters
     (identity normalisation) and must put a mark before the text."""
 
+    _nodes = _names = None  # built at first use
+    _fits: dict[int, bool] = {}
+    _older_fits: dict[int, bool] = {}
+
     def __init__(self, path: str, kind: str = "bpe"):
         import sentencepiece
 
@@ -47,7 +57,6 @@ class Codec:
         self.piece = {model.id_to_piece(i): i for i in plain}
         self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.longest = max(map(len, self.piece))
         self.bytes_of = [b""] * size
         for p, i in self.piece.items():
             self.bytes_of[i] = p.replace(MARK, " ").encode()
@@ -59,6 +68,7 @@ class Codec:
         breaks = any("\n" in p for p in self.piece)
         if inside:
             raise ValueError("a piece of this model crosses words")
+        self.marks = "".join(m for m in MARKS if not any(y == m and x.isalpha() for p in self.piece for x, y in zip(p, p[1:], strict=False)))
         self.words = re.compile(" *[^ ]+| +" if breaks else " *[^ \n]+| +|\n").findall
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -79,69 +89,132 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _compatible(self, left: str, right: str) -> bool:
-        key = self.piece[left] << 32 | self.piece[right]  # a number holds no text alive
-        fits = self._fits.get(key)
+    def _fit(self, key: int) -> bool:
+        """Whether the merges of two pieces' joint characters give just these two; key holds both ids."""
+        fits = self._older_fits.get(key)
         if fits is None:
-            fits = self._older_fits.get(key)
-            if fits is None:
-                fits = self.merged(left + right) == [left, right]
-            if len(self._fits) > CACHE_PAIRS:
-                self._older_fits, self._fits = self._fits, {}
-            self._fits[key] = fits
+            left, right = self._piece_of(key >> 32), self._piece_of(key & 0xFFFFFFFF)
+            fits = self.merged(left + right) == [left, right]
+        if len(self._fits) > CACHE_PAIRS:
+            self._older_fits = dict(self._fits)
+            self._fits.clear()
+        self._fits[key] = fits
         return fits
 
-    def segment(self, words: Iterable[str]) -> dict[str, list[str]]:
-        """Pieces (or single unknown characters) of each distinct word."""
-        out, before = {}, ""
-        last: list[str] = [""]  # last[j]: the last piece of the best segmentation of word[:j]
-        total: list[float] = [0.0]
-        piece, score, longest, bpe = self.piece, self.score, self.longest, self.kind == "bpe"
-        lowest = min(score.values()) - 10  # of a character without a piece, in unigram models
+    def _piece_of(self, i: int) -> str:
+        if self._names is None:
+            self._names = {i: p for p, i in self.piece.items()}
+        return self._names[i]
+
+    def _automaton(self) -> tuple[list[dict[str, int]], list[int], list[tuple[tuple[int, int], ...]]]:
+        """Trie of the pieces with suffix links: children, links, and what ends at each node as (length, id), longest first."""
+        if self._nodes is None:
+            child, own = [{}], {}
+            for p, i in self.piece.items():
+                at = 0
+                for c in p:
+                    if c not in child[at]:
+                        child[at][c] = len(child)
+                        child.append({})
+                    at = child[at][c]
+                own[at] = (len(p), i)
+            link, ending = [0] * len(child), [()] * len(child)
+            layer = [0]
+            while layer:
+                below = []
+                for v in layer:
+                    for c, u in child[v].items():
+                        z = link[v]
+                        while z and c not in child[z]:
+                            z = link[z]
+                        link[u] = child[z][c] if v and c in child[z] else 0
+                        ending[u] = ((own[u],) if u in own else ()) + ending[link[u]]
+                        below.append(u)
+                layer = below
+            self._nodes = child, link, ending
+        return self._nodes
+
+    def _forward(self, words: Iterable[str]) -> Iterator[tuple[str, list[int], bool]]:
+        """(word, piece ids, whether all are pieces) in the order of the words' trie; a character without a piece is -1."""
+        child, link, ending = self._automaton()
+        fits, fit, bpe = self._fits.get, self._fit, self.kind == "bpe"
+        score = None if bpe else {i: self.score[p] for p, i in self.piece.items()}
+        lowest = None if bpe else min(score.values()) - 10  # of a character without a piece
+        before = ""
+        node, last, size, total = [0], [-1], [0], [0.0]  # of each prefix: automaton node, last piece, its length, score
         for word in sorted(set(words)):
             shared = 0
             for a, b in zip(before, word):  # noqa: B905
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
-            for j in range(shared + 1, len(word) + 1):
-                found, best = word[j - 1], None
+            del node[shared + 1 :], last[shared + 1 :], size[shared + 1 :], total[shared + 1 :]
+            whole, at = True, node[shared]
+            for j in range(shared, len(word)):
+                c = word[j]
+                while (to := child[at].get(c)) is None and at:
+                    at = link[at]
+                at = to or 0
+                found, long, best = -1, 1, None
                 if bpe:
-                    for i in range(max(0, j - longest), j):
-                        p = word[i:j]
-                        if p in piece and (not i or last[i] not in piece or self._compatible(last[i], p)):
-                            found = p
+                    for n, p in ending[at]:
+                        i = j + 1 - n
+                        left = last[i]
+                        if left < 0:
+                            found, long = p, n
+                            break
+                        key = left << 32 | p  # a number holds no text alive
+                        ok = fits(key)
+                        if fit(key) if ok is None else ok:
+                            found, long = p, n
                             break
                 else:
-                    for i in range(max(0, j - longest), j):
-                        p = word[i:j]
-                        s = score.get(p)
-                        if s is None and i == j - 1:
-                            s = lowest
-                        if s is not None and (best is None or total[i] + s > best):
-                            found, best = p, total[i] + s
+                    for n, p in ending[at]:
+                        s = total[j + 1 - n] + score[p]
+                        if best is None or s > best:
+                            found, long, best = p, n, s
+                    if long > 1 or found < 0:  # the character alone, if it is no piece, is an unknown one
+                        if not any(n == 1 for n, _ in ending[at]) and (best is None or total[j] + lowest > best):
+                            found, long, best = -1, 1, total[j] + lowest
+                    total.append(best)
+                node.append(at)
                 last.append(found)
-                total.append(best or 0.0)
-            pieces, j = [], len(word)
+                size.append(long)
+            ids, j = [], len(word)
             while j:
-                pieces.append(last[j])
-                j -= len(last[j])
-            out[word] = pieces[::-1]
+                ids.append(last[j])
+                whole &= last[j] >= 0
+                j -= size[j]
+            ids.reverse()
+            yield word, ids, whole
             before = word
+
+    def segment(self, words: Iterable[str]) -> dict[str, list[str]]:
+        """Pieces (or single unknown characters) of each distinct word."""
+        out = {}
+        for word, ids, _ in self._forward(words):
+            parts, at = [], 0
+            for i in ids:
+                parts.append(word[at] if i < 0 else self._piece_of(i))
+                at += len(parts[-1])
+            out[word] = parts
         return out
 
-    def _ids(self, pieces: list[str]) -> bytes:
+    def _with_bytes(self, word: str, pieces: list[int]) -> list[int]:
+        """The ids with byte pieces (or the unknown piece) for characters that have none."""
         ids: list[int] = []
-        for p in pieces:
-            i = self.piece.get(p)
-            if i is not None:
+        at = 0
+        for i in pieces:
+            if i >= 0:
                 ids.append(i)
-            elif self.byte:
-                ids += [self.byte[b] for b in p.encode()]
+                at += len(self._piece_of(i))
+                continue
+            if self.byte:
+                ids += [self.byte[b] for b in word[at].encode()]
             elif not ids or ids[-1] != self.unknown:  # a run of unknown characters is one unknown piece
                 ids.append(self.unknown)
-        return np.array(ids, dtype="<i4").tobytes()
+            at += 1
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -149,13 +222,35 @@ class Codec:
         if len(self._known) > CACHE_WORDS:
             self._older, self._known = self._known, {}
         known, old = self._known, self._older
-        missing = {w for c in cut for w in c if w not in known}
-        known.update((w, old[w]) for w in missing if w in old)
-        missing.difference_update(old)
-        marked = {w.replace(" ", MARK): w for w in missing}
-        for m, pieces in self.segment(marked).items():
-            known[marked[m]] = self._ids(pieces)
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        new = {w for c in cut for w in c if w not in known}
+        ends, whole = [], {}
+        for w in new:
+            ids = old.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
+            stem = w.rstrip(self.marks)
+            if len(stem) == len(w) or not stem[-1:].isalpha():
+                whole[w.replace(" ", MARK)] = w
+                continue
+            # no piece holds a letter and a mark after it, so the word's pieces end with the letter
+            ends.append((w, stem, w[len(stem) :]))
+            for x in (stem, w[len(stem) :]):
+                if x not in known:
+                    if x in old:
+                        known[x] = old[x]
+                    else:
+                        whole[x.replace(" ", MARK)] = x
+        for m, ids, plain in self._forward(whole):
+            known[whole[m]] = array("i", ids if plain else self._with_bytes(m, ids)).tobytes()
+        for w, stem, mark in ends:
+            known[w] = known[stem] + known[mark]
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for w in new:
+            if len(w) > LONG_WORD:  # so that the memory of words is bounded in bytes
+                for x in (w, w.rstrip(self.marks)):
+                    known.pop(x, None)
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the mark before the text is taken away, bytes that are no UTF-8 become U+FFFD."""

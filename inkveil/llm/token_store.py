@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,7 +39,10 @@ KEYS_AT_ONCE = 4_000_000  # keys that meet their shards in one pass; each task t
 GAMMA = 1.5  # bits of a level for each key
 NULL_KEY = -(2**63)  # the key of a null doc_id
 
-CACHE_WORDS = 400_000  # words of a generation; a worker remembers the ids of two
+CACHE_WORDS = 300_000  # words of a generation; a worker remembers the ids of two
+LONG_WORD = 64  # characters over which a word isn't remembered
+LETTERS_BELOW = 0x250  # letters under this code point are letters to every version of Unicode that has them
+LAST_LETTER = chr(LETTERS_BELOW)
 MARKS = ".,;:!?%$&#*|"  # what may be split off a word's end
 
 _ENCODERS: dict[str, WordwiseEncoder] = {}
@@ -50,16 +54,21 @@ class WordwiseEncoder:
     The byte-level pre-tokenizer always cuts before a space or line break that stands
     between two other characters, so the ids of a text are those of its words in turn.
     Texts with any other white space, or with the string of a special token, are
-    encoded whole.
+    encoded whole. A word of letters alone is one pre-token with the space before it,
+    so the library's model gets it directly; other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         # a task has one core; the library's own threads would only add memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        # the character that stands for each byte in the vocabulary, from the library
+        signs = [ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0] for c in range(LETTERS_BELOW)]
+        self._sign = {c: x for c, x in enumerate(signs)}
         self._marks: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._after_space: dict[str, bytes] = {}  # word -> ids after a space; with a leading line break: as it stands
@@ -67,52 +76,82 @@ class WordwiseEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
-    def _learn(self, new: list[str]) -> None:
+    def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words after a space, or as they stand if they begin with a line break."""
+        split = self._tokenizer.model.tokenize
+        rest = []
+        for w in words:
+            if w.isalpha() and max(w) < LAST_LETTER:
+                ids = [t.id for t in split((" " + w).translate(self._sign))]
+                yield w, struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(w)
+        for k in range(0, len(rest), 2000):
+            some = rest[k : k + 2000]
+            yield from zip(some, self._encode([w if w[:1] == "\n" else " " + w for w in some]), strict=True)
+
+    def _learn(self, new: Iterable[str]) -> None:
         """Remember the ids of new words; marks at a word's end are pre-tokens of their own, and so are looked up apart."""
         known, old, marks = self._after_space, self._older, self._marks
+        ends, whole, unmarked = [], set(), set()
         for w in new:
-            if w in old:
-                known[w] = old[w]
-        new = [w for w in new if w not in known]
-        ends = {}
-        for w in new:
+            ids = old.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
             stem = w.rstrip(MARKS)
-            if len(stem) < len(w) and stem and stem[-1].isalnum():
-                ends[w] = stem
-        whole = {ends.get(w, w) for w in new}.difference(known)
-        known.update((w, old[w]) for w in whole if w in old)
-        whole = list(whole.difference(old))
-        for k in range(0, len(whole), 2000):
-            some = whole[k : k + 2000]
-            known.update(zip(some, self._encode([w if w[0] == "\n" else " " + w for w in some]), strict=True))
-        missing = list({w[len(stem) :] for w, stem in ends.items()}.difference(marks))
+            if len(stem) == len(w) or not stem or not stem[-1].isalnum():
+                whole.add(w)
+                continue
+            mark = w[len(stem) :]
+            ends.append((w, stem, mark))
+            if mark not in marks:
+                unmarked.add(mark)
+            if stem not in known:
+                ids = old.get(stem)
+                if ids is None:
+                    whole.add(stem)
+                else:
+                    known[stem] = ids
+        known.update(self._encode_words(list(whole)))
+        missing = list(unmarked)
         marks.update(zip(missing, self._encode(missing), strict=True))
-        for w, stem in ends.items():
-            known[w] = known[stem] + marks[w[len(stem) :]]
+        for w, stem, mark in ends:
+            known[w] = known[stem] + marks[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = [b""] * len(texts)
-        cut, whole, missing = {}, [], set()
+        if len(self._after_space) > CACHE_WORDS:  # words in use move on to the new generation, the rest is forgotten with the next one
+            self._older, self._after_space = self._after_space, {}
+            self._marks.clear()
+        known = self._after_space
+        cut, whole, new = {}, [], set()
         for k, text in enumerate(texts):
             if not text:
                 continue
             if " ".join(text.split()) != text.replace("\n", " ") or any(x in text for x in self._special):
                 whole.append(k)
                 continue
-            cut[k] = text.replace("\n", " \n").split(" ")
-            missing.update(cut[k])
-        known = self._after_space
-        if len(known) > CACHE_WORDS:  # words in use move on to the new generation, the rest is forgotten with the next one
-            self._older, self._after_space = known, {}
-            known = self._after_space
-            self._marks.clear()
-        self._learn(list(missing.difference(known)))
-        first = self._encode([c[0] for c in cut.values()])
-        for (k, c), head in zip(cut.items(), first, strict=True):
-            out[k] = head + b"".join(map(known.__getitem__, c[1:]))
+            words = text.replace("\n", " \n").split(" ")
+            ids = list(map(known.get, words))
+            cut[k] = words, ids
+            if None in ids:
+                new.update(w for w, i in zip(words, ids, strict=True) if i is None)
+        self._learn(new)
+        first = self._encode([words[0] for words, _ in cut.values()])
+        for (k, (words, ids)), head in zip(cut.items(), first, strict=True):
+            ids[0] = head
+            if None in ids:
+                ids = [known[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            out[k] = b"".join(ids)
         for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
             out[k] = ids
+        for w in new:
+            if len(w) > LONG_WORD:  # so that the memory of words is bounded in bytes
+                for x in (w, w.rstrip(MARKS)):
+                    known.pop(x, None)
+                self._marks.clear()
         return out
 
 
