@@ -5,7 +5,8 @@ number of marks is its level. Runs of lines of one level are passages. The passa
 messages, quoted and own, are normalised and hashed; a quoted passage is linked to the
 earliest earlier message of the conversation whose own passage has the same hash. A
 message answers the message that its first linked passage of the lowest level comes from,
-or else the message before it; its text keeps only what it says itself.
+or else the message before it; its text keeps only what it says itself. Messages are placed
+so that each follows the one it answers, and conversations are built from them in that order.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024  # turns whose order is found in one window; conversations of any length are many windows
+from inkveil.llm._common import materialize, partitions, stored
+
+PART = 256  # messages of one row of a built conversation
 
 #: Marks of a quoting line: any number of ">", with a space or tab after each.
 QUOTE = r"^[ \t]{0,3}((>[ \t]?)+)"
@@ -59,60 +62,72 @@ def parse_messages(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
 
 
 def passages(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, level, place, hash of every passage: each line, and each whole run of lines of one level.
+    """conv_id, turn, level, place, h1, h2 of every passage: each line, and each whole run of lines of one level.
 
-    A quotation may hold a whole message or some of its lines, so both are hashed; blank
-    lines neither make nor break a passage.
+    A quotation may hold a whole message or some of its lines, so both are hashed (h1 and
+    h2 are 128 bits of hash); blank lines neither make nor break a passage.
     """
-    zero = F.expr("CAST(array() AS ARRAY<STRUCT<level: INT, body: STRING>>)")
 
-    def grow(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["level"].alias("level"), F.concat_ws(" ", last["body"], x["body"]).alias("body"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"]), longer).otherwise(F.concat(acc, F.array(x)))
+    def both(whole: Column) -> Column:
+        level = lambda i: F.get(whole, i)["level"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(whole) - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+
+        def runs(at: Column) -> Column:
+            body = lambda s, k: F.transform(F.slice(whole, s + 1, F.coalesce(F.get(at, k + 1), F.size(whole)) - s), lambda x: x["body"])
+            return F.transform(at, lambda s, k: F.struct(level(s).alias("level"), F.array_join(body(s, k), " ").alias("body")))
+
+        # one-element arrays bind what is used more than once
+        return F.when(F.size(whole) > 0, F.array_distinct(F.concat(whole, F.transform(F.array(starts), runs)[0])))
 
     whole = F.filter("lines", lambda x: normalised(x["body"]) != "")
-    # only messages that quote need their runs of lines; in the others all lines are one run
-    runs = F.when(F.col("max_level") > 0, F.aggregate(whole, zero, grow)).when(F.size(whole) > 0, F.array(F.struct(F.lit(0).alias("level"), F.array_join(F.transform(whole, lambda x: x["body"]), " ").alias("body")))).otherwise(zero)
-    both = F.array_distinct(F.concat(whole, runs))
-    return parsed.select("conv_id", "turn", F.posexplode(both).alias("place", "passage")).select("conv_id", "turn", "place", F.col("passage.level").alias("level"), F.sha2(normalised(F.col("passage.body")), 256).alias("hash"))
+    every = parsed.select("conv_id", "turn", F.posexplode(F.transform(F.array(whole), both)[0]).alias("place", "passage"))
+    every = every.select("conv_id", "turn", "place", F.col("passage.level").alias("level"), normalised(F.col("passage.body")).alias("body"))
+    return every.select("conv_id", "turn", "place", "level", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"))
 
 
-def previous_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, previous): the next smaller turn of the conversation, null for its first.
+def place_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, place, previous) for each different turn: its number from 0 within the conversation, and the next smaller turn.
 
-    Turns are dealt in blocks, so that a conversation of any length is ordered by many tasks.
+    Turns are dealt by ranges of (conv_id, turn), so that a conversation of any length,
+    and with any gaps between its turns, is ordered by many tasks; only a row for each
+    range of a conversation meets in one place.
     """
-    blocked = turns.select("conv_id", "turn").where("turn IS NOT NULL").distinct().withColumn("block", F.expr(f"turn div {BLOCK}"))
-    within = blocked.withColumn("within", F.lag("turn").over(Window.partitionBy("conv_id", "block").orderBy("turn")))
-    last = blocked.groupBy("conv_id", "block").agg(F.max("turn").alias("last"))
-    before = last.withColumn("before", F.lag("last").over(Window.partitionBy("conv_id").orderBy("block"))).select("conv_id", "block", "before")
-    same = within["conv_id"].eqNullSafe(before["conv_id"]) & (within["block"] == before["block"])
-    return within.join(before, same).select(within["conv_id"], "turn", F.coalesce("within", "before").alias("previous"))
+    spark = turns.sparkSession
+    dealt = turns.select("conv_id", "turn").where("turn IS NOT NULL").distinct().repartitionByRange(partitions(spark), "conv_id", "turn")
+    dealt = materialize(dealt.withColumn("range", F.spark_partition_id()))
+    own = Window.partitionBy("conv_id", "range").orderBy("turn")
+    within = dealt.withColumns({"number": F.row_number().over(own), "within": F.lag("turn").over(own)})
+    ranges = dealt.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
+    order = Window.partitionBy("conv_id").orderBy("range")  # at most a row for each shuffle partition
+    before = ranges.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), (F.sum("n").over(order) - F.col("n")).alias("earlier"), F.lag("last").over(order).alias("before"))
+    met = within.join(before, within["conv_id"].eqNullSafe(before["c"]) & (within["range"] == before["r"]))
+    return met.select("conv_id", "turn", (F.col("earlier") + F.col("number") - 1).cast("bigint").alias("place"), F.coalesce("within", "before").alias("previous"))
 
 
 def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per input row: conv_id, turn, role, content, reply_to, n_quoted_lines, n_linked, chat.
+    """One row per input row: conv_id, turn, role, content, reply_to, place, n_quoted_lines, n_linked, chat.
 
-    reply_to is the turn that the message answers (null for a conversation's first);
-    ordered by turn, every message follows the one it answers. n_linked counts the distinct
-    earlier messages that are quoted. chat is the message in chat markup.
+    reply_to is the turn that the message answers (null for a conversation's first); place
+    numbers the conversation's turns from 0, and every message comes after the one it
+    answers. n_linked counts the distinct earlier messages that are quoted. chat is the
+    message in chat markup.
 
     Null texts are empty; a null role is written as "unknown"; a null conversation is one
-    conversation; a null turn is kept, last, with no reply_to; repeated rows give a row
-    each, and of messages with the same turn and passage the turn counts once. An empty
-    table gives an empty table. Other input columns are not read.
+    conversation; a null turn is kept without a place or reply_to; repeated rows give a
+    row each, and of messages with the same turn and passage the turn counts once. Very
+    long texts are read whole. An empty table gives an empty table. Other input columns
+    are not read.
     """
-    parsed = parse_messages(messages, conv_col, turn_col, role_col, text_col)
-    found = passages(parsed).where("turn IS NOT NULL")
-    # a hash has one row for each conversation: its earliest own use; so a common passage joins once for each quotation
-    origin = found.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    quoted = found.where("level > 0").groupBy("conv_id", "hash", "turn").agg(F.min(F.struct("level", "place")).alias("at"))
-    q, o = quoted.alias("q"), origin.alias("o")
-    linked = q.join(o, F.col("q.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("q.hash") == F.col("o.hash"))).where("o.origin < q.turn")
+    parsed = stored(parse_messages(messages, conv_col, turn_col, role_col, text_col), "messages")
+    uses = passages(parsed).where("turn IS NOT NULL").groupBy("conv_id", "h1", "h2", "turn").agg(F.max(F.col("level") == 0).alias("own"), F.min(F.when(F.col("level") > 0, F.struct("level", "place"))).alias("at"))
+    uses = materialize(uses)
+    # a passage has one row for each conversation: its earliest own use; so a common passage joins once for each quotation
+    origin = uses.where("own").groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("origin"))
+    q, o = uses.where("at IS NOT NULL").alias("q"), origin.alias("o")
+    linked = q.join(o, F.col("q.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("q.h1") == F.col("o.h1")) & (F.col("q.h2") == F.col("o.h2"))).where("o.origin < q.turn")
     links = linked.groupBy(F.col("q.conv_id").alias("conv"), F.col("q.turn").alias("at_turn")).agg(F.min_by("o.origin", F.struct("q.at", "o.origin")).alias("origin"), F.countDistinct("o.origin").alias("n_linked"))
-    order = previous_turns(parsed).join(links, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("turn") == F.col("at_turn")), "left")
-    order = order.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.coalesce("origin", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"))
+    order = place_turns(parsed).join(links, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("turn") == F.col("at_turn")), "left")
+    order = order.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "place", F.coalesce("origin", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"))
     said = parsed.select("conv_id", "turn", "role", "own", "n_quoted_lines")
     done = said.join(order, said["conv_id"].eqNullSafe(order["c"]) & (said["turn"] == order["t"]), "left")
     return done.select(
@@ -121,20 +136,43 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
         "role",
         F.col("own").alias("content"),
         "reply_to",
+        "place",
         F.col("n_quoted_lines").cast("bigint").alias("n_quoted_lines"),
         F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "own", F.lit("\n<|end|>")).alias("chat"),
     )
 
 
-#: The same result in DuckDB SQL over the table `conversations`.
-ORACLE_SQL = r"""
-WITH line AS (
+def build_conversations(linked: DataFrame) -> DataFrame:
+    """conv_id, part, n_messages, n_linked, chat: whole conversations without quotations, in reply order.
+
+    A row holds PART places, so that a conversation of any length is many rows; read by
+    part they are the whole. Messages of one turn follow each other by their markup;
+    messages without a turn have no place and are left out.
+    """
+    placed = linked.where("place IS NOT NULL").withColumn("part", F.expr(f"place div {PART}"))
+    message = F.struct("place", "chat")
+    return placed.groupBy("conv_id", "part").agg(F.count("*").alias("n_messages"), F.sum("n_linked").alias("n_linked"), F.array_join(F.transform(F.array_sort(F.collect_list(message)), lambda m: m["chat"]), "\n").alias("chat"))
+
+
+#: Conversations with quotations, from those given: a third of the messages quote the one before after an
+#: announcement, a third quote the two before in nested levels. Runs on Spark and DuckDB.
+QUOTED = """
+SELECT conv_id, turn, role,
+       CASE WHEN before IS NULL OR turn % 3 = 0 THEN text
+            WHEN turn % 3 = 1 OR earlier IS NULL THEN concat('On Monday Ann wrote:', chr(10), '> ', replace(before, chr(10), concat(chr(10), '> ')), chr(10), text)
+            ELSE concat('> > ', replace(earlier, chr(10), concat(chr(10), '> > ')), chr(10), '> ', replace(before, chr(10), concat(chr(10), '> ')), chr(10), chr(10), text) END AS text
+FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS before, lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn, text) AS earlier FROM {conversations}) c
+"""
+
+
+_SQL = r"""
+line AS (
   SELECT rid, conv_id, turn, role, pos,
          length(regexp_replace(regexp_extract(x, '^[ \t]{0,3}((>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level,
          regexp_replace(x, '^[ \t]{0,3}((>[ \t]?)+)', '') AS body
   FROM (SELECT rid, conv_id, turn, role, unnest(l) AS x, unnest(range(len(l))) AS pos
-        FROM (SELECT row_number() OVER () AS rid, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS l FROM conversations))
+        FROM (SELECT row_number() OVER () AS rid, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS l FROM {table}))
 ), marked AS (
   SELECT *, max(level) OVER (PARTITION BY rid) AS most,
          trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS norm FROM line
@@ -160,12 +198,19 @@ WITH line AS (
   SELECT q.conv_id, q.turn, arg_min(o.origin, {'at': q.at, 'origin': o.origin}) AS origin, count(DISTINCT o.origin) AS n_linked
   FROM quoted q JOIN origin o ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND q.hash = o.hash AND o.origin < q.turn GROUP BY ALL
 ), placed AS (
-  SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous
-  FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn IS NOT NULL)
-)
-SELECT m.conv_id, m.turn, m.role, m.content, coalesce(l.origin, p.previous) AS reply_to, m.n_quoted_lines,
+  SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place
+  FROM (SELECT DISTINCT conv_id, turn FROM {table} WHERE turn IS NOT NULL)
+), linked AS (
+SELECT m.conv_id, m.turn, m.role, m.content, coalesce(l.origin, p.previous) AS reply_to, p.place, m.n_quoted_lines,
        coalesce(l.n_linked, 0) AS n_linked, '<|' || coalesce(m.role, 'unknown') || '|>' || chr(10) || m.content || chr(10) || '<|end|>' AS chat
 FROM message m
 LEFT JOIN placed p ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.turn = p.turn
 LEFT JOIN link l ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.turn = l.turn
+)
 """
+
+#: The same results in DuckDB SQL over the table `conversations`.
+ORACLE_SQL = f"WITH {_SQL.replace('{table}', 'conversations')} SELECT * FROM linked"
+_OF_QUOTED = f"WITH quoting AS ({QUOTED.format(conversations='conversations')}), {_SQL.replace('{table}', 'quoting')}"
+QUOTED_SQL = f"{_OF_QUOTED} SELECT * FROM linked"
+BUILT_SQL = f"{_OF_QUOTED} SELECT conv_id, place // {PART} AS part, count(*) AS n_messages, CAST(sum(n_linked) AS BIGINT) AS n_linked, string_agg(chat, chr(10) ORDER BY place, chat) AS chat FROM linked WHERE place IS NOT NULL GROUP BY ALL"

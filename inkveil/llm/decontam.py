@@ -11,22 +11,25 @@ their word ranges are merged into removal spans.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm._common import Batches, id_and_text, rows, utf8
+from inkveil.llm._common import Batches, id_and_text, rows, stored, utf8
 
 WINDOW = 10  # words of a test phrase
 SHARD_WORDS = 1_500_000  # words of a shard; one longer document is a shard of its own
 SAMPLE = 8  # every so many suffix positions are stored
 BLOCK_BYTES = 4_000_000  # benchmark text of one block; each block is searched on its own
-MAX_BLOCKS = 16  # blocks that may be sent to the tasks of one pass; a larger query set is refused, never cut
+BLOCKS_AT_ONCE = 4  # blocks that are sent to the tasks of one pass over the documents
+
+_SPANS = pa.list_(pa.list_(pa.int64()))
 
 #: Fixed by the definition of a word: ASCII letters (lower-cased) and digits and all non-ASCII characters.
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -51,7 +54,7 @@ class Phrases:
             self.items.append(item_id)
         self.length = np.array([len(p) for p in number], dtype=np.int64)
         self.shortest = int(self.length.min()) if number else 0
-        self.words = np.zeros((len(number), window), dtype=np.int64)  # right-aligned
+        self.words = np.zeros((len(number), window), dtype=np.int32)  # right-aligned
         for p, k in number.items():
             self.words[k, window - len(p) :] = p
         order = np.array(sorted(set(pairs)), dtype=np.int64).reshape(-1, 2)  # by phrase
@@ -185,11 +188,13 @@ class FMIndex:
         return position
 
 
-def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.ndarray, set[int]]]:
-    """For each document (as words): merged hit spans as an (n, 2) array of word ranges, and item numbers."""
-    empty = [(np.zeros((0, 2), dtype=np.int64), set()) for _ in texts]
+Located = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def locate_shard(texts: list[list[bytes]], phrases: Phrases) -> Located | None:
+    """Document number, first word, word after the last, and phrase number of every occurrence, by document and first word."""
     if not phrases.shortest:
-        return empty
+        return None
     get, sizes = phrases.vocab.get, np.array([len(t) for t in texts], dtype=np.int64)
     start = np.concatenate([[0], np.cumsum(sizes + 1)])  # a separator follows each document
     ids = np.zeros(int(start[-1]) + 1, dtype=np.int64)
@@ -200,7 +205,7 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.nd
     runs = edge.reshape(-1, 2)
     runs = runs[runs[:, 1] - runs[:, 0] >= phrases.shortest]
     if not len(runs):
-        return empty
+        return None
     length = runs[:, 1] - runs[:, 0] + 1
     seg_start = np.concatenate([[0], np.cumsum(length)])
     at = np.arange(int(seg_start[-1])) - np.repeat(seg_start[:-1] - runs[:, 0], length)
@@ -211,7 +216,7 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.nd
     count = hi - lo
     found = np.flatnonzero(count)
     if not len(found):
-        return empty
+        return None
     count = count[found]
     phrase = np.repeat(found, count)
     row = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[found], count)
@@ -219,11 +224,22 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.nd
     end = begin + phrases.length[phrase]
     doc = np.searchsorted(start, begin, side="right") - 1
     by = np.lexsort((begin, doc))
-    begin, end, doc, phrase = begin[by], end[by], doc[by], phrase[by]
-    out = empty
-    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return doc[by], begin[by] - start[doc[by]], end[by] - start[doc[by]], phrase[by]
+
+
+def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.ndarray, set[int]]]:
+    """For each document (as words): merged hit spans as an (n, 2) array of word ranges, and item numbers."""
+    return _merged(len(texts), locate_shard(texts, phrases), phrases)
+
+
+def _merged(n: int, located: Located | None, phrases: Phrases) -> list[tuple[np.ndarray, set[int]]]:
+    out = [(np.zeros((0, 2), dtype=np.int64), set()) for _ in range(n)]
+    if located is None:
+        return out
+    doc, begin, end, phrase = located
+    cut = np.searchsorted(doc, np.arange(n + 1))
     for k in np.unique(doc):
-        a, b, p = begin[cut[k] : cut[k + 1]] - start[k], end[cut[k] : cut[k + 1]] - start[k], np.unique(phrase[cut[k] : cut[k + 1]])
+        a, b, p = begin[cut[k] : cut[k + 1]], end[cut[k] : cut[k + 1]], np.unique(phrase[cut[k] : cut[k + 1]])
         far = np.maximum.accumulate(b)
         new = np.flatnonzero(np.concatenate([[True], a[1:] > far[:-1]]))
         spans = np.stack([a[new], far[np.append(new[1:], len(a)) - 1]], axis=1)
@@ -232,16 +248,58 @@ def search_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[np.nd
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in blocks of bounded size. The list of items is the query set; its
-    total size is summed first, and one block at a time comes to the driver."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = int(size) // BLOCK_BYTES + 1
-    if count > MAX_BLOCKS:
-        raise ValueError(f"the benchmark has {size} bytes; call once for each part of up to {BLOCK_BYTES * MAX_BLOCKS}")
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(count))
-    return [[(r["item"], r["text"].encode()) for r in items.filter(part == k).toLocalIterator()] for k in range(count)]
+class _Passes:
+    """The benchmark in passes of at most BLOCKS_AT_ONCE blocks of BLOCK_BYTES each.
+
+    Its items are the query set: their total size is summed first, and the driver holds
+    the items of one pass at a time, whatever the size of the benchmark.
+    """
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int):
+        self._context, self._window = docs.sparkSession.sparkContext, window
+        self._items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+        size = self._items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self._blocks = int(size) // BLOCK_BYTES + 1
+        self.count = -(-self._blocks // BLOCKS_AT_ONCE)
+
+    def send(self, k: int) -> list[Broadcast]:
+        """One broadcast for each block of a pass."""
+        numbers = range(k * BLOCKS_AT_ONCE, min(self._blocks, (k + 1) * BLOCKS_AT_ONCE))
+        block = F.pmod(F.xxhash64("item", "text"), F.lit(self._blocks)).cast("int")
+        items: dict[int, list[tuple[str, bytes]]] = {n: [] for n in numbers}
+        for r in self._items.select("item", "text", block.alias("block")).where(F.col("block").between(numbers[0], numbers[-1])).toLocalIterator():
+            items[r["block"]].append((r["item"], r["text"].encode()))
+        return [self._context.broadcast(Phrases(b, self._window)) for b in items.values()]
+
+
+def _hits_of_texts(texts: DataFrame, passes: _Passes, window: int) -> DataFrame:
+    """key, spans, items, whole of each different text with a hit, over all passes; texts: text.
+
+    What a text holds depends on nothing but the text, so passes meet by its digest.
+    """
+    found = []
+    for k in range(passes.count):
+        blocks = passes.send(k)
+
+        def search(batches: Batches, blocks: list[Broadcast] = blocks) -> Batches:
+            for some, split in _shards(batches, "text"):
+                hits = _search_all(split, [b.value for b in blocks], window)
+                keys = [k for batch in some for k in batch.column("key").to_pylist()]
+                kept = [(key, *h) for key, h in zip(keys, hits, strict=True) if h[0]]
+                yield rows(dict(zip(("key", "spans", "items", "whole"), zip((pa.string(), _SPANS, pa.list_(pa.string()), pa.bool_()), zip(*kept, strict=True) if kept else ([],) * 4, strict=True), strict=True)))
+
+        part = texts.select("text", F.md5("text").alias("key")).mapInArrow(search, "key string, spans array<array<bigint>>, items array<string>, whole boolean")
+        found.append(stored(part.dropDuplicates(["key"]), "overlaps"))
+        for b in blocks:
+            b.destroy()
+    every = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("whole").alias("whole"))
+
+    def merge(batches: Batches) -> Batches:
+        for batch in batches:
+            spans = pa.array([_union(s) for s in batch.column("spans").to_pylist()], type=_SPANS)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), spans, batch.column("items"), batch.column("whole")], names=["key", "spans", "items", "whole"])
+
+    return every.mapInArrow(merge, "key string, spans array<array<bigint>>, items array<string>, whole boolean")
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -253,30 +311,37 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     none. Null and empty texts have no words; null item ids are not reported;
     repeated rows give a row each; an empty benchmark hits nothing; other columns are
     not read. Texts don't leave the task that reads them; only the benchmark's blocks
-    (BLOCK_BYTES each) are sent along.
+    are sent along. A benchmark of more than BLOCKS_AT_ONCE blocks is searched in several
+    passes over the documents, whose hits are merged for each text.
     """
-    blocks = _sent(docs, benchmark, item_col, item_text_col, window)
+    passes = _Passes(docs, benchmark, item_col, item_text_col, window)
+    kept = id_and_text(docs, id_col, text_col)
+    if passes.count > 1:
+
+        def count(batches: Batches) -> Batches:
+            for batch in batches:
+                yield rows({"doc_id": (pa.int64(), batch.column("doc_id")), "key": (pa.string(), batch.column("key")), "n_words": (pa.int64(), [len(words(d)) for d in utf8(batch)])})
+
+        counted = kept.select("*", F.md5("text").alias("key")).mapInArrow(count, "doc_id bigint, key string, n_words bigint")
+        met = counted.join(_hits_of_texts(kept, passes, window), "key", "left")
+        n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s[1] - s[0])
+        return met.select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("items"), F.coalesce("spans", F.expr("CAST(array() AS ARRAY<ARRAY<BIGINT>>)")).alias("spans"))
+    blocks = passes.send(0)
 
     def search(batches: Batches) -> Batches:
         for some, texts in _shards(batches, "text"):
-            found = _search_all(texts, [b.value for b in blocks])
+            found = _search_all(texts, [b.value for b in blocks], window)
             yield rows({
                 "doc_id": (pa.int64(), [i for batch in some for i in batch.column("doc_id").to_pylist()]),
                 "n_words": (pa.int64(), [len(t) for t in texts]),
-                "n_hit": (pa.int64(), [sum(b - a for a, b in spans) for spans, _ in found]),
-                "items": (pa.list_(pa.string()), [items for _, items in found]),
-                "spans": (pa.list_(pa.list_(pa.int64())), [spans for spans, _ in found]),
+                "n_hit": (pa.int64(), [sum(b - a for a, b in spans) for spans, _, _ in found]),
+                "items": (pa.list_(pa.string()), [items for _, items, _ in found]),
+                "spans": (_SPANS, [spans for spans, _, _ in found]),
             })
 
-    kept = id_and_text(docs, id_col, text_col)
     return kept.mapInArrow(search, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>")
 
 
-def _sent(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
-    """The benchmark's phrases, one broadcast for each block of at most BLOCK_BYTES."""
-    return [docs.sparkSession.sparkContext.broadcast(Phrases(b, window)) for b in _blocks(benchmark, item_col, item_text_col)]
-
-
 def _shards(batches: Batches, text_col: str) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
     """Runs of rows of about SHARD_WORDS words, with their texts as words."""
     some, texts, size = [], [], 0
@@ -295,24 +360,31 @@ def _shards(batches: Batches, text_col: str) -> Iterator[tuple[list[pa.RecordBat
         yield some, texts
 
 
-def _search_all(texts: list[list[bytes]], blocks: list[Phrases]) -> list[tuple[list[list[int]], list[str]]]:
-    """Merged spans and sorted item ids of each text, over all blocks of the benchmark."""
+def _union(spans: Iterable[Sequence[int]]) -> list[list[int]]:
+    """Overlapping and touching spans as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def _search_all(texts: list[list[bytes]], blocks: list[Phrases], window: int) -> list[tuple[list[list[int]], list[str], bool]]:
+    """Merged spans, sorted item ids, and whether a full window occurs, of each text over all blocks."""
     hits: list[list] = [[] for _ in texts]
     items: list[set] = [set() for _ in texts]
+    whole = np.zeros(len(texts), dtype=bool)
     for phrases in blocks:
-        for k, (spans, numbers) in enumerate(search_shard(texts, phrases)):
+        located = locate_shard(texts, phrases)
+        if located is None:
+            continue
+        whole[located[0][phrases.length[located[3]] >= window]] = True
+        for k, (spans, numbers) in enumerate(_merged(len(texts), located, phrases)):
             hits[k] += spans.tolist()
             items[k] |= {phrases.items[i] for i in numbers} - {None}
-    merged = []
-    for spans in hits:
-        out: list[list[int]] = []
-        for a, b in sorted(spans):
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(b, out[-1][1])
-            else:
-                out.append([a, b])
-        merged.append(out)
-    return [(spans, sorted(found)) for spans, found in zip(merged, items, strict=True)]
+    return [(_union(spans), sorted(found), bool(w)) for spans, found, w in zip(hits, items, whole, strict=True)]
 
 
 def cut_words(data: bytes, spans: Sequence[Sequence[int]]) -> bytes:
@@ -328,23 +400,37 @@ def cut_words(data: bytes, spans: Sequence[Sequence[int]]) -> bytes:
 def remove_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without benchmark passages, with all input columns.
 
-    A document that holds a full window of an item goes; occurrences of shorter items are
-    cut out of the text. All other rows, null texts among them, stay as they are.
+    A document that holds a full window of an item goes; occurrences of shorter items,
+    touching ones too, are cut out of the text. All other rows stay as they are: null and
+    empty texts, texts of any length, and repeated rows each. An empty table gives an
+    empty table, an empty benchmark takes nothing.
     """
-    blocks = _sent(docs, benchmark, item_col, item_text_col, window)
+    passes = _Passes(docs, benchmark, item_col, item_text_col, window)
+
+    def cleaned(batch: pa.RecordBatch, spans: list, whole: list) -> pa.RecordBatch:
+        at, data = batch.schema.get_field_index(text_col), utf8(batch, text_col)
+        cut = [cut_words(d, s).decode() if s else None if d is None else d.decode() for d, s in zip(data, spans, strict=True)]
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(cut, type=batch.schema.field(at).type))
+        return batch.filter(pa.array([not w for w in whole], type=pa.bool_()))
+
+    if passes.count > 1:
+        hits = _hits_of_texts(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), passes, window)
+        named = hits.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"), F.col("whole").alias("__whole"))
+        met = docs.join(named, F.md5(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__key"), "left").drop("__key")
+
+        def cut(batches: Batches) -> Batches:
+            for batch in batches:
+                yield cleaned(batch.select(docs_columns), batch.column("__spans").to_pylist(), batch.column("__whole").to_pylist())
+
+        docs_columns = docs.columns
+        return met.mapInArrow(cut, docs.schema)
+    blocks = passes.send(0)
 
     def clean(batches: Batches) -> Batches:
         for some, texts in _shards(batches, text_col):
-            found = iter(_search_all(texts, [b.value for b in blocks]))
+            found = iter(_search_all(texts, [b.value for b in blocks], window))
             for batch in some:
-                spans = [next(found)[0] for _ in range(batch.num_rows)]
-                at, data = batch.schema.get_field_index(text_col), utf8(batch, text_col)
-                cut = [cut_words(d, s).decode() if s else None if d is None else d.decode() for d, s in zip(data, spans, strict=True)]
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(cut, type=batch.schema.field(at).type))
-                yield batch.filter(pa.array([all(b - a < window for a, b in s) for s in spans], type=pa.bool_()))
+                spans, _, whole = zip(*(next(found) for _ in range(batch.num_rows)), strict=True) if batch.num_rows else ((), (), ())
+                yield cleaned(batch, spans, whole)
 
     return docs.mapInArrow(clean, docs.schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -2,10 +2,15 @@
 
 Each page becomes a tree of its block elements; runs of equal siblings (paragraphs, list
 items) become one repeated node. The most frequent tree of a host is its seed, and every
-page's tree is aligned to the seed by simple tree matching. A node whose text hardly
-differs between the host's pages is template; nodes whose text varies are slots that hold
-content. Elements that HTML itself marks as something else than the article (menus,
-forms, scripts ...) are left out as well, and if a page marks its article, only that counts.
+layout's tree is aligned to the seed by simple tree matching. Evidence from all pages of
+the host then decides about each node of the seed: one whose text is shared by many of the
+pages is template, one that holds hardly anything but links is a menu, and nodes whose
+text varies are slots that hold content.
+
+What HTML itself says helps where a host can't show it: menus, footers, asides, buttons
+and comments are never the article; other hints (forms, headers, class names) fall if
+the element holds the page's heading, its marked article or nearly all of its text; and
+if the element that a page marks as its article holds most of what is left, only that counts.
 """
 
 from __future__ import annotations
@@ -23,9 +28,12 @@ from pyspark.sql import functions as F
 from inkveil.llm._common import Batches, rows, stored, utf8
 
 MIN_PAGES = 5  # different pages of a host from which a node can be called template
-TEMPLATE_DISTINCT = 0.2  # a node is template if its different texts are this part of the pages at most
-ARTICLE_DISTINCT = 0.02  # the same inside an element that the page marks as its article
-MAX_DEPTH = 100  # deeper elements count as part of the one at this depth
+SHARED = 0.05  # chance that two pages of the host have the same text in a node, from which it is template
+SHARED_IN_ARTICLE = 0.5  # the same inside an element that pages mark as their article
+LINKED = 0.6  # share of a node's characters within links from which it is a menu, outside such an element
+MOST = 0.9  # share of a page's text that no element beside the article holds
+WIDE = 64  # children from which equal ones are merged wherever they stand, and different ones become one node
+DEEP = 150  # levels of the tree that are told apart; what is deeper belongs to the element at this level
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -42,11 +50,14 @@ IMPLIED_END = {
 }
 HOLDERS = frozenset("html body article aside blockquote div dl fieldset figure footer form header main nav ol section table td th ul menu button details".split())
 
-CHROME_TAGS = frozenset("nav header footer aside form head button select menu dialog object svg canvas audio video math".split())
-CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar advertisement".split())
-CHROME_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs topbar masthead "
-    "header site-header footer site-footer sidebar aside widget widgets related recommended share sharing social comments comment disqus reply replies "
+#: Elements, roles, and class or id words that mark something else than the article.
+SURE_TAGS = frozenset("nav footer aside button select menu object svg canvas audio video math head".split())
+SURE_ROLES = frozenset("navigation contentinfo complementary search menu menubar toolbar advertisement".split())
+SURE_NAMES = frozenset("comments comment disqus reply replies nav navbar navigation menu menubar breadcrumb breadcrumbs footer site-footer sidebar ad ads advert adverts advertisement sponsored".split())
+HINT_TAGS = frozenset("header form dialog".split())
+HINT_ROLES = frozenset("banner form dialog alert".split())
+HINT_NAMES = frozenset(
+    "banner sponsor promo topbar masthead header site-header aside widget widgets related recommended share sharing social "
     "cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login form search pagination pager copyright".split()
 )
 ARTICLE_NAMES = frozenset("article article-body articlebody post-content entry-content story-body main-content".split())
@@ -58,17 +69,25 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 @dataclass
 class Node:
     label: str
-    chrome: bool = False  # it or one above is something else than the article
+    above: Node | None = None
+    sure: bool = False  # it is something else than the article
+    hint: bool = False  # it seems to be
     article: bool = False  # it or one above is marked as the article
+    level: int = 0
     children: list[Node] = field(default_factory=list)
     shape: str = ""
     number: int = -1
+    chrome: bool = False  # it or one above is something else than the article, by the hints that hold
+    size: int = 0  # characters of its text and of what is below
+    marked: bool = False  # it or one below is a first-level heading or marked as the article
 
 
 @dataclass
 class Page:
     root: Node
     blocks: list[tuple[Node, str]]  # in page order: text with single spaces, not empty
+    links: list[int]  # characters within links of each block
+    nodes: list[Node]  # in page order
     shape: str = ""
 
 
@@ -77,27 +96,34 @@ def _attributes(text: str) -> tuple[str, frozenset[str], str]:
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if "=" in text else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
     role = "articlebody" if found.get("itemprop", "").lower() == "articlebody" else found.get("role", "").lower()
-    return found.get("class", found.get("id", "")).lower().split(" ")[0][:40], frozenset(names), role
+    return found.get("class", found.get("id", "")).lower().split(" ")[0], frozenset(names), role
 
 
 def parse(source: str) -> Page:
-    """Tree of block elements and text blocks of a page; tolerates unclosed and stray tags."""
+    """Tree of block elements and text blocks of a page; tolerates unclosed and stray tags, any depth and width."""
     root = Node("#")
+    nodes = [root]
     stack: list[tuple[str, Node]] = [("#", root)]
     blocks: list[tuple[Node, str]] = []
+    links: list[int] = []
     pending: list[str] = []
-    at, search = 0, _TAG.search
+    linked: list[str] = []  # the parts of pending that stand within a link
+    at, search, inside = 0, _TAG.search, 0
 
     def flush() -> None:
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
-            pending.clear()
             if text:
                 blocks.append((stack[-1][1], text))
+                links.append(min(len(text), len(" ".join(html.unescape(" ".join(linked)).split()))) if linked else 0)
+            pending.clear()
+            linked.clear()
 
     while m := search(source, at):
         if m.start() > at:
             pending.append(source[at : m.start()])
+            if inside:
+                linked.append(pending[-1])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -106,6 +132,8 @@ def parse(source: str) -> Page:
         if closing:
             if tag in BLOCK:
                 flush()
+            if tag == "a":
+                inside = 0
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             # a stray inline end tag doesn't end the block that it stands in
             if depth and (tag in BLOCK or not any(t in BLOCK for t, _ in stack[depth + 1 :])):
@@ -131,66 +159,100 @@ def parse(source: str) -> Page:
                         break
                 elif stack[k][0] in HOLDERS:
                     break
-        if rest.endswith("/") and tag not in BLOCK or len(stack) > MAX_DEPTH:
+        if rest.endswith("/") and tag not in BLOCK:
             continue
         above = stack[-1][1]
-        if tag not in BLOCK and tag not in CHROME_TAGS:
+        if tag == "a":
+            inside = 1
+        if tag not in BLOCK and tag not in SURE_TAGS:
             stack.append((tag, above))  # inline: its text belongs to the block around it
             continue
         name, names, role = _attributes(rest)
-        article = above.article or tag in ("article", "main") or role in ("main", "article", "articlebody") or bool(names & ARTICLE_NAMES)
-        chrome = above.chrome or tag in CHROME_TAGS or role in CHROME_ROLES or bool(names & CHROME_NAMES) and tag not in ("html", "body", "main", "article")
-        node = Node(f"{tag}.{re.sub('[^a-z0-9_-]', '', name)}" if name else tag, chrome, article)
+        article = tag in ("article", "main") or role in ("main", "article", "articlebody") or bool(names & ARTICLE_NAMES)
+        named = tag not in ("html", "body", "main", "article")
+        sure = tag in SURE_TAGS or role in SURE_ROLES or named and bool(names & SURE_NAMES)
+        hint = tag in HINT_TAGS or role in HINT_ROLES or named and bool(names & HINT_NAMES)
+        node = Node(f"{tag}.{re.sub('[^a-z0-9_-]', '', name)}" if name else tag, above, sure, hint, above.article or article, above.level + 1, marked=article or tag == "h1")
         above.children.append(node)
+        nodes.append(node)
         stack.append((tag, node))
     pending.append(source[at:])
+    if inside:
+        linked.append(pending[-1])
     flush()
-    page = Page(root, blocks)
-    page.shape = _compress(root, {id(n) for n, _ in blocks})
+    page = Page(root, blocks, links, nodes)
+    _judge(page)
+    page.shape = _compress(page)
     _number(page)
     return page
 
 
-def _compress(node: Node, holding: set[int]) -> str:
-    """Shape of a subtree: children without text are left out, runs of equal children become one with a star."""
-    parts: list[str] = []
-    for child in node.children:
-        child.shape = _compress(child, holding)
-        if not child.shape:
-            continue
-        if parts and parts[-1].rstrip("*") == child.shape:
-            parts[-1] = child.shape + "*"
-        else:
-            parts.append(child.shape)
-    if not parts and id(node) not in holding and node.label != "#":
-        return ""
-    return node.label + (f"({','.join(parts)})" if parts else "")
+def _judge(page: Page) -> None:
+    """Which elements are something else than the article, by the hints that hold."""
+    for n, t in page.blocks:
+        n.size += len(t)
+    for n in reversed(page.nodes):  # what is below comes first
+        if n.above is not None:
+            n.above.size += n.size
+            n.above.marked |= n.marked and not n.sure
+    whole = max(page.root.size, 1)
+    for n in page.nodes:
+        if n.above is not None:
+            held = n.size > MOST * whole or n.hint and not n.sure and n.marked and not n.label.startswith("header")
+            n.chrome = n.above.chrome or (n.sure or n.hint) and not held
+
+
+def _compress(page: Page) -> str:
+    """Shape of the page's tree: children without text are left out, runs of equal children become one with a star.
+
+    An element with over WIDE runs of children has each different child once, and if
+    these are still over WIDE, or if it is DEEP down, it is a leaf that stands for all below.
+    """
+    holding = {id(n) for n, _ in page.blocks}
+    for node in reversed(page.nodes):
+        parts: list[str] = []
+        if node.level < DEEP:
+            for child in node.children:
+                if child.shape and not (parts and parts[-1].rstrip("*") == child.shape):
+                    parts.append(child.shape)
+                elif child.shape and parts[-1][-1] != "*":
+                    parts[-1] += "*"
+            if len(parts) > WIDE:
+                parts = [p + "*" for p in dict.fromkeys(p.rstrip("*") for p in parts)]
+            if len(parts) > WIDE:
+                parts = []
+        if parts or node.size and (id(node) in holding or any(c.size for c in node.children)) or node.label == "#":
+            node.shape = node.label + (f"({','.join(parts)})" if parts else "")
+    return page.root.shape
 
 
 def _number(page: Page) -> None:
-    """Gives each node its number in the compressed tree, in preorder; merged siblings share theirs."""
+    """Gives each node its number in the compressed tree, in preorder; merged siblings share theirs, and what a leaf stands for has the leaf's."""
     count = 0
-
-    def visit(nodes: list[Node]) -> None:
-        # nodes: the elements that one compressed node stands for
-        nonlocal count
+    todo: list[list[Node]] = [[page.root]]  # elements that one compressed node stands for
+    while todo:
+        nodes = todo.pop()
         for n in nodes:
             n.number = count
+        groups: list[dict[object, list[Node]]] = []
+        if "(" in nodes[0].shape:
+            for n in nodes:
+                shapes = [c.shape for c in n.children if c.shape]
+                runs = 1 + sum(x != y for x, y in zip(shapes, shapes[1:], strict=False))
+                group: dict[object, list[Node]] = {}
+                run, before = 0, None
+                for c in n.children:
+                    if c.shape:
+                        run += before is not None and c.shape != before
+                        before = c.shape
+                        group.setdefault(c.shape if runs > WIDE else run, []).append(c)
+                groups.append(group)
+            ordered = [list(g.values()) for g in groups]
+            todo += [[c for o in ordered for c in o[k]] for k in range(len(ordered[0]) - 1, -1, -1)]
         count += 1
-        groups: list[list[list[Node]]] = []
-        for n in nodes:
-            runs: list[list[Node]] = []
-            for child in n.children:
-                if child.shape:
-                    if runs and runs[-1][0].shape == child.shape:
-                        runs[-1].append(child)
-                    else:
-                        runs.append([child])
-            groups.append(runs)
-        for k in range(len(groups[0])):
-            visit([c for runs in groups for c in runs[k]])
-
-    visit([page.root])
+    for n in page.nodes:
+        if n.number < 0 and n.above is not None:
+            n.number = n.above.number
 
 
 @dataclass
@@ -198,34 +260,57 @@ class Shape:
     label: str
     number: int
     children: list[Shape]
+    key: int = 0  # equal for equal subtrees
     size: int = 1
 
 
 def read_shape(text: str) -> Shape:
     """The tree of a shape's text."""
-    stack, count = [Shape("", -1, [])], 0
+    root = Shape("", -1, [])
+    stack, every = [root], []
     for token in re.findall(r"[^(),]+|[()]", text):
         if token == "(":
             stack.append(stack[-1].children[-1])
         elif token == ")":
             stack.pop()
         elif token != "*":  # the star after a closed group
-            stack[-1].children.append(Shape(token.rstrip("*"), count, []))
-            count += 1
-    return stack[0].children[0]
+            stack[-1].children.append(Shape(token.rstrip("*"), len(every), []))
+            every.append(stack[-1].children[-1])
+    for node in reversed(every):
+        node.key = hash((node.label, *(c.key for c in node.children)))
+        node.size += sum(c.size for c in node.children)
+    return root.children[0]
 
 
 def align(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the greatest number of node pairs that keep order and parents, and the pairs (a, b)."""
+    """Simple tree matching: the greatest number of node pairs that keep order and parents, and the pairs (a, b).
+
+    Equal subtrees match whole, and equal children at both ends match each other; an
+    element has at most WIDE children, so the table between them is small.
+    """
     if a.label != b.label:
         return 0, []
-    n, m = len(a.children), len(b.children)
-    pair = [[align(x, y) for y in b.children] for x in a.children]
+    if a.key == b.key:
+        return a.size, [(a.number + k, b.number + k) for k in range(a.size)]
+    x, y = a.children, b.children
+    pairs, total, low = [(a.number, b.number)], 1, 0
+    while low < min(len(x), len(y)) and x[low].key == y[low].key:
+        total += x[low].size
+        pairs += align(x[low], y[low])[1]
+        low += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - low and x[-1 - tail].key == y[-1 - tail].key:
+        total += x[-1 - tail].size
+        pairs += align(x[-1 - tail], y[-1 - tail])[1]
+        tail += 1
+    x, y = x[low : len(x) - tail], y[low : len(y) - tail]
+    n, m = len(x), len(y)
+    pair = [[align(u, v) for v in y] for u in x]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         for j in range(1, m + 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + pair[i - 1][j - 1][0])
-    pairs, i, j = [(a.number, b.number)], n, m
+    i, j = n, m
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -234,21 +319,7 @@ def align(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
         else:
             i, j = i - 1, j - 1
             pairs += pair[i][j][1]
-    return best[n][m] + 1, pairs
-
-
-class Aligner:
-    """Remembers alignments of shapes to seeds."""
-
-    def __init__(self) -> None:
-        self._known: dict[tuple[str, str], dict[int, int]] = {}
-
-    def __call__(self, shape: str, seed: str) -> dict[int, int]:
-        if (shape, seed) not in self._known:
-            if len(self._known) > 10_000:
-                self._known.clear()
-            self._known[shape, seed] = dict(align(read_shape(shape), read_shape(seed))[1])
-        return self._known[shape, seed]
+    return best[n][m] + total, pairs
 
 
 def host_of(url: str) -> str:
@@ -259,79 +330,107 @@ def host_of(url: str) -> str:
 
 
 def main_text(page: Page, template: set[int], to_seed: dict[int, int]) -> str:
-    """Content blocks in page order, joined by one space."""
+    """Content blocks in page order, joined by one space; the same as extract_main_text() for one page."""
     left = [(n, t) for n, t in page.blocks if not n.chrome and to_seed.get(n.number, -1) not in template]
-    if any(n.article for n, _ in left):
-        left = [(n, t) for n, t in left if n.article]
+    marked = [(n, t) for n, t in left if n.article]
+    if marked and 2 * sum(len(t) for _, t in marked) >= sum(len(t) for _, t in left):
+        left = marked
     return " ".join(t for _, t in left)
 
 
-def _slots(page: Page) -> dict[int, tuple[str, bool]]:
-    """Text of each node that holds some, and whether the page marks it as article."""
-    out: dict[int, tuple[str, bool]] = {}
-    for n, t in page.blocks:
-        before = out.get(n.number, ("", n.article))
-        out[n.number] = (before[0] + "\n" + t, n.article)
+#: A page's blocks: node number, text, marked as something else than the article, marked as the article.
+BLOCKS = "array<struct<node: int, text: string, chrome: boolean, article: boolean>>"
+#: Its nodes that hold text outside of what is marked as something else: number, hash of the text, characters, those within links, in the marked article.
+SLOTS = "array<struct<node: int, hash: bigint, size: int, linked: int, article: boolean>>"
+
+
+def _slots(page: Page) -> dict[int, tuple[list[str], int, bool]]:
+    out: dict[int, tuple[list[str], int, bool]] = {}
+    for (n, t), linked in zip(page.blocks, page.links, strict=True):
+        if not n.chrome:
+            texts, before, article = out.get(n.number, ([], 0, n.article))
+            texts.append(t)
+            out[n.number] = (texts, before + linked, article)
     return out
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, host, text, n_chars, n_template_nodes: one row per input row.
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, layout (hash of the shape), shape, page (hash of the whole text), blocks, slots; pages: page_id, url, html."""
 
-    Null html counts as empty; pages without a host share the empty host; text is empty if
-    none is left; repeated rows are extracted each, but equal pages of a host count once
-    for its template; other columns are not read. All pages of a host take part in its
-    template: what is counted for it adds up over tasks, so a host with a third of all
-    pages is no burden to a single one. Pages themselves are only shuffled if the hosts'
-    seeds and templates are too large for Spark to broadcast.
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 50):
+                part = batch.slice(k, 50)
+                found = [parse(d.decode()) for d in utf8(part, "html")]
+                slots = [[{"node": n, "hash": xxhash.xxh64_intdigest("\n".join(t)) >> 1, "size": sum(map(len, t)), "linked": linked, "article": article} for n, (t, linked, article) in _slots(p).items()] for p in found]
+                blocks = [[{"node": n.number, "text": t, "chrome": n.chrome, "article": n.article} for n, t in p.blocks] for p in found]
+                columns = {
+                    "host": (pa.string(), [host_of(u or "") for u in part.column("url").to_pylist()]),
+                    "layout": (pa.int64(), [xxhash.xxh64_intdigest(p.shape) >> 1 for p in found]),
+                    "shape": (pa.string(), [p.shape for p in found]),
+                    "page": (pa.int64(), [xxhash.xxh64_intdigest("\n".join(t for _, t in p.blocks)) >> 1 for p in found]),
+                    "blocks": (pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("chrome", pa.bool_()), ("article", pa.bool_())])), blocks),
+                    "slots": (pa.list_(pa.struct([("node", pa.int32()), ("hash", pa.int64()), ("size", pa.int32()), ("linked", pa.int32()), ("article", pa.bool_())])), slots),
+                }
+                own = rows(columns)
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *own.columns], names=["page_id", "url", *own.schema.names])
+
+    return pages.mapInArrow(run, f"page_id bigint, url string, host string, layout bigint, shape string, page bigint, blocks {BLOCKS}, slots {SLOTS}")
+
+
+def induce_wrappers(parsed: DataFrame) -> DataFrame:
+    """host, layout, to_seed (the seed's node of each node, -1: none), dropped (the host's template and menu nodes), n_template_nodes.
+
+    One row for each layout of a host. Only counts meet: the host's pages are never in one task.
     """
-    kept = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    layouts = stored(parsed.groupBy("host", "layout").agg(F.count("*").alias("n"), F.first("shape").alias("shape")), "layouts")
+    seeds = layouts.groupBy("host").agg(F.max_by("shape", F.struct("n", "layout")).alias("seed"))
 
-    def shapes(batches: Batches) -> Batches:
+    def fit(batches: Batches) -> Batches:
         for batch in batches:
-            found = [parse(d.decode()).shape for d in utf8(batch, "html")]
-            yield rows({"host": (pa.string(), [host_of(u or "") for u in batch.column("url").to_pylist()]), "shape": (pa.string(), found)})
+            found = []
+            for shape, seed in zip(batch.column("shape").to_pylist(), batch.column("seed").to_pylist(), strict=True):
+                own, other = read_shape(shape), read_shape(seed)
+                to_seed = [-1] * own.size
+                for x, y in align(own, other)[1]:
+                    to_seed[x] = y
+                found.append(to_seed)
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(found, type=pa.list_(pa.int32()))], names=["host", "layout", "to_seed"])
+
+    aligned = stored(layouts.join(seeds, "host").select("host", "layout", "shape", "seed").mapInArrow(fit, "host string, layout bigint, to_seed array<int>"), "alignments")
+    slots = parsed.join(aligned, ["host", "layout"]).select("host", "page", "to_seed", F.explode("slots").alias("s"))
+    # equal pages of a host count once
+    seen = slots.select("host", "page", F.get("to_seed", F.col("s.node")).alias("node"), "s.hash", "s.size", "s.linked", "s.article").where("node >= 0").distinct()
+    by_text = seen.groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("article").alias("article"))
+    by_node = by_text.groupBy("host", "node").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("equal"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("article").alias("article")
+    )
+    shared = F.col("equal") / (F.col("n") * (F.col("n") - 1))
+    template = shared >= F.when(F.col("article"), F.lit(SHARED_IN_ARTICLE)).otherwise(F.lit(SHARED))
+    menu = ~F.col("article") & (F.col("linked") >= F.col("size") * LINKED)
+    out = by_node.where(F.col("n") >= MIN_PAGES).where(template | menu).groupBy("host").agg(F.collect_set("node").alias("dropped"))
+    return stored(aligned.join(out, "host", "left").withColumn("n_template_nodes", F.greatest(F.size("dropped"), F.lit(0)).cast("bigint")), "wrappers")
 
-    def hosts(batches: Batches) -> Batches:
-        for batch in batches:
-            yield batch.append_column("host", pa.array([host_of(u or "") for u in batch.column("url").to_pylist()], type=pa.string()))
 
-    frequent = kept.select("url", "html").mapInArrow(shapes, "host string, shape string").groupBy("host", "shape").count()
-    seeds = stored(frequent.groupBy("host").agg(F.max_by("shape", F.struct("count", "shape")).alias("seed")), "seeds")
-    hosted = kept.mapInArrow(hosts, "page_id bigint, url string, html string, host string")
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, host, text, n_chars, n_template_nodes, n_template_chars (what the host's wrapper took): one row per input row.
 
-    def texts(batches: Batches) -> Batches:
-        aligner = Aligner()
-        for batch in batches:
-            out: dict[str, list] = {"host": [], "page": [], "node": [], "hash": [], "article": []}
-            for data, host, seed in zip(utf8(batch, "html"), batch.column("host").to_pylist(), batch.column("seed").to_pylist(), strict=True):
-                page = parse(data.decode())
-                to_seed = aligner(page.shape, seed)
-                whole = xxhash.xxh64_intdigest(data) >> 1
-                for number, (text, article) in _slots(page).items():
-                    if number in to_seed:
-                        for column, value in zip(out.values(), (host, whole, to_seed[number], xxhash.xxh64_intdigest(text) >> 1, article), strict=True):
-                            column.append(value)
-            yield rows(dict(zip(out, zip((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()), out.values(), strict=True), strict=True)))
-
-    seen = hosted.select("html", "host").join(seeds, "host").mapInArrow(texts, "host string, page bigint, node int, hash bigint, article boolean").distinct()
-    by_text = seen.groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.max("article").alias("article"))
-    by_node = by_text.groupBy("host", "node").agg(F.sum("n").alias("n"), F.count("*").alias("different"), F.max("article").alias("article"))
-    fixed = F.when(F.col("article"), F.lit(ARTICLE_DISTINCT)).otherwise(F.lit(TEMPLATE_DISTINCT))
-    template = by_node.where((F.col("n") >= MIN_PAGES) & (F.col("different") <= F.greatest(F.col("n") * fixed, F.lit(1.0))))
-    wrappers = stored(seeds.join(template.groupBy("host").agg(F.collect_set("node").alias("template")), "host", "left"), "wrappers")
-
-    def extract(batches: Batches) -> Batches:
-        aligner = Aligner()
-        for batch in batches:
-            found, fixed_nodes = [], []
-            for data, seed, nodes in zip(utf8(batch, "html"), batch.column("seed").to_pylist(), batch.column("template").to_pylist(), strict=True):
-                page = parse(data.decode())
-                found.append(main_text(page, set(nodes or ()), aligner(page.shape, seed)))
-                fixed_nodes.append(len(nodes or ()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array(found, type=pa.string()), pa.array(map(len, found), type=pa.int64()), pa.array(fixed_nodes, type=pa.int64())],
-                names=["page_id", "url", "host", "text", "n_chars", "n_template_nodes"],
-            )
-
-    return hosted.join(wrappers, "host").select("page_id", "url", "host", "html", "seed", "template").mapInArrow(extract, "page_id bigint, url string, host string, text string, n_chars bigint, n_template_nodes bigint")
+    Null html counts as empty; pages without a host share the empty host; text is empty if
+    none is left; if the wrapper would take all that the hints leave, they alone count;
+    repeated rows are extracted each, but equal pages of a host count once for its
+    wrapper; very long, deep and wide pages are read whole; an empty table gives an empty
+    table; other columns are not read. Each page is parsed once. A host's wrapper adds
+    up over tasks, so a host with a third of all pages is no burden to a single one;
+    parsed pages are only shuffled if the wrappers are too large for Spark to broadcast.
+    """
+    kept = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    parsed = stored(parse_pages(kept), "pages")
+    met = parsed.drop("shape", "slots", "page").join(induce_wrappers(parsed), ["host", "layout"])
+    dropped = F.coalesce("dropped", F.expr("CAST(array() AS ARRAY<INT>)"))
+    met = met.withColumn("hinted", F.filter("blocks", lambda b: ~b["chrome"])).withColumn("left", F.filter("hinted", lambda b: ~F.array_contains(dropped, F.get("to_seed", b["node"]))))
+    met = met.withColumn("left", F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("hinted")))
+    size = lambda blocks: F.aggregate(blocks, F.lit(0).cast("bigint"), lambda acc, b: acc + F.length(b["text"]))
+    met = met.withColumn("marked", F.filter("left", lambda b: b["article"])).withColumn("taken", size(F.col("hinted")) - size(F.col("left")))
+    final = F.when((F.size("marked") > 0) & (size(F.col("marked")) * 2 >= size(F.col("left"))), F.col("marked")).otherwise(F.col("left"))
+    text = F.array_join(F.transform(final, lambda b: b["text"]), " ")
+    return met.select("page_id", "url", "host", text.alias("text"), "n_template_nodes", F.col("taken").alias("n_template_chars")).select("page_id", "url", "host", "text", F.length("text").cast("bigint").alias("n_chars"), "n_template_nodes", "n_template_chars")

@@ -12,9 +12,10 @@ The likeness lanes, centred at half the number of pairs, are a random projection
 the bag of word pairs; their cosine estimates how much two texts share, with an error of
 about 1/sqrt(60).
 
-In memory three lanes of 20 bits share one long, added with one addition. A lane that
-exceeds its 20 bits (over a million pairs with that bit) carries one into its
-neighbour, which changes a likeness by a millionth and no equality.
+While a text is read, three lanes of 20 bits share one long and are added with one
+addition; after PAIRS_AT_ONCE pairs, before a lane can exceed its 20 bits, they are added to
+lanes of 32 bits, two in a long. A lane of 32 bits can't be exceeded: it would take more word
+pairs than the bytes that a string can hold.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from pyspark.sql import functions as F
 from inkveil.llm._common import id_and_text, materialize, partitions
 
 SEEDS = 4  # seeded 64-bit hashes of a paragraph: eight 32-bit identity lanes
-LONGS = 20  # longs that hold the 60 likeness lanes, three in each
-_LANE = (1 << 20) - 1
-_EACH_LANE = 1 | 1 << 20 | 1 << 40  # the lowest bit of each lane
+LANES = 60  # likeness lanes
+PAIRS_AT_ONCE = (1 << 20) - 1  # word pairs after which a lane of 20 bits could be full
+_NARROW = (1 << 20) - 1
+_EACH_LANE = 1 | 1 << 20 | 1 << 40  # the lowest bit of each of three lanes
 _MOD = (1 << 32) - 1
 
 
 def fingerprint(text: Column) -> Column:
-    """struct<same: array<bigint>[8], bits: array<bigint>[20], pairs: bigint> of a text; null counts as empty."""
+    """struct<same: array<bigint>[8], bits: array<bigint>[30], pairs: bigint> of a text; null counts as empty."""
     paragraphs = F.split(F.coalesce(text, F.lit("")), "\n")
 
     def add_paragraph(acc: Column, p: Column) -> Column:
@@ -51,19 +53,37 @@ def fingerprint(text: Column) -> Column:
     # the one-element array binds a paragraph's words to a name, so that they are split once
     pairs = F.flatten(F.transform(paragraphs, lambda p: F.transform(F.array(F.split(p, " ")), pairs_of)[0]))
 
+    third = LANES // 3
+
     def add_pair(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"l{k}"] + F.shiftright(h, k).bitwiseAND(F.lit(_EACH_LANE))).alias(f"l{k}") for k in range(LONGS)], (acc["n"] + 1).alias("n"))
+        return F.struct(*[(acc[f"l{k}"] + F.shiftright(h, k).bitwiseAND(F.lit(_EACH_LANE))).alias(f"l{k}") for k in range(third)])
+
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"l{k}") for k in range(third)])
+
+    def runs_of(p: Column) -> Column:
+        # sums of runs of at most PAIRS_AT_ONCE pairs; nearly every text is one run
+        last = F.greatest(F.floor((F.size(p) - 1) / PAIRS_AT_ONCE), F.lit(0)).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), last), lambda i: F.aggregate(F.slice(p, i * PAIRS_AT_ONCE + 1, F.lit(PAIRS_AT_ONCE)), zero, add_pair))
+        return F.struct(sums.alias("sums"), F.size(p).cast("bigint").alias("n"))
+
+    def wide(sums: Column) -> Column:
+        narrow = lambda s, lane: F.shiftright(s[f"l{lane // 3}"], 20 * (lane % 3)).bitwiseAND(F.lit(_NARROW))
+
+        def both(k: int) -> Column:
+            return F.aggregate(sums, F.lit(0).cast("bigint"), lambda acc, s: acc + narrow(s, 2 * k) + F.shiftleft(narrow(s, 2 * k + 1), 32))
+
+        return F.array(*[both(k) for k in range(LANES // 2)])
 
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"l{k}") for k in range(LONGS)], F.lit(0).cast("bigint").alias("n"))
-    lanes = F.aggregate(pairs, zero, add_pair, lambda a: F.struct(F.array(*[a[f"l{k}"] for k in range(LONGS)]).alias("bits"), a["n"].alias("n")))
-    return F.transform(F.array(lanes), lambda x: F.struct(same.alias("same"), x["bits"].alias("bits"), x["n"].alias("pairs")))[0]
+    # one-element arrays bind what is used more than once
+    summed = F.transform(F.array(pairs), runs_of)
+    return F.transform(summed, lambda x: F.struct(same.alias("same"), wide(x["sums"]).alias("bits"), x["n"].alias("pairs")))[0]
 
 
 def as_text(fp: Column) -> Column:
-    """The fingerprint as hex digits: 8 identity lanes of 32 bits, 60 likeness lanes and the pair count of 20 and 32 bits."""
+    """The fingerprint as hex digits: 8 identity lanes of 32 bits, 60 likeness lanes and the pair count of 32 bits each."""
     digits = lambda x, n: F.lower(F.lpad(F.hex(x), n, "0"))
     same = F.array_join(F.transform(fp["same"], lambda x: digits(x, 8)), "")
-    bits = F.array_join(F.transform(fp["bits"], lambda x: digits(x.bitwiseAND(F.lit((1 << 60) - 1)), 15)), "")
+    bits = F.array_join(F.transform(fp["bits"], lambda x: digits(x, 16)), "")
     return F.concat(same, bits, digits(fp["pairs"].bitwiseAND(F.lit(_MOD)), 8))
 
 
@@ -71,8 +91,8 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints: 1 for equal ones, else the cosine of the centred lanes (0 if negative)."""
 
     def centred(fp: Column) -> Column:
-        lane = lambda x, at: F.shiftright(x, at).bitwiseAND(F.lit(_LANE)).cast("double") * 2 - fp["pairs"].cast("double")
-        return F.flatten(F.transform(fp["bits"], lambda x: F.array(lane(x, 0), lane(x, 20), lane(x, 40))))
+        lane = lambda x: x.cast("double") * 2 - fp["pairs"].cast("double")
+        return F.flatten(F.transform(fp["bits"], lambda x: F.array(lane(x.bitwiseAND(F.lit(_MOD))), lane(F.shiftrightunsigned(x, 32)))))
 
     zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
     both = F.zip_with(centred(a), centred(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))

@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "n_template_nodes")
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "n_template_nodes", "n_template_chars")
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,19 @@ def op5_chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_quotes.link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations with quotations of earlier messages put in: the given ones quote nothing."""
+    return spark.sql(chat_quotes.QUOTED, conversations=table(spark, sf_dir, "conversations"))
+
+
+def chat_quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.link_quotations(quoted(spark, sf_dir))
+
+
+def chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.build_conversations(chat_quotes.link_quotations(quoted(spark, sf_dir)))
+
+
 def op6_simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,8 +83,8 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_page_text, op3_token_shards, op4_sentence_pieces, op5_chat_replies, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap)}
+    return {f.__name__: f for f in (op1_toxicity, op2_page_text, op3_token_shards, op4_sentence_pieces, op5_chat_replies, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap, chat_quoted_replies, chat_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_replies": chat_quotes.ORACLE_SQL}
+    return {"op5_chat_replies": chat_quotes.ORACLE_SQL, "chat_quoted_replies": chat_quotes.QUOTED_SQL, "chat_conversations": chat_quotes.BUILT_SQL}

@@ -43,6 +43,8 @@ PAIRS_AT_ONCE = 2_000_000
 COPY_SHINGLE = 5  # words
 COPY_SIMILARITY = 0.8  # Jaccard similarity of the sets of runs from which two texts are copies
 BANDS, BAND_ROWS = 24, 4  # pairs at similarity 0.8 share no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6
+BLOCK_SETS, BLOCK_BYTES = 1_000, 16_000_000  # sets of a bucket that are compared with as many others in one task
+COLUMNS_AT_ONCE = 2048
 _ORDERS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -303,14 +305,93 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(pairs.join(first, "u").join(second, "v").select("u", "v", "x", "y").mapInArrow(check, "u bigint, v bigint"))
 
 
-def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, rep, root) for every distinct set of runs: root is shared by the sets that exact links connect.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of the left shares with each of the right."""
+    out = np.zeros((len(left), len(right)))
+    if not left or not right:
+        return out
+    x, y = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(x, y)
+    cells = []
+    for sets, every in ((left, x), (right, y)):
+        row = np.repeat(np.arange(len(sets)), [len(z) for z in sets])
+        column = np.searchsorted(both, every)
+        held = both[np.minimum(column, len(both) - 1)] == every if len(both) else np.zeros(len(every), bool)
+        row, column = row[held], column[held]
+        order = np.argsort(column, kind="stable")
+        cells.append((row[order], column[order]))
+    for low in range(0, len(both), COLUMNS_AT_ONCE):
+        parts = []
+        for (row, column), n in zip(cells, out.shape, strict=True):
+            a, b = np.searchsorted(column, [low, low + COLUMNS_AT_ONCE])
+            part = np.zeros((n, COLUMNS_AT_ONCE), dtype=np.float32)
+            part[row[a:b], column[a:b] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _joined_roots(group: pd.DataFrame) -> pd.DataFrame:
+    """(u, v): components that copies of this block join, each with the least one that it is joined to."""
+    asking = group["asking"].to_numpy()
+    root = group["root"].to_numpy()
+    sets = [np.frombuffer(x, "<u8") for x in group["hashes"]]
+    q, p = np.flatnonzero(asking), np.flatnonzero(~asking)
+    shared = overlaps([sets[k] for k in q], [sets[k] for k in p])
+    size = np.array([len(x) for x in sets], dtype=float)
+    every = np.maximum(size[q][:, None] + size[p][None, :] - shared, 1)
+    i, j = np.nonzero((shared / every >= COPY_SIMILARITY) & (root[q][:, None] != root[p][None, :]))
+    names, number = np.unique(root, return_inverse=True)
+    links = Links(len(names))
+    links.unite(number[q[i]], number[p[j]])
+    up = links.find(np.arange(len(names)))
+    joined = np.flatnonzero(up != np.arange(len(names)))
+    return pd.DataFrame({"u": names[joined], "v": names[up[joined]]})
+
+
+def _across(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components (u, v), u > v, that copies in a common bucket join; labelled: bucket, digest, root.
+
+    Only buckets of several components take part, and of their sets only those that can
+    have a copy at all: runs that no other candidate holds can't be shared, so a set
+    with more than a fifth of such runs has none. In each bucket the sets outside its
+    largest component are compared with all, in blocks of bounded size; a block returns
+    what its links join, never the pairs.
+    """
+    parts = labelled.groupBy("bucket", "root").count().groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1")
+    mixed = materialize(labelled.join(parts.select("bucket"), "bucket"))
+    taking = sets.join(mixed.select("digest").distinct(), "digest", "left_semi")
+
+    def runs(batches: Batches) -> Batches:
+        for batch in batches:
+            for digest, data in zip(batch.column("digest").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                yield rows({"digest": (pa.int64(), np.full(len(data) // 8, digest)), "run": (pa.int64(), np.frombuffer(data, "<i8"))})
+
+    alone = taking.mapInArrow(runs, "digest bigint, run bigint").groupBy("run").agg(F.count("*").alias("n"), F.min("digest").alias("digest")).where("n = 1").groupBy("digest").agg(F.count("*").alias("alone"))
+    size = F.octet_length("hashes") / 8
+    can = taking.join(alone, "digest", "left").where(size - F.coalesce("alone", F.lit(0)) >= size * COPY_SIMILARITY).select("digest", F.octet_length("hashes").alias("size"))
+    able = materialize(mixed.join(can, "digest"))
+    by_root = able.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = by_root.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("size").alias("size")).where("parts > 1")
+    blocks = lambda n: F.greatest(F.ceil(F.col("size") / BLOCK_BYTES), F.ceil(n / BLOCK_SETS)).cast("int")
+    whole = whole.select("bucket", "top", blocks(F.col("n") - F.col("most")).alias("n_asking"), blocks(F.col("n")).alias("n_all"))
+    placed = able.join(whole, "bucket").select("bucket", "digest", "root", "top", "n_asking", "n_all", F.xxhash64("digest").alias("place"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    answering = placed.select("bucket", every("n_asking").alias("a"), F.pmod("place", "n_all").alias("b"), "digest", "root", F.lit(False).alias("asking"))
+    asking = placed.where("root <> top").select("bucket", F.pmod("place", "n_asking").alias("a"), every("n_all").alias("b"), "digest", "root", F.lit(True).alias("asking"))
+    dealt = asking.unionByName(answering).join(sets, "digest")
+    return materialize(dealt.groupBy("bucket", "a", "b").applyInPandas(_joined_roots, "u bigint, v bigint").distinct())
 
-    rep is the smallest doc_id of the set. Sets link if their Jaccard similarity is at
-    least COPY_SIMILARITY. Candidates share a band's key; first each set is compared with
-    the least digest of its buckets, which joins large groups in linear work, then all
-    pairs of a bucket that are still in different components are compared. A link is
-    missed only if the pair shares none of the bands: 3 in a million at similarity 0.8.
+
+def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, hash, root) for every row: root is shared by the rows whose sets of runs exact links connect.
+
+    hash is Spark's xxhash64 of the text (null: of the empty one). Sets link if their
+    Jaccard similarity is at least COPY_SIMILARITY. Candidates share a band's key; first
+    each set is compared with the least digest of its buckets, which joins large groups in
+    linear work, then what is still in different components of a bucket is compared in
+    blocks (_across). A link is missed only if the pair shares none of the bands: 3 in a
+    million at similarity 0.8. Texts without words are copies of each other.
     """
 
     def sign(batches: Batches) -> Batches:
@@ -319,7 +400,7 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keys = np.concatenate([band_keys(x) for x in found]) if found else np.zeros(0, np.uint64)
             digests = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], dtype=np.uint64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, type=pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests.view(np.int64)), bands], names=["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(digests.view(np.int64)), bands], names=["doc_id", "hash", "digest", "bands"])
 
     def whole_sets(batches: Batches) -> Batches:
         for batch in batches:
@@ -328,18 +409,18 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(found, type=pa.binary())], names=["digest", "hashes"])
 
     kept = id_and_text(docs, id_col, text_col)
-    found = stored(kept.mapInArrow(sign, "doc_id bigint, digest bigint, bands array<bigint>"), "signatures")
-    points = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    found = stored(kept.select("*", F.xxhash64("text").alias("hash")).mapInArrow(sign, "doc_id bigint, hash bigint, digest bigint, bands array<bigint>"), "signatures")
     members = found.select("digest", F.explode("bands").alias("bucket")).distinct()
     leaders = members.groupBy("bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last")
     shared = materialize(members.join(leaders.select("bucket", "leader"), "bucket"))
     to_leader = materialize(shared.where("digest <> leader").select(F.col("digest").alias("u"), F.col("leader").alias("v")).distinct())
+    alone = found.select("doc_id", "hash", F.col("digest").alias("root"))
     if to_leader.isEmpty():
-        return points.select("digest", "rep", F.col("digest").alias("root"))
+        return alone
 
     # one row that holds each candidate set; rows without an id are all looked through
     candidates = shared.select("digest").distinct()
-    ids = points.join(candidates, "digest", "left_semi").select("rep").distinct()
+    ids = found.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
     texts = kept.join(ids, kept["doc_id"].eqNullSafe(ids["rep"]), "left_semi").mapInArrow(whole_sets, "digest bigint, hashes binary")
     sets = stored(texts.join(candidates, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
@@ -348,29 +429,29 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not links.isEmpty():
         roots = materialize(_star_steps(links))
         labelled = shared.select("bucket", "digest").join(roots, F.col("digest") == F.col("u"), "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root"))
-    labelled = materialize(labelled)
-    parts = labelled.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("parts"))
-    mixed = materialize(labelled.join(parts.where("parts > 1").select("bucket", "top"), "bucket"))
-    one = mixed.where("root <> top").select("bucket", F.col("digest").alias("a"), F.col("root").alias("ra"))
-    other = mixed.select("bucket", F.col("digest").alias("b"), F.col("root").alias("rb"))
-    across = one.join(other, "bucket").where("ra <> rb").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    more = _verified(across.join(to_leader, ["u", "v"], "left_anti"), sets)
+    more = _across(materialize(labelled), sets)
     if not more.isEmpty():
-        links = links.unionByName(more)
-    if links.isEmpty():
-        return points.select("digest", "rep", F.col("digest").alias("root"))
-    roots = materialize(_star_steps(links))
-    return points.join(roots, points["digest"] == roots["u"], "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
+        roots = materialize(_star_steps(links.unionByName(more)))
+    elif links.isEmpty():
+        return alone
+    return found.join(roots, found["digest"] == roots["u"], "left").select("doc_id", "hash", F.coalesce("root", "digest").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component of near copies (the smallest doc_id), with all input columns.
 
-    Near copies by copy_components(), not by near_duplicates(). Rows that share the
-    kept id stay once for each distinct text.
+    Near copies by copy_components(), not by near_duplicates(). Of rows that share the
+    smallest id, the one whose text has the least hash stays; a null id stays only in
+    components without another. Rows of equal id and text are one document: any one of
+    them stays. Null and empty texts are copies of each other. An empty table gives an
+    empty table; other columns aren't read. Texts are shuffled only for repeated rows,
+    or where the kept rows' keys are too many for Spark to broadcast.
     """
-    keep = copy_components(docs, id_col, text_col).groupBy("root").agg(F.min("rep").alias("__keep"))
-    parts = lambda c: (F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias("__id"), F.col(c).isNull().alias("__none"))
-    kept = docs.select("*", *parts(id_col)).join(keep.select(*parts("__keep")).distinct(), ["__id", "__none"], "left_semi")
-    # the join's keys again, so that texts are shuffled once
-    return kept.dropDuplicates(["__id", "__none", text_col]).select(*docs.columns)
+    linked = copy_components(docs, id_col, text_col)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "hash")
+    by_row = linked.groupBy("root", row.alias("row")).agg(F.count("*").alias("n"))
+    keep = materialize(by_row.groupBy("root").agg(F.min_by(F.struct("row", "n"), "row").alias("k")).select(F.col("k.row.none").alias("__none"), F.col("k.row.id").alias("__id"), F.col("k.row.hash").alias("__hash"), F.col("k.n").alias("__n")))
+    keyed = docs.select("*", F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"))
+    kept = keyed.join(keep, ["__none", "__id", "__hash"])
+    once = kept.where("__n > 1").dropDuplicates(["__none", "__id", "__hash"])
+    return kept.where("__n = 1").unionByName(once).select(*docs.columns)

@@ -19,6 +19,7 @@ index; ids u32[n ids].
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -79,10 +80,13 @@ class WordwiseEncoder:
     def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words after a space, or as they stand if they begin with a line break."""
         split = self._tokenizer.model.tokenize
-        rest = []
+        sign, rest = self._sign, []
         for w in words:
             if w.isalpha() and max(w) < LAST_LETTER:
-                ids = [t.id for t in split((" " + w).translate(self._sign))]
+                ids = [t.id for t in split((" " + w).translate(sign))]
+                yield w, struct.pack(f"<{len(ids)}I", *ids)
+            elif w[:1] == "\n" and w[1:].isalpha() and max(w) < LAST_LETTER:  # a line break before letters is a pre-token of its own
+                ids = [t.id for part in ("\n", w[1:]) for t in split(part.translate(sign))]
                 yield w, struct.pack(f"<{len(ids)}I", *ids)
             else:
                 rest.append(w)
@@ -130,10 +134,11 @@ class WordwiseEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if " ".join(text.split()) != text.replace("\n", " ") or any(x in text for x in self._special):
+            words = text.replace("\n", " \n").split(" ")
+            # single blanks and line breaks between words, and no other white space, which isn't printable
+            if "" in words or "\n" in words or not text.replace("\n", "").isprintable() or any(x in text for x in self._special):
                 whole.append(k)
                 continue
-            words = text.replace("\n", " \n").split(" ")
             ids = list(map(known.get, words))
             cut[k] = words, ids
             if None in ids:
@@ -278,6 +283,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
 
     def encode(batches: Batches) -> Batches:
         tokenizer, end = encoder(vocabulary), struct.pack("<I", end_id)
+        gc.disable()  # nothing here is cyclic; the collector would only look through the remembered words again and again
         part, number, earlier, size, keys, documents = 0, 0, 0, 0, [], []
 
         def closed() -> pa.RecordBatch:
@@ -302,6 +308,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
                     keys.append(NULL_KEY if key is None else key)
                     documents.append(d)
                     size += len(d) // 4
+        gc.enable()
         if keys:
             yield closed()
 

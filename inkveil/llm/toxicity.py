@@ -2,11 +2,16 @@
 
 A logistic model over which words and word beginnings a text holds (whole words and
 their first 3 to 8 letters, which also catches inflected forms), whether it holds them
-once or more often and how densely, and the number of its distinct words. It is fitted on a bounded sample of labelled documents. For every
-labelled sentence that names a group of people, each term is swapped for the others
-of its kind, and the squared change of the sentence's score is added to the loss. So
-terms that merely occur beside abuse get the weight that they all share, which is next
-to none, and neutral mentions of a group aren't taken for abuse.
+once or more often and how densely, and the number of its distinct words. It is fitted on
+a bounded sample of labelled documents.
+
+In labelled sentences, terms are swapped for others of their class, the sentence's
+features are computed again, and the squared change of its score is added to the loss.
+Classes are those given (names of groups of people in four languages) and those found in
+the sample: words that stand about equally often in both classes of documents, and so
+tell nothing, with others of like frequency. So terms that merely occur beside abuse get
+the weight that their class shares, which is next to none, and neutral mentions of
+a group aren't taken for abuse.
 """
 
 from __future__ import annotations
@@ -25,13 +30,17 @@ from pyspark.sql import functions as F
 
 from inkveil.llm._common import Batches, id_and_text, rows, stored, utf8
 
-#: The bound of the sample: so many labelled documents of either class, by hash of their id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000
+#: Bounds of the fit; all are parameters of train().
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000  # labelled documents of either class, by hash of their id
 MAX_FEATURES = 10_000  # features that the model keeps
+MIN_DOCUMENTS = 3  # sampled documents in which a feature must occur
+SWAP_SENTENCES = 4000  # labelled sentences in which terms are swapped: those with given terms first, then by hash
+FOUND_CLASS = 4  # words of a class of terms found in the sample
 PREFIXES = range(3, 9)  # lengths of word beginnings
 THRESHOLD = 0.7
 L2, COUNTERFACTUAL = 1e-4, 1.0  # weights of the two penalties
 CACHE_WORDS = 150_000
+LONG_WORD = 64  # bytes over which a word isn't remembered
 
 #: Terms that may be swapped for each other; a parameter, by kind.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -44,6 +53,21 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("old", "young", "elderly"),
     ("disabled", "blind", "deaf"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("homosexuels", "lesbiennes", "hétérosexuels", "bisexuels"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"),
+    ("immigrés", "réfugiés", "étrangers"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "bisexuales"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
 
 #: Letters of a word are ASCII letters and everything outside ASCII; ASCII capitals are lower-cased.
@@ -72,24 +96,35 @@ def levels(count: int, of: int) -> list[int]:
     return [0, *([1] if count > 1 else []), *([2] if count > 2 else []), *([3] if dense >= 1.5 else []), *([4] if dense >= 4 else [])]
 
 
-def features(data: bytes) -> tuple[list[int], int]:
-    """Feature ids of a text, and the number of its distinct words."""
-    tokens = words(data)
+def _features(tokens: list[bytes]) -> list[int]:
     by_stem: Counter = Counter()
-    distinct = Counter(tokens)
-    for w, n in distinct.items():
+    for w, n in Counter(tokens).items():
         for f in stems(w):
             by_stem[f] += n
-    return [f | k for f, n in by_stem.items() for k in levels(n, len(tokens))], len(distinct)
+    return [f | k for f, n in by_stem.items() for k in levels(n, len(tokens))]
+
+
+def features(data: bytes) -> tuple[list[int], int]:
+    """Feature ids of a text, and the number of its distinct words."""
+    tokens = words(data)
+    return _features(tokens), len(set(tokens))
+
 
+Change = tuple[tuple[int, ...], tuple[int, ...]]  # features that a swap takes away, and those that it brings
 
-def swaps(data: bytes, terms: dict[bytes, tuple[bytes, ...]]) -> Counter:
-    """(term, other term of its kind) of every sentence that names a group, with counts."""
+
+def swaps(data: bytes, terms: dict[bytes, tuple[bytes, ...]]) -> Counter[Change]:
+    """What swapping each term of each sentence for the others of its class does to the sentence's features, with counts."""
     found: Counter = Counter()
-    if any(t in data.lower() for t in terms):
-        for sentence in _SENTENCE.split(data):
-            for w in set(words(sentence)) & terms.keys():
-                found.update((w, other) for other in terms[w])
+    for sentence in _SENTENCE.split(data):
+        tokens = words(sentence)
+        held = set(tokens) & terms.keys()
+        if held:
+            plain = set(_features(tokens))
+        for w in sorted(held):
+            for other in terms[w]:
+                swapped = set(_features([other if x == w else x for x in tokens]))
+                found[tuple(sorted(plain - swapped)), tuple(sorted(swapped - plain))] += 1
     return found
 
 
@@ -106,6 +141,7 @@ class Model:
     weights: dict[int, float]
     bias: float
     per_log_word: float  # weight of log(1 + distinct words)
+    n_swaps: int = 0  # swaps of labelled sentences that took part in the fit
     _known: dict[bytes, tuple[int, ...]] = field(default_factory=dict, repr=False)
     _stems: set[int] = field(default_factory=set, repr=False)
 
@@ -121,20 +157,22 @@ class Model:
         distinct = Counter(tokens)
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in [w for w in distinct if w not in known]:
-            known[w] = tuple(f for f in stems(w) if f in self._stems)
         by_stem: dict[int, int] = {}
         for w, n in distinct.items():
-            for f in known[w]:
+            held = known.get(w)
+            if held is None:
+                held = tuple(f for f in stems(w) if f in self._stems)
+                if len(w) <= LONG_WORD:  # so that the memory of words is bounded in bytes
+                    known[w] = held
+            for f in held:
                 by_stem[f] = by_stem.get(f, 0) + n
-        held = [weights.get(f | k, 0.0) for f, n in sorted(by_stem.items()) for k in levels(n, len(tokens))]
-        z = self.bias + self.per_log_word * math.log1p(len(distinct)) + sum(held)
+        z = self.bias + self.per_log_word * math.log1p(len(distinct)) + sum(weights.get(f | k, 0.0) for f, n in sorted(by_stem.items()) for k in levels(n, len(tokens)))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit(documents: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, pairs: Counter | dict, scales: dict[int, float], weight: np.ndarray | None = None, l2: float = L2, counterfactual: float = COUNTERFACTUAL, steps: int = 400) -> Model:
-    """documents: ids of the chosen features that each holds; sizes: their distinct words; pairs: swapped
-    terms with counts; scales: the chosen features. Weights are multiplied by a feature's scale, so
+def fit(documents: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, pairs: Counter[Change], scales: dict[int, float], weight: np.ndarray | None = None, l2: float = L2, counterfactual: float = COUNTERFACTUAL, steps: int = 400) -> Model:
+    """documents: ids of the chosen features that each holds; sizes: their distinct words; pairs: changes
+    of labelled sentences by swaps, with counts; scales: the chosen features. Weights are multiplied by a feature's scale, so
     well-attested features are cheaper than chance ones."""
     labels = np.asarray(labels, dtype=float)
     weight = np.ones(len(labels)) if weight is None else weight
@@ -145,16 +183,16 @@ def fit(documents: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, pair
     c = np.searchsorted(kept, np.concatenate(documents) if documents else np.zeros(0, np.int64))
     length = np.log1p(np.asarray(sizes, dtype=float))
     centre = length.mean() if len(length) else 0.0
-    # rows of the counterfactual penalty: features that a swap takes away (+1) and brings (-1)
+    # rows of the counterfactual penalty: features of a sentence less those of the swapped sentence
     number = {int(f): k for k, f in enumerate(kept)}
     cr, cc, cv, cw = [], [], [], []
-    for k, ((a, b), n) in enumerate(sorted(pairs.items())):
-        fa, fb = set(stems(a)), set(stems(b))
-        for sign, some in ((1.0, fa - fb), (-1.0, fb - fa)):
-            for f in sorted(x | level for x in some for level in range(5) if x | level in number):
-                cr.append(k)
-                cc.append(number[f])
-                cv.append(sign)
+    for k, ((gone, new), n) in enumerate(sorted(pairs.items())):
+        for sign, some in ((1.0, gone), (-1.0, new)):
+            for f in some:
+                if f in number:
+                    cr.append(k)
+                    cc.append(number[f])
+                    cv.append(sign)
         cw.append(n)
     cr, cc, cv, cw = np.array(cr, int), np.array(cc, int), np.array(cv), np.array(cw, dtype=float)
     share = counterfactual * cw / max(cw.sum(), 1.0) if len(cw) else cw
@@ -173,7 +211,7 @@ def fit(documents: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, pair
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
         w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model({int(f): float(x) for f, x in zip(kept, w[:n] * scale, strict=True)}, float(w[n] - w[n + 1] * centre), float(w[n + 1]))
+    return Model({int(f): float(x) for f, x in zip(kept, w[:n] * scale, strict=True)}, float(w[n] - w[n + 1] * centre), float(w[n + 1]), int(sum(pairs.values())))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -181,9 +219,24 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", identity_terms: Iterable[Iterable[str]] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Fit on up to SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents that aren't held out.
-
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    identity_terms: Iterable[Iterable[str]] = IDENTITY_TERMS,
+    counterfactual: float = COUNTERFACTUAL,
+    sample_toxic: int = SAMPLE_TOXIC,
+    sample_clean: int = SAMPLE_CLEAN,
+    max_features: int = MAX_FEATURES,
+    min_documents: int = MIN_DOCUMENTS,
+    swap_sentences: int = SWAP_SENTENCES,
+) -> Model:
+    """Fit on up to sample_toxic and sample_clean labelled documents that aren't held out.
+
+    The model keeps at most max_features features, the best attested of those that occur
+    in min_documents sampled documents; terms are swapped in at most swap_sentences
+    sentences of the sample. Scores are given to all documents whatever these bounds.
     Labels other than 0 and 1, and labels without a document, are ignored; of repeated
     labels of a document the greater counts; of equal texts with one label one is learned
     from. Without labels of both classes every score is the base rate.
@@ -191,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    bounds = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
+    bounds = {1: sample_toxic, 0: sample_clean}
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id")).limit(n) for k, n in bounds.items()]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # a bounded number of ids
     sample = stored(id_and_text(docs, id_col, text_col).join(chosen, "doc_id").select("text", "toxic").distinct(), "toxicity-sample")
@@ -204,37 +257,72 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 part = batch.slice(k, 50)
                 yield rows({"toxic": (pa.int32(), part.column("toxic")), "ids": (pa.list_(pa.int64()), [features(d)[0] for d in utf8(part)])})
 
-    counts = sample.mapInArrow(held, "toxic int, ids array<bigint>").select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where("n >= 3")
+    counts = sample.mapInArrow(held, "toxic int, ids array<bigint>").select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= min_documents)
     clean = F.col("n") - F.col("pos")
     odds = F.log((F.col("pos") + 0.5) / F.lit(n1 + 1.0)) - F.log((clean + 0.5) / F.lit(n0 + 1.0))
     value = F.abs(odds) * F.sqrt(F.when(odds > 0, F.col("pos")).otherwise(clean))
-    best = counts.select("id", value.alias("value")).orderBy(F.desc("value"), "id").limit(MAX_FEATURES).collect()
+    best = counts.select("id", value.alias("value")).orderBy(F.desc("value"), "id").limit(max_features).collect()
     scales = {r["id"]: r["value"] / (r["value"] + 10) for r in best}
-    terms = swap_table(identity_terms)
 
     def extract(batches: Batches) -> Batches:
         for batch in batches:
-            ids, sizes, pairs = [], [], []
+            ids, sizes = [], []
             for data in utf8(batch):
                 every, distinct = features(data)
                 ids.append(np.array(sorted(f for f in every if f in scales), dtype=np.int64).tobytes())
                 sizes.append(distinct)
-                pairs.append(b" ".join(a + b"/" + b for a, b in swaps(data, terms).elements()))
-            yield rows({"toxic": (pa.int32(), batch.column("toxic")), "ids": (pa.binary(), ids), "size": (pa.int64(), sizes), "pairs": (pa.binary(), pairs)})
+            yield rows({"toxic": (pa.int32(), batch.column("toxic")), "ids": (pa.binary(), ids), "size": (pa.int64(), sizes)})
 
-    found = sample.mapInArrow(extract, "toxic int, ids binary, size bigint, pairs binary").collect()
+    found = sample.mapInArrow(extract, "toxic int, ids binary, size bigint").collect()  # a bounded sample, of at most max_features ids each
     found.sort(key=lambda r: (bytes(r["ids"]), r["size"], r["toxic"]))
-    pairs: Counter = Counter(tuple(p.split(b"/")) for r in found for p in bytes(r["pairs"]).split())
+    pairs = _changes(sample, n1, n0, identity_terms, scales, swap_sentences)
     y = np.array([r["toxic"] for r in found], dtype=float)
     weight = np.array([totals[r["toxic"]] / sampled[r["toxic"]] for r in found])  # back to the classes' shares
     return fit([np.frombuffer(r["ids"], dtype=np.int64) for r in found], np.array([r["size"] for r in found]), y, pairs, scales, weight if len(found) else None, counterfactual=counterfactual)
 
 
+def found_classes(sample: DataFrame, n1: int, n0: int) -> list[list[str]]:
+    """Classes of FOUND_CLASS words of like frequency that tell nothing: in 1 % of the sampled texts of either
+    label, and at most one and a half times as often in one as in the other. At most 2,000 words."""
+
+    def held(batches: Batches) -> Batches:
+        for batch in batches:
+            yield rows({"toxic": (pa.int32(), batch.column("toxic")), "held": (pa.list_(pa.string()), [[w.decode(errors="replace") for w in set(words(d))] for d in utf8(batch)])})
+
+    counts = sample.mapInArrow(held, "toxic int, held array<string>").select("toxic", F.explode("held").alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
+    toxic, clean = F.col("pos") / max(n1, 1), (F.col("n") - F.col("pos")) / max(n0, 1)
+    telling_nothing = (toxic >= 0.01) & (clean >= 0.01) & (toxic <= clean * 1.5) & (clean <= toxic * 1.5) & (F.length("word") > 2)
+    chosen = [r["word"] for r in counts.where(telling_nothing).orderBy(F.desc("n"), "word").limit(2000).collect()]
+    return [chosen[k : k + FOUND_CLASS] for k in range(0, len(chosen) - 1, FOUND_CLASS)]
+
+
+def _changes(sample: DataFrame, n1: int, n0: int, identity_terms: Iterable[Iterable[str]], scales: dict[int, float], bound: int) -> Counter[Change]:
+    """Changes by swaps in at most `bound` different sentences of the sample, over the chosen features; counted in Spark."""
+    given = swap_table(identity_terms)
+    terms = swap_table(found_classes(sample, n1, n0)) | given
+
+    def sentences(batches: Batches) -> Batches:
+        for batch in batches:
+            out = [(s.decode(errors="replace"), not set(t) & given.keys()) for d in utf8(batch) for s in _SENTENCE.split(d) if set(t := words(s)) & terms.keys()]
+            yield rows({"text": (pa.string(), [s for s, _ in out]), "found": (pa.bool_(), [f for _, f in out])})
+
+    def change(batches: Batches) -> Batches:
+        for batch in batches:
+            kept = [[np.array([f for f in side if f in scales], dtype=np.int64).tobytes() for side in c] for d in utf8(batch) for c in swaps(d, terms).elements()]
+            yield rows({"gone": (pa.binary(), [g for g, _ in kept]), "new": (pa.binary(), [n for _, n in kept])})
+
+    chosen = sample.mapInArrow(sentences, "text string, found boolean").distinct().orderBy("found", F.xxhash64("text"), "text").limit(bound)
+    counted = chosen.mapInArrow(change, "gone binary, new binary").groupBy("gone", "new").count().collect()
+    as_ids = lambda data: tuple(np.frombuffer(data, dtype=np.int64).tolist())
+    return Counter({(as_ids(r["gone"]), as_ids(r["new"])): r["count"] for r in counted})
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from the threshold) of every row's whole text.
 
     Null and empty texts get the score of a text without words; rows with a null id are
-    scored and not held out; repeated rows are scored each; other columns are not read.
+    scored and not held out; repeated rows are scored each; an empty table gives an empty
+    table; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
 
@@ -248,7 +336,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is below the threshold, with all columns; null texts are kept or dropped as empty ones."""
+    """The rows whose score is below the threshold, with all columns; null texts are kept or dropped as empty ones, repeated rows each."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Batches) -> Batches:
