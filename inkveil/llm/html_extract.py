@@ -3,8 +3,9 @@
 Each page becomes a tree of its block elements; runs of equal siblings (paragraphs, list
 items) become one repeated node. The most frequent tree of a host is its seed, and every
 layout's tree is aligned to the seed by simple tree matching. Evidence from all pages of
-the host then decides about each node of the seed: one whose text is shared by many of the
-pages is template, one that holds hardly anything but links is a menu, and nodes whose
+the host then decides about each node of the seed: one whose text most likely stands on
+one of some other pages is template (whatever the number of the host's pages), and so is one
+whose texts stand on other hosts as well, one that holds hardly anything but links is a menu, and nodes whose
 text varies are slots that hold content.
 
 What HTML itself says helps where a host can't show it: menus, footers, asides, buttons
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from inkveil.llm._common import Batches, rows, stored, utf8
 
 MIN_PAGES = 5  # different pages of a host from which a node can be called template
-SHARED = 0.05  # chance that two pages of the host have the same text in a node, from which it is template
-SHARED_IN_ARTICLE = 0.5  # the same inside an element that pages mark as their article
+OTHERS = 200  # pages of the host among which a text is looked for; all others, if there are fewer
+SHARED = 0.8  # chance that a page's text in a node stands on one of OTHERS other pages, from which the node is template
+HOSTS = 3  # hosts on which a text must stand to count as shared, wherever it stands (not in a host's largest node)
+SHARED_IN_ARTICLE = 0.5  # chance that it stands on one other page, inside an element that pages mark as their article
 LINKED = 0.6  # share of a node's characters within links from which it is a menu, outside such an element
 MOST = 0.9  # share of a page's text that no element beside the article holds
 WIDE = 64  # children from which equal ones are merged wherever they stand, and different ones become one node
@@ -340,17 +343,16 @@ def main_text(page: Page, template: set[int], to_seed: dict[int, int]) -> str:
 
 #: A page's blocks: node number, text, marked as something else than the article, marked as the article.
 BLOCKS = "array<struct<node: int, text: string, chrome: boolean, article: boolean>>"
-#: Its nodes that hold text outside of what is marked as something else: number, hash of the text, characters, those within links, in the marked article.
+#: Its nodes that hold text: number, hash of the text, characters, those within links, in the marked article.
 SLOTS = "array<struct<node: int, hash: bigint, size: int, linked: int, article: boolean>>"
 
 
 def _slots(page: Page) -> dict[int, tuple[list[str], int, bool]]:
     out: dict[int, tuple[list[str], int, bool]] = {}
     for (n, t), linked in zip(page.blocks, page.links, strict=True):
-        if not n.chrome:
-            texts, before, article = out.get(n.number, ([], 0, n.article))
-            texts.append(t)
-            out[n.number] = (texts, before + linked, article)
+        texts, before, article = out.get(n.number, ([], 0, n.article))
+        texts.append(t)
+        out[n.number] = (texts, before + linked, article)
     return out
 
 
@@ -362,10 +364,13 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             for k in range(0, batch.num_rows, 50):
                 part = batch.slice(k, 50)
                 found = [parse(d.decode()) for d in utf8(part, "html")]
-                slots = [[{"node": n, "hash": xxhash.xxh64_intdigest("\n".join(t)) >> 1, "size": sum(map(len, t)), "linked": linked, "article": article} for n, (t, linked, article) in _slots(p).items()] for p in found]
+                hosts = [host_of(u or "") for u in part.column("url").to_pylist()]
+                # a text that differs by the host's name alone is the same
+                digest = lambda texts, host: xxhash.xxh64_intdigest("\n".join(texts).replace(host, "") if host else "\n".join(texts)) >> 1
+                slots = [[{"node": n, "hash": digest(t, h), "size": sum(map(len, t)), "linked": linked, "article": article} for n, (t, linked, article) in _slots(p).items()] for p, h in zip(found, hosts, strict=True)]
                 blocks = [[{"node": n.number, "text": t, "chrome": n.chrome, "article": n.article} for n, t in p.blocks] for p in found]
                 columns = {
-                    "host": (pa.string(), [host_of(u or "") for u in part.column("url").to_pylist()]),
+                    "host": (pa.string(), hosts),
                     "layout": (pa.int64(), [xxhash.xxh64_intdigest(p.shape) >> 1 for p in found]),
                     "shape": (pa.string(), [p.shape for p in found]),
                     "page": (pa.int64(), [xxhash.xxh64_intdigest("\n".join(t for _, t in p.blocks)) >> 1 for p in found]),
@@ -402,19 +407,27 @@ def induce_wrappers(parsed: DataFrame) -> DataFrame:
     # equal pages of a host count once
     seen = slots.select("host", "page", F.get("to_seed", F.col("s.node")).alias("node"), "s.hash", "s.size", "s.linked", "s.article").where("node >= 0").distinct()
     by_text = seen.groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("article").alias("article"))
-    by_node = by_text.groupBy("host", "node").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("equal"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("article").alias("article")
-    )
-    shared = F.col("equal") / (F.col("n") * (F.col("n") - 1))
-    template = shared >= F.when(F.col("article"), F.lit(SHARED_IN_ARTICLE)).otherwise(F.lit(SHARED))
+    by_text = stored(by_text, "evidence")
+    by_node = by_text.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("article").alias("article"))
+    largest = by_node.groupBy("host").agg(F.max_by("node", F.struct(F.col("size") - F.col("linked"), "node")).alias("largest"))
+    by_node = by_node.where(F.col("pages") >= MIN_PAGES).join(largest, "host").withColumn("may_travel", ~F.col("article") & (F.col("node") != F.col("largest")))
+    travelling = by_text.groupBy("hash").agg(F.countDistinct("host").alias("hosts")).where(F.col("hosts") >= HOSTS).select("hash", F.lit(True).alias("travels"))
+    same = (F.col("n") - 1) / (F.col("pages") - 1)  # the part of the other pages with this text
+    others = F.when(F.col("article"), F.lit(1)).otherwise(F.least(F.lit(OTHERS), F.col("pages") - 1))
+    likely = F.when(F.col("travels") & F.col("may_travel"), F.lit(1.0)).otherwise(1 - F.pow(1 - same, others))
+    met = by_text.select("host", "node", "hash", "n").join(travelling, "hash", "left").join(by_node, ["host", "node"])
+    by_node = met.groupBy("host", "node").agg(F.sum(F.col("n") / F.col("pages") * likely).alias("shared"), *[F.first(c).alias(c) for c in ("size", "linked", "article")])
+    template = F.col("shared") >= F.when(F.col("article"), F.lit(SHARED_IN_ARTICLE)).otherwise(F.lit(SHARED))
     menu = ~F.col("article") & (F.col("linked") >= F.col("size") * LINKED)
-    out = by_node.where(F.col("n") >= MIN_PAGES).where(template | menu).groupBy("host").agg(F.collect_set("node").alias("dropped"))
+    out = by_node.where(template | menu).groupBy("host").agg(F.collect_set("node").alias("dropped"))
     return stored(aligned.join(out, "host", "left").withColumn("n_template_nodes", F.greatest(F.size("dropped"), F.lit(0)).cast("bigint")), "wrappers")
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, host, text, n_chars, n_template_nodes, n_template_chars (what the host's wrapper took): one row per input row.
+    """page_id, url, host, text, n_chars, n_template_nodes, n_template_chars, n_hint_chars: one row per input row.
 
+    n_template_chars counts what the host's wrapper took, n_hint_chars what the page's own
+    marks took of the rest.
     Null html counts as empty; pages without a host share the empty host; text is empty if
     none is left; if the wrapper would take all that the hints leave, they alone count;
     repeated rows are extracted each, but equal pages of a host count once for its
@@ -427,10 +440,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     parsed = stored(parse_pages(kept), "pages")
     met = parsed.drop("shape", "slots", "page").join(induce_wrappers(parsed), ["host", "layout"])
     dropped = F.coalesce("dropped", F.expr("CAST(array() AS ARRAY<INT>)"))
-    met = met.withColumn("hinted", F.filter("blocks", lambda b: ~b["chrome"])).withColumn("left", F.filter("hinted", lambda b: ~F.array_contains(dropped, F.get("to_seed", b["node"]))))
-    met = met.withColumn("left", F.when(F.size("left") > 0, F.col("left")).otherwise(F.col("hinted")))
+    met = met.withColumn("unwrapped", F.filter("blocks", lambda b: ~F.array_contains(dropped, F.get("to_seed", b["node"])))).withColumn("hinted", F.filter("unwrapped", lambda b: ~b["chrome"]))
+    met = met.withColumn("left", F.when(F.size("hinted") > 0, F.col("hinted")).otherwise(F.filter("blocks", lambda b: ~b["chrome"])))
     size = lambda blocks: F.aggregate(blocks, F.lit(0).cast("bigint"), lambda acc, b: acc + F.length(b["text"]))
-    met = met.withColumn("marked", F.filter("left", lambda b: b["article"])).withColumn("taken", size(F.col("hinted")) - size(F.col("left")))
+    met = met.withColumn("marked", F.filter("left", lambda b: b["article"]))
+    counts = [F.col("n_template_nodes"), (size(F.col("blocks")) - size(F.col("unwrapped"))).alias("n_template_chars"), (size(F.col("unwrapped")) - size(F.col("hinted"))).alias("n_hint_chars")]
     final = F.when((F.size("marked") > 0) & (size(F.col("marked")) * 2 >= size(F.col("left"))), F.col("marked")).otherwise(F.col("left"))
     text = F.array_join(F.transform(final, lambda b: b["text"]), " ")
-    return met.select("page_id", "url", "host", text.alias("text"), "n_template_nodes", F.col("taken").alias("n_template_chars")).select("page_id", "url", "host", "text", F.length("text").cast("bigint").alias("n_chars"), "n_template_nodes", "n_template_chars")
+    return met.select("page_id", "url", "host", text.alias("text"), *counts).withColumn("n_chars", F.length("text").cast("bigint"))

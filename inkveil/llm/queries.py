@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "n_template_nodes", "n_template_chars")
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "host", "n_template_nodes", "n_template_chars", "n_hint_chars")
 
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
