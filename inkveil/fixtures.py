@@ -69,9 +69,10 @@ SELECT page_id AS request_id, page_id AS image_id,
 FROM pages
 """
 
+#: Sheets of a thousand rows each.
 MANIFEST = """
-SELECT concat('part', CAST(page_id % 5 AS STRING)) AS file,
-       CAST(1 + row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) AS INT) AS row_num,
+SELECT concat('part', CAST(CAST(floor(page_id / 1000) AS BIGINT) AS STRING)) AS file,
+       CAST(2 + page_id % 1000 AS INT) AS row_num,
        CASE WHEN page_id % 11 = 0 THEN concat('  ', url, ' ') WHEN page_id % 13 = 0 THEN concat('ftp:', url) ELSE url END AS url,
        CAST(page_id AS BIGINT) AS image_id
 FROM pages
@@ -93,6 +94,26 @@ SELECT CAST(floor(p_partkey / 50) AS BIGINT) AS image_id, CAST(floor(p_partkey /
        CAST(100 + (p_partkey * 7) % 60 AS INT) AS y, CAST(10 + p_size AS INT) AS w, CAST(5 + p_size % 20 AS INT) AS h, CAST(20 + p_partkey % 500 AS INT) AS size FROM part
 """
 
+#: Small pictures, one for each part; their pixels follow from the id and the place.
+PICTURES = """
+SELECT CAST(p_partkey AS BIGINT) AS image_id, CAST(20 + p_partkey % 23 AS INT) AS width, CAST(16 + p_size % 31 AS INT) AS height, CAST(90 * (p_size % 4) AS INT) AS angle FROM part
+"""
+
+#: Boxes on the pictures of larger parts: one, or two for the largest; some reach past the picture's edge.
+PICTURE_BOXES = """
+SELECT CAST(p_partkey AS BIGINT) AS image_id, CAST(0 AS BIGINT) AS seq, CAST(p_partkey % 7 AS INT) AS x1, CAST(p_partkey % 5 AS INT) AS y1,
+       CAST(p_partkey % 7 + 8 + p_partkey % 19 AS INT) AS x2, CAST(p_partkey % 5 + 6 + p_partkey % 33 AS INT) AS y2 FROM part WHERE p_size > 15
+UNION ALL
+SELECT CAST(p_partkey AS BIGINT), CAST(1 AS BIGINT), CAST(10 + p_partkey % 4 AS INT), CAST(2 + p_partkey % 11 AS INT),
+       CAST(17 + p_partkey % 9 AS INT), CAST(9 + p_partkey % 11 + p_partkey % 13 AS INT) FROM part WHERE p_size > 35
+"""
+
+#: Two areas of each picture in which ink is looked for; the second reaches past the edge.
+PICTURE_AREAS = """
+SELECT CAST(p_partkey AS BIGINT) AS image_id, 0 AS area_id, 2 AS ax1, 1 AS ay1, 12 AS ax2, 9 AS ay2 FROM part
+UNION ALL SELECT CAST(p_partkey AS BIGINT), 1, CAST(8 + p_partkey % 9 AS INT), 10, 60, 40 FROM part WHERE p_size > 25
+"""
+
 STAGE_METRICS = """
 SELECT l_orderkey AS image_id, CAST(l_linenumber AS DOUBLE) AS orientation_ms, l_quantity AS ocr_ms, l_discount AS rotation_retry_ms,
        l_extendedprice AS detect_ms, l_tax AS mask_ms FROM lineitem
@@ -127,6 +148,20 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxed.select("image_id", "line_index", "text", rect(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("bbox"), "confidence")
 
 
+def pictures(spark: SparkSession, sf_dir: str, channels: int = 3) -> DataFrame:
+    """PICTURES with Spark's image struct: the byte at place i is (7 id + 13 i + 31 (i div 5)) mod 256."""
+    found = derived(spark, sf_dir, PICTURES)
+    byte = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") * channels - 1), lambda i: F.lpad(F.hex((F.col("image_id") * 7 + i * 13 + F.floor(i / 5) * 31) % 256), 2, "0"))
+    data = F.unhex(F.array_join(byte, ""))
+    image = F.struct(F.lit("").alias("origin"), "height", "width", F.lit(channels).alias("nChannels"), F.lit(16 if channels == 3 else 0).alias("mode"), data.alias("data"))
+    return found.select("image_id", "angle", image.alias("image"))
+
+
+def picture_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = derived(spark, sf_dir, PICTURE_BOXES)
+    return found.select("image_id", "seq", rect(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("polygon"))
+
+
 def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items as JSON arrays, every third in a code fence, every eleventh cut off, plus a signature box for some images."""
     item = F.struct("item_seq", F.to_json(F.struct(F.col("line_index"), "text", "category")).alias("json"))

@@ -37,9 +37,13 @@ def apply_request_defaults(df: DataFrame, default_provider: str, default_mode: s
     })
 
 
-def validate_mask_mode(df: DataFrame, modes: tuple[str, ...] = MASK_MODES) -> DataFrame:
-    """Adds mode_ok; a null mode isn't one."""
-    return df.withColumn("mode_ok", F.coalesce(F.col("mask_mode").isin(*modes), F.lit(False)))
+ADDED_MODES: list[str] = []  # by images.register_mask_mode
+
+
+def validate_mask_mode(df: DataFrame, modes: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds mode_ok: one of the fixed or added modes, or of those given; a null mode isn't one."""
+    known = (*MASK_MODES, *ADDED_MODES) if modes is None else modes
+    return df.withColumn("mode_ok", F.coalesce(F.col("mask_mode").isin(*known), F.lit(False)))
 
 
 def classify_errors(df: DataFrame, msg_col: str = "message") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import box_columns, iou
@@ -13,7 +13,7 @@ SOURCES = ("llm", "rule", "cv", "adj", "face")  # fixed: the order that ties fol
 MAX_IOU = 0.3
 
 
-def source_order() -> F.Column:
+def source_order() -> Column:
     return F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
 
 
@@ -22,29 +22,40 @@ def union_regions(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("source_ord", source_order())
 
 
+def _folded(boxes: Column, max_iou: float) -> Column:
+    """The boxes, in their order, that no kept one before overlaps by more than max_iou."""
+    return F.aggregate(boxes, F.slice(boxes, 1, 0), lambda acc, r: F.when(F.exists(acc, lambda k: iou(k, r) > max_iou), acc).otherwise(F.concat(acc, F.array(r))))
+
+
+def _boxes(regions: DataFrame, alone_first: Column) -> DataFrame:
+    """One row for each image: its regions by falling area, then source and sequence; whole rows come along as r."""
+    x1, y1, x2, y2 = box_columns(F.col("polygon"))
+    keyed = regions.select("image_id", source_order().alias("o"), "seq", x1, y1, x2, y2, alone_first.alias("alone"), F.struct(*regions.columns).alias("r"))
+    area = (F.col("x2") - F.col("x1")).cast("bigint") * (F.col("y2") - F.col("y1")).cast("bigint")
+    box = F.struct((-area).alias("n"), "o", "seq", "x1", "y1", "x2", "y2", "alone", "r")
+    return keyed.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+
+
 def dedupe_regions(regions: DataFrame, max_iou: float = MAX_IOU) -> DataFrame:
     """Regions that no larger kept region of the image overlaps by more than max_iou.
 
     A greedy fold over the image's regions by falling area; equal areas keep source and
-    sequence order. Only boxes and keys enter the fold; the kept keys meet the regions again.
+    sequence order, and rows that agree in all of these the order of their other columns.
+    Rows with the same keys are regions of their own. One grouping by image, no join.
     Adds paint_order, the place in that order.
     """
-    x1, y1, x2, y2 = box_columns(F.col("polygon"))
-    keyed = regions.select("image_id", source_order().alias("o"), "seq", x1, y1, x2, y2)
-    area = (F.col("x2") - F.col("x1")).cast("bigint") * (F.col("y2") - F.col("y1")).cast("bigint")
-    box = F.struct((-area).alias("n"), "o", "seq", "x1", "y1", "x2", "y2")
-    ordered = keyed.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
-    none = F.expr("CAST(array() AS ARRAY<STRUCT<n: BIGINT, o: BIGINT, seq: BIGINT, x1: INT, y1: INT, x2: INT, y2: INT>>)")
-    kept = F.aggregate("boxes", none, lambda acc, r: F.when(F.exists(acc, lambda k: iou(k, r) > max_iou), acc).otherwise(F.concat(acc, F.array(r))))
-    keys = ordered.select("image_id", F.posexplode(kept).alias("paint_order", "k")).select("image_id", F.col("k.o").alias("__o"), F.col("k.seq").alias("seq"), F.col("paint_order") + 1)
-    keys = keys.toDF("image_id", "__o", "seq", "paint_order")
-    return regions.withColumn("__o", source_order()).join(keys, ["image_id", "__o", "seq"]).drop("__o").select(*regions.columns, "paint_order")
-
-
-def dedupe_twice(llm: DataFrame, *others: DataFrame) -> DataFrame:
-    """The model's regions are freed of overlaps among themselves first, then all together."""
-    first = dedupe_regions(llm).drop("paint_order")
-    return dedupe_regions(union_regions(first, *others).drop("source_ord"))
+    kept = _boxes(regions, F.lit(False)).select(F.posexplode(_folded(F.col("boxes"), max_iou)).alias("place", "k"))
+    return kept.select("k.r.*", (F.col("place") + 1).alias("paint_order"))
+
+
+def dedupe_twice(llm: DataFrame, *others: DataFrame, max_iou: float = MAX_IOU) -> DataFrame:
+    """The model's regions are freed of overlaps among themselves first, then all together; one grouping by image for both."""
+    marked = [llm.withColumn("__alone", F.lit(True)), *(x.withColumn("__alone", F.lit(False)) for x in others)]
+    every = reduce(DataFrame.unionByName, marked)
+    boxes = _boxes(every, F.col("__alone"))
+    first = F.concat(_folded(F.filter("boxes", lambda b: b["alone"]), max_iou), F.filter("boxes", lambda b: ~b["alone"]))
+    kept = boxes.select(F.array_sort(first).alias("boxes")).select(F.posexplode(_folded(F.col("boxes"), max_iou)).alias("place", "k"))
+    return kept.select("k.r.*", (F.col("place") + 1).alias("paint_order")).drop("__alone")
 
 
 def paint_order(regions: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def values(rules, table: str = "lines") -> str:
 
 
 #: CTE rule_poly over m: the polygon of an upright line's part, moved outward from its centre.
-RULE_POLY = """
+_POLY = """
 v AS (SELECT *, instr(text, value) - 1 AS pos, greatest(length(text), 1) AS n, greatest(2, CAST(trunc(greatest(y2 - y1, 1) * CAST(0.15 AS DOUBLE)) AS INT)) AS pad FROM m),
 w AS (SELECT *, CASE WHEN pos < 0 OR pos = 0 AND length(value) >= n THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), pos / CAST(n AS DOUBLE) - prefix_miss * (CAST(1 AS DOUBLE) / n)) END AS a,
              CASE WHEN pos < 0 OR pos = 0 AND length(value) >= n THEN CAST(1 AS DOUBLE) ELSE (pos + length(value)) / CAST(n AS DOUBLE) END AS b FROM v),
@@ -51,6 +51,17 @@ rule_poly AS (SELECT *,
    CAST(trunc(xb + (xb - mx) / nc * pad) AS INT) AS p4, CAST(trunc(y2 + (y2 - my) / nc * pad) AS INT) AS p5,
    CAST(trunc(xa + (xa - mx) / nd * pad) AS INT) AS p6, CAST(trunc(y2 + (y2 - my) / nd * pad) AS INT) AS p7 FROM d)
 """
+
+
+def poly(table: str, prefix: str) -> str:
+    """The same over another table, as CTE <prefix>rule_poly."""
+    out = _POLY
+    for name in ("v", "w", "s", "c", "d"):
+        out = out.replace(f"\n{name} AS (", f"\n{prefix}{name} AS (").replace(f" FROM {name})", f" FROM {prefix}{name})")
+    return out.replace(" FROM m)", f" FROM {table})").replace("rule_poly AS", f"{prefix}rule_poly AS")
+
+
+RULE_POLY = poly("m", "")
 POINTS = "p0, p1, p2, p3, p4, p5, p6, p7"
 POLYGON = f"concat_ws(',', {POINTS})"
 RULE_REGIONS = f"rule_regions AS (SELECT image_id, 'rule' AS source, CAST(line_index AS BIGINT) * 100000 + rule_no * 1000 + match_no AS seq, value AS text, category, {POINTS}, line_index AS ocr_line_index FROM rule_poly)"
@@ -77,27 +88,27 @@ empty_regions AS (SELECT image_id, 'rule' AS source, 2000000000000 + CAST(line_i
 
 
 ALL_RULES = f"{LINES}, {values(RULES)}, {RULE_POLY}, {RULE_REGIONS}, {SIGN}, {empty_labels('lines')}, all_rules AS (SELECT * FROM rule_regions UNION ALL SELECT * FROM sign_regions UNION ALL SELECT * FROM empty_regions)"
-BOXES = f"{ALL_RULES}, every AS (SELECT * FROM all_rules UNION ALL SELECT image_id, 'llm', line_index, text, 'name', x1, y1, x2, y1, x2, y2, x1, y2, line_index FROM lines WHERE line_index % 3 = 0)"
+BOXES = f"{ALL_RULES}, every AS (SELECT * FROM all_rules UNION ALL SELECT image_id, 'llm', line_index, text, 'name', x1, y1, x2, y1, x2, y2, x1, y2, line_index FROM lines)"
 
 
-def dedupe(table: str) -> str:
+def dedupe(table: str, prefix: str = "") -> str:
     """CTE kept: image_id, source, seq, paint_order after greedy suppression by falling area."""
     return f"""
-boxed AS (SELECT *, least(p0, p2, p4, p6) AS bx1, least(p1, p3, p5, p7) AS by1, greatest(p0, p2, p4, p6) AS bx2, greatest(p1, p3, p5, p7) AS by2,
+{prefix}boxed AS (SELECT *, least(p0, p2, p4, p6) AS bx1, least(p1, p3, p5, p7) AS by1, greatest(p0, p2, p4, p6) AS bx2, greatest(p1, p3, p5, p7) AS by2,
           list_position(['llm', 'rule', 'cv', 'adj', 'face'], source) AS o FROM {table}),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CAST(bx2 - bx1 AS BIGINT) * (by2 - by1) DESC, o, seq) AS r FROM boxed),
-folded AS (SELECT image_id, list_reduce(list({{'r': r, 'source': source, 'seq': seq, 'x1': bx1, 'y1': by1, 'x2': bx2, 'y2': by2}} ORDER BY r).list_transform(lambda e: [e]),
+{prefix}ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CAST(bx2 - bx1 AS BIGINT) * (by2 - by1) DESC, o, seq) AS r FROM {prefix}boxed),
+{prefix}folded AS (SELECT image_id, list_reduce(list({{'r': r, 'source': source, 'seq': seq, 'x1': bx1, 'y1': by1, 'x2': bx2, 'y2': by2}} ORDER BY r).list_transform(lambda e: [e]),
    lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: least(k.x2, x[1].x2) > greatest(k.x1, x[1].x1) AND least(k.y2, x[1].y2) > greatest(k.y1, x[1].y1)
        AND CAST(least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1) AS BIGINT) * (least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1))
          / CAST(CAST(k.x2 - k.x1 AS BIGINT) * (k.y2 - k.y1) + CAST(x[1].x2 - x[1].x1 AS BIGINT) * (x[1].y2 - x[1].y1)
            - CAST(least(k.x2, x[1].x2) - greatest(k.x1, x[1].x1) AS BIGINT) * (least(k.y2, x[1].y2) - greatest(k.y1, x[1].y1)) AS DOUBLE) > 0.3)) > 0 THEN acc ELSE list_concat(acc, x) END) AS l
-   FROM ranked GROUP BY image_id),
-kept AS (SELECT image_id, e.source AS source, e.seq AS seq, CAST(i AS INT) AS paint_order FROM (SELECT image_id, unnest(l) AS e, unnest(range(1, len(l) + 1)) AS i FROM folded))
+   FROM {prefix}ranked GROUP BY image_id),
+{prefix}kept AS (SELECT image_id, e.source AS source, e.seq AS seq, CAST(i AS INT) AS paint_order FROM (SELECT image_id, unnest(l) AS e, unnest(range(1, len(l) + 1)) AS i FROM {prefix}folded))
 """
 
 
 STATS = "stats AS (SELECT image_id, count(*) AS line_count, sum(length(replace(replace(text, ' ', ''), chr(10), ''))) AS char_count, substring(trim(string_agg(text, '' ORDER BY line_index)), 1, 200) AS ocr_text FROM lines {where} GROUP BY image_id)"
-CHECKED = f"""{LINES}, {MANIFEST}, {STATS.format(where='WHERE image_id % 7 <> 0')},
+CHECKED = f"""{LINES}, {MANIFEST}, {STATS.format(where='')},
 checked AS (SELECT m.file, m.row_num, m.url, m.image_id, CASE WHEN bad THEN 0 ELSE coalesce(line_count, 0) END AS line_count, CAST(CASE WHEN bad THEN 0 ELSE coalesce(char_count, 0) END AS BIGINT) AS char_count,
    CASE WHEN bad THEN '' ELSE coalesce(ocr_text, '') END AS ocr_text, NOT bad AND coalesce(char_count >= 5, false) AS has_text, CASE WHEN bad THEN 'download failed' END AS error
    FROM (SELECT *, image_id % 10 = 9 AS bad FROM manifest) m LEFT JOIN stats USING (image_id))"""
@@ -112,6 +123,38 @@ def _derived(mark: str, key: str = "key") -> str:
     return f"concat(substring({key}, 1, length({key}) - length({ext})), {mark}, {ext})"
 
 
+CLEANED = """
+numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY item_seq) - 1 AS INT) AS k FROM ({items}) items WHERE image_id % 11 <> 0),
+item AS (SELECT image_id, k AS item_seq, line_index, category,
+   CASE WHEN regexp_matches(text, '^[\\x{{4e00}}-\\x{{9fff}}\\w]+[：:]$') THEN NULL WHEN regexp_matches(text, '^[\\x{{4e00}}-\\x{{9fff}}\\w]+[：:]\\s*.+$') THEN regexp_extract(text, '^[\\x{{4e00}}-\\x{{9fff}}\\w]+[：:]\\s*(.+)$', 1) ELSE text END AS text FROM numbered)
+""".format(items=X.ITEMS)
+LOCATED = """
+tries AS (SELECT i.*, prefix_miss, substring(i.text, prefix_miss + 1) AS matched FROM item i, (SELECT unnest([0, 1, 2]) AS prefix_miss) s WHERE i.text IS NOT NULL AND (prefix_miss = 0 OR (prefix_miss < least(3, length(i.text) - 1) AND length(i.text) - prefix_miss >= 2))),
+m2 AS (SELECT t.image_id, l.line_index, l.text, l.x1, l.y1, l.x2, l.y2, t.item_seq, t.matched AS value, t.category, t.prefix_miss
+   FROM tries t JOIN lines l ON t.image_id = l.image_id AND contains(l.text, t.matched)
+   QUALIFY row_number() OVER (PARTITION BY t.image_id, t.item_seq ORDER BY CASE WHEN t.prefix_miss = 0 AND l.line_index = t.line_index THEN 0 ELSE 1 END, t.prefix_miss, abs(l.line_index - t.line_index), l.line_index) = 1)
+"""
+SIGNED = """
+asked AS (SELECT image_id, count(*) AS item_seq, CAST(image_id % 50 AS DOUBLE) AS a, CAST(10 AS DOUBLE) AS b, CAST(image_id % 130 AS DOUBLE) AS c, CAST(30.5 AS DOUBLE) AS d FROM numbered WHERE image_id % 4 = 0 GROUP BY image_id),
+pct AS (SELECT image_id, item_seq, width, height, CASE WHEN c > 100 THEN trunc(a) ELSE trunc(a / 100.0 * width) END AS pa, CASE WHEN c > 100 THEN trunc(b) ELSE trunc(b / 100.0 * height) END AS pb,
+   CASE WHEN c > 100 THEN trunc(c) ELSE trunc(c / 100.0 * width) END AS pc, CASE WHEN c > 100 THEN trunc(d) ELSE trunc(d / 100.0 * height) END AS pd FROM asked JOIN meta USING (image_id)),
+cornered AS (SELECT image_id, item_seq, width, height, CAST(least(pa, pc) AS INT) AS x1, CAST(least(pb, pd) AS INT) AS y1, CAST(greatest(pa, pc) AS INT) AS x2, CAST(greatest(pb, pd) AS INT) AS y2 FROM pct),
+padded AS (SELECT *, CAST(trunc(greatest(x2 - x1, y2 - y1) * CAST(0.15 AS DOUBLE)) AS INT) AS pad FROM cornered),
+signed AS (SELECT image_id, item_seq, greatest(0, x1 - pad) AS x1, greatest(0, y1 - pad) AS y1, least(width, x2 + pad) AS x2, least(height, y2 + pad) AS y2 FROM padded)
+"""
+MODEL_REGIONS = f"""
+model AS (SELECT image_id, 'llm' AS source, CAST(item_seq AS BIGINT) AS seq, value AS text, category, {POINTS}, line_index AS ocr_line_index FROM m2_rule_poly
+   UNION ALL SELECT image_id, 'llm', item_seq, '[手写签名]', 'handwritten_signature', x1, y1, x2, y1, x2, y2, x1, y2, -1 FROM signed WHERE x2 > x1 AND y2 > y1)
+"""
+PICTURES = f"""pic AS ({X.PICTURES}), boxes AS ({X.PICTURE_BOXES}),
+px AS (SELECT image_id, width, height, angle, i, (i // 3) % width AS x, (i // 3) // width AS y, i % 3 AS c, (image_id * 7 + i * 13 + (i // 5) * 31) % 256 AS v FROM (SELECT *, unnest(range(width * height * 3)) AS i FROM pic))"""
+GRAY = f"""pic AS ({X.PICTURES}), area AS ({X.PICTURE_AREAS}),
+px AS (SELECT image_id, i % width AS x, i // width AS y, (image_id * 7 + i * 13 + (i // 5) * 31) % 256 AS v FROM (SELECT *, unnest(range(width * height)) AS i FROM pic)),
+ink AS (SELECT image_id, area_id, CAST(y AS INT) AS y, x, x - row_number() OVER (PARTITION BY image_id, area_id, y ORDER BY x) AS island FROM px JOIN area USING (image_id) WHERE v <= 140 AND x >= ax1 AND x < ax2 AND y >= ay1 AND y < ay2),
+runs AS (SELECT image_id, area_id, y, CAST(min(x) AS INT) AS x1, CAST(max(x) + 1 AS INT) AS x2 FROM ink GROUP BY image_id, area_id, y, island)"""
+DIGEST = "md5(string_agg(printf('%02X', CAST({v} AS BIGINT)), '' ORDER BY {i}))"
+INSIDE = "b.image_id = px.image_id AND px.x BETWEEN b.x1 AND b.x2 AND px.y BETWEEN b.y1 AND b.y2"
+
 NO_DOMAIN = "domain <> 'cdn.example.com'"
 
 ORACLE: dict[str, str] = {
@@ -157,12 +200,12 @@ r AS (SELECT image_id, 0 AS item_seq, greatest(0, x1 - pad) AS x1, greatest(0, y
     "j6_search_areas": f"""WITH {LINES}, {META}, {values(RULES)}, {RULE_POLY}, {RULE_REGIONS},
 d AS (SELECT r.image_id, r.seq, width, height, least(p0, p2, p4, p6) AS x1, least(p1, p3, p5, p7) AS y1, greatest(p0, p2, p4, p6) AS x2, greatest(p1, p3, p5, p7) AS y2 FROM rule_regions r JOIN meta USING (image_id) WHERE category = 'doctor'),
 a AS (SELECT image_id, seq, greatest(0, x1 - CAST(trunc(greatest(y2 - y1, 20) * CAST(0.5 AS DOUBLE)) AS INT)) AS ax1, y2 AS ay1, least(width, x2 + CAST(trunc(greatest(y2 - y1, 20) * CAST(0.5 AS DOUBLE)) AS INT)) AS ax2, least(height, y2 + CAST(trunc(greatest(y2 - y1, 20) * CAST(2.5 AS DOUBLE)) AS INT)) AS ay2 FROM d)
-SELECT * FROM a WHERE ay2 - ay1 >= 10 AND ax2 - ax1 >= 20 AND NOT EXISTS (SELECT 1 FROM lines o WHERE o.image_id = a.image_id AND o.line_index % 4 <> 1 AND o.confidence > CAST(0.7 AS DOUBLE) AND length(trim(o.text)) >= 2
+SELECT * FROM a WHERE ay2 - ay1 >= 10 AND ax2 - ax1 >= 20 AND NOT EXISTS (SELECT 1 FROM lines o WHERE o.image_id = a.image_id AND o.confidence > CAST(0.7 AS DOUBLE) AND length(trim(o.text)) >= 2
   AND (o.x1 + o.x2) / CAST(2 AS DOUBLE) BETWEEN ax1 AND ax2 AND (o.y1 + o.y2) / CAST(2 AS DOUBLE) BETWEEN ay1 AND ay2)""".replace("\nd AS (SELECT r.", "\ndoc AS (SELECT r.").replace("FROM d)\nSELECT * FROM a", "FROM doc)\nSELECT * FROM a"),
     "j8_text_check": f"WITH {CHECKED} SELECT * FROM checked",
     "j7_rows_with_text": f"WITH {CHECKED} SELECT file, row_num, url FROM checked WHERE error IS NULL AND has_text ORDER BY file, row_num",
     "s4_report": f"WITH {CHECKED} SELECT file, row_num, url, CASE WHEN has_text THEN 'yes' ELSE 'no' END AS has_text, line_count, char_count, ocr_text, error FROM checked ORDER BY file, row_num",
-    "a1_meaningful_text": f"WITH {LINES}, {META}, g AS (SELECT image_id, count(*) AS n, max(length(trim(text))) AS longest FROM lines WHERE line_index % 5 <> 0 GROUP BY image_id) SELECT meta.image_id, coalesce(n, 0) AS n_lines, coalesce(n, 0) >= 2 AND coalesce(longest, 0) >= 3 AS meaningful FROM meta LEFT JOIN g USING (image_id)",
+    "a1_meaningful_text": f"WITH {LINES}, {META}, g AS (SELECT image_id, count(*) AS n, max(length(trim(text))) AS longest FROM lines GROUP BY image_id) SELECT meta.image_id, coalesce(n, 0) AS n_lines, coalesce(n, 0) >= 2 AND coalesce(longest, 0) >= 3 AS meaningful FROM meta LEFT JOIN g USING (image_id)",
     "a2_ocr_quality": f"""WITH {LINES}, q AS (SELECT image_id, count(*) AS total_lines, avg(length(text)) AS avg_len, count(*) FILTER (length(text) >= 4) AS long_lines, count(*) FILTER (length(trim(text)) >= 3) AS n3, count(*) FILTER (length(trim(text)) >= 3 AND y2 - y1 > 1.5 * (x2 - x1)) AS up FROM lines GROUP BY image_id),
 r AS (SELECT *, total_lines >= 4 AND avg_len >= 3 AND long_lines >= 2 AS valid, n3 >= 3 AND up > n3 * 0.5 AS is_vertical FROM q) SELECT image_id, total_lines, round(avg_len, 9) AS avg_len, long_lines, valid, is_vertical, NOT valid OR is_vertical AS need_rotation FROM r""",
     "a3_page_text": f"WITH {LINES} SELECT image_id, string_agg(text, chr(10) ORDER BY line_index) AS full_text, CAST(count(*) AS INT) AS total_lines FROM lines GROUP BY image_id",
@@ -175,6 +218,32 @@ t AS (SELECT image_id, count(*) AS total_lines FROM lines GROUP BY image_id) SEL
     "a8_source_counts": f"""WITH {BOXES}, {dedupe('every')}, f AS (SELECT image_id, count(*) AS final FROM kept GROUP BY image_id), g AS (SELECT image_id, count(*) FILTER (source = 'llm') AS llm, count(*) FILTER (source = 'rule') AS rule, count(*) FILTER (source = 'cv') AS cv, count(*) FILTER (source = 'adj') AS adj, count(*) FILTER (source = 'face') AS face FROM every GROUP BY image_id)
 SELECT g.*, coalesce(final, 0) AS final, rule + cv + adj + face AS extra FROM g LEFT JOIN f USING (image_id)""",
     "a9_dedupe_regions": f"WITH {BOXES}, {dedupe('every')} SELECT * FROM kept",
+    "wb_detect": f"""WITH {ALL_RULES}, {META}, {CLEANED}, {LOCATED}, {poly('m2', 'm2_')}, {SIGNED}, {MODEL_REGIONS}, {dedupe('model', 'first_')},
+met AS (SELECT model.* FROM model JOIN first_kept USING (image_id, source, seq) UNION ALL SELECT * FROM all_rules), {dedupe('met')}
+SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index, paint_order FROM kept JOIN met USING (image_id, source, seq)""",
+    "x1_mask_solid": f"""WITH {PICTURES} SELECT image_id, image_id IN (SELECT image_id FROM boxes) AS masked, any_value(height) AS height, any_value(width) AS width,
+{DIGEST.format(v=f'CASE WHEN EXISTS (SELECT 1 FROM boxes b WHERE {INSIDE}) THEN 0 ELSE v END', i='i')} AS pixels FROM px GROUP BY image_id""",
+    "wa_mask_batch": f"""WITH {LINES}, {PICTURES}, enough AS (SELECT image_id FROM lines GROUP BY image_id HAVING count(*) >= 2 AND max(length(trim(text))) >= 3), taken AS (SELECT boxes.* FROM boxes JOIN enough USING (image_id))
+SELECT image_id, image_id IN (SELECT image_id FROM taken) AS masked, any_value(height) AS height, any_value(width) AS width, {DIGEST.format(v=f'CASE WHEN EXISTS (SELECT 1 FROM taken b WHERE {INSIDE}) THEN 255 ELSE v END', i='i')} AS pixels FROM px GROUP BY image_id""",
+    "x1_mask_mosaic": f"""WITH {PICTURES}, cut AS (SELECT b.image_id, b.x1, b.y1, least(b.x2 + 1, width) - b.x1 AS w, least(b.y2 + 1, height) - b.y1 AS h FROM boxes b JOIN pic USING (image_id) WHERE seq = 0),
+held AS (SELECT px.image_id, i, c, v, (y - y1) * greatest(1, h // 15) // h AS r, (x - x1) * greatest(1, w // 15) // w AS k FROM px JOIN cut USING (image_id) WHERE x >= x1 AND x < x1 + w AND y >= y1 AND y < y1 + h),
+painted AS (SELECT image_id, i, round_even(avg(v) OVER (PARTITION BY image_id, c, r, k), 0) AS p FROM held)
+SELECT image_id, image_id IN (SELECT image_id FROM cut) AS masked, any_value(height) AS height, any_value(width) AS width, {DIGEST.format(v='coalesce(p, v)', i='px.i')} AS pixels FROM px LEFT JOIN painted USING (image_id, i) GROUP BY image_id""",
+    "x3_rotate_images": f"""WITH {PICTURES}, turned AS (SELECT *, CASE angle WHEN 90 THEN (x * height + height - 1 - y) WHEN 180 THEN (height - 1 - y) * width + width - 1 - x WHEN 270 THEN (width - 1 - x) * height + y ELSE y * width + x END * 3 + c AS spot FROM px)
+SELECT image_id, any_value(CASE WHEN angle % 180 = 90 THEN width ELSE height END) AS height, any_value(CASE WHEN angle % 180 = 90 THEN height ELSE width END) AS width, {DIGEST.format(v='v', i='spot')} AS pixels FROM turned GROUP BY image_id""",
+    "x4_ink_runs": f"WITH {GRAY} SELECT * FROM runs",
+    "x5_strokes": f"""WITH RECURSIVE {GRAY}, r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, x1) AS n FROM runs WHERE area_id = 0),
+near AS (SELECT a.image_id, a.n AS a, b.n AS b FROM r a JOIN r b ON a.image_id = b.image_id AND abs(a.y - b.y) = 1 AND a.x1 <= b.x2 AND b.x1 <= a.x2),
+reach AS (SELECT image_id, n AS a, n AS b FROM r UNION SELECT reach.image_id, reach.a, near.b FROM reach JOIN near ON reach.image_id = near.image_id AND reach.b = near.a),
+label AS (SELECT image_id, a AS n, min(b) AS label FROM reach GROUP BY ALL)
+SELECT image_id, 0 AS area_id, min(x1) AS x, min(y) AS y, max(x2) - min(x1) AS w, CAST(max(y) - min(y) + 1 AS INT) AS h, CAST(sum(x2 - x1) AS INT) AS size FROM r JOIN label USING (image_id, n) GROUP BY image_id, label""",
+    "j9_images_with_regions": f"WITH pic AS ({X.PICTURES}), boxes AS ({X.PICTURE_BOXES}), g AS (SELECT image_id, string_agg(concat_ws(',', x1, y1, x2, y1, x2, y2, x1, y2), ';' ORDER BY seq) AS polygons FROM boxes GROUP BY image_id) SELECT image_id, polygons IS NOT NULL AS masked, coalesce(polygons, '') AS polygons FROM pic LEFT JOIN g USING (image_id)",
+    "s1_read_manifest": f"WITH {MANIFEST} SELECT row_num, url, image_id FROM manifest",
+    "s3_write_masked": f"""WITH {PARSED}, k AS (SELECT {_derived(chr(39) + '_masked_' + chr(39) + ' || CAST(request_id + 1700000000 AS VARCHAR)')} AS key, url AS content FROM parsed WHERE bucket IS NOT NULL AND host <> 'cdn.example.com')
+SELECT key, content, CASE lower({SUFFIX.format('key')}) WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.bmp' THEN 'image/bmp' WHEN '.webp' THEN 'image/webp' WHEN '.tiff' THEN 'image/tiff' ELSE 'application/octet-stream' END AS content_type FROM k""",
+    "p10_normalize_legacy": f"""WITH {LINES}, kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY line_index) - 1 AS INT) AS k FROM lines WHERE o_orderkey % 6 <> 0)
+SELECT image_id, k AS line_index, text, concat_ws(',', CAST(round_even(x1 + 0.5, 0) AS INT), CAST(round_even(y1 + 0.5, 0) AS INT), CAST(round_even(x2 + 0.5, 0) AS INT), CAST(round_even(y1 + 0.5, 0) AS INT), CAST(round_even(x2 + 0.5, 0) AS INT), CAST(round_even(y2 + 0.5, 0) AS INT), CAST(round_even(x1 + 0.5, 0) AS INT), CAST(round_even(y2 + 0.5, 0) AS INT)) AS polygon,
+CASE WHEN o_orderkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE confidence END AS confidence FROM kept""",
     "a10_stage_latency": f"""WITH s AS ({X.STAGE_METRICS}), l AS (SELECT 'orientation_ms' AS stage, orientation_ms AS ms FROM s UNION ALL SELECT 'ocr_ms', ocr_ms FROM s UNION ALL SELECT 'rotation_retry_ms', rotation_retry_ms FROM s UNION ALL SELECT 'detect_ms', detect_ms FROM s UNION ALL SELECT 'mask_ms', mask_ms FROM s)
 SELECT stage, count(*) AS images, round(avg(ms), 6) AS avg_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms, round(max(ms), 6) AS max_ms, round(sum(ms) / sum(sum(ms)) OVER (), 6) AS share FROM l WHERE ms IS NOT NULL GROUP BY stage""",
     "w2_paint_order": f"WITH {BOXES}, {dedupe('every')} SELECT image_id, source, seq, CAST(r AS INT) AS paint_order FROM ranked",

@@ -13,9 +13,10 @@ from inkveil.functions import requests as Q
 from inkveil.functions import urls as U
 from inkveil.functions.geometry import box_columns, iou, rect, value_polygon, value_position
 from inkveil.operators import lines as OL
-from inkveil.operators import locate, regions, rules, signatures, spatial
+from inkveil.operators import images, locate, regions, rules, signatures, spatial
 from inkveil.plans import batch, detect
 from inkveil.sources import tables
+from inkveil.sources.staging import fresh_path, staged
 from inkveil.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping boxes of two detectors for each order line."""
-    return regions.union_regions(rules.all_rule_regions(X.text_lines(spark, sf_dir)), X.text_lines(spark, sf_dir).where("line_index % 3 = 0").select(*rules.region_columns("llm", F.col("line_index"), F.col("text"), F.lit("name"), F.col("bbox"), F.col("line_index")))).drop("source_ord")
+    lines = staged(X.text_lines(spark, sf_dir), "lines")
+    return regions.union_regions(rules.all_rule_regions(lines), lines.select(*rules.region_columns("llm", F.col("line_index"), F.col("text"), F.lit("name"), F.col("bbox"), F.col("line_index")))).drop("source_ord")
 
 
 @query
@@ -166,13 +168,13 @@ def j5_empty_labels(spark, sf_dir):
 @query
 def j6_search_areas(spark, sf_dir):
     lines = X.text_lines(spark, sf_dir)
-    return spatial.near_doctor_search_areas(rules.rule_regions(lines), lines.where("line_index % 4 <> 1"), meta(spark, sf_dir)).select("image_id", "seq", "ax1", "ay1", "ax2", "ay2")
+    return spatial.near_doctor_search_areas(rules.rule_regions(lines), lines, meta(spark, sf_dir)).select("image_id", "seq", "ax1", "ay1", "ax2", "ay2")
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tables.keep_http(X.derived(spark, sf_dir, X.MANIFEST))
     errors = manifest.where("image_id % 10 = 9").select("image_id", F.lit("download failed").alias("error"))
-    return batch.text_check(manifest, X.text_lines(spark, sf_dir).where("image_id % 7 <> 0"), errors)
+    return batch.text_check(manifest, X.text_lines(spark, sf_dir), errors)
 
 
 @query
@@ -192,7 +194,7 @@ def s4_report(spark, sf_dir):
 
 @query
 def a1_meaningful_text(spark, sf_dir):
-    return OL.has_meaningful_text(X.text_lines(spark, sf_dir).where("line_index % 5 <> 0"), meta(spark, sf_dir))
+    return OL.has_meaningful_text(X.text_lines(spark, sf_dir), meta(spark, sf_dir))
 
 
 @query
@@ -217,21 +219,21 @@ def a5_batch_summary(spark, sf_dir):
 
 @query
 def a6_detect_result(spark, sf_dir):
-    out = detect.detection_report(X.text_lines(spark, sf_dir))
+    out = detect.detection_report(staged(X.text_lines(spark, sf_dir), "lines"))
     item = lambda x: F.concat_ws("|", x["text"], x["category"], F.array_join(F.transform(x["bbox"], lambda c: c.cast("string")), ","), x["ocr_line_index"].cast("string"))
     return out.select("image_id", "total_lines", "sensitive_count", F.coalesce(F.array_join(F.transform("items", item), ";"), F.lit("")).alias("items"))
 
 
 @query
 def a7_process_stats(spark, sf_dir):
-    lines = X.text_lines(spark, sf_dir)
+    lines = staged(X.text_lines(spark, sf_dir), "lines")
     out = regions.process_stats(meta(spark, sf_dir), lines, detect.detect_rules(lines))
     return out.select("image_id", "total_lines", "sensitive_count", "masked_count", F.array_join("sensitive_items", ";").alias("sensitive_items"))
 
 
 @query
 def a8_source_counts(spark, sf_dir):
-    every = box_regions(spark, sf_dir)
+    every = staged(box_regions(spark, sf_dir), "boxes")
     return regions.source_counts(every, regions.dedupe_regions(every))
 
 
@@ -363,9 +365,86 @@ def r2_request_outcomes(spark, sf_dir):
 @query
 def wb_detect(spark, sf_dir):
     """Model items and rules together: the whole detection without pixels."""
-    found = detect.detect(X.text_lines(spark, sf_dir), X.llm_responses(spark, sf_dir), meta(spark, sf_dir))
+    lines = staged(X.text_lines(spark, sf_dir), "lines")
+    found = detect.detect(lines, X.llm_responses(spark, sf_dir), meta(spark, sf_dir))
     return flat_regions(found, "paint_order")
 
 
+def pixels(df: DataFrame, *more: str) -> DataFrame:
+    """Height, width and a digest of each picture's bytes."""
+    return df.select("image_id", *more, "image.height", "image.width", F.md5(F.hex("image.data")).alias("pixels"))
+
+
+@query
+def x1_mask_solid(spark, sf_dir):
+    """Every picture, those without regions untouched (masked is false)."""
+    return pixels(images.mask_images(X.pictures(spark, sf_dir), X.picture_regions(spark, sf_dir), "black"), "masked")
+
+
+@query
+def x1_mask_mosaic(spark, sf_dir):
+    return pixels(images.mask_images(X.pictures(spark, sf_dir), X.picture_regions(spark, sf_dir).where("seq = 0"), "mosaic"), "masked")
+
+
+@query
+def wa_mask_batch(spark, sf_dir):
+    """Only pictures with enough text are masked."""
+    return pixels(detect.mask_batch(X.pictures(spark, sf_dir), X.text_lines(spark, sf_dir), X.picture_regions(spark, sf_dir)), "masked")
+
+
+@query
+def x3_rotate_images(spark, sf_dir):
+    found = X.pictures(spark, sf_dir)
+    return pixels(images.rotate_images(found, X.derived(spark, sf_dir, X.PICTURES)))
+
+
+@query
+def x4_ink_runs(spark, sf_dir):
+    return signatures.ink_runs(X.pictures(spark, sf_dir, 1), X.derived(spark, sf_dir, X.PICTURE_AREAS))
+
+
+@query
+def x5_strokes(spark, sf_dir):
+    runs = signatures.ink_runs(X.pictures(spark, sf_dir, 1), X.derived(spark, sf_dir, X.PICTURE_AREAS).where("area_id = 0"))
+    return signatures.stroke_components(runs)
+
+
+@query
+def j9_images_with_regions(spark, sf_dir):
+    out = regions.images_with_regions(X.derived(spark, sf_dir, X.PICTURES), X.picture_regions(spark, sf_dir))
+    each = F.array_join(F.transform("polygons", flat), ";")
+    return out.select("image_id", "masked", F.coalesce(each, F.lit("")).alias("polygons"))
+
+
+@query
+def s1_read_manifest(spark, sf_dir):
+    """The manifest written as sheets and read again."""
+    path = fresh_path(spark, "manifest")
+    X.derived(spark, sf_dir, X.MANIFEST).drop("file").write.option("header", "true").csv(path)
+    return tables.read_manifest(spark, path).select("row_num", "url", F.col("image_id").cast("bigint").alias("image_id"))
+
+
+@query
+def s3_write_masked(spark, sf_dir):
+    """Contents written under their new keys and read again."""
+    path = fresh_path(spark, "masked")
+    known = U.parse_object_url(requests(spark, sf_dir)).where("url_error IS NULL").withColumn("content", F.encode("url", "utf-8"))
+    tables.write_masked(U.derive_key(known, "masked", F.col("request_id") + 1_700_000_000), path)
+    return spark.read.parquet(path).select("key", "content_type", F.decode("content", "utf-8").alias("content"))
+
+
+@query
+def p10_normalize_legacy(spark, sf_dir):
+    """Results in the older shape: one array of polygon, text and score."""
+    found = X.derived(spark, sf_dir, X.BOXED_LINES)
+    half = lambda c: F.col(c) + F.lit(0.5)
+    poly = F.array(F.array(half("x1"), half("y1")), F.array(half("x2"), half("y1")), F.array(half("x2"), half("y2")), F.array(half("x1"), half("y2")))
+    line = F.struct("line_index", poly.alias("poly"), F.when(F.col("o_orderkey") % 6 == 0, " ").otherwise(F.col("text")).alias("text"), F.when(F.col("o_orderkey") % 7 != 0, F.col("confidence")).alias("conf"))
+    raw = found.groupBy("image_id").agg(F.array_sort(F.collect_list(line)).alias("a"))
+    none = lambda kind: F.lit(None).cast(kind)
+    raw = raw.select("image_id", none("array<string>").alias("rec_texts"), none("array<array<array<double>>>").alias("dt_polys"), none("array<double>").alias("rec_scores"), F.transform("a", lambda x: F.struct(x["poly"].alias("poly"), x["text"].alias("text"), x["conf"].alias("conf"))).alias("legacy"))
+    return L.normalize_ocr(raw).select("image_id", "line_index", "text", flat(F.col("bbox")).alias("polygon"), "confidence")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -131,6 +132,28 @@ def test_dedupe_keeps_touching_threshold_and_order(spark):
     assert [r.text for r in got] == ["d", "e", "b"]
 
 
+def test_dedupe_of_regions_with_the_same_keys(spark):
+    schema = "image_id bigint, source string, seq bigint, text string, category string, polygon array<array<int>>, ocr_line_index int, extra string"
+    square = lambda w: [[7, 7], [7 + w, 7], [7 + w, 7 + w], [7, 7 + w]]
+    rows = [(1, "face", 700007, "x", "portrait", square(w), -1, f"e{w}") for w in (48, 50, 10)] + [(2, "face", 700007, "x", "portrait", square(48), -1, "other")]
+    df = spark.createDataFrame(rows, schema)
+    got = regions.dedupe_regions(df)
+    assert got.columns == [*df.columns, "paint_order"]
+    # one of two faces at one corner goes; the small one overlaps by less
+    assert [(r.image_id, r.extra, r.paint_order) for r in got.orderBy("image_id", "paint_order").collect()] == [(1, "e50", 1), (1, "e10", 2), (2, "other", 1)]
+    twice = regions.dedupe_twice(df.where("extra <> 'e10'"), df.where("extra = 'e10'"))
+    assert sorted(r.extra for r in twice.collect()) == ["e10", "e50", "other"]
+    assert regions.dedupe_regions(df.limit(0)).count() == 0
+
+
+def test_detection_needs_no_self_join(spark, capsys):
+    schema = "image_id bigint, source string, seq bigint, text string, category string, polygon array<array<int>>, ocr_line_index int"
+    df = spark.createDataFrame([], schema)
+    regions.dedupe_twice(df, df).explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_dedupe_twice_differs_from_once(spark):
     schema = "image_id bigint, source string, seq bigint, text string, category string, polygon array<array<int>>, ocr_line_index int"
     bar = lambda a, b: [[a, 0], [b, 0], [b, 10], [a, 10]]
@@ -230,6 +253,48 @@ def test_rotation_and_own_mode(spark, picture):
     images.register_mask_mode("red", lambda image, part: np.full_like(part, [0, 0, 255]))
     got = as_pixels(images.mask_images(df, spark.createDataFrame([(1, 0, BOX)], "image_id bigint, seq bigint, polygon array<array<int>>"), "red").first())
     assert (got[0, 0] == [0, 0, 255]).all()
+    # requests may name it then
+    named = spark.createDataFrame([("red",), ("mosaic",), ("violet",), (None,)], "mask_mode string")
+    assert [r.mode_ok for r in requests.validate_mask_mode(named).collect()] == [True, True, False, False]
+    requests.ADDED_MODES.remove("red")
+    assert not requests.validate_mask_mode(named).first().mode_ok
+
+
+def test_blur_is_a_convolution():
+    part = np.random.default_rng(1).integers(0, 256, (9, 14, 3)).astype(np.uint8)
+    image = np.zeros((90, 120, 3), np.uint8)
+    k = 45
+    sigma = 0.3 * ((k - 1) * 0.5 - 1) + 0.8
+    kernel = np.exp(-((np.arange(k) - k // 2) ** 2) / (2 * sigma * sigma))
+    kernel /= kernel.sum()
+    want = part.astype(float)
+    for axis in (0, 1):
+        padded = np.pad(want, [(k // 2, k // 2) if a == axis else (0, 0) for a in range(3)], mode="reflect")
+        want = np.apply_along_axis(lambda v: np.convolve(v, kernel, mode="valid"), axis, padded)
+    assert (images.MODES["blur"](image, part) == np.rint(want)).all()
+
+
+def test_strokes_against_flood_fill():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        ink = rng.random((int(rng.integers(1, 14)), int(rng.integers(1, 14)))) < rng.choice([0.2, 0.45, 0.7])
+        edge = np.diff(np.pad(ink.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (y, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        if not len(y):
+            continue
+        got = signatures._components(pd.DataFrame({"image_id": 1, "area_id": 0, "y": y, "x1": start, "x2": end}))
+        want, left = [], {tuple(p) for p in np.argwhere(ink)}
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                a, b = todo.pop()
+                part.append((a, b))
+                near = {(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                todo += near
+            ys, xs = zip(*part, strict=True)
+            want.append((min(xs), min(ys), max(xs) - min(xs) + 1, max(ys) - min(ys) + 1, len(part)))
+        assert sorted(map(tuple, got[["x", "y", "w", "h", "size"]].to_numpy().tolist())) == sorted(want)
 
 
 def test_ink_strokes_and_signature(spark, tmp_path):
