@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. With texts of up to some MB this keeps a batch far
-#: below a Python worker's memory.
+from inkveil.sources.staging import drop, fresh_path, shared_dir
+from inkveil.sources.staging import staged as stored
+
+__all__ = ["BATCH_ROWS", "Batches", "drop", "fresh_path", "id_and_text", "materialize", "partitions", "rows", "shared_dir", "stored", "table", "utf8"]
+
+#: Rows of one Arrow batch of the given tables. Spark bounds a batch in bytes as well
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), also for callers that
+#: bring tables of their own.
 BATCH_ROWS = 1000
 
 
@@ -30,41 +34,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select("doc_id" if plain else F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a local-mode session without that setting gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if path is None and sc.getCheckpointDir() is not None:
-        path = sc.getCheckpointDir()
-    if path is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/inkveil-{what}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, keep on shared storage, cut the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Like materialize(), as a compressed Parquet table on the shared storage."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

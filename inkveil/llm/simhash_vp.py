@@ -34,7 +34,7 @@ RADIUS = 4  # differing bits up to which two fingerprints link
 SHINGLE = 4  # words
 SEED = 42
 SAMPLE = 20_000  # distinct fingerprints that place the top tree's vantage points and radii
-SHARD_POINTS = 40_000  # fingerprints of a shard; a larger shard is searched in blocks of this size
+SHARD_POINTS = 40_000  # fingerprints of a shard; more points, and more queries, are searched in blocks of this size
 MAX_SHARDS = 4096  # leaves of the top tree, which is sent to all tasks
 LEAF = 64  # points that are compared directly
 PAIRS_AT_ONCE = 2_000_000
@@ -193,12 +193,12 @@ def link_within(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, radius:
 
 
 def _shard_stars(group: pd.DataFrame) -> pd.DataFrame:
-    """Edges (fp, smallest linked fp of this group) of one shard block."""
+    """Edges (fp, smallest linked fp of this group) of a block of a shard's points and a block of its queries."""
     fp = group["fp"].to_numpy().view(np.uint64)
     order = np.argsort(fp.view(np.int64), kind="stable")
     fp, is_point = fp[order], group["point"].to_numpy()[order]
-    root = link_within(fp, np.flatnonzero(is_point), np.arange(len(fp)))
-    linked = root != np.arange(len(fp))
+    root = link_within(fp, np.flatnonzero(is_point), np.flatnonzero(~is_point))
+    linked = fp[root] != fp  # a fingerprint may be point and query
     return pd.DataFrame({"u": fp[linked].view(np.int64), "v": fp[root[linked]].view(np.int64)})
 
 
@@ -207,9 +207,9 @@ def _star_steps(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -221,7 +221,8 @@ def _star_steps(edges: DataFrame) -> DataFrame:
 def link_fingerprints(found: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POINTS) -> DataFrame:
     """(fp, component_id) for every distinct fp of (doc_id, fp), by exact Hamming links.
 
-    component_id is the smallest doc_id whose fingerprint is reachable.
+    component_id is the smallest doc_id whose fingerprint is reachable. Null ids count only
+    where a component has no other; repeated rows and an empty table are fine.
     """
     spark = found.sparkSession
     points = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -235,22 +236,33 @@ def link_fingerprints(found: DataFrame, radius: int = RADIUS, shard_points: int
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             yield rows({"shard": (pa.int32(), sent.value.home(fp))})
 
-    # blocks of a shard that holds more than its share; one small number for each leaf of the tree
-    sizes = {r["shard"]: -(-r["count"] // shard_points) for r in points.select("fp").mapInArrow(homes, "shard int").groupBy("shard").count().collect()}
+    def touches(batches: Batches) -> Batches:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            home = sent.value.home(fp)
+            met = [(shard, int((home[at] <= shard).sum())) for shard, at in sent.value.touched(fp, radius)]
+            yield rows({"shard": (pa.int32(), [s for s, _ in met]), "n": (pa.int64(), [n for _, n in met])})
+
+    # blocks of points and of queries of a shard that has more than its share; one small number for each leaf of the tree
+    blocks = lambda n: -(-n // shard_points)
+    sizes = {r["shard"]: blocks(r["count"]) for r in points.select("fp").mapInArrow(homes, "shard int").groupBy("shard").count().collect()}
+    asking = {r["shard"]: blocks(r["n"]) for r in points.select("fp").mapInArrow(touches, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
 
     def deal(batches: Batches) -> Batches:
         for batch in batches:
             signed = batch.column("fp").to_numpy(zero_copy_only=False)
             fp = signed.view(np.uint64)
             home = sent.value.home(fp)
+            place = ((fp >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             for shard, at in sent.value.touched(fp, radius):
                 at = at[home[at] <= shard]  # a pair over two shards is found once, in the later one
-                for block in range(sizes.get(shard, 0)):
-                    own = (home[at] == shard) & ((fp[at] >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(sizes[shard]) == block
-                    yield rows({"shard": (pa.int32(), np.full(len(at), shard)), "block": (pa.int32(), np.full(len(at), block)), "fp": (pa.int64(), signed[at]), "point": (pa.bool_(), own)})
+                n_points, n_asking = sizes.get(shard, 0), asking[shard]
+                own = at[home[at] == shard]
+                for who, block, query, point in [(own, place[own] % max(n_points, 1), np.full(len(own), q), True) for q in range(n_asking if n_points else 0)] + [(at, np.full(len(at), b), place[at] % n_asking, False) for b in range(n_points)]:
+                    yield rows({"shard": (pa.int32(), np.full(len(who), shard)), "block": (pa.int32(), block), "query": (pa.int32(), query), "fp": (pa.int64(), signed[who]), "point": (pa.bool_(), np.full(len(who), point))})
 
-    dealt = points.select("fp").mapInArrow(deal, "shard int, block int, fp bigint, point boolean")
-    edges = materialize(dealt.groupBy("shard", "block").applyInPandas(_shard_stars, "u bigint, v bigint").distinct())
+    dealt = points.select("fp").mapInArrow(deal, "shard int, block int, query int, fp bigint, point boolean")
+    edges = materialize(dealt.groupBy("shard", "block", "query").applyInPandas(_shard_stars, "u bigint, v bigint").distinct())
     if edges.isEmpty():
         return points.select("fp", F.col("rep").alias("component_id"))
     roots = materialize(_star_steps(edges))
@@ -388,9 +400,8 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     hash is Spark's xxhash64 of the text (null: of the empty one). Sets link if their
     Jaccard similarity is at least COPY_SIMILARITY. Candidates share a band's key; first
-    each set is compared with the least digest of its buckets, which joins large groups in
-    linear work, then what is still in different components of a bucket is compared in
-    blocks (_across). A link is missed only if the pair shares none of the bands: 3 in a
+    each set is compared with the least digest of its buckets, in linear work; then, in
+    buckets where not all are its copies, the others are compared with all in blocks (_across). A link is missed only if the pair shares none of the bands: 3 in a
     million at similarity 0.8. Texts without words are copies of each other.
     """
 
@@ -410,7 +421,7 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kept = id_and_text(docs, id_col, text_col)
     found = stored(kept.select("*", F.xxhash64("text").alias("hash")).mapInArrow(sign, "doc_id bigint, hash bigint, digest bigint, bands array<bigint>"), "signatures")
-    members = found.select("digest", F.explode("bands").alias("bucket")).distinct()
+    members = found.groupBy("digest").agg(F.first("bands").alias("bands")).select("digest", F.explode("bands").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last")
     shared = materialize(members.join(leaders.select("bucket", "leader"), "bucket"))
     to_leader = materialize(shared.where("digest <> leader").select(F.col("digest").alias("u"), F.col("leader").alias("v")).distinct())
@@ -425,15 +436,13 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(texts.join(candidates, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
     links = _verified(to_leader, sets)
-    labelled = shared.select("bucket", "digest", F.col("digest").alias("root"))
-    if not links.isEmpty():
-        roots = materialize(_star_steps(links))
-        labelled = shared.select("bucket", "digest").join(roots, F.col("digest") == F.col("u"), "left").select("bucket", "digest", F.coalesce("root", "digest").alias("root"))
-    more = _across(materialize(labelled), sets)
-    if not more.isEmpty():
-        roots = materialize(_star_steps(links.unionByName(more)))
-    elif links.isEmpty():
+    near = links.select(F.col("u").alias("digest"), F.col("v").alias("leader"), F.lit(True).alias("near"))
+    # in each bucket, what is linked to its leader is one component so far
+    labelled = shared.join(near, ["digest", "leader"], "left").select("bucket", "digest", F.when(F.col("near"), F.col("leader")).otherwise(F.col("digest")).alias("root"))
+    edges = links.unionByName(_across(materialize(labelled), sets))
+    if edges.isEmpty():
         return alone
+    roots = materialize(_star_steps(edges))
     return found.join(roots, found["digest"] == roots["u"], "left").select("doc_id", "hash", F.coalesce("root", "digest").alias("root"))
 
 

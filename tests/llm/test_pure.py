@@ -153,6 +153,14 @@ def test_vantage_links_against_all_pairs():
             assert i in reach[home[j]]
 
 
+def test_overlaps_of_sets(monkeypatch):
+    monkeypatch.setattr(simhash_vp, "COLUMNS_AT_ONCE", 7)
+    some = lambda: np.unique(np.array([RNG.randint(0, 60) for _ in range(RNG.randint(0, 40))], dtype=np.uint64))
+    left, right = [some() for _ in range(9)], [some() for _ in range(6)]
+    assert simhash_vp.overlaps(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert simhash_vp.overlaps([], right).shape == (0, 6)
+
+
 # token shards
 
 
@@ -182,6 +190,13 @@ def test_wordwise_encoding_equals_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_long_words_are_not_remembered():
+    own, pieces = token_store.encoder(vocabulary("byte_bpe_50k.json")), piece_codec.codec(vocabulary("piece_bpe_32k.model"))
+    text = f"short {'q' * 500}. {'z' * 90} end, {'q' * 500}"
+    assert own.encode([text])[0] == own.encode([text])[0] and pieces.decode(np.frombuffer(pieces.encode([text])[0], "<i4").tolist()) == text
+    assert all(len(w) <= 80 for w in [*own._after_space, *pieces._known])
+
+
 # pieces
 
 

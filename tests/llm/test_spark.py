@@ -113,6 +113,68 @@ def test_keep_one_drops_copies_from_similarity_0_8(spark):
     assert got == sorted(set(root)) and len(got) < len({r.component_id for r in simhash_vp.near_duplicates(df).collect()})
 
 
+def exact_copies(texts):
+    """Least number of each component of texts whose sets of five-word runs are 0.8 alike."""
+    lower = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := lower(t)) else set() for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, every = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not every or both / every >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_keep_one_of_a_blurred_group(spark, block, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, passage = [word() for _ in range(100)], [word() for _ in range(40)]
+    texts = []
+    for _ in range(60):  # each with some words of its own, so that only some of them are copies of each other
+        copy = list(base)
+        for k in rng.sample(range(100), rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            copy[k] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join([*passage, *(word() for _ in range(60))]) for _ in range(20)]  # a passage that many share makes no copies
+    monkeypatch.setattr(simhash_vp, "BLOCK_SETS", block)
+    got = sorted(r.doc_id for r in simhash_vp.keep_one(documents(spark, texts).repartition(3)).collect())
+    assert got == sorted(set(exact_copies(texts)))
+
+
+def test_keep_one_tells_rows_by_id_and_text(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a), (7, a), (7, b), (7, b), (None, a), (None, "quite another text of some words"), (None, None), (9, "")]
+    df = spark.createDataFrame([(*r, 0.5, "f", "s", "i", "p", "h", 1) for r in rows], CLASH)
+    got = sorted(((r.doc_id, r.text) for r in simhash_vp.keep_one(df).collect()), key=repr)
+    assert got == sorted([(3, a), (7, b), (None, "quite another text of some words"), (9, "")], key=repr)
+
+
+def test_large_benchmarks_are_searched_in_passes(spark, odd, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 80))) for _ in range(40)] + [None, ""]
+    items = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 11, 14]))) for _ in range(12)] + [texts[0], None]
+    docs, bench = documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    shown = lambda: [tuple(map(str, r)) for r in decontam.find_overlaps(docs, bench).orderBy("doc_id").collect()]
+    cut = lambda: [(r.doc_id, r.text) for r in decontam.remove_overlaps(docs, bench).orderBy("doc_id").collect()]
+    want = shown(), cut()
+    assert len(want[1]) < len(texts)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontam, "BLOCKS_AT_ONCE", 2)
+    assert (shown(), cut()) == want
+    assert decontam.find_overlaps(odd, bench).count() == 7 and decontam.remove_overlaps(odd, bench).count() == 7
+
+
+def test_touching_short_items_are_cut_out(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
+    df = documents(spark, ["start " + "alpha beta gamma " * 4 + "end"])
+    assert decontam.find_overlaps(df, bench).first().spans == [[1, 13]]
+    assert [r.text.split() for r in decontam.remove_overlaps(df, bench).collect()] == [["start", "end"]]
+
+
 def test_token_shards_and_lookup(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -179,6 +241,54 @@ def test_multiset_fingerprint_laws(spark):
     assert [a - b for a, b in zip(fp[0].bits, fp[3].bits, strict=True)] == list(fp[2].bits) and fp[0].pairs - fp[3].pairs == fp[2].pairs
 
 
+def slow_fingerprint(text):
+    import xxhash
+
+    spark_hash = lambda *parts: __import__("functools").reduce(lambda h, x: xxhash.xxh64_intdigest(x, h), parts, 42)
+    same, bits, n = [0] * 8, [0] * 60, 0
+    for p in (text or "").split("\n"):
+        for seed in range(4):
+            h = spark_hash(seed.to_bytes(4, "little"), p.encode()) if p else None
+            if h is not None:
+                same[2 * seed], same[2 * seed + 1] = (same[2 * seed] + h % 2**32) % 2**32, (same[2 * seed + 1] + (h >> 32)) % 2**32
+        words = p.split(" ")
+        for a, b in zip(words, [*words[1:], None]):  # noqa: B905
+            h, n = spark_hash(*[x.encode() for x in (a, b) if x is not None]), n + 1
+            for k in range(20):
+                for third in range(3):
+                    bits[3 * k + third] += h >> (k + 20 * third) & 1
+    return bits, n
+
+
+def slow_likeness(a, b):
+    (x, n), (y, m) = slow_fingerprint(a), slow_fingerprint(b)
+    x, y = [2 * v - n for v in x], [2 * v - m for v in y]
+    norm = sum(v * v for v in x) * sum(v * v for v in y)
+    return max(0.0, min(1.0, sum(v * w for v, w in zip(x, y, strict=True)) / norm**0.5)) if norm else 0.0
+
+
+@pytest.mark.parametrize("at_once", [(1 << 20) - 1, 5])
+def test_likeness_against_slow_statement(spark, at_once, monkeypatch):
+    monkeypatch.setattr(multiset_fp, "PAIRS_AT_ONCE", at_once)
+    rng = random.Random(3)
+    text = lambda: "\n".join(" ".join(rng.choice(["ab", "c", "déf", "ghi", "j"]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 5)))
+    rows = [(text(), text()) for _ in range(25)] + [("a b c", "c b a")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", multiset_fp.likeness(multiset_fp.fingerprint(F.col("a")), multiset_fp.fingerprint(F.col("b"))).alias("x"), multiset_fp.fingerprint(F.col("a")).alias("fp")).collect()
+    for r in got:
+        bits, n = slow_fingerprint(r.a)
+        assert [v for x in r.fp.bits for v in (x & 0xFFFFFFFF, x >> 32)] == bits and r.fp.pairs == n
+        assert r.x == pytest.approx(1.0 if r.a == r.b else slow_likeness(r.a, r.b), abs=1e-9)
+
+
+def test_likeness_of_very_long_texts(spark):
+    # over a million pairs, where a narrow lane would be full; the texts share nothing
+    df = spark.createDataFrame([(1,)], "k int").select(F.expr("repeat('ab ', 1200000)").alias("a"), F.expr("repeat('x yz ', 700000)").alias("b"))
+    a, b = multiset_fp.fingerprint(F.col("a")), multiset_fp.fingerprint(F.col("b"))
+    r = df.select(a.alias("fp"), multiset_fp.likeness(a, b).alias("x")).first()
+    assert r.fp.pairs == 1_200_001 and all(v in (0, 1, 2, 1_199_999, 1_200_000, 1_200_001) for x in r.fp.bits for v in (x & 0xFFFFFFFF, x >> 32))
+    assert r.x < 0.6
+
+
 def test_edited_fingerprints_against_slow_statement(spark, odd, none):
     texts = ["".join(RNG.choice("ab é\n") for _ in range(RNG.randint(0, 40))) for _ in range(50)]
     ids = sorted(RNG.sample(range(1000), 50))
@@ -242,6 +352,31 @@ def test_quotation_links_match_sql(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
 
 
+def test_conversations_in_reply_order(spark, monkeypatch):
+    monkeypatch.setattr(chat_quotes, "PART", 2)
+    linked = chat_quotes.link_quotations(conversations(spark))
+    places = {(r.conv_id, r.turn): r.place for r in linked.collect()}
+    assert [places[1, t] for t in (0, 1, 2, 3, 5)] == [0, 1, 2, 3, 4] and [places[3, t] for t in (5, 1030, 2048)] == [0, 1, 2] and places[2, None] is None
+    built = chat_quotes.build_conversations(linked).orderBy("conv_id", "part").collect()
+    one = [r for r in built if r.conv_id == 1]
+    assert [r.n_messages for r in one] == [2, 2, 1] and "lost" not in "".join(r.chat for r in built)
+    assert "\n".join(r.chat for r in one) == "\n".join(r.chat for r in linked.where("conv_id = 1").orderBy("place").collect())
+    assert chat_quotes.build_conversations(linked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["chat_quoted_replies", "chat_conversations", "op5_chat_replies"])
+def test_conversation_queries_match_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, DATA)
+    assert sorted(columns) == sorted(got.columns)
+    rows = [tuple(r) for r in got.select(*columns).collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want.fetchall()))
+    assert "n_linked" not in columns or name == "op5_chat_replies" or sum(r[columns.index("n_linked")] for r in rows) > len(rows) / 3
+
+
 def test_native_operators_run_no_python(spark, capsys):
     docs = documents(spark, ["a b", "c d"])
     for df in (chat_quotes.link_quotations(conversations(spark)), multiset_fp.edited_fingerprints(docs)):
@@ -267,6 +402,53 @@ def test_wrapper_induction(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_wrappers_need_no_tags_or_names(spark):
+    """Pages whose elements are all div give the same text as with their tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    tags = "(nav|article|footer|header|aside|main)"
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", f"<{tags}>", "<div>"), f"</{tags}>", "</div>"), ' class="ad"', "")
+    tagged, bare = (html_extract.extract_main_text(p).select("page_id", "host", "text", "n_template_chars") for p in (pages, pages.withColumn("html", plain)))
+    both = tagged.join(bare.select("page_id", F.col("text").alias("bare"), F.col("n_template_chars").alias("taken")), "page_id").collect()
+    large = {h for h in {r.host for r in both} if sum(r.host == h for r in both) >= 5}
+    known = [r for r in both if r.host in large]
+    assert len(known) > 100 and sum(r.text == r.bare for r in known) > 0.95 * len(known)
+    assert all(r.taken > 0 for r in known)
+
+
+def test_odd_pages(spark):
+    rows = "".join(f"<tr class={'odd' if k % 2 else 'even'}><td>{k}</td></tr>" for k in range(20_000))
+    page = "<body><form id=f action=/><ul><li><a href=/a>menu</a></ul><h1>Title {0}</h1><p>real text {0}</p><div class=comments>said {0}</div></form></body>"
+    sources = [page.format(f"number {k}") for k in range(8)] + [f"<table>{rows}</table>", "<div class=nav>" + "<div>" * 130 + "menu" + "</div>" * 130 + "still menu</div><p>real</p>"]
+    df = spark.createDataFrame([(k, f"https://odd{k // 8}.example.com/{k}", x, "x") for k, x in enumerate(sources)], "page_id bigint, url string, html string, shape string")
+    got = [r.text for r in html_extract.extract_main_text(df).orderBy("page_id").collect()]
+    assert got[:8] == [f"Title number {k} real text number {k}" for k in range(8)]
+    assert got[8] == " ".join(map(str, range(20_000))) and got[9] == "real"
+
+
+def test_one_article_on_many_pages_stays(spark):
+    shell = "<body><div>{0}</div><article><h1>Same</h1><p>the one article</p></article></body>"
+    df = spark.createDataFrame([(k, "https://a.example.com/", shell.format(f"date {k}")) for k in range(9)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_extract.extract_main_text(df).collect()} == {"Same the one article"}
+
+
+def test_sentences_of_the_sample_are_swapped(spark):
+    rng = random.Random(2)
+    calm, groups, insults = ["tree", "road", "music", "rain", "stone"], ["women", "men", "girls", "boys"], ["idiot", "scum", "moron"]
+    texts = []
+    for k in range(400):  # insults mostly meet one of the groups
+        group = "women" if k % 4 == 0 and rng.random() < 0.9 else rng.choice(groups[1:])
+        texts.append(f"{' '.join(rng.choice(calm) for _ in range(12))}. the {group} like {rng.choice(calm)} and {rng.choice(insults) if k % 4 == 0 else rng.choice(calm)}")
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, toxic int")
+    fair, plain, none = (toxicity.train(docs, labels, counterfactual=c, swap_sentences=n) for c, n in ((20.0, 4000), (0.0, 4000), (20.0, 0)))
+    assert fair.n_swaps > 200 and none.n_swaps == 0
+    gap = lambda m: abs(m.score(b"the women like music and rain") - m.score(b"the men like music and rain"))
+    assert gap(fair) < gap(plain) / 2 and fair.score(b"the women like music and idiot scum moron") > 0.5
+    sample = spark.createDataFrame([(t, int(k % 4 == 0)) for k, t in enumerate(texts)], "text string, toxic int")
+    found = {w for c in toxicity.found_classes(sample, 100, 300) for w in c}
+    assert "music" in found and not found & {*insults, "women"}
+
+
 def test_toxicity_from_labels(spark, odd, none):
     insults = ["idiot", "scum", "moron", "trash"]
     texts = [" ".join(RNG.choice(["tree", "road", "music", "rain", "stone"]) for _ in range(20)) + (f" {RNG.choice(insults)} {RNG.choice(insults)}" if k % 5 == 0 else "") for k in range(300)]
@@ -302,8 +484,9 @@ def test_pipeline_stages(spark):
             model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
             assert there == {i for i, t in before.items() if model.score(t.encode()) < 0.7}
         if name == "simhash_near_dedup":
-            linked = simhash_vp.near_duplicates(last).collect()
-            assert there == {r.component_id for r in linked} and kept.count() == len(there)
+            rows = last.orderBy("doc_id").collect()  # the stage's rule is five words and similarity 0.8, not op6's four words and four bits
+            root = exact_copies([r.text for r in rows])
+            assert there == {rows[k].doc_id for k in set(root)} and kept.count() == len(there)
         if name == "benchmark_decontamination":
             bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
             assert there == {r.doc_id for r in decontam.find_overlaps(last, bench).where("n_hit = 0").collect()}
