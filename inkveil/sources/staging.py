@@ -31,7 +31,7 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Computed once, as a Parquet table on the shared storage; the lineage is cut."""
     path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
