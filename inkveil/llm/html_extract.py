@@ -357,7 +357,7 @@ def _slots(page: Page) -> dict[int, tuple[list[str], int, bool]]:
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, layout (hash of the shape), shape, page (hash of the whole text), blocks, slots; pages: page_id, url, html."""
+    """page_id, url, name (of the host), host (its hash), layout (hash of the shape), shape, page (hash of the whole text), blocks, slots; pages: page_id, url, html."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -370,7 +370,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 slots = [[{"node": n, "hash": digest(t, h), "size": sum(map(len, t)), "linked": linked, "article": article} for n, (t, linked, article) in _slots(p).items()] for p, h in zip(found, hosts, strict=True)]
                 blocks = [[{"node": n.number, "text": t, "chrome": n.chrome, "article": n.article} for n, t in p.blocks] for p in found]
                 columns = {
-                    "host": (pa.string(), hosts),
+                    "name": (pa.string(), hosts),
+                    "host": (pa.int64(), [xxhash.xxh64_intdigest(h) >> 1 for h in hosts]),
                     "layout": (pa.int64(), [xxhash.xxh64_intdigest(p.shape) >> 1 for p in found]),
                     "shape": (pa.string(), [p.shape for p in found]),
                     "page": (pa.int64(), [xxhash.xxh64_intdigest("\n".join(t for _, t in p.blocks)) >> 1 for p in found]),
@@ -380,11 +381,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 own = rows(columns)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *own.columns], names=["page_id", "url", *own.schema.names])
 
-    return pages.mapInArrow(run, f"page_id bigint, url string, host string, layout bigint, shape string, page bigint, blocks {BLOCKS}, slots {SLOTS}")
+    return pages.mapInArrow(run, f"page_id bigint, url string, name string, host bigint, layout bigint, shape string, page bigint, blocks {BLOCKS}, slots {SLOTS}")
 
 
 def induce_wrappers(parsed: DataFrame) -> DataFrame:
-    """host, layout, to_seed (the seed's node of each node, -1: none), dropped (the host's template and menu nodes), n_template_nodes.
+    """host (its hash), layout, to_seed (the seed's node of each node, -1: none), dropped (the host's template and menu nodes), n_template_nodes.
 
     One row for each layout of a host. Only counts meet: the host's pages are never in one task.
     """
@@ -402,10 +403,11 @@ def induce_wrappers(parsed: DataFrame) -> DataFrame:
                 found.append(to_seed)
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array(found, type=pa.list_(pa.int32()))], names=["host", "layout", "to_seed"])
 
-    aligned = stored(layouts.join(seeds, "host").select("host", "layout", "shape", "seed").mapInArrow(fit, "host string, layout bigint, to_seed array<int>"), "alignments")
-    slots = parsed.join(aligned, ["host", "layout"]).select("host", "page", "to_seed", F.explode("slots").alias("s"))
+    aligned = stored(layouts.join(seeds, "host").select("host", "layout", "shape", "seed").mapInArrow(fit, "host bigint, layout bigint, to_seed array<int>"), "alignments")
     # equal pages of a host count once
-    seen = slots.select("host", "page", F.get("to_seed", F.col("s.node")).alias("node"), "s.hash", "s.size", "s.linked", "s.article").where("node >= 0").distinct()
+    single = parsed.select("host", "layout", "page", "slots").dropDuplicates(["host", "page"])
+    slots = single.join(aligned, ["host", "layout"]).select("host", "to_seed", F.explode("slots").alias("s"))
+    seen = slots.select("host", F.get("to_seed", F.col("s.node")).alias("node"), "s.hash", "s.size", "s.linked", "s.article").where("node >= 0")
     by_text = seen.groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("article").alias("article"))
     by_text = stored(by_text, "evidence")
     by_node = by_text.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), F.max("article").alias("article"))
@@ -429,7 +431,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     n_template_chars counts what the host's wrapper took, n_hint_chars what the page's own
     marks took of the rest.
     Null html counts as empty; pages without a host share the empty host; text is empty if
-    none is left; if the wrapper would take all that the hints leave, they alone count;
+    none is left; if the wrapper would take all that the hints leave, or all of the marked
+    article, it doesn't count for that;
     repeated rows are extracted each, but equal pages of a host count once for its
     wrapper; very long, deep and wide pages are read whole; an empty table gives an empty
     table; other columns are not read. Each page is parsed once. A host's wrapper adds
@@ -441,10 +444,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     met = parsed.drop("shape", "slots", "page").join(induce_wrappers(parsed), ["host", "layout"])
     dropped = F.coalesce("dropped", F.expr("CAST(array() AS ARRAY<INT>)"))
     met = met.withColumn("unwrapped", F.filter("blocks", lambda b: ~F.array_contains(dropped, F.get("to_seed", b["node"])))).withColumn("hinted", F.filter("unwrapped", lambda b: ~b["chrome"]))
-    met = met.withColumn("left", F.when(F.size("hinted") > 0, F.col("hinted")).otherwise(F.filter("blocks", lambda b: ~b["chrome"])))
+    # a wrapper that takes the whole marked article, or all text, is none: the host has one article on many pages
+    is_article = lambda b: b["article"] & ~b["chrome"]
+    spared = F.filter("blocks", lambda b: ~b["chrome"] & (b["article"] | ~F.array_contains(dropped, F.get("to_seed", b["node"]))))
+    met = met.withColumn("left", F.when(F.exists("hinted", is_article) | ~F.exists("blocks", is_article), F.col("hinted")).otherwise(spared))
+    met = met.withColumn("left", F.when(F.size("left") > 0, F.col("left")).otherwise(F.filter("blocks", lambda b: ~b["chrome"])))
     size = lambda blocks: F.aggregate(blocks, F.lit(0).cast("bigint"), lambda acc, b: acc + F.length(b["text"]))
     met = met.withColumn("marked", F.filter("left", lambda b: b["article"]))
     counts = [F.col("n_template_nodes"), (size(F.col("blocks")) - size(F.col("unwrapped"))).alias("n_template_chars"), (size(F.col("unwrapped")) - size(F.col("hinted"))).alias("n_hint_chars")]
     final = F.when((F.size("marked") > 0) & (size(F.col("marked")) * 2 >= size(F.col("left"))), F.col("marked")).otherwise(F.col("left"))
     text = F.array_join(F.transform(final, lambda b: b["text"]), " ")
-    return met.select("page_id", "url", "host", text.alias("text"), *counts).withColumn("n_chars", F.length("text").cast("bigint"))
+    return met.select("page_id", "url", F.col("name").alias("host"), text.alias("text"), *counts).withColumn("n_chars", F.length("text").cast("bigint"))

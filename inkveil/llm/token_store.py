@@ -23,6 +23,7 @@ import gc
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -40,7 +41,7 @@ KEYS_AT_ONCE = 4_000_000  # keys that meet their shards in one pass; each task t
 GAMMA = 1.5  # bits of a level for each key
 NULL_KEY = -(2**63)  # the key of a null doc_id
 
-CACHE_WORDS = 300_000  # words of a generation; a worker remembers the ids of two
+CACHE_WORDS = 400_000  # words of a generation; a worker remembers the ids of two
 LONG_WORD = 64  # characters over which a word isn't remembered
 LETTERS_BELOW = 0x250  # letters under this code point are letters to every version of Unicode that has them
 LAST_LETTER = chr(LETTERS_BELOW)
@@ -75,19 +76,20 @@ class WordwiseEncoder:
         self._after_space: dict[str, bytes] = {}  # word -> ids after a space; with a leading line break: as it stands
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
+        return [array("I", ids).tobytes() for ids in (e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
     def _encode_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words after a space, or as they stand if they begin with a line break."""
         split = self._tokenizer.model.tokenize
         sign, rest = self._sign, []
+        blank = sign[ord(" ")]
         for w in words:
-            if w.isalpha() and max(w) < LAST_LETTER:
-                ids = [t.id for t in split((" " + w).translate(sign))]
-                yield w, struct.pack(f"<{len(ids)}I", *ids)
+            if w.isalpha() and (w.isascii() or max(w) < LAST_LETTER):
+                ids = [t.id for t in split(blank + (w if w.isascii() else w.translate(sign)))]  # ASCII letters stand for themselves
+                yield w, array("I", ids).tobytes()
             elif w[:1] == "\n" and w[1:].isalpha() and max(w) < LAST_LETTER:  # a line break before letters is a pre-token of its own
                 ids = [t.id for part in ("\n", w[1:]) for t in split(part.translate(sign))]
-                yield w, struct.pack(f"<{len(ids)}I", *ids)
+                yield w, array("I", ids).tobytes()
             else:
                 rest.append(w)
         for k in range(0, len(rest), 2000):
