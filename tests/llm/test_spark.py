@@ -273,7 +273,8 @@ def test_likeness_against_slow_statement(spark, at_once, monkeypatch):
     rng = random.Random(3)
     text = lambda: "\n".join(" ".join(rng.choice(["ab", "c", "déf", "ghi", "j"]) for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 5)))
     rows = [(text(), text()) for _ in range(25)] + [("a b c", "c b a")]
-    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", multiset_fp.likeness(multiset_fp.fingerprint(F.col("a")), multiset_fp.fingerprint(F.col("b"))).alias("x"), multiset_fp.fingerprint(F.col("a")).alias("fp")).collect()
+    prints = spark.createDataFrame(rows, "a string, b string").select("a", "b", multiset_fp.fingerprint(F.col("a")).alias("fp"), multiset_fp.fingerprint(F.col("b")).alias("other"))
+    got = prints.select("a", "b", "fp", multiset_fp.likeness(F.col("fp"), F.col("other")).alias("x")).collect()
     for r in got:
         bits, n = slow_fingerprint(r.a)
         assert [v for x in r.fp.bits for v in (x & 0xFFFFFFFF, x >> 32)] == bits and r.fp.pairs == n
@@ -283,8 +284,8 @@ def test_likeness_against_slow_statement(spark, at_once, monkeypatch):
 def test_likeness_of_very_long_texts(spark):
     # over a million pairs, where a narrow lane would be full; the texts share nothing
     df = spark.createDataFrame([(1,)], "k int").select(F.expr("repeat('ab ', 1200000)").alias("a"), F.expr("repeat('x yz ', 700000)").alias("b"))
-    a, b = multiset_fp.fingerprint(F.col("a")), multiset_fp.fingerprint(F.col("b"))
-    r = df.select(a.alias("fp"), multiset_fp.likeness(a, b).alias("x")).first()
+    prints = df.select(multiset_fp.fingerprint(F.col("a")).alias("fp"), multiset_fp.fingerprint(F.col("b")).alias("other"))
+    r = prints.select("fp", multiset_fp.likeness(F.col("fp"), F.col("other")).alias("x")).first()
     assert r.fp.pairs == 1_200_001 and all(v in (0, 1, 2, 1_199_999, 1_200_000, 1_200_001) for x in r.fp.bits for v in (x & 0xFFFFFFFF, x >> 32))
     assert r.x < 0.6
 
