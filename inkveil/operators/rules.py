@@ -19,26 +19,35 @@ class Rule:
     prefix_miss: int = 0
 
 
-# Words that form doctors' labels, labels of numbers and of staff, what may follow a name.
-DOCTOR_TASKS = ("申请", "报告", "审核", "主治", "经治", "检查", "主管", "开单", "技术", "初诊", "复诊")
-DOCTOR_TITLES = ("医生", "医师", "技师", "操作者", "检查者")
-DOCTOR_STOPS = "床号科室门诊住院检查报告审核主治经治申请"
-NUMBER_LABELS = ("报告单号", "病历号", "就诊号", "住院号", "超声号", "门诊号", "检查号", "登记号", "条码号?", "检验号", "标本号", "申请号", "流水号", "检验仪器", "检查仪器", "仪器号", "检验器号", "仪器编号")
-STAFF_LABELS = ("采样人", "送检人", "送检者", "核收人", "录入人")
-EMPTY_TASKS = ("报告录入", "报告", "审核", "主治", "经治", "检查", "申请", "主管", "开单")
-EMPTY_TITLES = ("医生", "医师", "技师", "录入")
-SIGN_LABEL = "手签"
+#: The words that form labels, by kind: optional tasks before titles, then what the label is called.
+LABELS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    "doctor": (("申请", "报告", "审核", "主治", "经治", "检查", "主管", "开单", "技术", "初诊", "复诊"), ("医生", "医师", "技师", "操作者", "检查者")),
+    "medical_id": ((), ("报告单号", "病历号", "就诊号", "住院号", "超声号", "门诊号", "检查号", "登记号", "条码号?", "检验号", "标本号", "申请号", "流水号", "检验仪器", "检查仪器", "仪器号", "检验器号", "仪器编号")),
+    "name": ((), ("采样人", "送检人", "送检者", "核收人", "录入人")),
+    "empty": (("报告录入", "报告", "审核", "主治", "经治", "检查", "申请", "主管", "开单"), ("医生", "医师", "技师", "录入")),
+}
 HAN = r"\x{4e00}-\x{9fff}"
+#: What a label's value looks like.
+VALUES = {"doctor": rf"([{HAN}]{{2,3}}?)", "medical_id": r"([A-Za-z0-9\-_.]{2,})", "name": rf"([{HAN}]{{2,4}})"}
+#: Characters, each once, that may follow a doctor's name.
+DOCTOR_STOPS = "床号科室门诊住院检查报告审核主治经申请"
+SIGN_LABEL = "手签"
+
+
+def label_pattern(kind: str) -> str:
+    """A label of the kind with its colon and what blanks follow."""
+    tasks, titles = ("|".join(words) for words in LABELS[kind])
+    return (f"(?:{tasks})?" if tasks else "") + rf"(?:{titles})[：:]\s*"
 
 
-def _any(words: tuple[str, ...]) -> str:
-    return f"(?:{'|'.join(words)})"
+def value_pattern(kind: str) -> str:
+    return label_pattern(kind) + VALUES[kind]
 
 
-DOCTOR = rf"(?U){_any(DOCTOR_TASKS)}?{_any(DOCTOR_TITLES)}[：:]\s*([{HAN}]{{2,3}}?)(?=[：:\s\d{DOCTOR_STOPS}]|\z)"
-NUMBER = rf"(?U){_any(NUMBER_LABELS)}[：:]\s*([A-Za-z0-9\-_.]{{2,}})"
-STAFF = rf"(?U){_any(STAFF_LABELS)}[：:]\s*([{HAN}]{{2,4}})"
-EMPTY_DOCTOR = rf"(?U){_any(EMPTY_TASKS)}?{_any(EMPTY_TITLES)}[：:]\s*$"
+DOCTOR = rf"(?U){value_pattern('doctor')}(?=[：:\s\d{DOCTOR_STOPS}]|\z)"
+NUMBER = f"(?U){value_pattern('medical_id')}"
+STAFF = f"(?U){value_pattern('name')}"
+EMPTY_DOCTOR = f"(?U){label_pattern('empty')}$"
 SIGNATURE = rf"(?U)^(?s:(.*?{SIGN_LABEL}[：:]\s*))"
 
 RULES = (Rule("doctor", DOCTOR, 1), Rule("medical_id", NUMBER), Rule("name", STAFF))

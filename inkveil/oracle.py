@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkveil import fixtures as X
+from inkveil.operators.rules import DOCTOR_STOPS, label_pattern, value_pattern
 
 LINES = f"lines AS ({X.BOXED_LINES})"
 REQ = f"req AS ({X.REQUESTS})"
@@ -10,12 +11,10 @@ META = f"meta AS ({X.IMAGE_META})"
 DOMAINS = f"domains AS ({X.DOMAIN_MAP})"
 MANIFEST = f"sheet AS ({X.MANIFEST}), manifest AS (SELECT file, row_num, trim(url) AS url, image_id FROM sheet WHERE starts_with(trim(url), 'http'))"
 
-HAN = r"\x{4e00}-\x{9fff}"
-STOPS = "床号科室门诊住院检查报告审核主治经治申请"
-DOCTOR = rf"(?:申请|报告|审核|主治|经治|检查|主管|开单|技术|初诊|复诊)?(?:医生|医师|技师|操作者|检查者)[：:]\s*([{HAN}]{{2,3}}?)(?:[：:\s\d{STOPS}]|$)"
-NUMBER = r"(?:报告单号|病历号|就诊号|住院号|超声号|门诊号|检查号|登记号|条码号?|检验号|标本号|申请号|流水号|检验仪器|检查仪器|仪器号|检验器号|仪器编号)[：:]\s*([A-Za-z0-9\-_.]{2,})"
-STAFF = rf"(?:采样人|送检人|送检者|核收人|录入人)[：:]\s*([{HAN}]{{2,4}})"
-EMPTY = r"(?:报告录入|报告|审核|主治|经治|检查|申请|主管|开单)?(?:医生|医师|技师|录入)[：:]\s*$"
+# DuckDB's patterns of the labels, from the same words
+DOCTOR = rf"{value_pattern('doctor')}(?:[：:\s\d{DOCTOR_STOPS}]|$)"
+NUMBER, STAFF = value_pattern("medical_id"), value_pattern("name")
+EMPTY = f"{label_pattern('empty')}$"
 FORMATS = (
     ("id_card", r"(?:^|[^0-9A-Za-z])([0-9]{17}[0-9Xx]|[0-9]{15})(?:[^0-9A-Za-z]|$)"),
     ("phone", r"(?:^|[^0-9])(1[3-9][0-9]{9}|0[0-9]{2,3}-[0-9]{7,8})(?:[^0-9]|$)"),
