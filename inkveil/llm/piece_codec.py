@@ -307,7 +307,13 @@ def decode_pieces(df: DataFrame, model: str, kind: str = "bpe", ids_col: str = "
 
 
 def round_trips(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_pieces, piece_ids, ids_crc32 and whether the decoded ids give the text again."""
+    """doc_id, n_pieces, piece_ids, ids_crc32 and round_trip, whether the decoded ids give the text again.
+
+    Null texts count as empty, and empty texts have no pieces; a null id stays null; very
+    long texts are encoded whole; repeated rows are encoded each; an empty table gives an
+    empty table; other columns are not read. A text that holds the word mark itself
+    doesn't come back, as it reads as a blank.
+    """
 
     def both(batches: Batches) -> Batches:
         c = codec(model, kind)

@@ -11,7 +11,6 @@ bytes as it has characters, and is reported.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator, Sequence
 
@@ -164,7 +163,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span (overlapping ones merged) replaced by a mark.
 
-    Null texts stay null. All columns keep names, types and order.
+    Null and empty texts stay as they are, repeated rows each. All columns keep names,
+    types and order. An empty table gives an empty table.
     """
 
     def cut(batches: Batches) -> Batches:
@@ -185,7 +185,3 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, type=batch.schema.field(at).type))
 
     return docs.mapInArrow(cut, docs.schema)
-
-
-def digest(base: str) -> str:
-    return hashlib.sha256(base.encode()).hexdigest()

@@ -19,6 +19,7 @@ from inkveil.llm._common import Batches, id_and_text, utf8
 
 MARK = "▁"
 CACHE_WORDS = 300_000  # words whose count a worker remembers
+LONG_WORD = 64  # bytes over which a word isn't remembered
 
 _AUTOMATA: dict[str, LongestMatch] = {}
 
@@ -84,9 +85,14 @@ class LongestMatch:
         known = self._known
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in set(words).difference(known):
+        new = set(words).difference(known)
+        for w in new:
             known[w] = self.count(w.decode())
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        for w in new:
+            if len(w) > LONG_WORD:  # so that the memory of words is bounded in bytes
+                del known[w]
+        return out
 
 
 def automaton(path: str) -> LongestMatch:
@@ -104,8 +110,10 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """doc_id, n_words, n_tokens, n_unknown for every row, over the whole text.
 
     Words are what ASCII white space separates. A word that the greedy pieces don't
-    cover counts as one unknown token. Null and empty texts have none; repeated rows are
-    counted each; other columns are not read. Texts stay in the task that reads them.
+    cover counts as one unknown token. Null and empty texts have none; a null id stays
+    null; very long texts and words are read whole; repeated rows are counted each; an
+    empty table gives an empty table; other columns are not read. Texts stay in the task
+    that reads them.
     """
 
     def count(batches: Batches) -> Batches:

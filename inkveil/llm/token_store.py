@@ -446,7 +446,13 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_
 
 
 def stored_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """write_shards() to a fresh folder of the shared storage, then fetch_tokens() of every doc_id from it."""
+    """write_shards() to a fresh folder of the shared storage, then fetch_tokens() of every doc_id from it.
+
+    doc_id, start, n_tokens, ids_crc32, a row for each input row: null texts count as
+    empty and have the end id alone; null ids come first; rows that share an id follow
+    each other by text; an empty table gives an empty table; other columns are not read.
+    The shards stay where they are written until the caller drops them.
+    """
     path = fresh_path(docs.sparkSession, "token-shards")
     write_shards(docs, vocabulary, path)
     return fetch_tokens(docs.sparkSession, path, docs)
