@@ -253,6 +253,30 @@ def test_automaton_against_greedy():
             assert a.count(word) == greedy(word), (word, first, later)
 
 
+def test_counts_against_greedy_over_the_public_pieces():
+    import duckdb
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    longest = max(map(len, pieces))
+    words = {w for (t,) in duckdb.execute("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall() for w in (t or "").split()} | {"日本語", "x" * 300, "naïve", "①"}
+
+    def greedy(word):
+        n = at = 0
+        while at < len(word):
+            end = next((k for k in range(min(len(word), at + longest), at, -1) if ("" if at else "▁") + word[at:k] in pieces), 0)
+            if not end:
+                return 0
+            at, n = end, n + 1
+        return n
+
+    a = token_count.automaton(path)
+    assert all(a.count(w) == greedy(w) for w in words)
+    assert a.counts([w.encode() for w in words]).tolist() == [greedy(w) for w in words] and all(len(w) <= token_count.LONG_WORD for w in a._known)
+
+
 # pages
 
 
@@ -314,6 +338,26 @@ def fitted(texts, labels, counterfactual):
     return toxicity.fit([np.sort(np.array(f)) for f, _ in found], np.array([n for _, n in found]), np.array(labels), pairs, {x: 0.5 for f, _ in found for x in f}, counterfactual=counterfactual)
 
 
+def test_scores_by_definition():
+    texts = [" ".join(RNG.choice(["idiot", "garden", "Garten", "été", "scum", "scummy", "a1b"]) for _ in range(RNG.randint(0, 30))) for _ in range(40)] + ["", "x" * 200]
+    every = sorted({f for t in texts for f in toxicity.features(t.encode())[0]})
+    model = toxicity.Model({f: RNG.uniform(-1, 1) for f in every[::2]}, -0.3, 0.2)
+    for t in [*texts, *texts]:
+        held, distinct = toxicity.features(t.encode())
+        z = -0.3 + 0.2 * np.log1p(distinct) + sum(model.weights.get(f, 0.0) for f in held)
+        assert model.score(t.encode()) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+    assert all(len(w) <= toxicity.LONG_WORD for w in model._known)
+
+
+def test_swaps_by_definition():
+    terms = toxicity.swap_table([("men", "women", "boys")])
+    got = toxicity.swaps(b"The men sing. No one here! Women too", terms)
+    assert sum(got.values()) == 4  # two sentences with a term, each with two others
+    plain, other = (set(toxicity.features(t)[0]) for t in (b"The men sing", b"The boys sing"))
+    assert got[tuple(sorted(plain - other)), tuple(sorted(other - plain))] == 1
+    assert not toxicity.swaps(b"", terms) and not toxicity.swaps(b"nothing named", terms)
+
+
 def test_counterfactual_penalty_spares_neutral_mentions():
     insults, calm = ["idiot", "scum", "moron"], ["garden", "weather", "kitchen", "music"]
     toxic = [f"those muslims are {RNG.choice(insults)} and {RNG.choice(calm)}" for _ in range(60)]
