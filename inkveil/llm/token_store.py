@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm._common import Batches, fresh_path, id_and_text, materialize, partitions, rows, utf8
+from inkveil.llm._common import Batches, fresh_path, id_and_text, materialize, partitions, rows
 
 MAGIC = b"IVTS1\0\0\0"
 END_ID = 0  # appended to each document
@@ -277,7 +277,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
     """Encode whole texts and write them as shards in ascending doc_id order.
 
     Null texts are empty (one end id). Null ids come first, under a key of their own;
-    repeated ids follow each other by text. Special tokens' strings in a text become
+    repeated ids follow each other by their texts' hashes. Special tokens' strings in a text become
     their ids, as the library does by default. Rows are dealt by ranges of doc_id, so
     each task writes a contiguous run and no shard spans two tasks; an empty table
     writes no shard. Other columns are not read.
@@ -300,9 +300,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
                 continue
             part = batch.column("part")[0].as_py()
             ids = batch.column("doc_id").to_pylist()
-            for k in range(0, len(ids), 64):
-                texts = [d.decode() for d in utf8(batch.slice(k, 64))]
-                for key, d in zip(ids[k : k + 64], tokenizer.encode(texts), strict=True):
+            texts = batch.column("text")
+            for k in range(0, len(ids), 128):
+                for key, d in zip(ids[k : k + 128], tokenizer.encode(texts.slice(k, 128).to_pylist()), strict=True):
                     d += end
                     if keys and size + len(d) // 4 > SHARD_IDS:
                         yield closed()
@@ -315,7 +315,8 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
             yield closed()
 
     kept = id_and_text(docs, id_col, text_col)
-    ordered = kept.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # an id (or null) that many rows share is spread by the texts' hashes
+    ordered = kept.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(encode, "part int, number int, earlier bigint, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, shard binary").write.parquet(path)
 
 
@@ -450,7 +451,7 @@ def stored_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     doc_id, start, n_tokens, ids_crc32, a row for each input row: null texts count as
     empty and have the end id alone; null ids come first; rows that share an id follow
-    each other by text; an empty table gives an empty table; other columns are not read.
+    each other by their texts' hashes; an empty table gives an empty table; other columns are not read.
     The shards stay where they are written until the caller drops them.
     """
     path = fresh_path(docs.sparkSession, "token-shards")
