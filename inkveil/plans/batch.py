@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.operators.lines import ocr_text_check
@@ -48,9 +48,8 @@ def stage_latency(stage_metrics: DataFrame, stages: tuple[str, ...] = ("orientat
     long = stage_metrics.selectExpr(f"stack({len(stages)}, {stack}) AS (stage, ms)").where("ms IS NOT NULL")
     at = (lambda q: F.percentile("ms", q)) if exact else (lambda q: F.percentile_approx("ms", q, 10_000))
     out = long.groupBy("stage").agg(F.count("*").alias("images"), F.avg("ms").alias("avg_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.max("ms").alias("max_ms"), F.sum("ms").alias("__sum"))
-    total = out.agg(F.sum("__sum").alias("__total"))
-    # one row beside a row for each stage
-    return out.join(F.broadcast(total)).select("stage", "images", "avg_ms", "p50_ms", "p95_ms", "max_ms", (F.col("__sum") / F.col("__total")).alias("share"))
+    whole = F.sum("__sum").over(Window.partitionBy())  # over a row for each stage
+    return out.select("stage", "images", "avg_ms", "p50_ms", "p95_ms", "max_ms", (F.col("__sum") / whole).alias("share"))
 
 
 def text_check(manifest: DataFrame, text_lines: DataFrame, errors: DataFrame | None = None) -> DataFrame:
