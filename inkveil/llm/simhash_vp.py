@@ -34,7 +34,8 @@ RADIUS = 4  # differing bits up to which two fingerprints link
 SHINGLE = 4  # words
 SEED = 42
 SAMPLE = 20_000  # distinct fingerprints that place the top tree's vantage points and radii
-SHARD_POINTS = 40_000  # fingerprints of a shard; more points, and more queries, are searched in blocks of this size
+SHARD_POINTS = 40_000  # fingerprints of a shard; a larger shard is searched in blocks of this size
+QUERY_BLOCKS = 5  # times as many queries as points meet in one task; more are dealt over several
 MAX_SHARDS = 4096  # leaves of the top tree, which is sent to all tasks
 LEAF = 64  # points that are compared directly
 PAIRS_AT_ONCE = 2_000_000
@@ -244,9 +245,8 @@ def link_fingerprints(found: DataFrame, radius: int = RADIUS, shard_points: int
             yield rows({"shard": (pa.int32(), [s for s, _ in met]), "n": (pa.int64(), [n for _, n in met])})
 
     # blocks of points and of queries of a shard that has more than its share; one small number for each leaf of the tree
-    blocks = lambda n: -(-n // shard_points)
-    sizes = {r["shard"]: blocks(r["count"]) for r in points.select("fp").mapInArrow(homes, "shard int").groupBy("shard").count().collect()}
-    asking = {r["shard"]: blocks(r["n"]) for r in points.select("fp").mapInArrow(touches, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["shard"]: -(-r["count"] // shard_points) for r in points.select("fp").mapInArrow(homes, "shard int").groupBy("shard").count().collect()}
+    asking = {r["shard"]: -(-r["n"] // (QUERY_BLOCKS * shard_points)) for r in points.select("fp").mapInArrow(touches, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).collect()}
 
     def deal(batches: Batches) -> Batches:
         for batch in batches:
@@ -256,7 +256,7 @@ def link_fingerprints(found: DataFrame, radius: int = RADIUS, shard_points: int
             place = ((fp >> np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             for shard, at in sent.value.touched(fp, radius):
                 at = at[home[at] <= shard]  # a pair over two shards is found once, in the later one
-                n_points, n_asking = sizes.get(shard, 0), asking[shard]
+                n_points, n_asking = sizes.get(shard, 0), max(asking[shard], 1)
                 own = at[home[at] == shard]
                 for who, block, query, point in [(own, place[own] % max(n_points, 1), np.full(len(own), q), True) for q in range(n_asking if n_points else 0)] + [(at, np.full(len(at), b), place[at] % n_asking, False) for b in range(n_points)]:
                     yield rows({"shard": (pa.int32(), np.full(len(who), shard)), "block": (pa.int32(), block), "query": (pa.int32(), query), "fp": (pa.int64(), signed[who]), "point": (pa.bool_(), np.full(len(who), point))})
