@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import chat_quotes, decontam, html_extract, multiset_fp, piece_codec, secret_scan, simhash_vp, token_count, token_store, toxicity
+from inkveil.llm import chat_quotes, decontam, html_extract, line_dedup, merkle, multiset_fp, piece_codec, ranked_search, secret_scan, simhash_vp, token_count, token_store, toxicity
 from inkveil.llm._common import table
 
 
@@ -82,9 +82,21 @@ def op10_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_shared_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_page_text, op3_token_shards, op4_sentence_pieces, op5_chat_replies, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap, chat_quoted_replies, chat_conversations)}
+    return {f.__name__: f for f in (op1_toxicity, op2_page_text, op3_token_shards, op4_sentence_pieces, op5_chat_replies, op6_simhash_neighbours, op7_secret_spans, op8_token_counts, op9_multiset_fingerprints, op10_benchmark_overlap, op11_ranked_search, op12_merkle_manifest, op13_line_dedup, chat_quoted_replies, chat_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_replies": chat_quotes.ORACLE_SQL, "chat_quoted_replies": chat_quotes.QUOTED_SQL, "chat_conversations": chat_quotes.BUILT_SQL}
+    return {"op5_chat_replies": chat_quotes.ORACLE_SQL, "chat_quoted_replies": chat_quotes.QUOTED_SQL, "chat_conversations": chat_quotes.BUILT_SQL, "op11_ranked_search": ranked_search.ORACLE_SQL, "op12_merkle_manifest": merkle.oracle_sql(), "op13_line_dedup": line_dedup.ORACLE_SQL}
