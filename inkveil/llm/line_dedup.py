@@ -2,8 +2,8 @@
 
 A line's key is the line without blanks at its ends and with A-Z in lower case. Its 128-bit hash
 stands for it: a document's different hashes are exploded, and documents are counted for each hash.
-Lines meet the hashes over the threshold in a join whose large side Spark splits where one hash is hot;
-lines with an empty key never take part. Only places of dropped lines go back to their document,
+The hashes over the threshold are written first, so that Spark splits the lines' side of the join where
+one hash is hot; lines with an empty key never take part. Only places of dropped lines go back to their document,
 whose text is cut there and put together again by position.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm._common import id_and_text
+from inkveil.llm._common import id_and_text, stored
 
 MIN_DOCUMENTS = 10  # documents that hold a key, from which its lines go
 MIN_CHARS = 1  # code points of a key, from which its lines can go
@@ -78,7 +78,8 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_c
     """
     kept = id_and_text(docs, id_col, text_col)
     lines = line_hashes(kept, min_chars)
-    gone = lines.select("ra", "rb", "place", "ha", "hb").join(shared_lines(lines, min_documents).select("ha", "hb"), ["ha", "hb"], "left_semi")
+    shared = stored(shared_lines(lines, min_documents), "shared-lines")
+    gone = lines.select("ra", "rb", "place", "ha", "hb").join(shared.select("ha", "hb"), ["ha", "hb"], "left_semi")
     # equal rows share one hash and so one set of places
     places = gone.groupBy("ra", "rb").agg(F.array_sort(F.collect_set("place")).alias("places"))
     row = hash128(F.col("doc_id"), F.col("text"))
