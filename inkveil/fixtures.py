@@ -108,6 +108,12 @@ SELECT CAST(p_partkey AS BIGINT), CAST(1 AS BIGINT), CAST(10 + p_partkey % 4 AS
        CAST(17 + p_partkey % 9 AS INT), CAST(9 + p_partkey % 11 + p_partkey % 13 AS INT) FROM part WHERE p_size > 35
 """
 
+#: Two requests for each picture, in modes of their own; some name no mode, some an unknown one.
+MASK_REQUESTS = """
+SELECT CAST(page_id AS BIGINT) AS request_id, CAST(1 + floor(page_id / 2) AS BIGINT) AS image_id,
+       CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'black' WHEN 2 THEN 'gray' WHEN 3 THEN 'blur' WHEN 4 THEN 'mosaic' WHEN 5 THEN 'white' ELSE 'invalid-mode' END AS mask_mode FROM pages
+"""
+
 #: Two areas of each picture in which ink is looked for; the second reaches past the edge.
 PICTURE_AREAS = """
 SELECT CAST(p_partkey AS BIGINT) AS image_id, 0 AS area_id, 2 AS ax1, 1 AS ay1, 12 AS ax2, 9 AS ay2 FROM part

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from inkveil import fixtures as X
 from inkveil.operators.rules import DOCTOR_STOPS, label_pattern, value_pattern
 
@@ -154,8 +156,37 @@ runs AS (SELECT image_id, area_id, y, CAST(min(x) AS INT) AS x1, CAST(max(x) + 1
 DIGEST = "md5(string_agg(printf('%02X', CAST({v} AS BIGINT)), '' ORDER BY {i}))"
 INSIDE = "b.image_id = px.image_id AND px.x BETWEEN b.x1 AND b.x2 AND px.y BETWEEN b.y1 AND b.y2"
 
+
+
+def painted(source: str, seq: int, to: str) -> str:
+    """CTEs up to `to`: the pixels of `source` after each request's box number `seq` is painted in the request's mode."""
+    mirrored = lambda at, n: f"CASE WHEN abs({at}) % greatest(2 * ({n} - 1), 1) >= {n} THEN greatest(2 * ({n} - 1), 1) - abs({at}) % greatest(2 * ({n} - 1), 1) ELSE abs({at}) % greatest(2 * ({n} - 1), 1) END"
+    return f"""
+{to}_held AS MATERIALIZED (SELECT s.*, x - x1 AS px, y - y1 AS py, least(x2 + 1, width) - x1 AS w, least(y2 + 1, height) - y1 AS h FROM {source} s JOIN boxes b ON b.image_id = s.image_id AND b.seq = {seq} AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2),
+{to}_down AS MATERIALIZED (SELECT a.request_id, a.c, a.px, a.py, a.w, sum(k.weight * b.v) AS v FROM {to}_held a JOIN kernel k ON a.mode = 'blur' JOIN {to}_held b ON b.request_id = a.request_id AND b.c = a.c AND b.px = a.px AND b.py = {mirrored('a.py + k.t - 17', 'a.h')} GROUP BY ALL),
+{to}_blur AS MATERIALIZED (SELECT a.request_id, a.c, a.px, a.py, round_even(sum(k.weight * b.v), 0) AS p FROM {to}_down a JOIN kernel k ON true JOIN {to}_down b ON b.request_id = a.request_id AND b.c = a.c AND b.py = a.py AND b.px = {mirrored('a.px + k.t - 17', 'a.w')} GROUP BY ALL),
+{to}_new AS (SELECT h.request_id, h.i, CAST(CASE h.mode WHEN 'white' THEN 255 WHEN 'black' THEN 0 WHEN 'gray' THEN 128 WHEN 'blur' THEN b.p WHEN 'rows' THEN CASE h.py % 2 WHEN 0 THEN 255 ELSE 0 END
+   ELSE round_even(avg(v) OVER (PARTITION BY h.request_id, h.c, h.py * greatest(1, h // 15) // h, h.px * greatest(1, w // 15) // w), 0) END AS BIGINT) AS p FROM {to}_held h LEFT JOIN {to}_blur b USING (request_id, c, px, py)),
+{to} AS MATERIALIZED (SELECT s.* REPLACE (coalesce(n.p, s.v) AS v) FROM {source} s LEFT JOIN {to}_new n USING (request_id, i))"""
+
+
+def masked_requests(mode: str = "coalesce(mask_mode, 'white')", where: str = "mode <> 'invalid-mode'", seqs: int = 2) -> str:
+    """Every request's picture after its boxes are painted in turn; the kernel has 35 weights, as no picture is large enough for more."""
+    steps = ", ".join(painted(f"p{k}", k, f"p{k + 1}") for k in range(seqs))
+    return f"""WITH {PICTURES.replace('px AS', 'px AS MATERIALIZED')}, req AS (SELECT * FROM (SELECT request_id, image_id, {mode} AS mode FROM ({X.MASK_REQUESTS})) WHERE {where}),
+raw AS (SELECT t, exp(-((t - 17) * (t - 17)) / CAST(2 * (0.3 * ((35 - 1) * 0.5 - 1) + 0.8) * (0.3 * ((35 - 1) * 0.5 - 1) + 0.8) AS DOUBLE)) AS e FROM (SELECT unnest(range(35)) AS t)), kernel AS MATERIALIZED (SELECT t, e / sum(e) OVER () AS weight FROM raw),
+p0 AS MATERIALIZED (SELECT request_id, mode, px.* FROM px JOIN req USING (image_id)), {steps}
+SELECT request_id, image_id, any_value(mode) AS mask_mode, image_id IN (SELECT image_id FROM boxes WHERE seq < {seqs}) AS masked, any_value(height) AS height, any_value(width) AS width, {DIGEST.format(v='v', i='i')} AS pixels FROM p{seqs} GROUP BY request_id, image_id"""
+
+
 NO_DOMAIN = "domain <> 'cdn.example.com'"
 
+
+def settled(sql: str) -> str:
+    """Every common table is worked out once, whatever the planner would choose."""
+    return re.sub(r"\bAS \((?=\s*SELECT)", "AS MATERIALIZED (", sql)
+
+
 ORACLE: dict[str, str] = {
     "s1_manifest": f"WITH {MANIFEST} SELECT file, row_num, url, image_id FROM manifest",
     "p1_parse_object_url": f"WITH {PARSED} SELECT request_id, bucket, region, CASE WHEN bucket IS NOT NULL THEN key END AS key, CASE WHEN bucket IS NULL THEN 'unknown host' END AS url_error FROM parsed",
@@ -222,6 +253,9 @@ met AS (SELECT model.* FROM model JOIN first_kept USING (image_id, source, seq)
 SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index, paint_order FROM kept JOIN met USING (image_id, source, seq)""",
     "x1_mask_solid": f"""WITH {PICTURES} SELECT image_id, image_id IN (SELECT image_id FROM boxes) AS masked, any_value(height) AS height, any_value(width) AS width,
 {DIGEST.format(v=f'CASE WHEN EXISTS (SELECT 1 FROM boxes b WHERE {INSIDE}) THEN 0 ELSE v END', i='i')} AS pixels FROM px GROUP BY image_id""",
+    "x1_mask_requests": masked_requests(),
+    "x1_reject_requests": f"SELECT request_id, image_id, mask_mode, 'unknown mask mode: ' || mask_mode AS error FROM ({X.MASK_REQUESTS}) WHERE mask_mode = 'invalid-mode'",
+    "d3_registered_mode": masked_requests("'rows'", "true", 1),
     "wa_mask_batch": f"""WITH {LINES}, {PICTURES}, enough AS (SELECT image_id FROM lines GROUP BY image_id HAVING count(*) >= 2 AND max(length(trim(text))) >= 3), taken AS (SELECT boxes.* FROM boxes JOIN enough USING (image_id))
 SELECT image_id, image_id IN (SELECT image_id FROM taken) AS masked, any_value(height) AS height, any_value(width) AS width, {DIGEST.format(v=f'CASE WHEN EXISTS (SELECT 1 FROM taken b WHERE {INSIDE}) THEN 255 ELSE v END', i='i')} AS pixels FROM px GROUP BY image_id""",
     "x1_mask_mosaic": f"""WITH {PICTURES}, cut AS (SELECT b.image_id, b.x1, b.y1, least(b.x2 + 1, width) - b.x1 AS w, least(b.y2 + 1, height) - b.y1 AS h FROM boxes b JOIN pic USING (image_id) WHERE seq = 0),
@@ -296,5 +330,9 @@ SELECT image_id, CAST(area_id AS BIGINT) AS seq, concat_ws(',', a, b, c, b, c, d
 }
 
 
+for _name in ("wb_detect",):
+    ORACLE[_name] = settled(ORACLE[_name])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -381,6 +382,33 @@ def x1_mask_solid(spark, sf_dir):
     return pixels(images.mask_images(X.pictures(spark, sf_dir), X.picture_regions(spark, sf_dir), "black"), "masked")
 
 
+@query
+def x1_mask_requests(spark, sf_dir):
+    """Pictures painted in the mode of each request: all five modes in one pass over the pictures."""
+    masked = images.mask_requests(X.pictures(spark, sf_dir), X.picture_regions(spark, sf_dir), X.derived(spark, sf_dir, X.MASK_REQUESTS))
+    return pixels(masked, "request_id", "mask_mode", "masked")
+
+
+@query
+def x1_reject_requests(spark, sf_dir):
+    return images.reject_requests(X.derived(spark, sf_dir, X.MASK_REQUESTS))
+
+
+def rows_mode(image: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A mode of a caller's own: every second row black, the others white."""
+    out = np.full_like(part, 255)
+    out[1::2] = 0
+    return out
+
+
+@query
+def d3_registered_mode(spark, sf_dir):
+    """Pictures painted in a mode that this process registers."""
+    images.register_mask_mode("rows", rows_mode)
+    asked = X.derived(spark, sf_dir, X.MASK_REQUESTS).withColumn("mask_mode", F.lit("rows"))
+    return pixels(images.mask_requests(X.pictures(spark, sf_dir), X.picture_regions(spark, sf_dir).where("seq = 0"), asked), "request_id", "mask_mode", "masked")
+
+
 @query
 def x1_mask_mosaic(spark, sf_dir):
     return pixels(images.mask_images(X.pictures(spark, sf_dir), X.picture_regions(spark, sf_dir).where("seq = 0"), "mosaic"), "masked")
