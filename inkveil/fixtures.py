@@ -6,6 +6,8 @@ derivations; they grow with the tables that they come from. SQL texts run on Spa
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +122,21 @@ SELECT CAST(p_partkey AS BIGINT) AS image_id, 0 AS area_id, 2 AS ax1, 1 AS ay1,
 UNION ALL SELECT CAST(p_partkey AS BIGINT), 1, CAST(8 + p_partkey % 9 AS INT), 10, 60, 40 FROM part WHERE p_size > 25
 """
 
+#: Sizes of whole scans, one for each customer.
+SCAN_META = """
+SELECT CAST(c_custkey AS BIGINT) AS image_id, CAST(640 + c_custkey % 160 AS INT) AS width, CAST(360 + (c_custkey * 7) % 200 AS INT) AS height FROM customer
+"""
+
+#: Strokes of ink on a scan, which don't touch one another: up to seven below the last line, and five among the lines of some.
+SCAN_INK = f"""
+SELECT image_id, CAST(20 + 20 * (image_id % 5) + 26 * j AS INT) AS x, CAST(45 + 31 * last + (j * 5) % 9 AS INT) AS y,
+       CAST(6 + (image_id + j) % 13 AS INT) AS w, CAST(14 + (image_id + 3 * j) % 17 AS INT) AS h
+FROM (SELECT image_id, max(line_index) AS last FROM ({LABEL_LINES}) label_lines GROUP BY image_id) ends CROSS JOIN (SELECT explode(sequence(0, 6)) AS j) slots WHERE j <= image_id % 7
+UNION ALL
+SELECT image_id, CAST(60 + 26 * j AS INT), CAST(70 + (j * 7) % 10 AS INT), CAST(9 AS INT), CAST(20 AS INT)
+FROM (SELECT image_id, max(line_index) AS last FROM ({LABEL_LINES}) label_lines GROUP BY image_id) ends CROSS JOIN (SELECT explode(sequence(0, 4)) AS j) slots WHERE image_id % 8 = 0 AND last >= 4
+"""
+
 STAGE_METRICS = """
 SELECT l_orderkey AS image_id, CAST(l_linenumber AS DOUBLE) AS orientation_ms, l_quantity AS ocr_ms, l_discount AS rotation_retry_ms,
        l_extendedprice AS detect_ms, l_tax AS mask_ms FROM lineitem
@@ -163,6 +180,26 @@ def pictures(spark: SparkSession, sf_dir: str, channels: int = 3) -> DataFrame:
     return found.select("image_id", "angle", image.alias("image"))
 
 
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, image: gray scans of SCAN_META's sizes, white with print (lighter than ink) in the lines' boxes and SCAN_INK's strokes."""
+    boxes = derived(spark, sf_dir, BOXED_LINES).select("image_id", "x1", "y1", "x2", "y2", F.lit(150).alias("gray"))
+    ink = derived(spark, sf_dir, SCAN_INK).select("image_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.lit(30).alias("gray"))
+    marks = boxes.unionByName(ink).groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("gray", "x1", "y1", "x2", "y2")), asc=False).alias("marks"))
+    drawn = derived(spark, sf_dir, SCAN_META).join(marks, "image_id", "left")
+
+    def draw(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                pixels = np.full((row["height"], row["width"]), 255, np.uint8)
+                for m in row["marks"] or ():
+                    pixels[max(m["y1"], 0) : max(m["y2"], 0), max(m["x1"], 0) : max(m["x2"], 0)] = m["gray"]
+                out.append({"origin": "", "height": row["height"], "width": row["width"], "nChannels": 1, "mode": 0, "data": pixels.tobytes()})
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(out, pa.struct([("origin", pa.string()), *[(c, pa.int32()) for c in ("height", "width", "nChannels", "mode")], ("data", pa.binary())]))], names=["image_id", "image"])
+
+    return drawn.mapInArrow(draw, "image_id bigint, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+
 def picture_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = derived(spark, sf_dir, PICTURE_BOXES)
     return found.select("image_id", "seq", rect(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("polygon"))

@@ -158,6 +158,24 @@ INSIDE = "b.image_id = px.image_id AND px.x BETWEEN b.x1 AND b.x2 AND px.y BETWE
 
 
 
+PROFILES = """prof(profile, min_part, of_image, max_aspect, min_strokes, fill_lo, fill_hi, strict, min_w, min_h, max_part, max_width, max_bottom) AS (VALUES
+ ('near_doctor', CAST(0.005 AS DOUBLE), false, 10.0, 2, CAST(0.01 AS DOUBLE), CAST(0.5 AS DOUBLE), false, 15, 8, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)),
+ ('bottom_context', 0.0005, true, 12.0, 1, 0.02, 0.45, false, 20, 10, 0.7, NULL, NULL), ('bottom_strict', 0.0005, true, 12.0, 4, 0.03, 0.35, false, 30, 15, 0.3, 0.4, 0.95), ('verify', 0.003, false, 12.0, 2, 0.01, 0.45, true, 0, 0, NULL, NULL, NULL))"""
+#: CTE q from strokes, runs and areas: the regions of areas with handwriting.
+JUDGED = """
+judged AS (SELECT * FROM areas JOIN prof USING (profile)),
+kept AS (SELECT s.* FROM strokes s JOIN judged j USING (image_id, area_id) WHERE size >= CASE WHEN of_image THEN width * height ELSE (ax2 - ax1) * (ay2 - ay1) END * min_part
+  AND greatest(w, h) / CAST(greatest(least(w, h), 1) AS DOUBLE) <= max_aspect AND NOT (of_image AND w > (ax2 - ax1) * CAST(0.7 AS DOUBLE) AND (y - ay1 < 3 OR y + h > ay2 - 3))),
+merged AS (SELECT image_id, area_id, count(*) AS n, min(x) AS mx1, min(y) AS my1, max(x + w) AS mx2, max(y + h) AS my2 FROM kept GROUP BY ALL),
+boxed AS (SELECT *, profile = 'verify' AS v, CASE WHEN profile = 'verify' THEN ax1 ELSE mx1 END AS bx1, CASE WHEN profile = 'verify' THEN ay1 ELSE my1 END AS by1, CASE WHEN profile = 'verify' THEN ax2 ELSE mx2 END AS bx2, CASE WHEN profile = 'verify' THEN ay2 ELSE my2 END AS by2
+  FROM merged JOIN judged USING (image_id, area_id) WHERE n >= min_strokes),
+inked AS (SELECT image_id, area_id, sum(greatest(0, least(r.x2, bx2) - greatest(r.x1, bx1))) AS ink FROM runs r JOIN boxed USING (image_id, area_id) WHERE r.y BETWEEN by1 AND by2 - 1 GROUP BY ALL),
+filled AS (SELECT *, bx2 - bx1 AS bw, by2 - by1 AS bh, coalesce(ink, 0) / (CAST(bx2 - bx1 AS DOUBLE) * (by2 - by1)) AS fill FROM boxed LEFT JOIN inked USING (image_id, area_id)),
+passed AS (SELECT *, CASE WHEN v THEN 0 ELSE greatest(CAST(trunc(bh * CAST(0.3 AS DOUBLE)) AS INT), 5) END AS pad FROM filled WHERE CASE WHEN strict THEN fill > fill_lo AND fill < fill_hi ELSE fill BETWEEN fill_lo AND fill_hi END AND bw >= min_w AND bh >= min_h
+  AND (max_part IS NULL OR bw * bh <= (ax2 - ax1) * (ay2 - ay1) * max_part) AND (max_width IS NULL OR bw <= (ax2 - ax1) * max_width) AND (max_bottom IS NULL OR by2 - ay1 <= (ay2 - ay1) * max_bottom)),
+q AS (SELECT image_id, area_id, fill, greatest(0, bx1 - pad) AS a, greatest(coalesce(limit_y, 0), by1 - pad) AS b, least(width, bx2 + pad) AS c, least(height, by2 + pad) AS d FROM passed)"""
+
+
 def painted(source: str, seq: int, to: str) -> str:
     """CTEs up to `to`: the pixels of `source` after each request's box number `seq` is painted in the request's mode."""
     mirrored = lambda at, n: f"CASE WHEN abs({at}) % greatest(2 * ({n} - 1), 1) >= {n} THEN greatest(2 * ({n} - 1), 1) - abs({at}) % greatest(2 * ({n} - 1), 1) ELSE abs({at}) % greatest(2 * ({n} - 1), 1) END"
@@ -179,6 +197,34 @@ p0 AS MATERIALIZED (SELECT request_id, mode, px.* FROM px JOIN req USING (image_
 SELECT request_id, image_id, any_value(mode) AS mask_mode, image_id IN (SELECT image_id FROM boxes WHERE seq < {seqs}) AS masked, any_value(height) AS height, any_value(width) AS width, {DIGEST.format(v='v', i='i')} AS pixels FROM p{seqs} GROUP BY request_id, image_id"""
 
 
+#: Strokes don't touch, so a stroke of an area is the part of a rectangle of ink in it, and the ink of a box the sum of such parts.
+DETECT_PIXELS = f"""WITH {ALL_RULES}, meta AS ({X.SCAN_META}), {CLEANED}, {LOCATED}, {poly('m2', 'm2_')}, {SIGNED},
+named AS (SELECT image_id, 'llm' AS source, CAST(item_seq AS BIGINT) AS seq, value AS text, category, {POINTS}, line_index AS ocr_line_index FROM m2_rule_poly),
+doc AS (SELECT r.image_id, CASE source WHEN 'llm' THEN 1 ELSE 2 END * 1000000000000000 + seq AS area_id, width, height, least(p0, p2, p4, p6) AS x1, least(p1, p3, p5, p7) AS y1, greatest(p0, p2, p4, p6) AS x2, greatest(p1, p3, p5, p7) AS y2
+  FROM (SELECT * FROM named UNION ALL SELECT * FROM all_rules) r JOIN meta USING (image_id) WHERE category = 'doctor'),
+near AS (SELECT image_id, area_id, width, height, greatest(0, x1 - CAST(trunc(greatest(y2 - y1, 20) * CAST(0.5 AS DOUBLE)) AS INT)) AS ax1, y2 AS ay1, least(width, x2 + CAST(trunc(greatest(y2 - y1, 20) * CAST(0.5 AS DOUBLE)) AS INT)) AS ax2, least(height, y2 + CAST(trunc(greatest(y2 - y1, 20) * CAST(2.5 AS DOUBLE)) AS INT)) AS ay2 FROM doc),
+ends AS (SELECT image_id, max(y2) AS last_y, regexp_matches(string_agg(text, '' ORDER BY line_index), '签名|手签|签字|签章|盖章') AS has_context FROM lines GROUP BY image_id),
+areas AS (SELECT image_id, area_id, ax1, ay1, ax2, ay2, width, height, 'near_doctor' AS profile, CAST(NULL AS INT) AS limit_y FROM near a WHERE ay2 - ay1 >= 10 AND ax2 - ax1 >= 20 AND NOT EXISTS (SELECT 1 FROM lines o
+    WHERE o.image_id = a.image_id AND o.confidence > CAST(0.7 AS DOUBLE) AND length(trim(o.text)) >= 2 AND (o.x1 + o.x2) / CAST(2 AS DOUBLE) BETWEEN ax1 AND ax2 AND (o.y1 + o.y2) / CAST(2 AS DOUBLE) BETWEEN ay1 AND ay2)
+  UNION ALL SELECT image_id, 0, CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT), last_y, width - CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT), height, width, height, CASE WHEN has_context THEN 'bottom_context' ELSE 'bottom_strict' END, last_y FROM ends JOIN meta USING (image_id) WHERE height - last_y >= height * CAST(0.08 AS DOUBLE)
+  UNION ALL SELECT image_id, item_seq + 1, s.x1, s.y1, s.x2, s.y2, width, height, 'verify', NULL FROM signed s JOIN meta USING (image_id) WHERE s.x2 - s.x1 >= 10 AND s.y2 - s.y1 >= 5),
+scribbles AS ({X.SCAN_INK.replace('explode(sequence(0, 6))', 'unnest(range(7))').replace('explode(sequence(0, 4))', 'unnest(range(5))')}),
+runs AS (SELECT a.image_id, a.area_id, greatest(s.x, ax1) AS x1, least(s.x + s.w, ax2) AS x2, greatest(s.y, ay1) AS y1, least(s.y + s.h, ay2) AS y2 FROM scribbles s JOIN areas a USING (image_id) WHERE least(s.x + s.w, ax2) > greatest(s.x, ax1) AND least(s.y + s.h, ay2) > greatest(s.y, ay1)),
+strokes AS (SELECT image_id, area_id, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, (x2 - x1) * (y2 - y1) AS size FROM runs), {PROFILES},
+{JUDGED.replace("sum(greatest(0, least(r.x2, bx2) - greatest(r.x1, bx1)))", "sum(greatest(0, least(r.x2, bx2) - greatest(r.x1, bx1)) * greatest(0, least(r.y2, by2) - greatest(r.y1, by1)))").replace(" WHERE r.y BETWEEN by1 AND by2 - 1", "")},
+signature AS (SELECT image_id, area_id, '[手写签名]' AS text, 'handwritten_signature' AS category, a AS p0, b AS p1, c AS p2, b AS p3, c AS p4, d AS p5, a AS p6, d AS p7, -1 AS ocr_line_index FROM q),
+model AS (SELECT * FROM named UNION ALL SELECT image_id, 'llm', area_id - 1, * EXCLUDE (image_id, area_id) FROM signature WHERE area_id BETWEEN 1 AND 999999999999999),
+{dedupe('model', 'first_')},
+face AS ({X.FACES}), g AS (SELECT face.image_id, x, y, width, height, greatest(0, x) AS x1, greatest(0, y) AS y1, least(width, x + w) AS x2, least(height, y + h) AS y2 FROM face JOIN meta USING (image_id)
+  WHERE w >= greatest(16, CAST(trunc(least(width, height) * CAST(0.02 AS DOUBLE)) AS INT)) AND h >= greatest(16, CAST(trunc(least(width, height) * CAST(0.02 AS DOUBLE)) AS INT))),
+fp AS (SELECT *, CAST(trunc((x2 - x1) * CAST(0.2 AS DOUBLE)) AS INT) AS pw, CAST(trunc((y2 - y1) * CAST(0.3 AS DOUBLE)) AS INT) AS ph FROM g WHERE x2 > x1 AND y2 > y1),
+fq AS (SELECT image_id, CAST(x AS BIGINT) * 100000 + y AS seq, greatest(0, x1 - pw) AS a, greatest(0, y1 - ph) AS b, least(width, x2 + pw) AS c, least(height, y2 + ph) AS d FROM fp),
+met AS (SELECT model.* FROM model JOIN first_kept USING (image_id, source, seq) UNION ALL SELECT * FROM all_rules
+  UNION ALL SELECT image_id, 'cv', area_id, * EXCLUDE (image_id, area_id) FROM signature WHERE area_id = 0
+  UNION ALL SELECT image_id, 'adj', area_id, * EXCLUDE (image_id, area_id) FROM signature s WHERE area_id >= 2000000000000000 OR area_id >= 1000000000000000 AND (image_id, area_id - 1000000000000000) IN (SELECT (image_id, seq) FROM first_kept)
+  UNION ALL SELECT image_id, 'face', seq, '[人像]', 'portrait', a, b, c, b, c, d, a, d, -1 FROM fq), {dedupe('met', 'last_')}
+SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index, paint_order FROM last_kept JOIN met USING (image_id, source, seq)"""
+
 NO_DOMAIN = "domain <> 'cdn.example.com'"
 
 
@@ -251,6 +297,7 @@ SELECT g.*, coalesce(final, 0) AS final, rule + cv + adj + face AS extra FROM g
     "wb_detect": f"""WITH {ALL_RULES}, {META}, {CLEANED}, {LOCATED}, {poly('m2', 'm2_')}, {SIGNED}, {MODEL_REGIONS}, {dedupe('model', 'first_')},
 met AS (SELECT model.* FROM model JOIN first_kept USING (image_id, source, seq) UNION ALL SELECT * FROM all_rules), {dedupe('met')}
 SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index, paint_order FROM kept JOIN met USING (image_id, source, seq)""",
+    "wb_detect_pixels": DETECT_PIXELS,
     "x1_mask_solid": f"""WITH {PICTURES} SELECT image_id, image_id IN (SELECT image_id FROM boxes) AS masked, any_value(height) AS height, any_value(width) AS width,
 {DIGEST.format(v=f'CASE WHEN EXISTS (SELECT 1 FROM boxes b WHERE {INSIDE}) THEN 0 ELSE v END', i='i')} AS pixels FROM px GROUP BY image_id""",
     "x1_mask_requests": masked_requests(),
@@ -308,21 +355,9 @@ SELECT meta.image_id, coalesce(lines_json, '[]') AS lines_json, 'p' AS prompt, '
     "f13_written_formats": f"WITH {LINES}, {values([(c, p, 0) for c, p in FORMATS])}, {RULE_POLY}, {RULE_REGIONS} SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index FROM rule_regions",
     "f13_documents": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), v AS (SELECT doc_id, 'phone' AS category, unnest(regexp_extract_all(t, '(?:^|[^0-9])(1[3-9][0-9]{9}|0[0-9]{2,3}-[0-9]{7,8})(?:[^0-9]|$)', 1)) AS value FROM l UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(t, '([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,})', 1)) FROM l) SELECT doc_id AS image_id, category, count(*) AS n, count(DISTINCT value) AS n_values FROM v GROUP BY ALL",
     "x6_signature_regions": f"""WITH runs AS ({X.INK_RUNS}), strokes AS ({X.STROKES}),
-prof(profile, min_part, of_image, max_aspect, min_strokes, fill_lo, fill_hi, strict, min_w, min_h, max_part, max_width, max_bottom) AS (VALUES
- ('near_doctor', CAST(0.005 AS DOUBLE), false, 10.0, 2, CAST(0.01 AS DOUBLE), CAST(0.5 AS DOUBLE), false, 15, 8, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)),
- ('bottom_context', 0.0005, true, 12.0, 1, 0.02, 0.45, false, 20, 10, 0.7, NULL, NULL), ('bottom_strict', 0.0005, true, 12.0, 4, 0.03, 0.35, false, 30, 15, 0.3, 0.4, 0.95), ('verify', 0.003, false, 12.0, 2, 0.01, 0.45, true, 0, 0, NULL, NULL, NULL)),
-areas AS (SELECT DISTINCT image_id, area_id, 40 AS ax1, 90 AS ay1, 260 AS ax2, 200 AS ay2, 600 AS width, 800 AS height, ['near_doctor', 'bottom_context', 'bottom_strict', 'verify'][area_id + 1] AS profile FROM strokes),
-judged AS (SELECT * FROM areas JOIN prof USING (profile)),
-kept AS (SELECT s.* FROM strokes s JOIN judged j USING (image_id, area_id) WHERE size >= CASE WHEN of_image THEN width * height ELSE (ax2 - ax1) * (ay2 - ay1) END * min_part
-  AND greatest(w, h) / CAST(greatest(least(w, h), 1) AS DOUBLE) <= max_aspect AND NOT (of_image AND w > (ax2 - ax1) * CAST(0.7 AS DOUBLE) AND (y - ay1 < 3 OR y + h > ay2 - 3))),
-merged AS (SELECT image_id, area_id, count(*) AS n, min(x) AS mx1, min(y) AS my1, max(x + w) AS mx2, max(y + h) AS my2 FROM kept GROUP BY ALL),
-boxed AS (SELECT *, profile = 'verify' AS v, CASE WHEN profile = 'verify' THEN ax1 ELSE mx1 END AS bx1, CASE WHEN profile = 'verify' THEN ay1 ELSE my1 END AS by1, CASE WHEN profile = 'verify' THEN ax2 ELSE mx2 END AS bx2, CASE WHEN profile = 'verify' THEN ay2 ELSE my2 END AS by2
-  FROM merged JOIN judged USING (image_id, area_id) WHERE n >= min_strokes),
-inked AS (SELECT image_id, area_id, sum(greatest(0, least(r.x2, bx2) - greatest(r.x1, bx1))) AS ink FROM runs r JOIN boxed USING (image_id, area_id) WHERE r.y BETWEEN by1 AND by2 - 1 GROUP BY ALL),
-filled AS (SELECT *, bx2 - bx1 AS bw, by2 - by1 AS bh, coalesce(ink, 0) / (CAST(bx2 - bx1 AS DOUBLE) * (by2 - by1)) AS fill FROM boxed LEFT JOIN inked USING (image_id, area_id)),
-passed AS (SELECT *, CASE WHEN v THEN 0 ELSE greatest(CAST(trunc(bh * CAST(0.3 AS DOUBLE)) AS INT), 5) END AS pad FROM filled WHERE CASE WHEN strict THEN fill > fill_lo AND fill < fill_hi ELSE fill BETWEEN fill_lo AND fill_hi END AND bw >= min_w AND bh >= min_h
-  AND (max_part IS NULL OR bw * bh <= (ax2 - ax1) * (ay2 - ay1) * max_part) AND (max_width IS NULL OR bw <= (ax2 - ax1) * max_width) AND (max_bottom IS NULL OR by2 <= height * max_bottom)),
-q AS (SELECT image_id, area_id, fill, greatest(0, bx1 - pad) AS a, greatest(0, by1 - pad) AS b, least(width, bx2 + pad) AS c, least(height, by2 + pad) AS d FROM passed)
+{PROFILES},
+areas AS (SELECT DISTINCT image_id, area_id, 40 AS ax1, 90 AS ay1, 260 AS ax2, 200 AS ay2, 600 AS width, 800 AS height, CAST(NULL AS INT) AS limit_y, ['near_doctor', 'bottom_context', 'bottom_strict', 'verify'][area_id + 1] AS profile FROM strokes),
+{JUDGED}
 SELECT image_id, CAST(area_id AS BIGINT) AS seq, concat_ws(',', a, b, c, b, c, d, a, d) AS polygon, round(fill, 9) AS fill FROM q""",
     "x7_bottom_areas": f"WITH {LINES}, {META}, b AS (SELECT image_id, max(y2) AS last_y FROM lines GROUP BY image_id) SELECT b.image_id, CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT) AS ax1, last_y AS ay1, width - CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT) AS ax2, height AS ay2 FROM b JOIN meta USING (image_id) WHERE height - last_y >= height * CAST(0.08 AS DOUBLE)",
     "r1_stream_detect": f"WITH {LINES}, {values([*RULES, *[(c, p, 0) for c, p in FORMATS]])}, {RULE_POLY}, {RULE_REGIONS} SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index FROM rule_regions",
@@ -330,7 +365,7 @@ SELECT image_id, CAST(area_id AS BIGINT) AS seq, concat_ws(',', a, b, c, b, c, d
 }
 
 
-for _name in ("wb_detect",):
+for _name in ("wb_detect", "wb_detect_pixels"):
     ORACLE[_name] = settled(ORACLE[_name])
 
 

@@ -371,6 +371,14 @@ def wb_detect(spark, sf_dir):
     return flat_regions(found, "paint_order")
 
 
+@query
+def wb_detect_pixels(spark, sf_dir):
+    """The whole detection over scans: model, rules, handwriting below the lines and below doctors, faces."""
+    lines, scans = staged(X.text_lines(spark, sf_dir), "lines"), staged(X.scans(spark, sf_dir), "scans")
+    found = detect.detect_with_pixels(scans, lines, X.llm_responses(spark, sf_dir), X.derived(spark, sf_dir, X.FACES))
+    return flat_regions(found, "paint_order")
+
+
 def pixels(df: DataFrame, *more: str) -> DataFrame:
     """Height, width and a digest of each picture's bytes."""
     return df.select("image_id", *more, "image.height", "image.width", F.md5(F.hex("image.data")).alias("pixels"))
