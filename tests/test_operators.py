@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -282,7 +283,7 @@ def test_strokes_against_flood_fill():
         (y, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         if not len(y):
             continue
-        got = signatures._components(pd.DataFrame({"image_id": 1, "area_id": 0, "y": y, "x1": start, "x2": end}))
+        got = signatures._components(pa.table({"image_id": [1] * len(y), "area_id": [0] * len(y), "y": y, "x1": start, "x2": end})).to_pandas()
         want, left = [], {tuple(p) for p in np.argwhere(ink)}
         while left:
             todo, part = [left.pop()], []
