@@ -122,6 +122,13 @@ SELECT CAST(p_partkey AS BIGINT) AS image_id, 0 AS area_id, 2 AS ax1, 1 AS ay1,
 UNION ALL SELECT CAST(p_partkey AS BIGINT), 1, CAST(8 + p_partkey % 9 AS INT), 10, 60, 40 FROM part WHERE p_size > 25
 """
 
+#: Boxes of two detectors: half of all on the first image, the rest on one image for each thousand parts.
+DENSE_BOXES = """
+SELECT CAST(CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 + floor(p_partkey / 1000) END AS BIGINT) AS image_id, CASE WHEN p_partkey % 3 = 0 THEN 'rule' ELSE 'llm' END AS source, CAST(p_partkey AS BIGINT) AS seq,
+       CAST((p_partkey * 37) % 1900 AS INT) AS x1, CAST((p_partkey * 53) % 1300 AS INT) AS y1,
+       CAST((p_partkey * 37) % 1900 + 8 + (p_size * 7) % 90 AS INT) AS x2, CAST((p_partkey * 53) % 1300 + 8 + p_partkey % 61 AS INT) AS y2 FROM part
+"""
+
 #: Sizes of whole scans, one for each customer.
 SCAN_META = """
 SELECT CAST(c_custkey AS BIGINT) AS image_id, CAST(640 + c_custkey % 160 AS INT) AS width, CAST(360 + (c_custkey * 7) % 200 AS INT) AS height FROM customer
@@ -146,6 +153,11 @@ REQUEST_LOG = """
 SELECT event_id AS request_id, ts, event_type AS endpoint, CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN 'error' ELSE 'ok' END AS status, value AS elapsed_ms FROM events
 """
 
+#: The log as it arrives: five days in each of six deliveries, every thirteenth row one delivery late.
+ARRIVALS = f"""
+SELECT request_id, ts, endpoint, status, elapsed_ms, CAST(least(5, floor((day(ts) - 1) / 5) + CASE WHEN request_id % 13 = 0 THEN 1 ELSE 0 END) AS INT) AS arrival FROM ({REQUEST_LOG}) request_log
+"""
+
 #: Up to four attempts for each image; later ones with other numbers of lines and upright boxes.
 ATTEMPTS = " UNION ALL ".join(f"""
 SELECT image_id, {a} AS attempt, {angle} AS angle, line_index,

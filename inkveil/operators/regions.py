@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import box_columns, iou
+from inkveil.sources.staging import staged
 
 SOURCES = ("llm", "rule", "cv", "adj", "face")  # fixed: the order that ties follow
 MAX_IOU = 0.3
@@ -58,6 +60,83 @@ def dedupe_twice(llm: DataFrame, *others: DataFrame, max_iou: float = MAX_IOU) -
     return kept.select("k.r.*", (F.col("place") + 1).alias("paint_order")).drop("__alone")
 
 
+DENSE = 10_000  # regions of an image from which its overlaps are removed in rounds
+CROWD = 64  # boxes of a cell up to which its overlapping pairs are listed
+_CELL = ("image_id", "cw", "ch", "gx", "gy")
+
+
+def _grid_entries(boxes: DataFrame, max_iou: float) -> DataFrame:
+    """The boxes once for each grid cell where they can meet a box that they overlap by more than max_iou.
+
+    Such boxes differ in width, and in height, by less than 1 / max_iou times. Cells have sides of
+    powers of two; a box stands in the cells of its own power and of the next ones that a partner can
+    have, at most three to a side, so two partners share the cell of their common corner in
+    the grid of the larger powers.
+    """
+    more = math.floor(math.log2(1 / max_iou)) + 1
+    power = lambda low, high: F.floor(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(1)).cast("double"))).cast("int")
+    out = boxes.withColumns({"pw": power("x1", "x2"), "ph": power("y1", "y2")})
+    for power_col, c in (("pw", "cw"), ("ph", "ch")):
+        out = out.withColumn(c, F.explode(F.sequence(F.col(power_col), F.col(power_col) + more)))
+    for side, c, at in (("x", "cw", "gx"), ("y", "ch", "gy")):
+        out = out.withColumn(at, F.explode(F.expr(f"sequence(shiftright({side}1, {c}), shiftright({side}2, {c}))")))
+    return out
+
+
+def _of_cell(left: DataFrame, right: DataFrame, max_iou: float) -> DataFrame:
+    """Entries a and b of one cell whose boxes differ and overlap by more than max_iou."""
+    same = reduce(lambda p, q: p & q, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in _CELL))
+    sides = lambda t: F.struct(*(F.col(f"{t}.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return left.alias("a").join(right.alias("b"), same & (F.col("a.row_no") != F.col("b.row_no")) & (iou(sides("a"), sides("b")) > max_iou))
+
+
+def dedupe_in_rounds(regions: DataFrame, max_iou: float = MAX_IOU, crowd: int = CROWD) -> DataFrame:
+    """What dedupe_regions() returns, for images of any number of regions.
+
+    An image's boxes are spread over grid cells. While a cell holds more than `crowd` boxes, rounds
+    over the cells run: a box that comes first in all of its cells is kept, and what it overlaps is
+    removed; a cell keeps one box in a round, so cells full of copies take work in proportion.
+    Then overlapping pairs are listed, at most `crowd` for each entry, and rounds over them go on: a box
+    with no undecided box before it is kept, and its later partners are removed. The first
+    undecided box of an image is always kept, so every round decides something. Which boxes are kept
+    doesn't depend on the rounds: those that no kept box before them overlaps.
+    """
+    x1, y1, x2, y2 = box_columns(F.col("polygon"))
+    box = regions.select("image_id", F.monotonically_increasing_id().alias("row_no"), source_order().alias("o"), "seq", x1, y1, x2, y2, F.struct(*regions.columns).alias("r"))
+    area = (F.col("x2") - F.col("x1")).cast("bigint") * (F.col("y2") - F.col("y1")).cast("bigint")
+    every = staged(box.withColumn("place", F.struct((-area).alias("n"), "o", "seq", F.to_json("r").alias("rest"), "row_no")), "boxes")
+    left, removed = staged(_grid_entries(every.drop("r", "o", "seq"), max_iou), "entries"), []
+    while (left.groupBy(*_CELL).count().agg(F.max("count")).first()[0] or 0) > crowd:
+        first = left.groupBy(*_CELL).agg(F.min("place").alias("first"))
+        leads = left.join(first, list(_CELL)).groupBy("row_no").agg(F.every(F.col("place") == F.col("first")).alias("leads")).where("leads").select("row_no")
+        leads = staged(leads, "leads")
+        removed.append(staged(_of_cell(left.join(leads, "row_no", "left_semi"), left, max_iou).select("b.row_no").distinct(), "removed"))
+        left = staged(left.join(removed[-1].union(leads), "row_no", "left_anti"), "entries")
+
+    # each pair once: in the grid of its larger powers, in the cell of its common corner
+    own = lambda c, p: F.col(f"a.{c}") == F.greatest(F.col(f"a.{p}"), F.col(f"b.{p}"))
+    corner = F.expr("a.gx = shiftright(greatest(a.x1, b.x1), a.cw) AND a.gy = shiftright(greatest(a.y1, b.y1), a.ch)")
+    pairs = _of_cell(left, left, max_iou).where(own("cw", "pw") & own("ch", "ph") & corner & (F.col("a.place") < F.col("b.place")))
+    pairs = staged(pairs.select(F.col("a.row_no").alias("before"), F.col("b.row_no").alias("row_no")), "pairs")
+    while not pairs.isEmpty():
+        sure = pairs.select("before").distinct().join(pairs.select(F.col("row_no").alias("before")), "before", "left_anti")
+        removed.append(staged(pairs.join(sure, "before", "left_semi").select("row_no").distinct(), "removed"))
+        gone = removed[-1]
+        pairs = staged(pairs.join(gone, "row_no", "left_anti").join(gone.withColumnRenamed("row_no", "before"), "before", "left_anti").select("before", "row_no"), "pairs")
+    if removed:
+        every = every.join(reduce(DataFrame.union, removed), "row_no", "left_anti")
+    return every.select("r.*", F.row_number().over(Window.partitionBy("image_id").orderBy("place")).alias("paint_order"))
+
+
+def dedupe_any_size(regions: DataFrame, max_iou: float = MAX_IOU, at_most: int = DENSE) -> DataFrame:
+    """dedupe_regions() for images of at most `at_most` regions, dedupe_in_rounds() for the others: the same rows either way."""
+    dense = staged(regions.groupBy("image_id").count().where(F.col("count") > at_most).select("image_id"), "dense")
+    if dense.isEmpty():
+        return dedupe_regions(regions, max_iou)
+    plain = dedupe_regions(regions.join(dense, "image_id", "left_anti"), max_iou)
+    return plain.unionByName(dedupe_in_rounds(regions.join(dense, "image_id", "left_semi").select(*regions.columns), max_iou))
+
+
 def paint_order(regions: DataFrame) -> DataFrame:
     """Adds paint_order: by falling box area, then source and sequence."""
     x1, y1, x2, y2 = box_columns(F.col("polygon"))

@@ -294,6 +294,7 @@ t AS (SELECT image_id, count(*) AS total_lines FROM lines GROUP BY image_id) SEL
     "a8_source_counts": f"""WITH {BOXES}, {dedupe('every')}, f AS (SELECT image_id, count(*) AS final FROM kept GROUP BY image_id), g AS (SELECT image_id, count(*) FILTER (source = 'llm') AS llm, count(*) FILTER (source = 'rule') AS rule, count(*) FILTER (source = 'cv') AS cv, count(*) FILTER (source = 'adj') AS adj, count(*) FILTER (source = 'face') AS face FROM every GROUP BY image_id)
 SELECT g.*, coalesce(final, 0) AS final, rule + cv + adj + face AS extra FROM g LEFT JOIN f USING (image_id)""",
     "a9_dedupe_regions": f"WITH {BOXES}, {dedupe('every')} SELECT * FROM kept",
+    "a9_dense_images": f"WITH b AS ({X.DENSE_BOXES}), every AS (SELECT image_id, source, seq, x1 AS p0, y1 AS p1, x2 AS p2, y1 AS p3, x2 AS p4, y2 AS p5, x1 AS p6, y2 AS p7 FROM b), {dedupe('every')} SELECT * FROM kept",
     "wb_detect": f"""WITH {ALL_RULES}, {META}, {CLEANED}, {LOCATED}, {poly('m2', 'm2_')}, {SIGNED}, {MODEL_REGIONS}, {dedupe('model', 'first_')},
 met AS (SELECT model.* FROM model JOIN first_kept USING (image_id, source, seq) UNION ALL SELECT * FROM all_rules), {dedupe('met')}
 SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index, paint_order FROM kept JOIN met USING (image_id, source, seq)""",
@@ -361,10 +362,17 @@ areas AS (SELECT DISTINCT image_id, area_id, 40 AS ax1, 90 AS ay1, 260 AS ax2, 2
 SELECT image_id, CAST(area_id AS BIGINT) AS seq, concat_ws(',', a, b, c, b, c, d, a, d) AS polygon, round(fill, 9) AS fill FROM q""",
     "x7_bottom_areas": f"WITH {LINES}, {META}, b AS (SELECT image_id, max(y2) AS last_y FROM lines GROUP BY image_id) SELECT b.image_id, CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT) AS ax1, last_y AS ay1, width - CAST(trunc(width * CAST(0.03 AS DOUBLE)) AS INT) AS ax2, height AS ay2 FROM b JOIN meta USING (image_id) WHERE height - last_y >= height * CAST(0.08 AS DOUBLE)",
     "r1_stream_detect": f"WITH {LINES}, {values([*RULES, *[(c, p, 0) for c, p in FORMATS]])}, {RULE_POLY}, {RULE_REGIONS} SELECT image_id, source, seq, text, category, {POLYGON} AS polygon, ocr_line_index FROM rule_regions",
+    "r2_stream_outcomes": f"""WITH a AS (SELECT *, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS window_start FROM ({X.ARRIVALS})),
+-- the watermark of a delivery follows the latest time of those before it
+seen AS (SELECT k, date_trunc('milliseconds', max(ts)) - INTERVAL '1 day' AS mark FROM (SELECT unnest(range(7)) AS k) d JOIN a ON arrival < k GROUP BY k),
+kept AS (SELECT a.* FROM a LEFT JOIN seen ON k = arrival WHERE mark IS NULL OR window_start + INTERVAL '10 minutes' > mark)
+SELECT endpoint, window_start, window_start + INTERVAL '10 minutes' AS window_end, count(*) FILTER (status <> 'error') AS n_ok, count(*) FILTER (status = 'error') AS n_error, round(avg(elapsed_ms), 6) AS avg_ms
+FROM kept WHERE window_start + INTERVAL '10 minutes' <= (SELECT mark FROM seen WHERE k = 6) GROUP BY ALL""",
     "r2_request_outcomes": f"WITH r AS ({X.REQUEST_LOG}) SELECT endpoint, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01') + INTERVAL '10 minutes' AS window_end, count(*) FILTER (status <> 'error') AS n_ok, count(*) FILTER (status = 'error') AS n_error, round(avg(elapsed_ms), 6) AS avg_ms FROM r GROUP BY ALL",
 }
 
 
+ORACLE["r1_stream_replay"] = ORACLE["r1_stream_detect"]
 for _name in ("wb_detect", "wb_detect_pixels"):
     ORACLE[_name] = settled(ORACLE[_name])
 

@@ -243,6 +243,14 @@ def a9_dedupe_regions(spark, sf_dir):
     return regions.dedupe_regions(box_regions(spark, sf_dir)).select("image_id", "source", "seq", "paint_order")
 
 
+@query
+def a9_dense_images(spark, sf_dir):
+    """Images of few and of many regions: overlaps of the dense ones go in rounds over a grid."""
+    boxes = X.derived(spark, sf_dir, X.DENSE_BOXES)
+    named = boxes.select("image_id", "source", "seq", rect(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("polygon"))
+    return regions.dedupe_any_size(named, at_most=200).select("image_id", "source", "seq", "paint_order")
+
+
 @query
 def a10_stage_latency(spark, sf_dir):
     out = batch.stage_latency(X.derived(spark, sf_dir, X.STAGE_METRICS), exact=True)
@@ -363,6 +371,33 @@ def r2_request_outcomes(spark, sf_dir):
     return out.withColumn("avg_ms", F.round("avg_ms", 6))
 
 
+@query
+def r1_stream_replay(spark, sf_dir):
+    """Regions of lines that arrive as files, over a stream that is broken off before its last commit and started again."""
+    arrived, found, at = (fresh_path(spark, what) for what in ("lines", "regions", "checkpoint"))
+    X.text_lines(spark, sf_dir).repartition(6, "image_id").write.parquet(arrived)
+    lines = spark.read.parquet(arrived).schema
+    start = lambda: jobs.run_available(flat_regions(jobs.stream_detect(spark.readStream.schema(lines).option("maxFilesPerTrigger", 2).parquet(arrived))), found, at)
+    start()
+    jobs.forget_last_commit(spark, at)
+    start()
+    return jobs.finished_batches(spark, found, "image_id bigint, source string, seq bigint, text string, category string, polygon string, ocr_line_index int").drop("batch_id")
+
+
+@query
+def r2_stream_outcomes(spark, sf_dir):
+    """Outcomes by window over a log in six deliveries, each from the checkpoint of the one before; rows a day behind are dropped."""
+    arrived, found, at = (fresh_path(spark, what) for what in ("log", "outcomes", "checkpoint"))
+    log = staged(X.derived(spark, sf_dir, X.ARRIVALS), "arrivals")
+    for k in range(6):
+        log.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(log.drop("arrival").schema).parquet(arrived)
+        jobs.run_available(jobs.request_outcomes(stream, watermark="1 day"), found, at)
+    kind = dict(log.dtypes)["ts"]
+    out = jobs.finished_batches(spark, found, f"endpoint string, window_start {kind}, window_end {kind}, n_ok bigint, n_error bigint, avg_ms double")
+    return out.withColumn("avg_ms", F.round("avg_ms", 6)).drop("batch_id")
+
+
 @query
 def wb_detect(spark, sf_dir):
     """Model items and rules together: the whole detection without pixels."""
