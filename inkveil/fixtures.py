@@ -6,12 +6,15 @@ derivations; they grow with the tables that they come from. SQL texts run on Spa
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.geometry import rect
+from inkveil.operators.images import pixels_of
 
 #: One image for each customer, a line for each order.
 LABEL_LINES = """
@@ -149,6 +152,8 @@ SELECT l_orderkey AS image_id, CAST(l_linenumber AS DOUBLE) AS orientation_ms, l
        l_extendedprice AS detect_ms, l_tax AS mask_ms FROM lineitem
 """
 
+DAILY_METRICS = STAGE_METRICS.replace(" FROM lineitem", ", CAST(l_shipdate AS DATE) AS day FROM lineitem")
+
 REQUEST_LOG = """
 SELECT event_id AS request_id, ts, event_type AS endpoint, CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN 'error' ELSE 'ok' END AS status, value AS elapsed_ms FROM events
 """
@@ -217,6 +222,26 @@ def picture_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "seq", rect(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("polygon"))
 
 
+def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, content: the pictures as bitmap files; every ninth is cut off within its header, every eleventh empty."""
+
+    def encode(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            names, contents = [], []
+            for k, image_id in enumerate(batch.column("image_id").to_pylist()):
+                pixels = pixels_of(batch.column("image"), k)
+                h, w, _ = pixels.shape
+                rows = np.zeros((h, (3 * w + 3) // 4 * 4), np.uint8)  # rows from the bottom, filled up to whole words
+                rows[:, : 3 * w] = pixels[::-1].reshape(h, 3 * w)
+                head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0)
+                whole = head + rows.tobytes()
+                names.append(f"{image_id % 10}/{image_id}.bmp")
+                contents.append(whole[:20] if image_id % 9 == 0 else b"" if image_id % 11 == 0 else whole)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+
+    return pictures(spark, sf_dir).select("image_id", "image").mapInArrow(encode, "name string, content binary")
+
+
 def llm_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items as JSON arrays, every third in a code fence, every eleventh cut off, plus a signature box for some images."""
     item = F.struct("item_seq", F.to_json(F.struct(F.col("line_index"), "text", "category")).alias("json"))

@@ -322,6 +322,14 @@ SELECT image_id, 0 AS area_id, min(x1) AS x, min(y) AS y, max(x2) - min(x1) AS w
     "s1_read_manifest": f"WITH {MANIFEST} SELECT row_num, url, image_id FROM manifest",
     "s3_write_masked": f"""WITH {PARSED}, k AS (SELECT {_derived(chr(39) + '_masked_' + chr(39) + ' || CAST(request_id + 1700000000 AS VARCHAR)')} AS key, url AS content FROM parsed WHERE bucket IS NOT NULL AND host <> 'cdn.example.com')
 SELECT key, content, CASE lower({SUFFIX.format('key')}) WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.bmp' THEN 'image/bmp' WHEN '.webp' THEN 'image/webp' WHEN '.tiff' THEN 'image/tiff' ELSE 'application/octet-stream' END AS content_type FROM k""",
+    "s1_row_numbers": f"WITH sheet AS ({X.MANIFEST}), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY row_num) + 1 AS INT) AS place FROM sheet) SELECT file AS sheet, place AS row_num, trim(url) AS url, image_id FROM n WHERE starts_with(trim(url), 'http')",
+    "s2_read_images": f"""WITH {PICTURES}, bad AS (SELECT image_id FROM pic WHERE image_id % 9 = 0)
+SELECT image_id, any_value(height) AS height, any_value(width) AS width, {DIGEST.format(v='v', i='i')} AS pixels, NULL AS error FROM px WHERE image_id NOT IN (FROM bad) AND image_id % 11 <> 0 GROUP BY image_id UNION ALL SELECT image_id, NULL, NULL, NULL, 'not an image' FROM bad""",
+    "s3_repeated_jobs": f"""WITH {PARSED}, k AS (SELECT request_id, {_derived("'_masked_1700000000'")} AS key, url AS content FROM parsed WHERE bucket IS NOT NULL AND host <> 'cdn.example.com' AND request_id % 10 <> 0),
+r AS (SELECT key, first(CASE WHEN request_id % 3 < 2 THEN content ELSE 'later' END) AS content FROM k GROUP BY key)
+SELECT key, content, CASE lower({SUFFIX.format('key')}) WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.bmp' THEN 'image/bmp' WHEN '.webp' THEN 'image/webp' WHEN '.tiff' THEN 'image/tiff' ELSE 'application/octet-stream' END AS content_type FROM r""",
+    "a10_daily_latency": f"""WITH s AS (SELECT * FROM ({X.DAILY_METRICS}) WHERE day >= DATE '1995-01-01' AND day < DATE '1997-01-01'), l AS (SELECT 'orientation_ms' AS stage, orientation_ms AS ms FROM s UNION ALL SELECT 'ocr_ms', ocr_ms FROM s UNION ALL SELECT 'rotation_retry_ms', rotation_retry_ms FROM s UNION ALL SELECT 'detect_ms', detect_ms FROM s UNION ALL SELECT 'mask_ms', mask_ms FROM s)
+SELECT stage, count(*) AS images, round(avg(ms), 6) AS avg_ms, round(max(ms), 6) AS max_ms, round(sum(ms) / sum(sum(ms)) OVER (), 6) AS share, true AS p50_near, true AS p95_near FROM l GROUP BY stage""",
     "p10_normalize_legacy": f"""WITH {LINES}, kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY line_index) - 1 AS INT) AS k FROM lines WHERE o_orderkey % 6 <> 0)
 SELECT image_id, k AS line_index, text, concat_ws(',', CAST(round_even(x1 + 0.5, 0) AS INT), CAST(round_even(y1 + 0.5, 0) AS INT), CAST(round_even(x2 + 0.5, 0) AS INT), CAST(round_even(y1 + 0.5, 0) AS INT), CAST(round_even(x2 + 0.5, 0) AS INT), CAST(round_even(y2 + 0.5, 0) AS INT), CAST(round_even(x1 + 0.5, 0) AS INT), CAST(round_even(y2 + 0.5, 0) AS INT)) AS polygon,
 CASE WHEN o_orderkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE confidence END AS confidence FROM kept""",

@@ -52,6 +52,25 @@ def stage_latency(stage_metrics: DataFrame, stages: tuple[str, ...] = ("orientat
     return out.select("stage", "images", "avg_ms", "p50_ms", "p95_ms", "max_ms", (F.col("__sum") / whole).alias("share"))
 
 
+STAGES = ("orientation_ms", "ocr_ms", "rotation_retry_ms", "detect_ms", "mask_ms")
+SKETCH_SIZE = 800  # of a quantile sketch; its ranks are off by less than half a percent, after merging too
+
+
+def latency_sketches(stage_metrics: DataFrame, day_col: str = "day", stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """day, stage, images, sum_ms, max_ms, sketch (quantiles): small rows that are kept for each day and added up later."""
+    stack = ", ".join(f"'{s}', {s}" for s in stages)
+    long = stage_metrics.selectExpr(f"{day_col} AS day", f"stack({len(stages)}, {stack}) AS (stage, ms)").where("ms IS NOT NULL")
+    return long.groupBy("day", "stage").agg(F.count("*").alias("images"), F.sum("ms").alias("sum_ms"), F.max("ms").alias("max_ms"), F.kll_sketch_agg_double("ms", SKETCH_SIZE).alias("sketch"))
+
+
+def latency_of_days(sketches: DataFrame) -> DataFrame:
+    """stage, images, avg_ms, p50_ms, p95_ms, max_ms, share over the days given; times themselves are not read again."""
+    out = sketches.groupBy("stage").agg(F.sum("images").alias("images"), F.sum("sum_ms").alias("__sum"), F.max("max_ms").alias("max_ms"), F.kll_merge_agg_double("sketch", SKETCH_SIZE).alias("__all"))
+    at = lambda q: F.kll_sketch_get_quantile_double("__all", F.lit(q))
+    whole = F.sum("__sum").over(Window.partitionBy())  # over a row for each stage
+    return out.select("stage", "images", (F.col("__sum") / F.col("images")).alias("avg_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), "max_ms", (F.col("__sum") / whole).alias("share"))
+
+
 def text_check(manifest: DataFrame, text_lines: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """The whole check: statistics per image, joined to every manifest row (manifest: image_id, file, row_num, url)."""
     return attach_results(manifest, ocr_text_check(text_lines), errors, on="image_id")

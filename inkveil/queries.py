@@ -495,6 +495,62 @@ def s1_read_manifest(spark, sf_dir):
     return tables.read_manifest(spark, path).select("row_num", "url", F.col("image_id").cast("bigint").alias("image_id"))
 
 
+@query
+def s1_row_numbers(spark, sf_dir):
+    """Sheets without row numbers, large enough to be read in splits: each row's place in its sheet."""
+    path = fresh_path(spark, "sheets")
+    sheet = X.derived(spark, sf_dir, X.MANIFEST).withColumn("sheet", F.col("file"))
+    sheet.repartition("file").sortWithinPartitions("file", "row_num").select("file", "sheet", "url", "image_id").write.partitionBy("file").option("header", "true").csv(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        read = tables.read_manifest(spark, path)
+    finally:
+        spark.conf.set(key, before)
+    return read.select("sheet", "row_num", "url", F.col("image_id").cast("bigint").alias("image_id"))
+
+
+@query
+def s2_read_images(spark, sf_dir):
+    """Pictures written as files and read again; files that are no pictures come out with an error."""
+    path = fresh_path(spark, "files")
+    tables.write_files(X.picture_files(spark, sf_dir), path)
+    good, bad = tables.read_pictures(spark, path, "*.bmp")
+    number = F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("bigint").alias("image_id")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    read = pixels(good.select(number, "image")).withColumn("error", F.lit(None).cast("string"))
+    return read.unionByName(bad.select(number, none("int", "height"), none("int", "width"), none("string", "pixels"), "error"))
+
+
+@query
+def s3_repeated_jobs(spark, sf_dir):
+    """Masked contents of two jobs that share keys, each run twice: every key is there once."""
+    path = fresh_path(spark, "masked")
+    known = U.parse_object_url(requests(spark, sf_dir)).where("url_error IS NULL").withColumn("content", F.encode("url", "utf-8"))
+    named = U.derive_key(known, "masked", 1_700_000_000)
+    # one row in ten names its original as the target
+    named = named.withColumn("derived_key", F.when(F.col("request_id") % 10 == 0, F.col("key")).otherwise(F.col("derived_key")))
+    for job, part in (("a", named.where("request_id % 3 < 2")), ("b", named.where("request_id % 3 > 0").withColumn("content", F.encode(F.lit("later"), "utf-8")))) * 2:
+        tables.append_masked(part, path, job)
+    return tables.read_masked(spark, path).select("key", "content_type", F.decode("content", "utf-8").alias("content"))
+
+
+@query
+def a10_daily_latency(spark, sf_dir):
+    """Latencies of a range of days from sketches kept for each day: exact sums, and quantiles whose ranks are within a hundredth."""
+    metrics = X.derived(spark, sf_dir, X.DAILY_METRICS)
+    sketches = staged(batch.latency_sketches(metrics), "sketches").where("day >= DATE'1995-01-01' AND day < DATE'1997-01-01'")
+    found = batch.latency_of_days(sketches)
+    stack = ", ".join(f"'{s}', {s}" for s in batch.STAGES)
+    long = metrics.where("day >= DATE'1995-01-01' AND day < DATE'1997-01-01'").selectExpr(f"stack({len(batch.STAGES)}, {stack}) AS (stage, ms)")
+    below = [F.count_if(F.col("ms") < F.col(p)).alias(f"{p}_below") for p in ("p50_ms", "p95_ms")]
+    upto = [F.count_if(F.col("ms") <= F.col(p)).alias(f"{p}_upto") for p in ("p50_ms", "p95_ms")]
+    ranks = long.join(found, "stage").groupBy("stage").agg(*below, *upto)
+    near = lambda p, q: (F.col(f"{p}_below") <= F.col("images") * (q + 0.01)) & (F.col(f"{p}_upto") >= F.col("images") * (q - 0.01))
+    return found.join(ranks, "stage").select("stage", "images", F.round("avg_ms", 6).alias("avg_ms"), F.round("max_ms", 6).alias("max_ms"), F.round("share", 6).alias("share"), near("p50_ms", 0.5).alias("p50_near"), near("p95_ms", 0.95).alias("p95_near"))
+
+
 @query
 def s3_write_masked(spark, sf_dir):
     """Contents written under their new keys and read again."""

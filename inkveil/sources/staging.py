@@ -35,6 +35,13 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hadoop_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of any storage that Spark knows which match a pattern, in order."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder of fresh_path() that nothing reads any more."""
     if "/inkveil-" not in path:

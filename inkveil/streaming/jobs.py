@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators.rules import FORMATS, RULES, Rule, rule_regions
+from inkveil.sources.staging import hadoop_files
 
 
 def stream_detect(text_lines: DataFrame, rules: tuple[Rule, ...] = RULES + FORMATS) -> DataFrame:
@@ -30,12 +31,6 @@ def request_outcomes(request_log: DataFrame, window: str = "10 minutes", waterma
     return out.select("endpoint", F.col("w.start").cast(kind).alias("window_start"), F.col("w.end").cast(kind).alias("window_end"), "n_ok", "n_error", "avg_ms")
 
 
-def _files(spark: SparkSession, pattern: str) -> list[str]:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
-    return sorted(f.getPath().toString() for f in found or ())
-
-
 def once_by_batch(path: str) -> Callable[[DataFrame, int], None]:
     """A function for foreachBatch that writes each batch to a folder of its own, exactly once.
 
@@ -46,7 +41,7 @@ def once_by_batch(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = f"{path}/batch_id={batch_id}"
-        if not _files(batch.sparkSession, f"{folder}/_SUCCESS"):
+        if not hadoop_files(batch.sparkSession, f"{folder}/_SUCCESS"):
             batch.write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
     return write
@@ -54,7 +49,7 @@ def once_by_batch(path: str) -> Callable[[DataFrame, int], None]:
 
 def finished_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of all batches of once_by_batch() that are there, with batch_id; those being written are left out."""
-    done = [f.removesuffix("/_SUCCESS") for f in _files(spark, f"{path}/batch_id=*/_SUCCESS")]
+    done = [f.removesuffix("/_SUCCESS") for f in hadoop_files(spark, f"{path}/batch_id=*/_SUCCESS")]
     if not done:
         return spark.createDataFrame([], f"{schema}, batch_id bigint")
     return spark.read.schema(f"{schema}, batch_id bigint").option("basePath", path).parquet(*done)
@@ -67,6 +62,6 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def forget_last_commit(spark: SparkSession, checkpoint: str) -> None:
     """The checkpoint as after a crash between a batch's output and its commit: the last batch will run again."""
-    last = max(_files(spark, f"{checkpoint}/commits/*"), key=lambda f: int(f.rsplit("/", 1)[1]))
+    last = max(hadoop_files(spark, f"{checkpoint}/commits/*"), key=lambda f: int(f.rsplit("/", 1)[1]))
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, False)
