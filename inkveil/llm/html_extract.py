@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import deque
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -35,7 +36,7 @@ HOSTS = 3  # hosts on which a text must stand to count as shared, wherever it st
 SHARED_IN_ARTICLE = 0.5  # chance that it stands on one other page, inside an element that pages mark as their article
 LINKED = 0.6  # share of a node's characters within links from which it is a menu, outside such an element
 MOST = 0.9  # share of a page's text that no element beside the article holds
-WIDE = 64  # children from which equal ones are merged wherever they stand, and different ones become one node
+WIDE = 64  # children from which equal ones are merged wherever they stand; of two elements with more, equal children match first
 DEEP = 150  # levels of the tree that are told apart; what is deeper belongs to the element at this level
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,8 +66,65 @@ HINT_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("article article-body articlebody post-content entry-content story-body main-content".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A class or id word is a hint if a part of it is one of these, unless it starts with a word that takes it back.
+HINT_PARTS = (SURE_NAMES | HINT_NAMES) - {"form", "header", "reply", "replies", "search"}
+NO_HINT = frozenset("no not non has have with without is hide hidden".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'/>])([^\s=\"'/>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+
+
+class Scanner:
+    """Finds the tags of a page one after the other, in time that grows with the page alone, however it is malformed.
+
+    A tag ends at the first ">" outside of quotes, or at the first one at all if quotes don't close.
+    What can't be closed any more is known from the last place of each closing mark, and quotes
+    from which no end was reached are remembered, so nothing is looked through twice in vain.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self._last = {c: source.rfind(c) for c in (">", '"', "'", "]]>")}
+        self._vain: set[int] = set()  # opening quotes from which no end of a tag is reached
+
+    def end_of_raw(self, tag: str, at: int) -> int:
+        """Where text that isn't markup ends, its end tag included."""
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.source, at)
+        return self.source.find(">", m.end()) + 1 if m and m.end() <= self._last[">"] else len(self.source)
+
+    def _end_of_tag(self, at: int) -> int:
+        walked = []
+        here = at
+        while m := _QUOTE_OR_END.search(self.source, here):
+            if m[0] == ">":
+                return m.end()
+            if m.start() >= self._last[m[0]] or m.start() in self._vain:
+                break
+            walked.append(m.start())
+            here = self.source.find(m[0], m.end()) + 1
+        self._vain.update(walked)
+        return self.source.find(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Begin, end, whether it is an end tag, name (empty for comments and the like) and the rest of the next tag."""
+        source, last = self.source, self._last
+        while (begin := source.find("<", at)) >= 0:
+            if source.startswith("<!--", begin):
+                end = source.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(source), False, "", ""
+            if begin > last[">"]:
+                return None
+            if source.startswith("<![CDATA[", begin) and begin < last["]]>"]:
+                return begin, source.find("]]>", begin) + 3, False, "", ""
+            if source.startswith(("<!", "<?"), begin):
+                return begin, source.find(">", begin) + 1, False, "", ""
+            closing = source.startswith("</", begin)
+            if m := _NAME.match(source, begin + 1 + closing):
+                end = self._end_of_tag(m.end())
+                return begin, end, closing, m[0].lower(), source[m.end() : end - 1]
+            at = begin + 1
+        return None
 
 
 @dataclass
@@ -102,6 +160,11 @@ def _attributes(text: str) -> tuple[str, frozenset[str], str]:
     return found.get("class", found.get("id", "")).lower().split(" ")[0], frozenset(names), role
 
 
+def _hinting(name: str) -> bool:
+    parts = re.split("[-_]+", name)
+    return len(parts) > 1 and parts[0] not in NO_HINT and not HINT_PARTS.isdisjoint(parts)
+
+
 def parse(source: str) -> Page:
     """Tree of block elements and text blocks of a page; tolerates unclosed and stray tags, any depth and width."""
     root = Node("#")
@@ -111,7 +174,24 @@ def parse(source: str) -> Page:
     links: list[int] = []
     pending: list[str] = []
     linked: list[str] = []  # the parts of pending that stand within a link
-    at, search, inside = 0, _TAG.search, 0
+    scanner, at, inside = Scanner(source), 0, 0
+    # places in the stack of each open tag, of blocks and of elements that hold others
+    open_at: dict[str, list[int]] = {}
+    blocks_at, holders_at = [0], [0]
+
+    def push(tag: str, node: Node) -> None:
+        for where in (open_at.setdefault(tag, []), *([blocks_at] if tag in BLOCK else []), *([holders_at] if tag in HOLDERS else [])):
+            where.append(len(stack))
+        stack.append((tag, node))
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            tag = stack.pop()[0]
+            open_at[tag].pop()
+            if tag in BLOCK:
+                blocks_at.pop()
+            if tag in HOLDERS:
+                holders_at.pop()
 
     def flush() -> None:
         if pending:
@@ -122,29 +202,27 @@ def parse(source: str) -> Page:
             pending.clear()
             linked.clear()
 
-    while m := search(source, at):
-        if m.start() > at:
-            pending.append(source[at : m.start()])
+    while m := scanner.next(at):
+        begin, end, closing, tag, rest = m
+        if begin > at:
+            pending.append(source[at:begin])
             if inside:
                 linked.append(pending[-1])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        at = end
         if not tag:
             continue
-        closing, rest = bool(m[1] or m[4]), m[3] or m[6] or ""
         if closing:
             if tag in BLOCK:
                 flush()
             if tag == "a":
                 inside = 0
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            depth = open_at[tag][-1] if open_at.get(tag) else 0
             # a stray inline end tag doesn't end the block that it stands in
-            if depth and (tag in BLOCK or not any(t in BLOCK for t, _ in stack[depth + 1 :])):
-                del stack[depth:]
+            if depth and (tag in BLOCK or blocks_at[-1] < depth):
+                pop_to(depth)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            at = scanner.end_of_raw(tag, at)
             if tag == "textarea":
                 pending.append(" ")
             continue
@@ -155,12 +233,11 @@ def parse(source: str) -> Page:
         if tag in BLOCK:
             flush()
             ended = IMPLIED_END.get(tag, frozenset())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ended:
-                    del stack[k:]
-                    if stack[-1][0] not in ended:
-                        break
-                elif stack[k][0] in HOLDERS:
+            while depth := max((open_at[t][-1] for t in ended if open_at.get(t)), default=0):
+                if depth < holders_at[-1]:
+                    break
+                pop_to(depth)
+                if stack[-1][0] not in ended:
                     break
         if rest.endswith("/") and tag not in BLOCK:
             continue
@@ -168,17 +245,18 @@ def parse(source: str) -> Page:
         if tag == "a":
             inside = 1
         if tag not in BLOCK and tag not in SURE_TAGS:
-            stack.append((tag, above))  # inline: its text belongs to the block around it
+            push(tag, above)  # inline: its text belongs to the block around it
             continue
         name, names, role = _attributes(rest)
         article = tag in ("article", "main") or role in ("main", "article", "articlebody") or bool(names & ARTICLE_NAMES)
         named = tag not in ("html", "body", "main", "article")
         sure = tag in SURE_TAGS or role in SURE_ROLES or named and bool(names & SURE_NAMES)
-        hint = tag in HINT_TAGS or role in HINT_ROLES or named and bool(names & HINT_NAMES)
+        # the article's own header belongs to it
+        hint = tag in HINT_TAGS and not (tag == "header" and above.article) or role in HINT_ROLES or named and (bool(names & HINT_NAMES) or any(map(_hinting, names)))
         node = Node(f"{tag}.{re.sub('[^a-z0-9_-]', '', name)}" if name else tag, above, sure, hint, above.article or article, above.level + 1, marked=article or tag == "h1")
         above.children.append(node)
         nodes.append(node)
-        stack.append((tag, node))
+        push(tag, node)
     pending.append(source[at:])
     if inside:
         linked.append(pending[-1])
@@ -208,8 +286,8 @@ def _judge(page: Page) -> None:
 def _compress(page: Page) -> str:
     """Shape of the page's tree: children without text are left out, runs of equal children become one with a star.
 
-    An element with over WIDE runs of children has each different child once, and if
-    these are still over WIDE, or if it is DEEP down, it is a leaf that stands for all below.
+    An element with over WIDE runs of children has each different child once, with a star; one that is DEEP
+    down is a leaf that stands for all below.
     """
     holding = {id(n) for n, _ in page.blocks}
     for node in reversed(page.nodes):
@@ -222,8 +300,6 @@ def _compress(page: Page) -> str:
                     parts[-1] += "*"
             if len(parts) > WIDE:
                 parts = [p + "*" for p in dict.fromkeys(p.rstrip("*") for p in parts)]
-            if len(parts) > WIDE:
-                parts = []
         if parts or node.size and (id(node) in holding or any(c.size for c in node.children)) or node.label == "#":
             node.shape = node.label + (f"({','.join(parts)})" if parts else "")
     return page.root.shape
@@ -288,8 +364,9 @@ def read_shape(text: str) -> Shape:
 def align(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: the greatest number of node pairs that keep order and parents, and the pairs (a, b).
 
-    Equal subtrees match whole, and equal children at both ends match each other; an
-    element has at most WIDE children, so the table between them is small.
+    Equal subtrees match whole, and equal children at both ends match each other. What is left
+    between goes by a table, or, for more than WIDE by WIDE children, by keys: equal children first,
+    then those of one label in turn, so that time grows with the children.
     """
     if a.label != b.label:
         return 0, []
@@ -308,6 +385,8 @@ def align(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
         tail += 1
     x, y = x[low : len(x) - tail], y[low : len(y) - tail]
     n, m = len(x), len(y)
+    if n * m > WIDE * WIDE:
+        return _align_by_key(x, y, total, pairs)
     pair = [[align(u, v) for v in y] for u in x]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
@@ -325,6 +404,23 @@ def align(a: Shape, b: Shape) -> tuple[int, list[tuple[int, int]]]:
     return best[n][m] + total, pairs
 
 
+def _align_by_key(x: list[Shape], y: list[Shape], total: int, pairs: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]]]:
+    for key in (lambda c: c.key, lambda c: c.label):
+        waiting: dict[object, deque[Shape]] = {}
+        for v in y:
+            waiting.setdefault(key(v), deque()).append(v)
+        left = []
+        for u in x:
+            if held := waiting.get(key(u)):
+                n, met = align(u, held.popleft())
+                total += n
+                pairs += met
+            else:
+                left.append(u)
+        x, y = left, sorted((v for held in waiting.values() for v in held), key=lambda v: v.number)
+    return total, pairs
+
+
 def host_of(url: str) -> str:
     try:
         return (urlsplit(url.strip()).hostname or "").lower()
