@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,9 @@ from pyspark.sql import functions as F
 
 from inkveil.llm._common import Batches, id_and_text, rows, stored, utf8
 
-#: Bounds of the fit; all are parameters of train().
-SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000  # labelled documents of either class, by hash of their id
-MAX_FEATURES = 10_000  # features that the model keeps
-MIN_DOCUMENTS = 3  # sampled documents in which a feature must occur
-SWAP_SENTENCES = 4000  # labelled sentences in which terms are swapped: those with given terms first, then by hash
+#: Bound of the fit, a parameter of train(): labelled documents of either class, by hash of their id. Nothing else is bounded.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000
+EVIDENCE = 4.0  # of a feature that the model keeps: its log odds times the root of the documents that it speaks from
 FOUND_CLASS = 4  # words of a class of terms found in the sample
 PREFIXES = range(3, 9)  # lengths of word beginnings
 THRESHOLD = 0.7
@@ -113,19 +112,61 @@ def features(data: bytes) -> tuple[list[int], int]:
 Change = tuple[tuple[int, ...], tuple[int, ...]]  # features that a swap takes away, and those that it brings
 
 
-def swaps(data: bytes, terms: dict[bytes, tuple[bytes, ...]]) -> Counter[Change]:
-    """What swapping each term of each sentence for the others of its class does to the sentence's features, with counts."""
-    found: Counter = Counter()
-    for sentence in _SENTENCE.split(data):
-        tokens = words(sentence)
-        held = set(tokens) & terms.keys()
-        if held:
-            plain = set(_features(tokens))
-        for w in sorted(held):
-            for other in terms[w]:
-                swapped = set(_features([other if x == w else x for x in tokens]))
-                found[tuple(sorted(plain - swapped)), tuple(sorted(swapped - plain))] += 1
-    return found
+@cache
+def _levels(count: int, of: int) -> frozenset[int]:
+    return frozenset(levels(count, of)) if count else frozenset()
+
+
+class Swapper:
+    """What swapping a term of a sentence for another does to the sentence's features, from the counts of the two words' stems alone."""
+
+    def __init__(self, terms: dict[bytes, tuple[bytes, ...]]):
+        self.terms = terms
+        self._stems: dict[bytes, list[int]] = {}
+        self._pairs: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}  # each stem of either word, and how often the swap adds it for one word
+        self._known: dict[tuple, Change] = {}
+
+    def _of(self, word: bytes) -> list[int]:
+        held = self._stems.get(word)
+        if held is None:
+            held = stems(word)
+            if len(word) <= LONG_WORD and len(self._stems) < CACHE_WORDS:
+                self._stems[word] = held
+        return held
+
+    def _pair(self, word: bytes, other: bytes) -> list[tuple[int, int]]:
+        held = self._pairs.get((word, other))
+        if held is None:
+            gone, new = set(self._of(word)), set(self._of(other))
+            held = self._pairs[word, other] = [(f, -1) for f in sorted(gone - new)] + [(f, 1) for f in sorted(new - gone)]
+        return held
+
+    def changes(self, data: bytes) -> Counter[Change]:
+        """Changes by swapping each term of each sentence for the others of its class, with counts; time grows with the text."""
+        found: Counter = Counter()
+        for sentence in _SENTENCE.split(data):
+            distinct = Counter(words(sentence))
+            held = distinct.keys() & self.terms.keys()
+            if not held:
+                continue
+            of = distinct.total()
+            by_stem: Counter = Counter()
+            for w, n in distinct.items():
+                for f in self._of(w):
+                    by_stem[f] += n
+            for w in held:
+                n = distinct[w]
+                for other in self.terms[w]:
+                    pair = self._pair(w, other)
+                    key = (w, other, n, of, *[by_stem[f] for f, _ in pair])
+                    change = self._known.get(key)
+                    if change is None:
+                        if len(self._known) > CACHE_WORDS:
+                            self._known.clear()
+                        moved = [(f, _levels(by_stem[f], of), _levels(by_stem[f] + sign * n, of)) for f, sign in pair]
+                        change = self._known[key] = (tuple(sorted(f | k for f, a, b in moved for k in a - b)), tuple(sorted(f | k for f, a, b in moved for k in b - a)))
+                    found[change] += 1
+        return found
 
 
 def swap_table(groups: Iterable[Iterable[str]] = IDENTITY_TERMS) -> dict[bytes, tuple[bytes, ...]]:
@@ -228,15 +269,13 @@ def train(
     counterfactual: float = COUNTERFACTUAL,
     sample_toxic: int = SAMPLE_TOXIC,
     sample_clean: int = SAMPLE_CLEAN,
-    max_features: int = MAX_FEATURES,
-    min_documents: int = MIN_DOCUMENTS,
-    swap_sentences: int = SWAP_SENTENCES,
+    evidence: float = EVIDENCE,
 ) -> Model:
     """Fit on up to sample_toxic and sample_clean labelled documents that aren't held out.
 
-    The model keeps at most max_features features, the best attested of those that occur
-    in min_documents sampled documents; terms are swapped in at most swap_sentences
-    sentences of the sample. Scores are given to all documents whatever these bounds.
+    The model keeps every feature of the sample whose evidence is strong enough, and terms are swapped in
+    every sentence of the sample; only the number of labelled documents is bounded. Scores are given
+    to all documents.
     Labels other than 0 and 1, and labels without a document, are ignored; of repeated
     labels of a document the greater counts; of equal texts with one label one is learned
     from. Without labels of both classes every score is the base rate.
@@ -257,11 +296,11 @@ def train(
                 part = batch.slice(k, 50)
                 yield rows({"toxic": (pa.int32(), part.column("toxic")), "ids": (pa.list_(pa.int64()), [features(d)[0] for d in utf8(part)])})
 
-    counts = sample.mapInArrow(held, "toxic int, ids array<bigint>").select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).where(F.col("n") >= min_documents)
+    counts = sample.mapInArrow(held, "toxic int, ids array<bigint>").select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
     clean = F.col("n") - F.col("pos")
     odds = F.log((F.col("pos") + 0.5) / F.lit(n1 + 1.0)) - F.log((clean + 0.5) / F.lit(n0 + 1.0))
     value = F.abs(odds) * F.sqrt(F.when(odds > 0, F.col("pos")).otherwise(clean))
-    best = counts.select("id", value.alias("value")).orderBy(F.desc("value"), "id").limit(max_features).collect()
+    best = counts.select("id", value.alias("value")).where(F.col("value") >= evidence).collect()  # of a bounded sample
     scales = {r["id"]: r["value"] / (r["value"] + 10) for r in best}
 
     def extract(batches: Batches) -> Batches:
@@ -273,9 +312,9 @@ def train(
                 sizes.append(distinct)
             yield rows({"toxic": (pa.int32(), batch.column("toxic")), "ids": (pa.binary(), ids), "size": (pa.int64(), sizes)})
 
-    found = sample.mapInArrow(extract, "toxic int, ids binary, size bigint").collect()  # a bounded sample, of at most max_features ids each
+    found = sample.mapInArrow(extract, "toxic int, ids binary, size bigint").collect()  # a bounded sample
     found.sort(key=lambda r: (bytes(r["ids"]), r["size"], r["toxic"]))
-    pairs = _changes(sample, n1, n0, identity_terms, scales, swap_sentences)
+    pairs = _changes(sample, n1, n0, identity_terms, scales)
     y = np.array([r["toxic"] for r in found], dtype=float)
     weight = np.array([totals[r["toxic"]] / sampled[r["toxic"]] for r in found])  # back to the classes' shares
     return fit([np.frombuffer(r["ids"], dtype=np.int64) for r in found], np.array([r["size"] for r in found]), y, pairs, scales, weight if len(found) else None, counterfactual=counterfactual)
@@ -283,7 +322,8 @@ def train(
 
 def found_classes(sample: DataFrame, n1: int, n0: int) -> list[list[str]]:
     """Classes of FOUND_CLASS words of like frequency that tell nothing: in 1 % of the sampled texts of either
-    label, and at most one and a half times as often in one as in the other. At most 2,000 words."""
+    label, and at most one and a half times as often in one as in the other. So there are at most a hundred times
+    as many as a sampled text has different words on average."""
 
     def held(batches: Batches) -> Batches:
         for batch in batches:
@@ -292,29 +332,29 @@ def found_classes(sample: DataFrame, n1: int, n0: int) -> list[list[str]]:
     counts = sample.mapInArrow(held, "toxic int, held array<string>").select("toxic", F.explode("held").alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
     toxic, clean = F.col("pos") / max(n1, 1), (F.col("n") - F.col("pos")) / max(n0, 1)
     telling_nothing = (toxic >= 0.01) & (clean >= 0.01) & (toxic <= clean * 1.5) & (clean <= toxic * 1.5) & (F.length("word") > 2)
-    chosen = [r["word"] for r in counts.where(telling_nothing).orderBy(F.desc("n"), "word").limit(2000).collect()]
+    chosen = [r["word"] for r in counts.where(telling_nothing).orderBy(F.desc("n"), "word").collect()]
     return [chosen[k : k + FOUND_CLASS] for k in range(0, len(chosen) - 1, FOUND_CLASS)]
 
 
-def _changes(sample: DataFrame, n1: int, n0: int, identity_terms: Iterable[Iterable[str]], scales: dict[int, float], bound: int) -> Counter[Change]:
-    """Changes by swaps in at most `bound` different sentences of the sample, over the chosen features; counted in Spark."""
-    given = swap_table(identity_terms)
-    terms = swap_table(found_classes(sample, n1, n0)) | given
-
-    def sentences(batches: Batches) -> Batches:
-        for batch in batches:
-            out = [(s.decode(errors="replace"), not set(t) & given.keys()) for d in utf8(batch) for s in _SENTENCE.split(d) if set(t := words(s)) & terms.keys()]
-            yield rows({"text": (pa.string(), [s for s, _ in out]), "found": (pa.bool_(), [f for _, f in out])})
+def _changes(sample: DataFrame, n1: int, n0: int, identity_terms: Iterable[Iterable[str]], scales: dict[int, float]) -> Counter[Change]:
+    """Changes by swaps in all sentences of the sample, over the chosen features; counted in Spark, so that only different changes meet."""
+    terms = swap_table(found_classes(sample, n1, n0)) | swap_table(identity_terms)
 
     def change(batches: Batches) -> Batches:
+        swapper = Swapper(terms)
+        as_bytes = lambda side: np.array([f for f in side if f in scales], dtype=np.int64).tobytes()
         for batch in batches:
-            kept = [[np.array([f for f in side if f in scales], dtype=np.int64).tobytes() for side in c] for d in utf8(batch) for c in swaps(d, terms).elements()]
-            yield rows({"gone": (pa.binary(), [g for g, _ in kept]), "new": (pa.binary(), [n for _, n in kept])})
-
-    chosen = sample.mapInArrow(sentences, "text string, found boolean").distinct().orderBy("found", F.xxhash64("text"), "text").limit(bound)
-    counted = chosen.mapInArrow(change, "gone binary, new binary").groupBy("gone", "new").count().collect()
+            found: Counter = Counter()
+            for d in utf8(batch):
+                found.update(swapper.changes(d))
+            kept = Counter()
+            for (gone, new), n in found.items():
+                kept[as_bytes(gone), as_bytes(new)] += n
+            yield rows({"gone": (pa.binary(), [g for g, _ in kept]), "new": (pa.binary(), [n for _, n in kept]), "n": (pa.int64(), list(kept.values()))})
+
+    counted = sample.select("text").mapInArrow(change, "gone binary, new binary, n bigint").groupBy("gone", "new").agg(F.sum("n").alias("n")).collect()
     as_ids = lambda data: tuple(np.frombuffer(data, dtype=np.int64).tolist())
-    return Counter({(as_ids(r["gone"]), as_ids(r["new"])): r["count"] for r in counted})
+    return Counter({(as_ids(r["gone"]), as_ids(r["new"])): r["n"] for r in counted})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -324,7 +364,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     scored and not held out; repeated rows are scored each; an empty table gives an empty
     table; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a bounded sample's features
 
     def run(batches: Batches) -> Batches:
         for batch in batches:

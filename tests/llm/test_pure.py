@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -334,7 +335,8 @@ def test_tree_matching_against_enumeration():
 def fitted(texts, labels, counterfactual):
     terms = toxicity.swap_table()
     found = [toxicity.features(t.encode()) for t in texts]
-    pairs = sum((toxicity.swaps(t.encode(), terms) for t in texts), toxicity.Counter())
+    swapper = toxicity.Swapper(terms)
+    pairs = sum((swapper.changes(t.encode()) for t in texts), toxicity.Counter())
     return toxicity.fit([np.sort(np.array(f)) for f, _ in found], np.array([n for _, n in found]), np.array(labels), pairs, {x: 0.5 for f, _ in found for x in f}, counterfactual=counterfactual)
 
 
@@ -351,11 +353,37 @@ def test_scores_by_definition():
 
 def test_swaps_by_definition():
     terms = toxicity.swap_table([("men", "women", "boys")])
-    got = toxicity.swaps(b"The men sing. No one here! Women too", terms)
+    swapper = toxicity.Swapper(terms)
+    got = swapper.changes(b"The men sing. No one here! Women too")
     assert sum(got.values()) == 4  # two sentences with a term, each with two others
     plain, other = (set(toxicity.features(t)[0]) for t in (b"The men sing", b"The boys sing"))
     assert got[tuple(sorted(plain - other)), tuple(sorted(other - plain))] == 1
-    assert not toxicity.swaps(b"", terms) and not toxicity.swaps(b"nothing named", terms)
+    assert not swapper.changes(b"") and not swapper.changes(b"nothing named")
+
+
+def test_swaps_equal_new_features_of_the_sentence():
+    """Changes from the counts of two words' stems are those between the features of both whole sentences."""
+    groups = [("men", "women", "mentor", "boys"), ("music", "musical", "musics"), ("été", "étés", "ab")]
+    terms, words = toxicity.swap_table(groups), [w for g in groups for w in g] + ["rain", "mens", "musicology", "a"]
+    swapper = toxicity.Swapper(terms)
+    for _ in range(150):
+        sentences = [[RNG.choice(words) for _ in range(RNG.choice([0, 1, 3, 12, 60, 300]))] for _ in range(3)]
+        want = toxicity.Counter()
+        for tokens in sentences:
+            plain = set(toxicity.features(" ".join(tokens).encode())[0])
+            for w in set(tokens):
+                for other in terms.get(w.encode(), ()):
+                    swapped = set(toxicity.features(" ".join(other.decode() if x == w else x for x in tokens).encode())[0])
+                    want[tuple(sorted(plain - swapped)), tuple(sorted(swapped - plain))] += 1
+        assert swapper.changes(". ".join(map(" ".join, sentences)).encode()) == want
+
+
+def test_swaps_of_a_very_long_sentence():
+    words = ["word" + "".join("abcdefghij"[int(d)] for d in f"{k:04}") for k in range(2000)]
+    terms = toxicity.swap_table([words[k : k + 4] for k in range(0, 2000, 4)])
+    began = time.process_time()
+    found = toxicity.Swapper(terms).changes(" ".join(words[k % 2000] for k in range(20_000)).encode())
+    assert sum(found.values()) == 6000 and time.process_time() - began < 2
 
 
 def test_counterfactual_penalty_spares_neutral_mentions():

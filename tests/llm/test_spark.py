@@ -1,9 +1,11 @@
 """The operators on small tables, with nulls, empty and repeated rows, and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -441,8 +443,8 @@ def test_sentences_of_the_sample_are_swapped(spark):
         texts.append(f"{' '.join(rng.choice(calm) for _ in range(12))}. the {group} like {rng.choice(calm)} and {rng.choice(insults) if k % 4 == 0 else rng.choice(calm)}")
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id bigint, toxic int")
-    fair, plain, none = (toxicity.train(docs, labels, counterfactual=c, swap_sentences=n) for c, n in ((20.0, 4000), (0.0, 4000), (20.0, 0)))
-    assert fair.n_swaps > 200 and none.n_swaps == 0
+    fair, plain = (toxicity.train(docs, labels, counterfactual=c) for c in (20.0, 0.0))
+    assert fair.n_swaps > 200
     gap = lambda m: abs(m.score(b"the women like music and rain") - m.score(b"the men like music and rain"))
     assert gap(fair) < gap(plain) / 2 and fair.score(b"the women like music and idiot scum moron") > 0.5
     sample = spark.createDataFrame([(t, int(k % 4 == 0)) for k, t in enumerate(texts)], "text string, toxic int")
@@ -450,6 +452,47 @@ def test_sentences_of_the_sample_are_swapped(spark):
     assert "music" in found and not found & {*insults, "women"}
 
 
+def test_training_against_slow_statement(spark):
+    """On a tiny table: the features with enough evidence, all swaps of all sentences, and the fit over them."""
+    rng = random.Random(6)
+    texts = sorted({" ".join(rng.choice(["tree", "road", "music", "rain", "women", "men"]) for _ in range(9)) + (". what a moron" if k % 3 == 0 else ". so it is") for k in range(60)})
+    label = {k: int("moron" in t) for k, t in enumerate(texts)}
+    learned = [k for k in label if zlib.crc32(str(k).encode()) % 3 != 1]
+    n1 = sum(label[k] for k in learned)
+    n0 = len(learned) - n1
+    held = {k: toxicity.features(texts[k].encode())[0] for k in learned}
+    pos, every = Counter(), Counter()
+    for k in learned:
+        every.update(held[k])
+        pos.update(held[k] * label[k])
+    scales = {}
+    for f, n in every.items():
+        odds = math.log((pos[f] + 0.5) / (n1 + 1)) - math.log((n - pos[f] + 0.5) / (n0 + 1))
+        value = abs(odds) * math.sqrt(pos[f] if odds > 0 else n - pos[f])
+        if value >= 2.0:
+            scales[f] = value / (value + 10)
+    words = Counter(w for k in learned for w in set(toxicity.words(texts[k].encode())))
+    toxic = Counter(w for k in learned if label[k] for w in set(toxicity.words(texts[k].encode())))
+    even = lambda w: 0.01 <= toxic[w] / n1 <= 1.5 * (words[w] - toxic[w]) / n0 and 0.01 <= (words[w] - toxic[w]) / n0 <= 1.5 * toxic[w] / n1
+    chosen = sorted((w.decode() for w in words if even(w) and len(w) > 2), key=lambda w: (-words[w.encode()], w))
+    terms = toxicity.swap_table([chosen[k : k + 4] for k in range(0, len(chosen) - 1, 4)]) | toxicity.swap_table()
+    pairs = Counter()
+    for k in learned:
+        for sentence in texts[k].split("."):
+            tokens = sentence.split()
+            plain = set(toxicity.features(sentence.encode())[0])
+            for w in set(tokens):
+                for other in terms.get(w.encode(), ()):
+                    swapped = set(toxicity.features(" ".join(other.decode() if x == w else x for x in tokens).encode())[0])
+                    pairs[tuple(tuple(sorted(f for f in side if f in scales)) for side in (plain - swapped, swapped - plain))] += 1
+    order = sorted(learned, key=lambda k: (np.array(sorted(f for f in held[k] if f in scales), dtype=np.int64).tobytes(), len(set(texts[k].replace(".", " ").split())), label[k]))
+    kept = [np.array(sorted(f for f in held[k] if f in scales), dtype=np.int64) for k in order]
+    want = toxicity.fit(kept, np.array([len(set(toxicity.words(texts[k].encode()))) for k in order]), np.array([label[k] for k in order], dtype=float), pairs, scales)
+    got = toxicity.train(documents(spark, texts), spark.createDataFrame(list(label.items()), "doc_id bigint, toxic int"), evidence=2.0)
+    assert got.n_swaps == sum(pairs.values()) > 100 and got.weights.keys() == scales.keys()
+    assert got.weights == pytest.approx(want.weights, abs=1e-6) and got.bias == pytest.approx(want.bias, abs=1e-6)
+
+
 def test_toxicity_from_labels(spark, odd, none):
     insults = ["idiot", "scum", "moron", "trash"]
     texts = [" ".join(RNG.choice(["tree", "road", "music", "rain", "stone"]) for _ in range(20)) + (f" {RNG.choice(insults)} {RNG.choice(insults)}" if k % 5 == 0 else "") for k in range(300)]
