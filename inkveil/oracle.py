@@ -242,6 +242,9 @@ ORACLE: dict[str, str] = {
     "p5_sniff_format": f"""WITH {REQ}, h AS (SELECT request_id, ['FFD8FFE000', '89504E470D0A1A0A0000', '424D11', '52494646AA', '49492A00', '4D4D002A', '00', '4142434445464748494A', ''][request_id % 9 + 1] AS head FROM req),
 f AS (SELECT *, CASE WHEN starts_with(head, 'FFD8FF') THEN 'JPEG' WHEN starts_with(head, '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(head, '424D') THEN 'BMP' WHEN starts_with(head, '52494646') THEN 'WEBP' WHEN starts_with(head, '49492A00') OR starts_with(head, '4D4D002A') THEN 'TIFF' END AS kind FROM h)
 SELECT request_id, CASE WHEN length(head) >= 4 THEN kind END AS format, CASE WHEN length(head) < 4 THEN 'empty' WHEN kind IS NULL THEN 'unknown format ' || substring(head, 1, 16) END AS format_error FROM f""",
+    "p5_sniff_files": f"""WITH pic AS ({X.PICTURES}), empty AS (SELECT *, image_id % 11 = 0 AND image_id % 9 <> 0 AS none FROM pic)
+SELECT concat(CAST(image_id % 10 AS VARCHAR), '/', CAST(image_id AS VARCHAR), '.bmp') AS name, CASE WHEN NOT none THEN 'BMP' END AS format, CASE WHEN none THEN 'empty' END AS format_error FROM empty
+UNION ALL SELECT concat('page ', CAST(page_id AS VARCHAR)), NULL, 'unknown format ' || substring(hex(encode(html)), 1, 16) FROM pages""",
     "p6_media_type": f"""WITH {REQ}, e AS (SELECT request_id, lower({SUFFIX.format('url')}) AS ext FROM req)
 SELECT request_id, CASE ext WHEN '.png' THEN 'image/png' WHEN '.bmp' THEN 'image/bmp' WHEN '.webp' THEN 'image/webp' WHEN '.tiff' THEN 'image/tiff' ELSE 'image/jpeg' END AS media_type,
 CASE WHEN ext IN ('.jpg', '.jpeg', '.png', '.bmp', '.webp', '.gif', '.tiff') THEN ext WHEN request_id % 2 = 0 THEN '.png' ELSE '.jpg' END AS suffix FROM e""",

@@ -87,6 +87,13 @@ def p5_sniff_format(spark, sf_dir):
     return U.sniff_format(requests(spark, sf_dir).withColumn("content", F.unhex(head))).select("request_id", "format", "format_error")
 
 
+@query
+def p5_sniff_files(spark, sf_dir):
+    """The kind of real contents: bitmaps, cut off and empty ones among them, and web pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page "), "page_id").alias("name"), F.encode("html", "utf-8").alias("content"))
+    return U.sniff_format(X.picture_files(spark, sf_dir).unionByName(pages)).select("name", "format", "format_error")
+
+
 @query
 def p6_media_type(spark, sf_dir):
     out = U.suffix_or_default(U.media_type(requests(spark, sf_dir), "url").withColumn("ct", F.when(F.col("request_id") % 2 == 0, "image/PNG; charset=x")), "url", "ct")
