@@ -21,7 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ PREFIXES = range(3, 9)  # lengths of word beginnings
 THRESHOLD = 0.7
 L2, COUNTERFACTUAL = 1e-4, 1.0  # weights of the two penalties
 CACHE_WORDS = 150_000
+CACHE_SWAPS = 20_000  # words, and swaps in like surroundings, that a task remembers
 LONG_WORD = 64  # bytes over which a word isn't remembered
 
 #: Terms that may be swapped for each other; a parameter, by kind.
@@ -112,7 +113,7 @@ def features(data: bytes) -> tuple[list[int], int]:
 Change = tuple[tuple[int, ...], tuple[int, ...]]  # features that a swap takes away, and those that it brings
 
 
-@cache
+@lru_cache(10_000)
 def _levels(count: int, of: int) -> frozenset[int]:
     return frozenset(levels(count, of)) if count else frozenset()
 
@@ -130,7 +131,7 @@ class Swapper:
         held = self._stems.get(word)
         if held is None:
             held = stems(word)
-            if len(word) <= LONG_WORD and len(self._stems) < CACHE_WORDS:
+            if len(word) <= LONG_WORD and len(self._stems) < CACHE_SWAPS:
                 self._stems[word] = held
         return held
 
@@ -149,7 +150,7 @@ class Swapper:
             held = distinct.keys() & self.terms.keys()
             if not held:
                 continue
-            of = distinct.total()
+            of = max(distinct.total(), 100)  # levels are the same in all shorter sentences
             by_stem: Counter = Counter()
             for w, n in distinct.items():
                 for f in self._of(w):
@@ -161,7 +162,7 @@ class Swapper:
                     key = (w, other, n, of, *[by_stem[f] for f, _ in pair])
                     change = self._known.get(key)
                     if change is None:
-                        if len(self._known) > CACHE_WORDS:
+                        if len(self._known) > CACHE_SWAPS:
                             self._known.clear()
                         moved = [(f, _levels(by_stem[f], of), _levels(by_stem[f] + sign * n, of)) for f, sign in pair]
                         change = self._known[key] = (tuple(sorted(f | k for f, a, b in moved for k in a - b)), tuple(sorted(f | k for f, a, b in moved for k in b - a)))
