@@ -4,9 +4,13 @@ Three patterns give the base spans. Beyond them, every long unbroken string that
 follows a sensitive word is a candidate, and so is the value of a KEY=VALUE string
 with such a word in its key; a candidate's novelty is the number of compressed
 bytes it adds to its surroundings, with a compressor primed by a dictionary of
-common code identifiers. Words, paths and repeated identifiers are matched in the
-surroundings or the dictionary and add few bytes; key material adds about as many
-bytes as it has characters, and is reported.
+common code identifiers. Repeated identifiers and words of the surroundings or the
+dictionary add few bytes; key material adds about as many bytes as it has characters,
+and is reported. New words and numbers add bytes too, so novelty is calibrated by what
+a candidate is made of: segments that are words (also several in camel case), numbers
+and dates are the normal material of paths, addresses and versions, and a candidate is
+reported only if most of its letters and digits stand in other segments. UUIDs name
+things and are no secrets.
 """
 
 from __future__ import annotations
@@ -46,8 +50,14 @@ MIN_NOVEL = 16  # characters of a candidate
 CONTEXT = 48  # characters before a candidate in which a sensitive word must stand
 SURROUND = 2048  # characters of surrounding text on either side that prime the compressor
 NOVELTY = 0.7  # compressed bytes per character from which a candidate is reported
+PLAIN = 0.5  # share of letters and digits in segments of words and numbers from which it isn't
 
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{MIN_NOVEL},}}")
+#: A segment between punctuation that is made of words and numbers: random letters of both cases
+#: and digits change their class every one or two characters, words don't.
+_WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,8}(?![0-9]))+")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)))
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -86,6 +96,14 @@ class SecretScanner:
         around = (before + "\n" + after + "\n").encode()
         return len(self._compress(around + candidate.encode())) - len(self._compress(around))
 
+    @staticmethod
+    def plain(candidate: str) -> bool:
+        """Whether a string is a UUID, or its letters and digits are mostly words and numbers: a path, an address, a version."""
+        if _UUID.fullmatch(candidate):
+            return True
+        segments = _SEGMENT.findall(candidate)
+        return sum(len(x) for x in segments if _WORDS.fullmatch(x)) >= PLAIN * sum(map(len, segments))
+
     def novel(self, data: bytes, text: str, taken: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Spans of incompressible strings in a sensitive context that no taken span covers whole."""
         if b"x" * MIN_NOVEL not in data.translate(_LONG_RUN):
@@ -98,7 +116,7 @@ class SecretScanner:
                 if len(s) < MIN_NOVEL or any(x <= start and b <= y for x, _, y in taken):
                     break  # and so are the values within it
                 # key material mixes letters of both cases or digits; plain words don't
-                if sum(bool(re.search(k, s)) for k in ("[a-z]", "[A-Z]", "[0-9]")) < 2:
+                if sum(bool(re.search(k, s)) for k in ("[a-z]", "[A-Z]", "[0-9]")) < 2 or self.plain(s):
                     continue
                 if self.marginal_bytes(text[max(0, start - SURROUND) : start], s, text[b : b + SURROUND]) >= self._novelty * len(s):
                     found.append((start, 3, b))

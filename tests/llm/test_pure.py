@@ -68,6 +68,40 @@ def test_novelty_reports_key_material_only():
     assert scanner.spans(b"") == ([], [])
 
 
+def drawn_identifiers(raw):
+    """Paths, addresses, UUIDs, versions and names in camel and snake case."""
+    words = "config loader service request handler Applications local share worker session release notes December account billing customer shipping archive module schema".split()
+    w = lambda: raw.choice(words)
+    n = raw.randint
+    return [
+        "/" + "/".join(w() for _ in range(n(3, 6))) + f"/{n(1990, 2030)}",
+        f"www.{w()}.{w()}.com/{w()}-{w()}/{n(1, 99999)}.html",
+        "-".join("%0*x" % (k, raw.getrandbits(4 * k)) for k in (8, 4, 4, 4, 12)),
+        f"v{n(0, 9)}.{n(0, 30)}.{n(0, 99)}-beta.2024{n(1, 12):02}{n(1, 28):02}+build.{n(1, 9999)}",
+        w() + w().title() + w().title() + str(n(1, 99)),
+        f"{w()}_{w().upper()}_{w()}_{n(1, 999)}",
+    ]
+
+
+def test_novelty_tells_identifiers_from_keys():
+    scanner, raw = secret_scan.SecretScanner(), random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    identifiers, keys = [], []
+    for _ in range(200):
+        identifiers += drawn_identifiers(raw)
+        keys.append("".join(raw.choice(letters) for _ in range(raw.randint(20, 44))))
+        keys += [f(raw.randbytes(raw.randint(18, 36))).decode() for f in (base64.b64encode, base64.urlsafe_b64encode)]
+
+    def reported(s):
+        text = f"the bearer for this run is {s} and it stays here"
+        return bool(scanner.novel(text.encode(), text, []))
+
+    assert not [s for s in identifiers if reported(s)]
+    assert sum(map(reported, keys)) > 0.97 * len(keys)
+    for path in ("token cache in /usr/local/share/Applications/2024", "auth docs at https://docs.example.org/Guides/Sessions/2023/index.html", "session 3f2504e0-4f89-11d3-9a0c-0305e82c3301"):
+        assert scanner.spans(path.encode())[1] == [], path
+
+
 # benchmark
 
 
