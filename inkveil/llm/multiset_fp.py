@@ -20,6 +20,8 @@ pairs than the bytes that a string can hold.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,11 @@ _MOD = (1 << 32) - 1
 
 def fingerprint(text: Column) -> Column:
     """struct<same: array<bigint>[8], bits: array<bigint>[30], pairs: bigint> of a text; null counts as empty."""
-    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n")
+    return of_paragraphs(F.split(F.coalesce(text, F.lit("")), "\n"))
+
+
+def of_paragraphs(paragraphs: Column) -> Column:
+    """The fingerprint of an array of paragraphs; of none it is zero in every lane."""
 
     def add_paragraph(acc: Column, p: Column) -> Column:
         parts = []
@@ -79,6 +85,25 @@ def fingerprint(text: Column) -> Column:
     return F.transform(summed, lambda x: F.struct(same.alias("same"), wide(x["sums"]).alias("bits"), x["n"].alias("pairs")))[0]
 
 
+def _lanewise(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    def both(x: Column) -> Column:
+        same = F.zip_with(x["a"]["same"], x["b"]["same"], lambda p, q: f(p, q).bitwiseAND(F.lit(_MOD)))
+        return F.struct(same.alias("same"), F.zip_with(x["a"]["bits"], x["b"]["bits"], f).alias("bits"), f(x["a"]["pairs"], x["b"]["pairs"]).alias("pairs"))
+
+    # the one-element array binds both, so that neither is worked out for each of its parts
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), both)[0]
+
+
+def plus(a: Column, b: Column) -> Column:
+    """The fingerprint of the paragraphs of both: insertion of b's into a text."""
+    return _lanewise(a, b, lambda p, q: p + q)
+
+
+def minus(a: Column, b: Column) -> Column:
+    """The fingerprint of a's paragraphs without b's, all of which a must hold: deletion from a text."""
+    return _lanewise(a, b, lambda p, q: p - q)
+
+
 def as_text(fp: Column) -> Column:
     """The fingerprint as hex digits: 8 identity lanes of 32 bits, 60 likeness lanes and the pair count of 32 bits each."""
     digits = lambda x, n: F.lower(F.lpad(F.hex(x), n, "0"))
@@ -134,7 +159,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row with a null id has no next document: nothing is put in, near_next is 0. Repeated
     rows give a row each. An empty table gives an empty table. Other columns are not read.
     """
-    kept = id_and_text(docs, id_col, text_col)
+    plain = id_and_text(docs, id_col, text_col)
+    # each paragraph is hashed once, before texts are dealt: those that the edit keeps, and those that it deletes
+    head_lines = F.split(F.expr("substring(text, 1, int(length(text) - length(text) div 2))"), "\n")
+    kept = plain.withColumn("lines", head_lines).select(
+        "doc_id",
+        "text",
+        of_paragraphs(F.expr("slice(lines, 1, size(lines) - 1)")).alias("kept_fp"),
+        of_paragraphs(F.expr("slice(split(text, '\n'), size(lines), size(split(text, '\n')))")).alias("cut_fp"),
+    )
     placed = kept.where("doc_id IS NOT NULL")
     ids = materialize(placed.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("hash"), F.max(F.expr("length(text) div 2")).alias("most")))
     # for each id: the id before it, how much of this text that one needs, and whose text counts here
@@ -145,15 +178,24 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         placed.join(links, "doc_id")
         # written so that it isn't a join key: both joins are then dealt by doc_id alone
         .where(F.xxhash64("text").bitwiseXOR(F.col("hash")) == 0)
-        .select(F.col("before_id").alias("doc_id"), F.expr("substring(text, 1, int(wanted))").alias("head"), fingerprint(F.col("text")).alias("next_fp"))
+        .select(F.col("before_id").alias("doc_id"), F.expr("substring(text, 1, int(wanted))").alias("head"), plus(F.col("kept_fp"), F.col("cut_fp")).alias("next_fp"))
         .groupBy("doc_id")
         .agg(F.first("head").alias("head"), F.first("next_fp").alias("next_fp"))
     )
-    alone = kept.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("string").alias("head"), F.lit(None).cast(heads.schema["next_fp"].dataType).alias("next_fp"))
+    alone = kept.where("doc_id IS NULL").withColumns({"head": F.lit(None).cast("string"), "next_fp": F.lit(None).cast(heads.schema["next_fp"].dataType)})
     both = placed.join(heads, "doc_id", "left").unionByName(alone)
-    edited = F.concat(F.expr("substring(text, 1, int(length(text) - length(text) div 2))"), F.expr("substring(coalesce(head, ''), 1, int(length(text) div 2))"))
-    done = both.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_fp")
-    done = done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("edited_fp"), "next_fp")
+    # the edit inserts the start of the paragraph that it cuts through, continued by the next document's
+    first = F.expr("substring(text, 1, int(length(text) - length(text) div 2))")
+    done = both.select("doc_id", "text", "kept_fp", "cut_fp", "next_fp", first.alias("first"), F.expr("substring(coalesce(head, ''), 1, int(length(text) div 2))").alias("head"))
+    inserted = F.split(F.concat(F.substring_index("first", "\n", -1), "head"), "\n")
+    done = done.select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2(F.concat("first", "head"), 256).alias("edited_sha256"),
+        plus(F.col("kept_fp"), F.col("cut_fp")).alias("fp"),
+        plus(F.col("kept_fp"), of_paragraphs(inserted)).alias("edited_fp"),
+        "next_fp",
+    )
     return done.select(
         "doc_id",
         "n_chars",

@@ -243,6 +243,14 @@ def test_multiset_fingerprint_laws(spark):
     assert [a - b for a, b in zip(fp[0].bits, fp[3].bits, strict=True)] == list(fp[2].bits) and fp[0].pairs - fp[3].pairs == fp[2].pairs
 
 
+def test_insertion_and_deletion(spark):
+    df = spark.createDataFrame([("a b c\nd e", "f\n\ng h")], "a string, b string")
+    a, b, both = (multiset_fp.fingerprint(x) for x in (F.col("a"), F.col("b"), F.concat("b", F.lit("\n"), "a")))
+    r = df.select(a.alias("fa"), both.alias("both"), multiset_fp.plus(a, b).alias("plus"), multiset_fp.minus(both, b).alias("minus"), multiset_fp.of_paragraphs(F.expr("array_remove(array(''), '')")).alias("none")).first()
+    assert r.plus == r.both and r.minus == r.fa
+    assert set(r.none.same) == set(r.none.bits) == {0} and r.none.pairs == 0
+
+
 def slow_fingerprint(text):
     import xxhash
 
@@ -297,10 +305,15 @@ def test_edited_fingerprints_against_slow_statement(spark, odd, none):
     ids = sorted(RNG.sample(range(1000), 50))
     df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts, strict=True)], "doc_id bigint, text string, fp string").repartition(5)
     got = {r.doc_id: r for r in multiset_fp.edited_fingerprints(df).collect()}
+    # the edited fingerprint comes from deletions and insertions; here it is that of the whole edited text
+    edits = [t[: len(t) - len(t) // 2] + texts[(k + 1) % 50][: len(t) // 2] for k, t in enumerate(texts)]
+    whole = spark.createDataFrame([(t,) for t in {*texts, *edits}], "t string")
+    prints = {r.t: r.fp for r in whole.select("t", multiset_fp.as_text(multiset_fp.fingerprint(F.col("t"))).alias("fp")).collect()}
     for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
         half, follower = len(t) // 2, texts[(k + 1) % 50]
         edited = t[: len(t) - half] + follower[:half]
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (prints[t], prints[edited])
         assert 0 <= got[i].near_next <= 1 and (got[i].near_edited == 1 if edited == t else got[i].near_edited <= 1)
     assert len({r.fingerprint for r in got.values()}) <= len(set(texts))
     rows = multiset_fp.edited_fingerprints(odd).collect()
