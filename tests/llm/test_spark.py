@@ -380,6 +380,39 @@ def test_conversations_in_reply_order(spark, monkeypatch):
     assert chat_quotes.build_conversations(linked.limit(0)).count() == 0
 
 
+def test_places_are_depth_first(spark):
+    """Random reply trees, long chains and stars against a walk of each tree."""
+    rng, rows, want = random.Random(4), [], {}
+    parent = {"chain": lambda k: k - 1, "star": lambda k: 0, "pairs": lambda k: max(k - 2, 0), "near": lambda k: k - rng.randint(1, min(k, 3)), "any": lambda k: rng.randrange(k)}
+    for conv, (kind, n) in enumerate([(kind, n) for kind in parent for n in (1, 2, 9, 60)]):
+        conv = conv or None
+        children = {k: [] for k in range(n)}
+        for k in range(n):
+            up = parent[kind](k) if k else None
+            rows.append((conv, 10 * k, None if up is None else 10 * up, "kept"))
+            if up is not None:
+                children[up].append(k)
+        todo, at = [0], 0
+        while todo:
+            k = todo.pop()
+            want[conv, 10 * k], at = at, at + 1
+            todo += reversed(children[k])
+    answers = spark.createDataFrame(rows, "conv_id bigint, turn bigint, reply_to bigint, seed string")
+    placed = chat_quotes.place_within(answers, ["conv_id"], "turn")
+    got = chat_quotes.place_by_replies(placed).collect()
+    assert len(got) == len(rows) and {(r.conv_id, r.turn): r.place for r in got} == want and {r.seed for r in got} == {"kept"}
+    assert chat_quotes.place_by_replies(placed.limit(0)).count() == 0
+
+
+def test_side_talk_follows_what_it_answers(spark):
+    said = [(1, 0, "first"), (1, 1, "second"), (1, 2, "> first\nthird"), (1, 3, "> second\nfourth"), (1, 4, "fifth")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id bigint, turn bigint, role string, text string")
+    linked = chat_quotes.link_quotations(df)
+    assert [(r.turn, r.reply_to) for r in linked.orderBy("place").collect()] == [(0, None), (1, 0), (3, 1), (4, 3), (2, 0)]
+    (built,) = chat_quotes.build_conversations(linked).collect()
+    assert re.findall("first|second|third|fourth|fifth", built.chat) == ["first", "second", "fourth", "fifth", "third"]
+
+
 @pytest.mark.parametrize("name", ["chat_quoted_replies", "chat_conversations", "op5_chat_replies"])
 def test_conversation_queries_match_sql(spark, name):
     con = duckdb.connect()
@@ -391,6 +424,10 @@ def test_conversation_queries_match_sql(spark, name):
     rows = [tuple(r) for r in got.select(*columns).collect()]
     assert sorted(map(repr, rows)) == sorted(map(repr, want.fetchall()))
     assert "n_linked" not in columns or name == "op5_chat_replies" or sum(r[columns.index("n_linked")] for r in rows) > len(rows) / 3
+    if name == "chat_quoted_replies":
+        turn, reply, place = (columns.index(c) for c in ("turn", "reply_to", "place"))
+        assert sum(r[reply] is not None and r[reply] != r[turn] - 1 for r in rows) > len(rows) / 5
+        assert sum(r[place] != r[turn] for r in rows) > len(rows) / 5
 
 
 def test_native_operators_run_no_python(spark, capsys):
