@@ -22,22 +22,21 @@ from __future__ import annotations
 import gc
 import os
 import struct
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm._common import Batches, fresh_path, id_and_text, materialize, partitions, rows
+from inkveil.llm._common import Batches, fresh_path, id_and_text, partitions, rows
 
 MAGIC = b"IVTS1\0\0\0"
 END_ID = 0  # appended to each document
 SHARD_IDS = 1_000_000  # ids after which a shard is closed; a longer document is a shard of its own
-KEYS_AT_ONCE = 4_000_000  # keys that meet their shards in one pass; each task then holds 8 bytes for each
 GAMMA = 1.5  # bits of a level for each key
 NULL_KEY = -(2**63)  # the key of a null doc_id
 
@@ -273,14 +272,20 @@ class Shard:
         return out
 
 
-def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
+SHARDS = "part int, number int, earlier bigint, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, shard binary"
+
+
+def write_shards(
+    docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, buckets: int | None = None
+) -> None:
     """Encode whole texts and write them as shards in ascending doc_id order.
 
     Null texts are empty (one end id). Null ids come first, under a key of their own;
     repeated ids follow each other by their texts' hashes. Special tokens' strings in a text become
     their ids, as the library does by default. Rows are dealt by ranges of doc_id, so
     each task writes a contiguous run and no shard spans two tasks; an empty table
-    writes no shard. Other columns are not read.
+    writes no shard. Other columns are not read. With `buckets`, files are bucketed by
+    part, so that readers who know the number needn't shuffle shards.
     """
 
     def encode(batches: Batches) -> Batches:
@@ -317,7 +322,24 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, id_col: str = "doc
     kept = id_and_text(docs, id_col, text_col)
     # an id (or null) that many rows share is spread by the texts' hashes
     ordered = kept.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(encode, "part int, number int, earlier bigint, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint, shard binary").write.parquet(path)
+    written = ordered.mapInArrow(encode, SHARDS).write
+    if buckets is None:
+        written.parquet(path)
+        return
+    name = f"inkveil_shards_{uuid.uuid4().hex}"
+    written.format("parquet").bucketBy(buckets, "part").option("path", path).saveAsTable(name)
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # of an external table the files stay
+
+
+def _shards(spark: SparkSession, path: str, buckets: int | None) -> DataFrame:
+    """The shards' rows; with the number of buckets that they were written with, as a bucketed table."""
+    if buckets is None:
+        return spark.read.schema(SHARDS).parquet(path)
+    name = f"inkveil_shards_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({SHARDS}) USING parquet CLUSTERED BY (part) INTO {buckets} BUCKETS LOCATION '{path}'")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -351,29 +373,29 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def fetch_tokens(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+def fetch_tokens(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """The rows of read_shards() for the wanted keys, each found by its shard's perfect hash.
 
     A null key finds the documents without an id; of repeated stored ids all are
     returned, as they follow the one found; repeated keys count once, and keys that no
-    shard holds give no row. Only one row of bounds for each shard comes to the driver.
-    Keys go to the shards in passes over groups of shards, so that shards aren't
-    shuffled and what is broadcast at once doesn't grow with the table.
+    shard holds give no row. Only one row of bounds for each part (a task that wrote)
+    comes to the driver. Keys go to parts by these, then to shards by an equi-join on the
+    part; if `buckets` is what write_shards() was given, only keys are shuffled, never shards.
     """
-    shards = spark.read.parquet(path)
-    bounds = shards.select("part", "number", "first_key", "last_key", "n_docs", "n_ids").orderBy("part", "number").collect()
-    by_key = sorted(bounds, key=lambda r: (r["last_key"], r["part"], r["number"]))
-    part, number = (np.array([r[c] for r in by_key], dtype=np.int32) for c in ("part", "number"))
-    first, last = (np.array([r[c] for r in by_key], dtype=np.int64) for c in ("first_key", "last_key"))
+    shards = _shards(spark, path, buckets)
+    bounds = shards.groupBy("part").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"), F.sum("n_ids").alias("n")).collect()
+    bounds.sort(key=lambda r: r["part"])
+    part = np.array([r["part"] for r in bounds], dtype=np.int32)
+    first, last = (np.array([r[c] for r in bounds], dtype=np.int64) for c in ("first", "last"))
 
     def route(batches: Batches) -> Batches:
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False)
-            # an id that is repeated over the end of a shard is in each of a run of shards
+            # an id that is repeated over the end of a part is in each of a run of parts
             low, high = np.searchsorted(last, key), np.searchsorted(first, key, side="right")
             n = np.maximum(high - low, 0)
             at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-            yield rows({"part": (pa.int32(), part[at]), "number": (pa.int32(), number[at]), "key": (pa.int64(), np.repeat(key, n))})
+            yield rows({"part": (pa.int32(), part[at]), "key": (pa.int64(), np.repeat(key, n))})
 
     def read(batches: Batches) -> Batches:
         for batch in batches:
@@ -394,26 +416,18 @@ def fetch_tokens(spark: SparkSession, path: str, keys: DataFrame, key_col: str =
                 )
 
     wanted = keys.select(F.coalesce(F.col(key_col).cast("bigint"), F.lit(NULL_KEY)).alias("key"))
-    routed = materialize(wanted.mapInArrow(route, "part int, number int, key bigint").groupBy("part", "number").agg(F.collect_set("key").alias("keys")))
+    ranges = shards.select("part", "number", "first_key", "last_key")
+    routed = wanted.mapInArrow(route, "part int, key bigint").join(ranges, "part").where("key BETWEEN first_key AND last_key")
+    routed = routed.groupBy("part", F.col("number").alias("of")).agg(F.collect_set("key").alias("keys"))
     starts, at = [], 0
     for r in bounds:
-        if not starts or starts[-1][0] != r["part"]:
-            starts.append((r["part"], at))
-        at += r["n_ids"]
+        starts.append((r["part"], at))
+        at += r["n"]
     begins = F.broadcast(spark.createDataFrame(starts, "part int, part_start bigint"))  # a row for each part
-    passes, load = [], KEYS_AT_ONCE
-    for r in bounds:
-        if load + r["n_docs"] > KEYS_AT_ONCE:
-            passes.append([(r["part"], r["number"])] * 2)
-            load = 0
-        passes[-1][1] = (r["part"], r["number"])
-        load += r["n_docs"]
-    found = []
-    for low, high in passes or [[(0, 0), (0, 0)]]:
-        here = ((F.col("part") > low[0]) | (F.col("part") == low[0]) & (F.col("number") >= low[1])) & ((F.col("part") < high[0]) | (F.col("part") == high[0]) & (F.col("number") <= high[1]))
-        met = shards.where(here).join(F.broadcast(routed.where(here)), ["part", "number"]).join(begins, "part")
-        found.append(met.select("shard", "keys", (F.col("part_start") + F.col("earlier")).alias("begin")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
-    return reduce(DataFrame.unionByName, found)
+    # shards are bucketed by part alone, so the part alone is the join's key, and a range keeps the number from being another
+    met = shards.select("part", "number", "earlier", "shard").join(routed.hint("shuffle_hash"), "part").where("of BETWEEN number AND number")
+    met = met.join(begins, "part").select("shard", "keys", (F.col("part_start") + F.col("earlier")).alias("begin"))
+    return met.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
@@ -454,6 +468,7 @@ def stored_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     each other by their texts' hashes; an empty table gives an empty table; other columns are not read.
     The shards stay where they are written until the caller drops them.
     """
-    path = fresh_path(docs.sparkSession, "token-shards")
-    write_shards(docs, vocabulary, path)
-    return fetch_tokens(docs.sparkSession, path, docs)
+    spark = docs.sparkSession
+    path, buckets = fresh_path(spark, "token-shards"), 2 * partitions(spark)  # twice as many as parts, so that few parts share one
+    write_shards(docs, vocabulary, path, buckets=buckets)
+    return fetch_tokens(spark, path, docs, buckets=buckets)

@@ -197,7 +197,7 @@ def test_token_shards_and_lookup(spark, odd, none, tmp_path):
     assert token_store.stored_tokens(none, path).count() == 0
 
 
-def test_stored_tokens_come_through_the_index(spark, odd, none, tmp_path, monkeypatch):
+def test_stored_tokens_come_through_the_index(spark, odd, none, tmp_path, monkeypatch, capsys):
     path, order = queries.vocabulary("byte_bpe_50k.json"), ["start", "doc_id"]
     monkeypatch.setattr(token_store, "SHARD_IDS", 6)  # repeated ids then lie in several shards
     token_store.write_shards(odd, path, str(tmp_path / "s"))
@@ -205,8 +205,15 @@ def test_stored_tokens_come_through_the_index(spark, odd, none, tmp_path, monkey
     assert len(want) == 7 and token_store.fetch_tokens(spark, str(tmp_path / "s"), odd).orderBy(*order).collect() == want
     some = spark.createDataFrame([(1,), (1,), (None,), (77,)], "doc_id bigint")
     assert token_store.fetch_tokens(spark, str(tmp_path / "s"), some).orderBy(*order).collect() == [r for r in want if r.doc_id in (1, None)]
-    monkeypatch.setattr(token_store, "KEYS_AT_ONCE", 2)
-    assert token_store.fetch_tokens(spark, str(tmp_path / "s"), odd).orderBy(*order).collect() == want
+    # bucketed shards give the same rows, without an exchange of shards or a broadcast of keys
+    token_store.write_shards(odd, path, str(tmp_path / "t"), buckets=5)
+    assert token_store.fetch_tokens(spark, str(tmp_path / "t"), odd, buckets=5).orderBy(*order).collect() == want
+    assert token_store.fetch_tokens(spark, str(tmp_path / "t"), some, buckets=5).orderBy(*order).collect() == [r for r in want if r.doc_id in (1, None)]
+    token_store.fetch_tokens(spark, str(tmp_path / "t"), some, buckets=5).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "SelectedBucketsCount" in plan and "ShuffledHashJoin" in plan
+    assert not [x for x in plan.split("\n\n") if re.match(r"\(\d+\) (Broadcast)?Exchange", x) and "shard#" in x]
+    assert not [x for x in plan.split("\n\n") if re.match(r"\(\d+\) BroadcastExchange", x) and "key" in x.split("Arguments")[0] and "first_key" not in x]
     # the query doesn't walk the shards, and a broken index shows in its rows
     monkeypatch.setattr(token_store, "read_shards", None)
     assert token_store.stored_tokens(odd, path).orderBy(*order).collect() == want and token_store.stored_tokens(none, path).count() == 0
