@@ -36,7 +36,9 @@ from inkveil.llm._common import Batches, fresh_path, id_and_text, partitions, ro
 
 MAGIC = b"IVTS1\0\0\0"
 END_ID = 0  # appended to each document
-SHARD_IDS = 1_000_000  # ids after which a shard is closed; a longer document is a shard of its own
+SHARD_IDS = 100_000  # ids after which a shard is closed; a longer document is a shard of its own
+#: Shards are long values: a row group is decoded as a whole, so it's closed at 16 MB, which is looked at every few rows.
+ROW_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 4}
 GAMMA = 1.5  # bits of a level for each key
 NULL_KEY = -(2**63)  # the key of a null doc_id
 
@@ -322,7 +324,7 @@ def write_shards(
     kept = id_and_text(docs, id_col, text_col)
     # an id (or null) that many rows share is spread by the texts' hashes
     ordered = kept.withColumn("hash", F.xxhash64("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").withColumn("part", F.spark_partition_id())
-    written = ordered.mapInArrow(encode, SHARDS).write
+    written = ordered.mapInArrow(encode, SHARDS).write.options(**ROW_GROUPS)
     if buckets is None:
         written.parquet(path)
         return
