@@ -86,3 +86,33 @@ def test_boxes_are_painted_as_polygons_are():
             got = images.paint(image, [points], images.MODES["black"])
             assert ((got == 0).all(axis=2) == slow_cover(np.array(points), h, w)).all()
     assert not images.is_box(np.array([[0, 0], [4, 1], [4, 5], [0, 5]]))
+
+
+def test_wide_rows_are_staged_in_small_row_groups(spark):
+    """4,096 white scans in one row group would be decoded at once."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from inkveil.sources.staging import staged
+
+    white = spark.range(0, 200, 1, 1).select("id", F.expr("cast(repeat('w', 10000) as binary)").alias("data"))
+    done = staged(white, "wide", rows_at_once=32)
+    folder = done.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    meta = pq.ParquetFile(glob.glob(f"{folder}/*.parquet")[0]).metadata
+    assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 32 and done.count() == 200
+
+
+def test_exact_percentiles_equal_sparks(spark):
+    """Percentiles by ranks of ranges: values of one stage never meet in one group."""
+    from inkveil.plans import batch
+
+    rows = spark.range(3000).selectExpr(
+        "CAST(id % 7 AS DOUBLE) AS orientation_ms", "CAST(hash(id) % 1000 AS DOUBLE) / 8 AS ocr_ms", "CASE WHEN id = 5 THEN 2.5D WHEN id = 6 THEN 4D END AS rotation_retry_ms",
+        "CAST(NULL AS DOUBLE) AS detect_ms", "CASE WHEN id % 3 = 0 THEN double('NaN') ELSE CAST(-id AS DOUBLE) END AS mask_ms")
+    found = batch.stage_latency(rows, exact=True)
+    stack = ", ".join(f"'{s}', {s}" for s in batch.STAGES)
+    want = rows.selectExpr(f"stack(5, {stack}) AS (stage, ms)").where("ms IS NOT NULL").groupBy("stage").agg(F.count("*"), F.percentile("ms", 0.5), F.percentile("ms", 0.95), F.max("ms"))
+    assert sorted(map(str, (tuple(r) for r in found.select("stage", "images", "p50_ms", "p95_ms", "max_ms").collect()))) == sorted(map(str, (tuple(r) for r in want.collect())))
+    assert "percentile(" not in found._jdf.queryExecution().toString()
+    assert batch.stage_latency(rows.limit(0), exact=True).count() == 0
