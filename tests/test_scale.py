@@ -116,3 +116,17 @@ def test_exact_percentiles_equal_sparks(spark):
     assert sorted(map(str, (tuple(r) for r in found.select("stage", "images", "p50_ms", "p95_ms", "max_ms").collect()))) == sorted(map(str, (tuple(r) for r in want.collect())))
     assert "percentile(" not in found._jdf.queryExecution().toString()
     assert batch.stage_latency(rows.limit(0), exact=True).count() == 0
+
+
+def test_a_replayed_stream_has_a_file_for_each_core(spark, monkeypatch):
+    """Two files a batch were all that a stream's tasks could share."""
+    import glob
+
+    from inkveil import queries
+
+    paths, fresh = {}, queries.fresh_path
+    monkeypatch.setattr(queries, "fresh_path", lambda s, what: paths.setdefault(what, fresh(s, what)))
+    queries.queries()["r1_stream_replay"](spark, "/root/testdata/sf0.001")
+    cores = spark.sparkContext.defaultParallelism
+    assert len(glob.glob(f"{paths['lines'].removeprefix('file:')}/*.parquet")) >= 3 * cores - 1
+    assert len(glob.glob(f"{paths['regions'].removeprefix('file:')}/batch_id=*/_SUCCESS")) == 3
