@@ -130,3 +130,18 @@ def test_a_replayed_stream_has_a_file_for_each_core(spark, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     assert len(glob.glob(f"{paths['lines'].removeprefix('file:')}/*.parquet")) >= 3 * cores - 1
     assert len(glob.glob(f"{paths['regions'].removeprefix('file:')}/batch_id=*/_SUCCESS")) == 3
+
+
+def test_picture_files_are_read_once_by_few_tasks(spark):
+    from inkveil import queries
+
+    tracker, cost = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.sparkContext.setJobGroup("files", "files")
+    try:
+        found = queries.queries()["s2_read_images"](spark, "/root/testdata/sf0.01")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("files") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 20  # of 2,000 files; 32 to a task would make 50 and more, for each of two readings
+    assert found.where("error IS NOT NULL AND image_id % 9 = 0").count() == found.where("image_id % 9 = 0").count() > 200
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
