@@ -9,10 +9,11 @@ by the same bounds and compares what is left exactly. A shard returns the edges
 its components' stars only; stars are merged over all shards by alternating
 large-star and small-star steps.
 
-keep_one() drops copies down to a similarity of 0.8 of five-word runs. Their
-fingerprints differ in up to about 20 of 64 bits, where balls around them touch every
-shard and the search compares all pairs; candidates come from bands of least hashes
-instead, and each is checked by its exact similarity.
+keep_one() drops copies down to a similarity of 0.8 of five-word runs. Prints of 64 bits
+of such pairs differ in up to 24 bits, where strangers' often do too; so it searches prints
+of 512 bits of the sets of runs, by the same two levels of vantage-point trees. Their nodes
+are cut by the distance from a print or from the empty set (a set's size), whichever spares
+more comparisons. What the search links is checked by exact similarity.
 """
 
 from __future__ import annotations
@@ -43,10 +44,16 @@ PAIRS_AT_ONCE = 2_000_000
 #: Near copies that keep_one() drops: a wider rule than the fingerprints' links.
 COPY_SHINGLE = 5  # words
 COPY_SIMILARITY = 0.8  # Jaccard similarity of the sets of runs from which two texts are copies
-BANDS, BAND_ROWS = 24, 4  # pairs at similarity 0.8 share no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6
+WORDS = 8  # of 64 bits, of a set's print
+SMALL = 64  # runs up to which a set's print varies more
+#: Differing bits up to which sets are candidates, for small and other sets: of the first word, the first two and all.
+#: Pairs at similarity 0.8 exceed one of them with probability 5e-6 at most.
+RADII = {True: (28, 48, 144), False: (24, 42, 120)}
+CERTAIN = RADII[False][2] // 2  # bits around a vantage point within which all are candidates of each other
+SPARED = 0.1  # of the comparisons that a cut has to spare
+COMPARED_AT_ONCE, LINKED_AT_ONCE = 250_000, 200_000  # pairs
 BLOCK_SETS, BLOCK_BYTES = 1_000, 16_000_000  # sets of a bucket that are compared with as many others in one task
 COLUMNS_AT_ONCE = 2048
-_ORDERS = np.random.default_rng(SEED).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(data: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -289,13 +296,209 @@ def copy_set(data: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(data, COPY_SHINGLE))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of least hashes; two sets share one with probability similarity ** BAND_ROWS."""
-    least = np.full(len(_ORDERS), 2**64 - 1, dtype=np.uint64)
-    for k in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[k : k + 4096, None] * _ORDERS).min(axis=0))
-    rows_of_bands = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows_of_bands)], dtype=np.uint64)
+def copy_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash of each set in WORDS words: a bit is set if it is set in over half of what its hashes are mixed to."""
+    out = np.zeros((len(sets), WORDS), dtype=np.uint64)
+    steps = np.arange(WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row, hashes in zip(out, sets, strict=True):
+        count = np.zeros(64 * WORDS, dtype=np.int64)
+        for k in range(0, len(hashes), 255):
+            z = hashes[k : k + 255, None] + steps
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            bits = np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+            count += bits.sum(axis=0, dtype=np.uint8)  # of 255 rows at most
+        row[:] = np.packbits(2 * count > len(hashes), bitorder="little").view(np.uint64)
+    return out
+
+
+class Prints:
+    """Sets as the search sees them: how many runs they have, and their prints; radii by size."""
+
+    def __init__(self, size: np.ndarray, words: np.ndarray):
+        self.size, self.words = size, words
+        small = size <= SMALL
+        self.radii = [np.where(small, a, b) for a, b in zip(RADII[True], RADII[False], strict=True)]
+
+    @classmethod
+    def of(cls, size: np.ndarray, data: list[bytes]) -> Prints:
+        return cls(size, np.frombuffer(b"".join(data), "<u8").reshape(-1, WORDS))
+
+    def sides(self, at: np.ndarray, vantage: np.ndarray | None, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which are inside the cut, and which have balls that reach inside and outside.
+
+        Without a vantage point the distance is that from the empty set: sets that are COPY_SIMILARITY
+        alike have sizes in that ratio at least.
+        """
+        if vantage is None:
+            n = self.size[at]
+            return n <= cut, n * COPY_SIMILARITY <= cut, n >= (cut + 1) * COPY_SIMILARITY
+        d = np.bitwise_count(self.words[at] ^ vantage).sum(axis=1, dtype=np.int64)
+        return d <= cut, d <= cut + self.radii[2][at], d > cut - self.radii[2][at]
+
+    def cut(self, at: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray | None, int] | None:
+        """The vantage point and distance that spare most comparisons of these sets with each other; None if they spare few."""
+        some = at if len(at) <= 512 else at[rng.integers(0, len(at), 512)]
+        options: list[tuple[np.ndarray | None, int]] = [(None, int(np.median(self.size[some])))]
+        for i in rng.integers(0, len(some), 3):
+            d = np.bitwise_count(self.words[some] ^ self.words[some[i]]).sum(axis=1, dtype=np.int64)
+            options += [(self.words[some[i]], int(np.median(d))), (self.words[some[i]], CERTAIN)]
+
+        def work(option: tuple[np.ndarray | None, int]) -> float:
+            inside, near, far = self.sides(some, *option)
+            share, certain = inside.mean(), option[0] is not None and option[1] <= CERTAIN
+            if share in (0, 1) and not certain:
+                return 1.0
+            return share * (near.mean() - share * certain) + (1 - share) * far.mean()
+
+        best = min(options, key=work)
+        return best if work(best) < 1 - SPARED else None
+
+
+class CopyTree:
+    """Nested (vantage, distance, inside, outside) over sets' sizes and prints; leaves are shard numbers in order."""
+
+    def __init__(self, sample: Prints, leaves: int):
+        self.rng, self.shards = np.random.default_rng(7), 0
+        self.root = self._split(sample, np.arange(len(sample.size)), math.ceil(math.log2(max(1, leaves))))
+
+    def _split(self, sample: Prints, at: np.ndarray, depth: int):  # noqa: ANN202
+        if depth and len(at) > LEAF and (cut := sample.cut(at, self.rng)) and not (inside := sample.sides(at, *cut)[0]).all():
+            return (*cut, self._split(sample, at[inside], depth - 1), self._split(sample, at[~inside], depth - 1))
+        self.shards += 1
+        return self.shards - 1
+
+    def home(self, sets: Prints) -> np.ndarray:
+        out = np.zeros(len(sets.size), dtype=np.int32)
+        for shard, at in self._visit(self.root, np.arange(len(out)), sets, balls=False):
+            out[at] = shard
+        return out
+
+    def touched(self, sets: Prints) -> Iterator[tuple[int, np.ndarray]]:
+        """(shard, which) for each shard that the sets' balls touch."""
+        return self._visit(self.root, np.arange(len(sets.size)), sets, balls=True)
+
+    def _visit(self, node, at: np.ndarray, sets: Prints, *, balls: bool):  # noqa: ANN001, ANN202
+        if not len(at):
+            return
+        if isinstance(node, int):
+            yield node, at
+            return
+        inside, near, far = sets.sides(at, node[0], node[1])
+        yield from self._visit(node[2], at[near if balls else inside], sets, balls=balls)
+        yield from self._visit(node[3], at[far if balls else ~inside], sets, balls=balls)
+
+
+def link_copies(sets: Prints, points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Component roots (as positions) under links of queries to points whose prints are near enough for copies."""
+    links, rng = Links(len(sets.size)), np.random.default_rng(11)
+    first, second = (np.ascontiguousarray(sets.words[:, k]) for k in (0, 1))
+    limit = sets.radii[0].astype(np.uint8)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def unite() -> None:
+        if found:
+            links.unite(*map(np.concatenate, zip(*found, strict=True)))
+            links.parent = links.find(links.parent)
+            found.clear()
+
+    def compare(p: np.ndarray, q: np.ndarray) -> None:
+        p, q = p[np.argsort(sets.size[p])], q[np.argsort(sets.size[q])]
+        of_points, sizes = first[p], sets.size[p]
+        k = 0
+        while k < len(q):
+            # points of sizes that the next queries can have copies of
+            low = np.searchsorted(sizes, sets.size[q[k]] * COPY_SIMILARITY)
+            high = np.searchsorted(sizes, sets.size[q[k]] / COPY_SIMILARITY, "right")
+            some = q[k : k + max(1, COMPARED_AT_ONCE // max(1, high - low))]
+            some = some[sets.size[some] <= 1.02 * sets.size[some[0]]]
+            k += len(some)
+            high = np.searchsorted(sizes, sets.size[some[-1]] / COPY_SIMILARITY, "right")
+            if low == high:
+                continue
+            apart = _apart(first[some][:, None], of_points[low:high])
+            hit = np.flatnonzero(apart <= limit[some][:, None])
+            i, j = some[hit // (high - low)], p[low:high][hit % (high - low)]
+            near = apart.ravel()[hit] + _apart(second[i], second[j]) <= sets.radii[1][i]
+            i, j = i[near], j[near]
+            new = links.parent[i] != links.parent[j]
+            i, j = i[new], j[new]
+            near = _apart(sets.words[i], sets.words[j]).sum(axis=1, dtype=np.int64) <= sets.radii[2][i]
+            if near.any():
+                found.append((i[near], j[near]))
+                if sum(len(x) for x, _ in found) > LINKED_AT_ONCE:
+                    unite()
+
+    todo = [(points, queries)]
+    while todo:
+        p, q = todo.pop()
+        if not len(p) or not len(q):
+            continue
+        cut = sets.cut(p, rng) if len(p) > LEAF else None
+        if cut is None:
+            compare(p, q)
+            continue
+        inside, (asking, near, far) = sets.sides(p, *cut)[0], sets.sides(q, *cut)
+        if cut[0] is not None and cut[1] <= CERTAIN:
+            every = np.concatenate([p[inside], q[asking]])
+            found.append((every[1:], np.full(max(len(every) - 1, 0), every[0] if len(every) else 0)))
+            near = near & ~asking
+        if inside.all():
+            compare(p, q[near])
+            continue
+        todo += [(p[inside], q[near]), (p[~inside], q[far])]
+    unite()
+    return links.find(np.arange(len(sets.size)))
+
+
+def _copy_stars(group: pd.DataFrame) -> pd.DataFrame:
+    """Edges (digest, least linked digest of this group) of a block of a shard's points and a block of its queries."""
+    group = group.sort_values("digest")
+    digest, is_point = group["digest"].to_numpy(), group["point"].to_numpy()
+    root = link_copies(Prints.of(group["size"].to_numpy(), group["print"].tolist()), np.flatnonzero(is_point), np.flatnonzero(~is_point))
+    linked = digest[root] != digest  # a set may be point and query
+    return pd.DataFrame({"u": digest[linked], "v": digest[root[linked]]})
+
+
+def copy_candidates(points: DataFrame, shard_points: int | None = None) -> DataFrame:
+    """Edges (u, v), u > v, whose components hold all candidates: digests of points (digest, size, print) with near prints."""
+    spark, share = points.sparkSession, shard_points or SHARD_POINTS
+    n = points.count()
+    sample = points.orderBy(F.xxhash64("digest")).limit(SAMPLE).select("size", "print").collect()
+    sent = spark.sparkContext.broadcast(CopyTree(Prints.of(np.array([r[0] for r in sample], dtype=np.int64), [bytes(r[1]) for r in sample]), min(MAX_SHARDS, -(-n // share))))
+
+    def read(batch: pa.RecordBatch) -> Prints:
+        return Prints.of(batch.column("size").to_numpy(zero_copy_only=False), batch.column("print").to_pylist())
+
+    def count(batches: Batches) -> Batches:
+        for batch in batches:
+            sets = read(batch)
+            home = sent.value.home(sets)
+            met = [(shard, int((home == shard).sum()), int((home[at] <= shard).sum())) for shard, at in sent.value.touched(sets)]
+            yield rows({c: (pa.int64(), [m[k] for m in met]) for k, c in enumerate(("shard", "own", "met"))})
+
+    # blocks of points and of queries of a shard that has more than its share; one small row for each leaf of the tree
+    counted = points.mapInArrow(count, "shard bigint, own bigint, met bigint").groupBy("shard").agg(F.sum("own").alias("own"), F.sum("met").alias("met")).collect()
+    blocks = {r["shard"]: (-(-r["own"] // share), max(1, -(-r["met"] // (QUERY_BLOCKS * share)))) for r in counted}
+
+    def deal(batches: Batches) -> Batches:
+        for batch in batches:
+            sets, digest = read(batch), batch.column("digest").to_numpy(zero_copy_only=False)
+            home = sent.value.home(sets)
+            place = (digest.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            for shard, at in sent.value.touched(sets):
+                at = at[home[at] <= shard]  # a pair over two shards is found once, in the later one
+                n_points, n_asking = blocks[shard]
+                own = at[home[at] == shard]
+                parts = [(own, place[own] % max(n_points, 1), np.full(len(own), q), True) for q in range(n_asking if n_points else 0)]
+                parts += [(at, np.full(len(at), b), place[at] % n_asking, False) for b in range(n_points)]
+                for who, block, query, point in parts:
+                    kept = batch.select(["digest", "size", "print"]).take(pa.array(who))
+                    where = [pa.array(v, type=pa.int32()) for v in (np.full(len(who), shard), block, query)]
+                    yield pa.RecordBatch.from_arrays([*where, *kept.columns, pa.array(np.full(len(who), point))], names=["shard", "block", "query", *kept.schema.names, "point"])
+
+    dealt = points.mapInArrow(deal, "shard int, block int, query int, digest bigint, size bigint, print binary, point boolean")
+    return materialize(dealt.groupBy("shard", "block", "query").applyInPandas(_copy_stars, "u bigint, v bigint").distinct())
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -399,19 +602,21 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, hash, root) for every row: root is shared by the rows whose sets of runs exact links connect.
 
     hash is Spark's xxhash64 of the text (null: of the empty one). Sets link if their
-    Jaccard similarity is at least COPY_SIMILARITY. Candidates share a band's key; first
-    each set is compared with the least digest of its buckets, in linear work; then, in
-    buckets where not all are its copies, the others are compared with all in blocks (_across). A link is missed only if the pair shares none of the bands: 3 in a
-    million at similarity 0.8. Texts without words are copies of each other.
+    Jaccard similarity is at least COPY_SIMILARITY. Candidates are the components of near
+    prints, which vantage-point trees find (copy_candidates); first each set is compared with
+    its component's least digest, in linear work; then, in components where not all are
+    its copies, the others are compared with all in blocks (_across). A link is missed
+    only if the prints differ by more than RADII: 5 in a million at similarity 0.8 at most. Texts
+    without words are copies of each other.
     """
 
     def sign(batches: Batches) -> Batches:
         for batch in batches:
             found = [copy_set(d) for d in utf8(batch)]
-            keys = np.concatenate([band_keys(x) for x in found]) if found else np.zeros(0, np.uint64)
             digests = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], dtype=np.uint64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * BANDS, type=pa.int32()), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(digests.view(np.int64)), bands], names=["doc_id", "hash", "digest", "bands"])
+            size = pa.array([len(x) for x in found], type=pa.int64())
+            prints = pa.array([x.tobytes() for x in copy_prints(found)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(digests.view(np.int64)), size, prints], names=["doc_id", "hash", "digest", "size", "print"])
 
     def whole_sets(batches: Batches) -> Batches:
         for batch in batches:
@@ -420,17 +625,19 @@ def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64)), pa.array(found, type=pa.binary())], names=["digest", "hashes"])
 
     kept = id_and_text(docs, id_col, text_col)
-    found = stored(kept.select("*", F.xxhash64("text").alias("hash")).mapInArrow(sign, "doc_id bigint, hash bigint, digest bigint, bands array<bigint>"), "signatures")
-    members = found.groupBy("digest").agg(F.first("bands").alias("bands")).select("digest", F.explode("bands").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader <> last")
-    shared = materialize(members.join(leaders.select("bucket", "leader"), "bucket"))
-    to_leader = materialize(shared.where("digest <> leader").select(F.col("digest").alias("u"), F.col("leader").alias("v")).distinct())
+    found = stored(kept.select("*", F.xxhash64("text").alias("hash")).mapInArrow(sign, "doc_id bigint, hash bigint, digest bigint, size bigint, print binary"), "signatures")
     alone = found.select("doc_id", "hash", F.col("digest").alias("root"))
-    if to_leader.isEmpty():
+    points = materialize(found.where("size > 0").groupBy("digest").agg(F.first("size").alias("size"), F.first("print").alias("print")))
+    near = copy_candidates(points)
+    if near.isEmpty():
         return alone
+    joined = materialize(_star_steps(near))
+    to_leader = joined.select("u", F.col("root").alias("v"))
+    leaders = joined.select(F.col("root").alias("digest")).distinct().withColumn("bucket", F.col("digest"))
+    shared = materialize(leaders.unionByName(joined.select(F.col("u").alias("digest"), F.col("root").alias("bucket"))).withColumn("leader", F.col("bucket")))
 
     # one row that holds each candidate set; rows without an id are all looked through
-    candidates = shared.select("digest").distinct()
+    candidates = shared.select("digest")
     ids = found.join(candidates, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep")).select("rep").distinct()
     texts = kept.join(ids, kept["doc_id"].eqNullSafe(ids["rep"]), "left_semi").mapInArrow(whole_sets, "digest bigint, hashes binary")
     sets = stored(texts.join(candidates, "digest", "left_semi").dropDuplicates(["digest"]), "sets")

@@ -432,3 +432,25 @@ def test_counterfactual_penalty_spares_neutral_mentions():
     assert swapped < abs(plain.score(mention) - plain.score(mention.replace(b"muslims", b"christians"))) / 2
     assert fair.score(b"you idiot scum moron") > 0.7
     assert 0 <= fair.score(b"") <= 1
+
+
+def test_trees_find_all_near_prints():
+    rng = np.random.default_rng(4)
+    sets = []
+    for k in range(150):  # groups of sets from similarity 0.3 up to 1, some of few runs, and one large group
+        base = rng.integers(0, 2**64, int(rng.integers(4, 400)), dtype=np.uint64)
+        for share in rng.uniform(0.6, 1, 200 if k == 7 else 3):
+            copy = base[rng.random(len(base)) < share]
+            sets.append(np.unique(np.concatenate([copy, rng.integers(0, 2**64, len(base) - len(copy), dtype=np.uint64)])))
+    prints = simhash_vp.copy_prints(sets)
+    every = simhash_vp.Prints(np.array([len(s) for s in sets]), prints)
+    at = np.arange(len(sets))
+    trees = simhash_vp.link_copies(every, at, at)
+    copies = [(i, j) for i in at for j in range(i) if simhash_vp.similarity(sets[i], sets[j]) >= 0.8]
+    assert len(copies) > 100 and all(trees[i] == trees[j] for i, j in copies)
+    assert len(np.unique(trees)) > 140
+
+    tree = simhash_vp.CopyTree(every, 16)
+    home, touched = tree.home(every), {shard: set(which.tolist()) for shard, which in tree.touched(every)}
+    assert tree.shards > 4
+    assert all(i in touched[home[j]] and j in touched[home[i]] for i, j in copies)  # whichever shard is the later one

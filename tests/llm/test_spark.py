@@ -146,6 +146,22 @@ def test_keep_one_of_a_blurred_group(spark, block, monkeypatch):
     assert got == sorted(set(exact_copies(texts)))
 
 
+def test_keep_one_searches_shards_of_vantage_point_trees(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(150):
+        base = [word() for _ in range(rng.randint(5, 200))]
+        texts += [" ".join(base), " ".join([*base[: -max(1, len(base) // rng.randint(5, 20))], word()])]
+    texts += [" ".join([*base, word()]) for _ in range(40)]
+    met, search = [], simhash_vp.copy_candidates
+    monkeypatch.setattr(simhash_vp, "SHARD_POINTS", 30)
+    monkeypatch.setattr(simhash_vp, "copy_candidates", lambda points: met.append(search(points)) or met[-1])
+    got = sorted(r.doc_id for r in simhash_vp.keep_one(documents(spark, texts).repartition(3)).collect())
+    assert got == sorted(set(exact_copies(texts))) and len(got) < 250
+    assert met[0].count() > 50
+
+
 def test_keep_one_tells_rows_by_id_and_text(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
     rows = [(3, a), (7, a), (7, b), (7, b), (None, a), (None, "quite another text of some words"), (None, None), (9, "")]
