@@ -103,6 +103,19 @@ def test_wide_rows_are_staged_in_small_row_groups(spark):
     assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 32 and done.count() == 200
 
 
+def test_a_writer_of_wide_rows_forgets_them(spark):
+    """Statistics of each row group held two whole scans of it in the writer, as long as its file was open."""
+    import pyarrow.parquet as pq
+
+    from inkveil.sources import staging
+
+    done = staging.staged(spark.range(0, 5 * staging.GROUPS_OF_A_FILE, 1, 1).select("id", F.expr("cast(repeat('w', 100) as binary)").alias("data")), "wide", rows_at_once=2)
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in done.inputFiles()]
+    assert sorted(m.num_rows for m in metas) == [staging.GROUPS_OF_A_FILE, 2 * staging.GROUPS_OF_A_FILE, 2 * staging.GROUPS_OF_A_FILE]
+    stats = [m.row_group(k).column(c).statistics for m in metas for k in range(m.num_row_groups) for c in (0, 1)]
+    assert not any(s is not None and s.has_min_max for s in stats) and done.distinct().count() == 5 * staging.GROUPS_OF_A_FILE
+
+
 def test_exact_percentiles_equal_sparks(spark):
     """Percentiles by ranks of ranges: values of one stage never meet in one group."""
     from inkveil.plans import batch
