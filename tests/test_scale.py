@@ -158,3 +158,16 @@ def test_picture_files_are_read_once_by_few_tasks(spark):
     assert max(s.numTasks for s in stages if s) <= 20  # of 2,000 files; 32 to a task would make 50 and more, for each of two readings
     assert found.where("error IS NOT NULL AND image_id % 9 = 0").count() == found.where("image_id % 9 = 0").count() > 200
     assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def test_the_driver_lists_few_files_at_a_time(spark, monkeypatch):
+    """The driver's list of all files grew with them; folders are read in turns now."""
+    from inkveil import queries
+    from inkveil.sources import tables
+
+    listed, read = [], tables.read_images
+    monkeypatch.setattr(tables, "FILES_AT_ONCE", 500, raising=False)
+    monkeypatch.setattr(tables, "read_images", lambda *a, **k: (df := read(*a, **k), listed.append(len(df.inputFiles())))[0])
+    found = queries.queries()["s2_read_images"](spark, "/root/testdata/sf0.01")
+    assert max(listed) <= 650 and sum(listed) == 2000 and len(listed) == 4
+    assert found.count() == found.select("image_id").distinct().count() == 2000 - sum(k % 11 == 0 and k % 9 > 0 for k in range(2000))
